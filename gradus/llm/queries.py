@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import chat, licences, mixing
+from gradus.llm import chat, jaccard, licences, mixing
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
 CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, similarity="0.85")
+
+
 def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
