@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import chat, jaccard, licences, mixing
+from gradus.llm import chat, jaccard, licences, mixing, substrings
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
 CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chats.unionByName(own), CHAT_VOCABULARY)).drop("n_tokens", "n_loss_tokens")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.drop_repeats(table(spark, sf_dir, "documents"), width=35))
+
+
 def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
