@@ -50,6 +50,23 @@ found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER B
 SELECT own.doc_id, digest, k.licence, coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notices
 FROM own LEFT JOIN known k ON k.d = digest LEFT JOIN found ON found.doc_id = own.doc_id"""
 
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM.format("text")} AS w FROM benchmark),
+tests AS (SELECT DISTINCT item, list_aggregate(w[k:k + 9], 'string_agg', ' ') AS phrase, len(w[k:k + 9]) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_ALNUM.format("coalesce(text, '')")} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM tests),
+runs AS (SELECT doc_id, k, n, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM docs, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, k, runs.n, item FROM runs JOIN tests USING (phrase)),
+words AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS word FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mixing": MIXING, "op5_chat_masks": CHAT, "op9_licence_digests": LICENCES}
+    return {"op3_poisson_mixing": MIXING, "op5_chat_masks": CHAT, "op9_licence_digests": LICENCES, "op10_decontamination": DECONTAMINATION}
