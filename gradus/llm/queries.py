@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import chat, decontaminate, jaccard, licences, mixing, substrings
+from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, substrings
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
 CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.json"
@@ -35,10 +35,22 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chats.unionByName(own), CHAT_VOCABULARY)).drop("n_tokens", "n_loss_tokens")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()), PIECES)
+    own = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.identify(own, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.drop_repeats(table(spark, sf_dir, "documents"), width=35))
 
 
+def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
