@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, substrings
+from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, secrets, substrings, urls
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
 CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.json"
@@ -15,11 +16,25 @@ PIECES = f"{VOCABULARIES}/piece_bpe_32k.model"
 #: Target shares of the mix: the first source is held to a tenth, a few are raised, the rest weigh 1.
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5, "src3": 1.5}
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+FINDINGS, FINDINGS_SEED = 4000, 23
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, secrets.train(secrets.invented_findings(FINDINGS, FINDINGS_SEED)), path="source")
+    spans = F.array_join(F.transform("_secrets", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", F.col("_candidates").alias("n_candidates"), F.size("_secrets").cast("bigint").alias("n_secrets"), spans.alias("spans"), F.sha2("_redacted", 256).alias("redacted_sha256"))
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), WEIGHTS)
 
