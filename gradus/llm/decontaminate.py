@@ -191,7 +191,7 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with _hits: words (bigint), word spans and item ids that occur, all sorted.
+    """``docs`` with _hits: words (bigint), word spans and item ids that occur, all sorted; a column of that name is replaced.
 
     Items are gathered in blocks of at most about ``PHRASE_BYTES`` of text, each broadcast and searched in every shard
     in turn, so any number of items is searched whole, without a shuffle. Words are runs of letters, digits and
@@ -203,7 +203,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text: str =
     total = tests.agg(F.sum(F.octet_length("said"))).first()[0] or 0
     n_blocks = 1 + total * 2 // PHRASE_BYTES
     kind = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    out = docs.withColumn("_hits", F.lit(None).cast(f"struct<words:bigint,spans:{SPANS},items:array<string>>"))
+    out = docs.drop("_hits").withColumn("_hits", F.lit(None).cast(f"struct<words:bigint,spans:{SPANS},items:array<string>>"))
     for k in range(n_blocks):
         block = tests.where(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == k)
         sent = spark.sparkContext.broadcast(phrases([(r[0], r[1]) for r in block.collect()], width))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradus.llm._text import U, chunks
 
@@ -219,12 +220,13 @@ def train(labelled: DataFrame, vocabulary: str, *, text: str = "text", lang: str
     return fit(counts, vocabulary) if counts else None
 
 
-def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone.
+def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with lang_pred and score, from the text alone; columns of those names are replaced.
 
     A text that is null, or without any letter, is ``und`` with score 0, as is every text if there is no model. Equal
     scores go to the language first in order. Rows that repeat are judged alike; an empty table stays empty.
     """
+    docs = docs.drop(pred, score)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +248,9 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
                 some = total[:, -1] > 0
                 names += [model.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 scores += np.where(some, posterior, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -45,11 +45,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], *, seed: int = 17, d
     """The documents, each repeated by a Poisson count of its source's rate, in a global random order.
 
     The count inverts the distribution at the hash of seed and id, so a run can be repeated after any loss.
-    Columns: those of ``docs``, then ``copy_no`` (int, from 1). Null or empty texts are drawn as others of their
+    Columns: those of ``docs`` (copy_no and names that begin with _ are replaced), then ``copy_no`` (int, from 1). Null or empty texts are drawn as others of their
     source; rows that repeat are drawn alike; an empty table stays empty; all other columns are carried along.
     The rates have a row for each source: Spark broadcasts them only under its own size threshold, else it
     sort-merges, splitting a hot source.
     """
+    docs = docs.select(*[c for c in docs.columns if c != "copy_no" and not c.startswith("_")])
     rates = settle(source_rates(docs, weights, default_weight=default_weight, epochs=epochs, text=text, source=source), "source-rates")
     drawn = docs.join(rates.select(F.col("_source").alias("_rate_source"), "_cdf"), F.col(source).eqNullSafe(F.col("_rate_source")), "left")
     count = F.coalesce(F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))), F.lit(0))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MAX_FINDINGS = 20_000  # labelled findings that the forest is fitted on, at most
 SIDE = 40  # characters on either side that count as neighbours
@@ -229,17 +230,18 @@ def train(findings: pd.DataFrame, *, seed: int = 1) -> Forest:
     return grow(x, findings["secret"].to_numpy(float), seed=seed)
 
 
-SPANS = "array<struct<start:bigint,end:bigint,score:double>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 MASK = "[secret]"
 
 
 def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | None = None, limit: float = 0.5) -> DataFrame:
-    """``docs`` with _candidates (bigint), _secrets (spans in characters, with scores) and _redacted (the text without them).
+    """``docs`` with _candidates (bigint), _secrets (spans in characters, with scores) and _redacted (the text without them); columns of those names are replaced.
 
     A candidate whose score is ``limit`` or more is a secret. A null text has none and stays null; equal rows are judged
     alike; texts are scanned whole. ``path`` names a column with the file's path or source, if there is one. An empty table
     stays empty. The forest, some thousand nodes, is broadcast; nothing is shuffled.
     """
+    docs = docs.drop("_candidates", "_secrets", "_redacted")
     sent = docs.sparkSession.sparkContext.broadcast(forest)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -261,5 +263,4 @@ def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | Non
                 redacted.append(t)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(f) for f in found], pa.int64()), pa.array(secrets, kind), pa.array(redacted, pa.string())], [*batch.schema.names, "_candidates", "_secrets", "_redacted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{fields}, _candidates bigint, _secrets {SPANS}, _redacted string")
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("_candidates", T.LongType()), T.StructField("_secrets", SPANS), T.StructField("_redacted", T.StringType())]))
