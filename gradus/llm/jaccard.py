@@ -7,9 +7,11 @@ block can have a product entry above the bound. Ranges are cut finely enough tha
 too few shingles, which would be shared by many rows, needn't serve as blocks. Sizes go into intervals with bounds of
 their own; a row also enters the next interval if a larger row there can still be similar.
 
-In a block, first every row meets the block's smallest row: linear in the block however large a group of copies is.
-Pairs survive a bound from their sizes and the parities of 512 hashed columns, then the overlap is counted exactly.
-Rows in one component need no further products; the others of a block meet pairwise, again under the bound.
+In a block every row first meets the block's smallest row: linear in the block however large a group of copies is. Pairs
+that a bound from their sizes and the parities of 512 hashed columns allows are joined into clusters. Rows of a block in
+different clusters then meet each other under the same bound, which only ever merges clusters. Within clusters, cut into
+tiles of bounded size, the overlaps are accumulated exactly; a tile gives a spanning forest of its links, so what leaves it
+is linear in its rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from gradus.llm.components import components
 PARITIES = [f"p{i}" for i in range(8)]
 BROADCAST_IDS = 1_000_000
 SEEN = 500_000
+PANEL = 1024  # rows of a panel, about
+PANEL_SHINGLES = 1_000_000
 
 
 def sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -197,46 +201,115 @@ def _bound(similarity: Fraction, a: str, b: str) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (differ * (p + q) <= (n + m) * (q - p))
 
 
-def _products(pairs: DataFrame, docs: DataFrame, heads: DataFrame, similarity: Fraction, width: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets have the similarity, by their exact overlap."""
-    pairs = settle(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    ids = settle(heads.join(need, "sig", "left_semi").select(F.col("first_id").alias("_id")), "ids")
-    few = ids.count() <= BROADCAST_IDS  # beyond that, the texts are shuffled once
-    rows = _set_rows(docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids["_id"], "left_semi"), width)
-    rows = settle(rows.join(need, "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set")) if not few else rows.dropDuplicates(["sig"]), "sets")
-    x, y = rows.select(F.col("sig").alias("a"), F.col("set").alias("x")), rows.select(F.col("sig").alias("b"), F.col("set").alias("y"))
-    p, q = similarity.numerator, similarity.denominator
-    overlap = F.size(F.array_intersect("x", "y")).cast("bigint")
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", overlap.alias("o"), (F.size("x") + F.size("y")).cast("bigint").alias("s"))
-    return settle(joined.where((F.col("s") - F.col("o")) * p <= F.col("o") * q).select("a", "b"), "links")
+class _Forest:
+    """Union-find over the rows of a group; remembers the edges that joined two trees."""
+
+    def __init__(self, n: int):
+        self.tree, self.edges = np.arange(n), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            if self.tree[i] != self.tree[j]:
+                self.edges.append((i, j))
+                self.tree[self.tree == self.tree[j]] = self.tree[i]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first columns, of batches sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        key = np.stack([c.to_numpy() for c in batch.columns[:keys]], axis=1)
+        last = rest[0].slice(0, 1).to_pylist()[0]
+        first = [last[n] for n in batch.schema.names[:keys]]
+        if (key[-1] == first).all():
+            continue
+        whole = pa.Table.from_batches(rest)
+        key = np.stack([c.to_numpy() for c in whole.columns[:keys]], axis=1)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield whole.slice(a, b - a)
+        rest = whole.slice(edges[-1]).combine_chunks().to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _pairs(sig: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(edges, np.int64).reshape(-1, 2)
+    x, y = sig[at[:, 0]], sig[at[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def _crossing(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs of rows of one block but different components that the bound allows; blocks are compared in numpy."""
+    """A spanning forest of the pairs that share a block, are in different clusters, and that the bound allows."""
     p, q = similarity.numerator, similarity.denominator
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            sig, comp, n, bits = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4:]
-            for i in range(len(rows) - 1):
-                other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        for group in _grouped(batches, 1):
+            _, sig, cluster, n, *bits = (c.to_numpy() for c in group.columns)
+            bits, forest = np.stack(bits, axis=1).view(np.uint64), _Forest(len(sig))  # of a signed number numpy counts the absolute value's bits
+            for i in range(len(sig) - 1):
+                other = np.flatnonzero((cluster[i + 1 :] != cluster[i]) & (forest.tree[i + 1 :] != forest.tree[i])) + i + 1
                 differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                near = other[(np.minimum(n[other], n[i]) * q >= np.maximum(n[other], n[i]) * p) & (differ * (p + q) <= (n[other] + n[i]) * (q - p))]
-                if len(near):
-                    s, t = np.full(len(near), sig[i]), sig[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
+                forest.join(i, other[(np.minimum(n[other], n[i]) * q >= np.maximum(n[other], n[i]) * p) & (differ * (p + q) <= (n[other] + n[i]) * (q - p))])
+            yield _pairs(sig, forest.edges)
 
-        rest = np.zeros((0, 4 + len(PARITIES)), np.int64)
-        for batch in batches:
-            rest = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            edges = np.flatnonzero(rest[1:, 0] != rest[:-1, 0]) + 1
-            for group in np.split(rest, edges)[:-1]:
-                yield from emit(group)
-            rest = rest[edges[-1] :] if len(edges) else rest
-        yield from emit(rest)
+    return rows.select("key", "sig", "cluster", "n_shingles", *PARITIES).repartition("key").sortWithinPartitions("key").mapInArrow(work, "a bigint, b bigint")
 
-    return rows.select("key", "sig", "component", "n_shingles", *PARITIES).repartition("key").sortWithinPartitions("key").mapInArrow(work, "a bigint, b bigint").distinct()
+
+def _products(clusters: DataFrame, docs: DataFrame, heads: DataFrame, similarity: Fraction, width: int) -> DataFrame:
+    """Links within ``clusters`` (sig, cluster, done): a spanning forest of each tile.
+
+    A cluster is cut into panels of about ``PANEL`` rows (fewer if they are long), and every two panels make a tile of the product. In a tile a
+    row's overlaps with the rows not yet linked to it are accumulated over all its columns, unless sizes rule them out;
+    rows of the same ``done`` were compared before.
+    """
+    clusters = settle(clusters, "clusters")
+    sized = clusters.join(heads.select("sig", "first_id", "n_shingles"), "sig")
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).where("rows > 1")
+    panels = F.ceil(F.greatest(F.col("rows") / PANEL, F.col("shingles") / PANEL_SHINGLES)).cast("int")
+    own = settle(sized.join(sizes, "cluster").select("sig", "first_id", "cluster", "done", panels.alias("panels")), "members")
+    few = own.count() <= BROADCAST_IDS  # beyond that, the texts are shuffled once
+    ids = own.select(F.col("first_id").alias("_id")).distinct()
+    sets_of = _set_rows(docs.join(F.broadcast(ids) if few else ids, docs.doc_id.eqNullSafe(ids["_id"]), "left_semi"), width)
+    placed = sets_of.join(F.broadcast(own) if few else own, "sig").dropDuplicates(["sig"])
+    panel = F.pmod(F.xxhash64("sig"), F.col("panels")).cast("int")
+    tiled = placed.withColumn("i", panel).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("panels") - 1)))
+    tiled = tiled.select("cluster", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "i", "sig", "done", "set")
+    p, q = similarity.numerator, similarity.denominator
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _grouped(batches, 3):
+            sig, done, panel = (tile.column(c).to_numpy() for c in ("sig", "done", "i"))
+            apart = tile.column("x")[0].as_py() != tile.column("y")[0].as_py()
+            lists = tile.column("set").combine_chunks()
+            start = lists.offsets.to_numpy()
+            values = lists.flatten().to_numpy()[: start[-1] - start[0]]
+            start = (start - start[0]).astype(np.int64)
+            _, column = np.unique(values, return_inverse=True)
+            n, forest = np.diff(start), _Forest(len(sig))
+            mark = np.zeros(int(column.max()) + 1, np.int64)
+            for i in range(len(sig)):
+                near = (forest.tree != forest.tree[i]) & (done != done[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
+                near[: i + 1] = False
+                if apart:
+                    near &= panel != panel[i]
+                other = np.flatnonzero(near)
+                if not len(other):
+                    continue
+                mark[column[start[i] : start[i + 1]]] = 1
+                if len(other) * 4 > len(sig):
+                    overlap = np.add.reduceat(mark[column], start[:-1])[other]
+                else:
+                    overlap = np.array([mark[column[start[j] : start[j + 1]]].sum() for j in other])
+                mark[column[start[i] : start[i + 1]]] = 0
+                forest.join(i, other[overlap * q >= (n[other] + n[i] - overlap) * p])
+            yield _pairs(sig, forest.edges)
+
+    order = ["cluster", "x", "y"]
+    return settle(tiled.repartition(*order).sortWithinPartitions(*order).mapInArrow(work, "a bigint, b bigint").distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.8", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,22 +332,35 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.
     a, b = heads.alias("a"), heads.alias("b")
     met = live.select("sig", "head").distinct()
     near = met.alias("e").join(a, F.col("e.sig") == F.col("a.sig")).join(b, F.col("e.head") == F.col("b.sig")).where(_bound(t, "a", "b"))
-    links = _products(near.select(F.col("e.head").alias("a"), F.col("e.sig").alias("b")), docs, heads, t, width)
+    stars = near.select(F.col("e.head").alias("a"), F.col("e.sig").alias("b"))
+    first = components(stars)
+    first = settle(first.unionByName(first.select(F.col("component").alias("node"), "component").distinct()), "first")
+    links = _products(first.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.col("node").alias("done")), docs, heads, t, width)
+    # Blocks whose rows beside the head are in different clusters.
+    placed = live.join(first, live.sig == first.node, "left").select("key", "sig", F.coalesce("component", "sig").alias("cluster"))
+    mixed = placed.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("key")
+    rest = placed.join(mixed, "key", "left_semi").distinct()
+    more = settle(_crossing(rest.join(heads, "sig"), t).distinct(), "crossing")
+    if not more.isEmpty():
+        wide = components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        met = more.select(F.greatest("a", "b").alias("node")).join(wide, "node").select("component").distinct()  # never the smallest of its component
+        every = wide.unionByName(wide.select(F.col("component").alias("node"), "component").distinct()).join(met, "component", "left_semi").distinct()
+        every = every.join(first.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("node") == F.col("_n"), "left")
+        links = links.unionByName(_products(every.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.coalesce("_c", "node").alias("done")), docs, heads, t, width))
     found = components(links)
-    # Blocks in which rows beside the head are in different components.
-    placed = live.join(found, live.sig == found.node, "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = settle(placed.join(mixed, "key", "left_semi").distinct(), "rest")
-    if not rest.isEmpty():
-        more = _crossing(rest.join(heads, "sig"), t)
-        links = links.unionByName(_products(more, docs, heads, t, width))
-        found = components(links)
     named = table.join(found, table.sig == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("c"))
     names = named.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("name"))
     return named.join(names, "c", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, width: int = 5, similarity: str = "0.8") -> DataFrame:
-    """The documents without those that have a link to a smaller doc_id's component."""
+    """The documents but those whose component has a smaller doc_id; of rows that repeat id and text one stays.
+
+    Rows of one id but several texts go or stay together; a row with a null id stays unless it repeats another such row.
+    """
+    often = settle(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_often")), "often")
+    if not often.isEmpty():
+        same = docs.doc_id.eqNullSafe(often["_often"])
+        docs = docs.join(often, same, "left_anti").unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     found = jaccard_components(docs, width=width, similarity=similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs.doc_id == F.col("_gone"), "left_anti")
