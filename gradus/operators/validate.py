@@ -75,8 +75,10 @@ def check_equal(left: DataFrame, right: DataFrame) -> None:
     shape = [[(f.name, f.dataType) for f in d.schema] for d in (left, right)]
     if shape[0] != shape[1]:
         raise InvalidData(f"Schemas differ: {shape[0]} and {shape[1]}")
-    require_empty(left.exceptAll(right), "Rows of the first table only")
-    require_empty(right.exceptAll(left), "Rows of the second table only")
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
+    surplus = both.groupBy(*left.columns).agg(F.sum("_side").alias("surplus"))
+    require_empty(surplus.where("surplus > 0"), "Rows of the first table only")
+    require_empty(surplus.where("surplus < 0"), "Rows of the second table only")
 
 
 def check_finite(rows: DataFrame, *fields: str) -> None:

@@ -131,8 +131,9 @@ def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         return spark.createDataFrame([], schemas.JUDGMENTS)
-    rows = spark.read.schema(f"{schemas.JUDGMENTS}, _bad STRING").option("columnNameOfCorruptRecord", "_bad").json(path)
-    require_empty(rows.select("*").where("_bad IS NOT NULL").select("_bad"), "Invalid judgment")
+    lines = spark.read.text(path).where(~blank(F.col("value")))
+    rows = lines.select(F.from_json("value", f"{schemas.JUDGMENTS}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("j")).select("j.*")
+    require_empty(rows.where("_bad IS NOT NULL").select("_bad"), "Invalid judgment")
     return rows.drop("_bad")
 
 
