@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="gradus-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

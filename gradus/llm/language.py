@@ -8,13 +8,13 @@ the probability of the word. A text's score is the posterior of its best languag
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ UNKNOWN = 1e-9  # probability of a letter that is no piece
 CACHE = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_RUN = re.compile(r"[^\W\d_]+")
+_RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Model(NamedTuple):

@@ -90,6 +90,33 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_h
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+JACCARD = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, {_WORD}) AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes nx ON nx.doc_id = x JOIN sizes ny ON ny.doc_id = y WHERE 100 * o >= 85 * (nx.n + ny.n - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x AS doc_id, x AS c FROM edges UNION SELECT y, c FROM reached JOIN edges ON x = doc_id),
+named AS (SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, docs.doc_id) AS component_id FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+PASSAGES = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+runs AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM docs WHERE len(w) >= 35)),
+repeated AS (SELECT doc_id, k FROM runs JOIN (SELECT s FROM runs GROUP BY s HAVING count(*) > 1) USING (s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS i FROM repeated),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, CAST(unnest(range(1, len(w) + 1)) AS BIGINT) AS i FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_templates": URLS, "op3_poisson_mixing": MIXING, "op5_chat_masks": CHAT, "op9_licence_digests": LICENCES, "op10_decontamination": DECONTAMINATION}
+    return {
+        "op1_url_templates": URLS, "op3_poisson_mixing": MIXING, "op4_jaccard_components": JACCARD, "op5_chat_masks": CHAT, "op7_repeated_passages": PASSAGES,
+        "op9_licence_digests": LICENCES, "op10_decontamination": DECONTAMINATION,
+    }
