@@ -3,8 +3,9 @@
 A passage counts from ``width`` words on. Every window of that many words has an anchor: the least hash among its runs
 of ``anchor`` words, the leftmost of equals. Equal windows have equal anchors, so a reference block holds the excerpts
 (consecutive windows of one anchor, with all their words) of one anchor from all documents, and a document needs
-parsing only against the blocks of its own anchors: no other block can hold a window of it. Blocks of one occurrence
-are left out before any words move; excerpts that are equal are one reference with a count.
+parsing only against the blocks of its own anchors: no other block can hold a window of it. Equal excerpts
+are one reference with a count, summed before and after the shuffle, so a passage in a third of all texts is no task's
+burden; blocks of one occurrence are left out before any words move.
 
 Within a block each excerpt is factored greedily: from a word on, the longest run that the other references of the block
 hold. A factor of ``width`` words or more is a repeated span; after each the parse steps back to the first window that the
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gradus.llm._store import settle
@@ -27,6 +27,7 @@ from gradus.llm._text import SPACED, U, _power, chunks, mix, split_words, window
 BROADCAST_KEYS = 1_000_000
 BLOCK = 4096  # excerpts of a block that one task may index; larger blocks are split by the content of their windows
 SEEN = 500_000
+SLICE = 512  # texts that a task holds as Python objects
 _Q = 0xD6E8FEB86659FD93
 _Q_INVERSE = pow(_Q, -1, 1 << 64)
 
@@ -184,25 +185,23 @@ def repeated_windows(texts: DataFrame, *, width: int, anchor: int) -> DataFrame:
 
     A text that occurs in several rows is counted once here; its caller knows that all its windows repeat.
     """
-    order = W.partitionBy("anchor").orderBy("whole")
-    rows = _anchored(texts, width, anchor)
-    hot = rows.withColumn("_before", F.lag(F.lit(1)).over(order)).withColumn("_after", F.lead(F.lit(1)).over(order)).where("_before = 1 OR _after = 1").drop("_before", "_after")
-    hot = settle(hot, "anchored")
-    kinds = settle(hot.groupBy("anchor", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n")).alias("at")), "excerpts")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1")
-    parse = settle(kinds.join(several, "anchor").select("anchor", "whole", "v", F.col("at.key").alias("key"), F.col("at.first").alias("first"), F.col("at.n").alias("n")), "parse")
+    rows = settle(_anchored(texts, width, anchor), "anchored")
+    kinds = rows.groupBy("anchor", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n")).alias("at"))
+    several = settle(kinds.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1"), "several")
+    kinds = settle(kinds.join(several, "anchor", "left").where("c > 1 OR v > 1"), "excerpts")
+    parse = kinds.where("v > 1").select("anchor", "whole", "v", F.col("at.key").alias("key"), F.col("at.first").alias("first"), F.col("at.n").alias("n"))
     wanted = parse.groupBy("key").agg(F.collect_list(F.struct("anchor", "whole", "first", "n")).alias("wanted"))
     keys = settle(parse.select("key").distinct(), "keys")
     few = keys.count() <= BROADCAST_KEYS  # beyond that, all texts are shuffled here
     own = texts.join(F.broadcast(keys), "key", "left_semi") if few else texts
     words = settle(_words_of(own.join(wanted, "key"), width), "words")
-    sizes = several.where(F.col("v") > BLOCK)
+    sizes = several.where(F.col("v") > BLOCK).select("anchor")
     spans = _parsed(words.join(sizes, "anchor", "left_anti"), width)
     if not sizes.isEmpty():
         spans = spans.unionByName(_split(words.join(sizes, "anchor", "left_semi"), width))
     whole = kinds.where("c > 1").select("anchor", "whole", F.lit(0).alias("off"), F.col("at.n").alias("m"))
     spans = spans.unionByName(whole)
-    found = hot.join(spans, ["anchor", "whole"]).select("key", (F.col("first") + F.col("off")).alias("first"), F.col("m").alias("n")).distinct()
+    found = rows.join(spans, ["anchor", "whole"]).select("key", (F.col("first") + F.col("off")).alias("first"), F.col("m").alias("n")).distinct()
     return found.groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
@@ -226,7 +225,7 @@ def drop_repeats(docs: DataFrame, *, width: int = 50, anchor: int = 12, doc_id:
     marks = settle(spans.join(copies, "key", "full_outer"), "marks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             kept, n_words, n_removed = [], [], []
             for said, runs, copied in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True):
                 words = (said.as_py() or "").encode().split()
