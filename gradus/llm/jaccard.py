@@ -349,7 +349,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.
         links = links.unionByName(_products(every.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.coalesce("_c", "node").alias("done")), docs, heads, t, width))
     found = components(links)
     named = table.join(found, table.sig == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("c"))
-    names = named.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("name"))
+    # Written, so that the last join is one that the optimizer may broadcast, or split where a component is large.
+    names = settle(named.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
     return named.join(names, "c", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 
 
