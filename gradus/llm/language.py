@@ -162,30 +162,36 @@ class Scorer:
     def _learn(self, fresh: list[bytes]) -> None:
         parts = [letters(w) for w in fresh]
         flat = sorted({p for x in parts for p in x}, key=len)
-        known: dict[str, np.ndarray] = {}
+        place = {p: i for i, p in enumerate(flat)}
+        known = np.zeros((len(flat), len(self.model.languages)))
         for lo in range(0, len(flat), 5000):
-            some = flat[lo : lo + 5000]
-            known.update(zip(some, word_scores(some, self.model), strict=True))
-        none = np.zeros(len(self.model.languages))
-        rows = np.array([[*sum((known[p] for p in x), none), bool(x)] for x in parts]).reshape(len(fresh), -1)
+            known[lo : lo + 5000] = word_scores(flat[lo : lo + 5000], self.model)
+        size = np.array([len(x) for x in parts])
+        rows = np.zeros((len(fresh), len(self.model.languages) + 1))
+        rows[:, -1] = size > 0
+        owner = np.repeat(np.arange(len(fresh)), size)
+        np.add.at(rows[:, :-1], owner, known[[place[p] for x in parts for p in x]])
         base = len(self.number)
-        self.number.update((w, base + i) for i, w in enumerate(fresh))
+        self.number.update(zip(fresh, range(base, base + len(fresh)), strict=True))
         self.rows = np.concatenate([self.rows, rows])
 
     def totals(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
         """Per text: log probability in each language, and the number of its words with letters."""
         each = [split(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        fresh = list({w for x in each for w in x} - self.number.keys())
+        words = [w for x in each for w in x]
+        at = list(map(self.number.get, words))
+        fresh = list({w for w, i in zip(words, at, strict=True) if i is None})
         if fresh:
             if len(self.number) + len(fresh) > CACHE:
                 self.number, self.rows = {}, self.rows[:0]
-                fresh = list({w for x in each for w in x})
+                fresh = list(set(words))
             self._learn(fresh)
-        number = self.number
+            at = list(map(self.number.get, words))
         out = np.zeros((len(each), len(self.model.languages) + 1))
-        for i, x in enumerate(each):
-            if x:
-                out[i] = self.rows[[number[w] for w in x]].sum(axis=0)
+        first = np.cumsum([0, *map(len, each)])
+        some = first[1:] > first[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(self.rows[at], first[:-1][some])
         return out
 
 
