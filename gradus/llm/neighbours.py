@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from gradus.llm._store import settle
 
-BLOCK = 4096
-QUERIES = 1024
+BLOCK_NUMBERS = 1_000_000  # components of a block of the index; a block has as many vectors as that allows
+QUERIES = 1024  # of a block of queries
+AT_ONCE = 128  # queries whose estimates are in memory together
 EPSILON = 3.0  # the bound holds for all but about exp(-EPSILON ** 2 / 2) of the estimates
 INDEX = "block bigint, ids binary, codes binary, length binary, own binary, centre binary, vectors binary"
 
@@ -68,21 +69,34 @@ def bounds(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.n
     return estimate, np.sqrt((queries**2).sum(axis=1))[:, None] * (length * spread) + 1e-9
 
 
+def _filled(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows``, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=rows)
+            yield whole[0]
+            held = whole[1:]
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def build(vectors: DataFrame, size: int, seed: int = 5) -> DataFrame:
-    """The index: blocks of ``BLOCK`` vectors at most, one row each. Every row of the table is indexed."""
+    """The index: blocks of about ``BLOCK_NUMBERS`` components, one row each. Every row of the table is indexed."""
+    block = max(1, BLOCK_NUMBERS // size)
+    vectors = vectors.repartition(1 + vectors.count() // block, "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         turn, number = rotation(size, seed), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
-                v = _matrix(part.column(1), size)
-                codes, length, own, centre = encode(v, turn)
-                row = [part.column(0).to_numpy(), codes, length, own, centre, v]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row]], ["block", "ids", "codes", "length", "own", "centre", "vectors"])
-                number += 1
+        for part in _filled(batches, block):
+            v = _matrix(part.column(1), size)
+            codes, length, own, centre = encode(v, turn)
+            row = [part.column(0).to_numpy(), codes, length, own, centre, v]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row]], ["block", "ids", "codes", "length", "own", "centre", "vectors"])
+            number += 1
 
     return vectors.select("id", "v").mapInArrow(work, INDEX)
 
@@ -92,23 +106,32 @@ def top(query_ids: np.ndarray, queries: np.ndarray, row: dict, turn: np.ndarray,
     size = queries.shape[1]
     ids = np.frombuffer(row["ids"], np.int64)
     v = np.frombuffer(row["vectors"]).reshape(-1, size)
-    estimate, error = bounds(queries, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]), np.frombuffer(row["centre"]), turn)
-    estimate[query_ids[:, None] == ids] = -np.inf
-    if len(ids) > k:
-        limit = np.partition(estimate - error, len(ids) - k, axis=1)[:, len(ids) - k]
-        limit = np.where(np.isfinite(limit), limit, -np.finfo(float).max)
-    else:
-        limit = np.full(len(queries), -np.finfo(float).max)
-    q, c = np.nonzero(estimate + error >= limit[:, None])
-    exact = np.empty(len(q))
-    for lo in range(0, len(q), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        exact[part] = (queries[q[part]] * v[c[part]]).sum(axis=1)
-    order = np.lexsort((ids[c], -exact, q))
-    q, c, exact = q[order], c[order], exact[order]
-    first = np.searchsorted(q, np.arange(len(queries)))
-    keep = np.arange(len(q)) - first[q] < k
-    return query_ids[q[keep]], ids[c[keep]], exact[keep]
+    code = (np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]), np.frombuffer(row["centre"]), turn)
+    out = []
+    for lo in range(0, len(queries), AT_ONCE):
+        own, q = query_ids[lo : lo + AT_ONCE], queries[lo : lo + AT_ONCE]
+        estimate, error = bounds(q, *code)
+        estimate[own[:, None] == ids] = -np.inf
+        chosen = np.isfinite(estimate)
+        if len(ids) > k:
+            chosen &= estimate + error >= np.partition(estimate - error, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        # Rerank. Products of matrices pick the best and what ties with them; those are scored one by one.
+        if chosen.mean() > 0.02:
+            score = np.where(chosen, q @ v.T, -np.inf)
+        else:
+            score = np.full(chosen.shape, -np.inf)
+            i, j = np.nonzero(chosen)
+            score[i, j] = np.einsum("ij,ij->i", q[i], v[j])
+        if len(ids) > k:
+            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            chosen &= score >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]
+        i, j = np.nonzero(chosen)
+        exact = (q[i] * v[j]).sum(axis=1)
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+        out.append((own[i[keep]], ids[j[keep]], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

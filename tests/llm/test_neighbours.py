@@ -38,7 +38,7 @@ def test_odd_vectors(spark):
 
 
 def test_many_equal_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_NUMBERS", 50 * 16)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16)).astype("float32")
     x[:200] = x[0]
