@@ -364,4 +364,4 @@ def keep_first(docs: DataFrame, *, width: int = 5, similarity: str = "0.8") -> D
         same = docs.doc_id.eqNullSafe(often["_often"])
         docs = docs.join(often, same, "left_anti").unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     found = jaccard_components(docs, width=width, similarity=similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs.doc_id == F.col("_gone"), "left_anti")
+    return docs.join(found, docs.doc_id == found["_gone"], "left_anti")

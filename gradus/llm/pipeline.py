@@ -11,11 +11,25 @@ from gradus.llm.queries import FINDINGS, FINDINGS_SEED, PIECES, WEIGHTS, table
 LEAST_SCORE = 0.5
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and their new names."""
+    taken, moved = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in names:
+            moved[c] = c
+            while moved[c].lower() in taken:
+                moved[c] += "_"
+            taken.add(moved[c].lower())
+    return docs.withColumnsRenamed(moved), moved
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those whose best language is less likely than all others together."""
     model = language.train(docs.where(~language.held_out()), PIECES)
-    judged = language.identify(docs, model, pred="_lang", score="_score")
-    return judged.where((F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    given, moved = _aside(docs, "_lang", "_score")
+    judged = language.identify(given, model, pred="_lang", score="_score")
+    kept = judged.where((F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
+    return kept.select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +39,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; a document of nothing else goes."""
-    return decontaminate.remove(decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
+    given, moved = _aside(docs, "_hits")
+    cut = decontaminate.remove(decontaminate.mark(given, table(spark, sf_dir, "benchmark")))
+    return cut.select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mask in the place of each secret and brings n_chars up to date; no document goes."""
     forest = secrets.train(secrets.invented_findings(FINDINGS, FINDINGS_SEED))
-    found = secrets.scan(docs, forest, path="source")
+    given, moved = _aside(docs, "_candidates", "_secrets", "_redacted")
+    found = secrets.scan(given, forest, path="source")
     changed = F.size("_secrets") > 0
     chars = F.when(changed, F.length("_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[F.col("_redacted").alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return found.select(*[F.col("_redacted").alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(moved.get(c, c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
