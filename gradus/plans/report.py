@@ -75,8 +75,8 @@ def performance_report(spark: SparkSession, judgments: DataFrame, method: str, *
         means = ranking.macro_mean(per_query)
         output = f"{folder}/{method}"
         known = tables.load_json(f"{output}/experiment.json")
-        first = judgments.select("model").first().model if "model" in judgments.columns else default_model
-        model = known.get("model", first)
+        own = judgments.select("model").first().model if "model" in judgments.columns else default_model
+        model = known.get("model", own)
         pricing = method if method == "probabilistic" else model
         u = usage.usage_and_cost(judgments, pricing).first()
         price = usage.PRICES.get(pricing)
