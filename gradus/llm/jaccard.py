@@ -9,8 +9,9 @@ their own; a row also enters the next interval if a larger row there can still b
 
 In a block every row first meets the block's smallest row: linear in the block however large a group of copies is. Pairs
 that a bound from their sizes and the parities of 512 hashed columns allows are joined into clusters. Rows of a block in
-different clusters then meet each other under the same bound, which only ever merges clusters. Within clusters, cut into
-tiles of bounded size, the overlaps are accumulated exactly; a tile gives a spanning forest of its links, so what leaves it
+different clusters then meet each other under the same bound, which only ever merges clusters. Clusters are cut into
+tiles of bounded size, in which first parities of about eight bits a shingle part what the narrow ones joined, and then
+the overlaps are accumulated exactly; a tile gives a spanning forest of its links, so what leaves it
 is linear in its rows.
 """
 
@@ -79,6 +80,24 @@ def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8).reshape(n, 512), axis=1).view(np.int64)
 
 
+def wide_parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The same with about eight bits for each shingle, so that they tell long sets apart too; a power of two of bits."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        width = max(512, 1 << (4 * (b - a)).bit_length())
+        bits = np.bincount((values[a:b] & U(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(bits.astype(np.uint8)).tobytes())
+    return out
+
+
+def folded(packed: np.ndarray, bytes_: int) -> np.ndarray:
+    """Parities (rows, bytes) of the shingles that hash to fewer bits."""
+    while packed.shape[1] > bytes_:
+        half = packed.shape[1] // 2
+        packed = packed[:, :half] ^ packed[:, half:]
+    return packed
+
+
 class Intervals:
     """Size intervals of the rows, and the number of column ranges of each."""
 
@@ -142,7 +161,7 @@ def blocks(values: np.ndarray, offsets: np.ndarray, cut: Intervals) -> tuple[np.
 
 
 def _rows(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: id, size, signature (null if empty) and parities."""
+    """Per document: id, size, signature (null if empty), parities and wide parities."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +169,11 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
                 n = np.diff(offsets)
                 bits = parities(values, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(n)), pa.array(n), pa.array(signatures(values, offsets), mask=n == 0), *[pa.array(bits[:, i]) for i in range(8)]],
-                    ["doc_id", "n_shingles", "sig", *PARITIES],
+                    [batch.column(0).slice(lo, len(n)), pa.array(n), pa.array(signatures(values, offsets), mask=n == 0), *[pa.array(bits[:, i]) for i in range(8)], pa.array(wide_parities(values, offsets), pa.binary())],
+                    ["doc_id", "n_shingles", "sig", *PARITIES, "wide"],
                 )
 
-    return docs.mapInArrow(work, f"doc_id bigint, n_shingles bigint, sig bigint, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    return docs.mapInArrow(work, f"doc_id bigint, n_shingles bigint, sig bigint, {', '.join(f'{p} bigint' for p in PARITIES)}, wide binary")
 
 
 def _keys(docs: DataFrame, width: int, cut: Intervals) -> DataFrame:
@@ -259,46 +278,100 @@ def _crossing(rows: DataFrame, similarity: Fraction) -> DataFrame:
     return rows.select("key", "sig", "cluster", "n_shingles", *PARITIES).repartition("key").sortWithinPartitions("key").mapInArrow(work, "a bigint, b bigint")
 
 
-def _products(clusters: DataFrame, docs: DataFrame, heads: DataFrame, similarity: Fraction, width: int) -> DataFrame:
-    """Links within ``clusters`` (sig, cluster, done): a spanning forest of each tile.
-
-    A cluster is cut into panels of about ``PANEL`` rows (fewer if they are long), and every two panels make a tile of the product. In a tile a
-    row's overlaps with the rows not yet linked to it are accumulated over all its columns, unless sizes rule them out;
-    rows of the same ``done`` were compared before.
-    """
-    clusters = settle(clusters, "clusters")
+def _members(clusters: DataFrame, heads: DataFrame, name: str) -> DataFrame:
+    """``clusters`` (sig, cluster, done) of two rows or more with first_id and their number of panels."""
     sized = clusters.join(heads.select("sig", "first_id", "n_shingles"), "sig")
     sizes = sized.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).where("rows > 1")
     panels = F.ceil(F.greatest(F.col("rows") / PANEL, F.col("shingles") / PANEL_SHINGLES)).cast("int")
-    own = settle(sized.join(sizes, "cluster").select("sig", "first_id", "cluster", "done", panels.alias("panels")), "members")
+    return settle(sized.join(sizes, "cluster").select("sig", "first_id", "cluster", "done", "n_shingles", panels.alias("panels")), name)
+
+
+def _tiled(rows: DataFrame, *payload: str) -> DataFrame:
+    """Rows of clusters (with panels), once for each tile that their panel has a part in, tile by tile."""
+    panel = F.pmod(F.xxhash64("sig"), F.col("panels")).cast("int")
+    tiled = rows.withColumn("i", panel).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("panels") - 1)))
+    tiled = tiled.select("cluster", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "i", "sig", "done", "n_shingles", *payload)
+    order = ["cluster", "x", "y"]
+    return tiled.repartition(*order).sortWithinPartitions(*order)
+
+
+def _candidates(tile: pa.Table, similarity: Fraction) -> tuple[np.ndarray, _Forest, Iterator[tuple[int, np.ndarray]]]:
+    """Signatures, an empty forest, and for each row the later ones that sizes allow, not yet linked or compared before."""
+    p, q = similarity.numerator, similarity.denominator
+    sig, done, panel, n = (tile.column(c).to_numpy() for c in ("sig", "done", "i", "n_shingles"))
+    apart, forest = tile.column("x")[0].as_py() != tile.column("y")[0].as_py(), _Forest(len(sig))
+
+    def rows() -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(len(sig)):
+            near = (forest.tree != forest.tree[i]) & (done != done[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
+            near[: i + 1] = False
+            if apart:
+                near &= panel != panel[i]
+            if len(other := np.flatnonzero(near)):
+                yield i, other
+
+    return sig, forest, rows()
+
+
+def _refined(clusters: DataFrame, table: DataFrame, heads: DataFrame, similarity: Fraction) -> DataFrame:
+    """``clusters`` cut where no wide parities allow a link: what joined them by the narrow ones alone falls apart."""
+    p, q = similarity.numerator, similarity.denominator
+    own = _members(clusters, heads, "members")
+    wide = table.select(F.col("sig").alias("_sig"), "doc_id", "wide")
+    placed = wide.join(own, (wide["_sig"] == own.sig) & wide.doc_id.eqNullSafe(own.first_id)).dropDuplicates(["sig"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _grouped(batches, 3):
+            sig, forest, rows = _candidates(tile, similarity)
+            n, packed = tile.column("n_shingles").to_numpy(), tile.column("wide").to_pylist()
+            width = np.array([len(x) for x in packed])
+            place = np.zeros(len(sig), np.int64)
+            of: dict[tuple[int, int], np.ndarray] = {}
+            for w in np.unique(width).tolist():
+                some = np.flatnonzero(width == w)
+                place[some] = np.arange(len(some))
+                of[w, w] = np.frombuffer(b"".join(packed[k] for k in some), np.uint8).reshape(len(some), w)
+            for i, other in rows:
+                mine = of[int(width[i]), int(width[i])][place[i]][None]
+                for w in np.unique(width[other]).tolist():
+                    least, some = min(w, int(width[i])), other[width[other] == w]
+                    if (w, least) not in of:
+                        of[w, least] = folded(of[w, w], least)
+                    differ = np.bitwise_count((of[w, least][place[some]] ^ folded(mine, least)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    forest.join(i, some[differ * (p + q) <= (n[some] + n[i]) * (q - p)])
+            yield _pairs(sig, forest.edges)
+
+    edges = settle(_tiled(placed, "wide").mapInArrow(work, "a bigint, b bigint").distinct(), "wide-links")
+    found = components(edges)
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    return own.join(found, own.sig == found.node).select("sig", F.col("component").alias("cluster"), "done")
+
+
+def _products(clusters: DataFrame, docs: DataFrame, table: DataFrame, heads: DataFrame, similarity: Fraction, width: int) -> DataFrame:
+    """Links within ``clusters`` (sig, cluster, done): a spanning forest of each tile.
+
+    A cluster is cut into panels of about ``PANEL`` rows (fewer if they are long), and every two panels make a tile of
+    the product. In a tile a row's overlaps with the rows not yet linked to it are accumulated over all its columns,
+    unless sizes rule them out; rows of the same ``done`` were compared before.
+    """
+    own = _members(_refined(settle(clusters, "clusters"), table, heads, similarity), heads, "members")
     few = own.count() <= BROADCAST_IDS  # beyond that, the texts are shuffled once
     ids = own.select(F.col("first_id").alias("_id")).distinct()
     sets_of = _set_rows(docs.join(F.broadcast(ids) if few else ids, docs.doc_id.eqNullSafe(ids["_id"]), "left_semi"), width)
     placed = sets_of.join(F.broadcast(own) if few else own, "sig").dropDuplicates(["sig"])
-    panel = F.pmod(F.xxhash64("sig"), F.col("panels")).cast("int")
-    tiled = placed.withColumn("i", panel).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("panels") - 1)))
-    tiled = tiled.select("cluster", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "i", "sig", "done", "set")
     p, q = similarity.numerator, similarity.denominator
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _grouped(batches, 3):
-            sig, done, panel = (tile.column(c).to_numpy() for c in ("sig", "done", "i"))
-            apart = tile.column("x")[0].as_py() != tile.column("y")[0].as_py()
+            sig, forest, rows = _candidates(tile, similarity)
             lists = tile.column("set").combine_chunks()
             start = lists.offsets.to_numpy()
             values = lists.flatten().to_numpy()[: start[-1] - start[0]]
             start = (start - start[0]).astype(np.int64)
             _, column = np.unique(values, return_inverse=True)
-            n, forest = np.diff(start), _Forest(len(sig))
+            n = np.diff(start)
             mark = np.zeros(int(column.max()) + 1, np.int64)
-            for i in range(len(sig)):
-                near = (forest.tree != forest.tree[i]) & (done != done[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
-                near[: i + 1] = False
-                if apart:
-                    near &= panel != panel[i]
-                other = np.flatnonzero(near)
-                if not len(other):
-                    continue
+            for i, other in rows:
                 mark[column[start[i] : start[i + 1]]] = 1
                 if len(other) * 4 > len(sig):
                     overlap = np.add.reduceat(mark[column], start[:-1])[other]
@@ -308,8 +381,7 @@ def _products(clusters: DataFrame, docs: DataFrame, heads: DataFrame, similarity
                 forest.join(i, other[overlap * q >= (n[other] + n[i] - overlap) * p])
             yield _pairs(sig, forest.edges)
 
-    order = ["cluster", "x", "y"]
-    return settle(tiled.repartition(*order).sortWithinPartitions(*order).mapInArrow(work, "a bigint, b bigint").distinct(), "links")
+    return settle(_tiled(placed, "set").mapInArrow(work, "a bigint, b bigint").distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.8", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,7 +407,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.
     stars = near.select(F.col("e.head").alias("a"), F.col("e.sig").alias("b"))
     first = components(stars)
     first = settle(first.unionByName(first.select(F.col("component").alias("node"), "component").distinct()), "first")
-    links = _products(first.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.col("node").alias("done")), docs, heads, t, width)
+    links = _products(first.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.col("node").alias("done")), docs, table, heads, t, width)
     # Blocks whose rows beside the head are in different clusters.
     placed = live.join(first, live.sig == first.node, "left").select("key", "sig", F.coalesce("component", "sig").alias("cluster"))
     mixed = placed.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("key")
@@ -346,7 +418,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.
         met = more.select(F.greatest("a", "b").alias("node")).join(wide, "node").select("component").distinct()  # never the smallest of its component
         every = wide.unionByName(wide.select(F.col("component").alias("node"), "component").distinct()).join(met, "component", "left_semi").distinct()
         every = every.join(first.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("node") == F.col("_n"), "left")
-        links = links.unionByName(_products(every.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.coalesce("_c", "node").alias("done")), docs, heads, t, width))
+        links = links.unionByName(_products(every.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.coalesce("_c", "node").alias("done")), docs, table, heads, t, width))
     found = components(links)
     named = table.join(found, table.sig == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("c"))
     # Written, so that the last join is one that the optimizer may broadcast, or split where a component is large.
