@@ -11,8 +11,8 @@ from gradus.llm._store import settle
 
 MAX_RULES = 500  # they become one expression
 DEPTH = 6  # segments that can differ in a template; what lies deeper is one wildcard
-FAN_OUT = 50  # a node with more children than that, of few urls each, has variable segments
-PER_CHILD = 4
+FAN_OUT = 50  # a node with more children than that has variable segments
+PER_CHILD = 4  # a child that has that many times the urls of the mean child, and a FAN_OUT-th of its node's, is none of them
 SUPPORT = 5  # labelled urls that a template needs, and a branch to be compared
 PURITY = 0.8
 SIMILAR = 3.8416  # z squared: branches below it are of one kind
@@ -50,35 +50,47 @@ def shaped(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-fA-F]{8,}$"), F.lit("<hex>")).otherwise(F.regexp_replace(s, "[0-9]+", "<n>")))
 
 
+def _differs(l: str, b: str, all_l: str, all_b: str) -> Column:
+    """Whether b bad of l labelled is another share than all_b of all_l, by a z test."""
+    l, b, al, ab = (F.col(c).cast("double") for c in (l, b, all_l, all_b))
+    gap = b * al - l * ab
+    return gap * gap > F.lit(SIMILAR) * l * ab * (al - ab)
+
+
+def _step(rows: DataFrame, level: int) -> DataFrame:
+    """``rows`` with the segment at ``level`` added to the templates of those that have it."""
+    here = rows.where(F.size("shape") > level).withColumn("child", F.element_at("shape", level + 1))
+    children = here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    strong = F.col("l") >= SUPPORT
+    nodes = children.groupBy("host", "template").agg(
+        F.count("*").alias("k"), F.sum("n").alias("all_n"), F.sum(F.when(strong, F.col("l")).otherwise(0)).alias("all_l"), F.sum(F.when(strong, F.col("b")).otherwise(0)).alias("all_b"),
+        F.sum("l").alias("node_l"), F.sum("b").alias("node_b"),
+    )
+    alike = strong & ~_differs("l", "b", "all_l", "all_b")
+    hot = (F.col("n") * FAN_OUT >= F.col("all_n")) & (F.col("n") * F.col("k") > F.col("all_n") * PER_CHILD)
+    variable = (F.col("k") > FAN_OUT) & ~hot & ~(strong & _differs("l", "b", "node_l", "node_b"))
+    judged = children.join(nodes, ["host", "template"]).select("host", "template", "child", variable.alias("variable"), alike.alias("alike"))
+    several = judged.where("alike").groupBy("host", "template").agg((F.count("*") > 1).alias("several"))
+    judged = judged.join(several, ["host", "template"], "left")
+    merged = judged.select("host", "template", "child", (F.col("variable") | (F.col("alike") & F.coalesce("several", F.lit(False)))).alias("wild"))
+    step = here.join(merged, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit(WILD)).otherwise(F.col("child"))))
+    return rows.where(F.size("shape") <= level).unionByName(step.select(*rows.columns))
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (host, shape, n, labelled, bad), one row each host and shape, with the template of each.
 
-    Level by level, from the host on: where a node has over ``FAN_OUT`` children with few urls each, the segment is
-    variable and they become one wildcard. Otherwise children with enough labels whose share of bad urls doesn't differ
-    from that of all labelled children of the node are one branch, if there are two or more. Only sums by node and child
-    are shuffled, after partial sums, so a host with most of the urls is no single task's work.
+    Level by level, from the host on: where a node has over ``FAN_OUT`` children, the segment is variable and they become
+    one wildcard, however many urls each has; only a child with a large share of the node's urls, or with enough labels
+    whose share of bad urls differs from the node's, stays itself. Otherwise children with enough labels whose share of
+    bad urls doesn't differ from that of all labelled children of the node are one branch, if there are two or more. Only
+    sums by node and child are shuffled, after partial sums, so a host with most of the urls is no single task's work.
     """
     rows = settle(urls.withColumn("template", F.lit("")), "shapes")
-    deepest = min(DEPTH, rows.agg(F.max(F.size("shape"))).first()[0] or 0)
-    for level in range(deepest):
-        here = rows.where(F.size("shape") > level).withColumn("child", F.element_at("shape", level + 1))
-        children = here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        strong = F.col("l") >= SUPPORT
-        nodes = children.groupBy("host", "template").agg(
-            F.count("*").alias("k"), F.sum("n").alias("all_n"), F.sum(F.when(strong, F.col("l")).otherwise(0)).alias("all_l"), F.sum(F.when(strong, F.col("b")).otherwise(0)).alias("all_b"),
-        )
-        l, b, al, ab = (F.col(c).cast("double") for c in ("l", "b", "all_l", "all_b"))
-        gap = b * al - l * ab
-        alike = strong & (gap * gap <= F.lit(SIMILAR) * l * ab * (al - ab))
-        judged = children.join(nodes, ["host", "template"]).select(
-            "host", "template", "child", ((F.col("k") > FAN_OUT) & (F.col("all_n") < F.col("k") * PER_CHILD)).alias("variable"), alike.alias("alike")
-        )
-        several = judged.where("alike").groupBy("host", "template").agg((F.count("*") > 1).alias("several"))
-        judged = judged.join(several, ["host", "template"], "left")
-        merged = judged.select("host", "template", "child", (F.col("variable") | (F.col("alike") & F.coalesce("several", F.lit(False)))).alias("wild"))
-        step = here.join(merged, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit(WILD)).otherwise(F.col("child"))))
-        rows = settle(rows.where(F.size("shape") <= level).unionByName(step.select(*rows.columns)), "shapes")
-    return rows.withColumn("template", F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/" + WILD * 2))).otherwise(F.col("template")))
+    deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0
+    for level in range(min(DEPTH, deepest)):
+        rows = settle(_step(rows, level), "shapes")
+    return rows if deepest <= DEPTH else rows.withColumn("template", F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/" + WILD * 2))).otherwise(F.col("template")))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], *, labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:

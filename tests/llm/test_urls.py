@@ -38,3 +38,20 @@ def test_similar_branches_merge(spark):
 def test_variable_segments(spark):
     got = judged(spark, [f"http://a.org/u/{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(80)] + ["http://a.org/a/b/c/d/e/f/g/h"])
     assert got[0].template == "/u/*" and got[80].template == "/a/b/c/d/e/f/**"
+
+
+def test_hot_child_and_repeats_leave_the_wildcard(spark):
+    slugs = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(80)]
+    labels = spark.createDataFrame([(f"http://a.org/u/{s}", True) for s in slugs[:10]], "url string, bad boolean")
+    got = judged(spark, [f"http://a.org/u/{s}" for s in slugs] + [f"http://a.org/u/hot/{i}" for i in range(400)], labelled=labels)
+    assert all((got[i].template, got[i].verdict, got[i].n_bad) == ("/u/*", "block", 10) for i in range(80))
+    assert got[80].template == "/u/hot/<n>" and got[80].verdict == "allow"
+    got = judged(spark, [f"http://a.org/u/{s}" for s in slugs for _ in range(6)], labelled=labels)
+    assert {(r.template, r.verdict) for r in got.values()} == {("/u/*", "block")}
+
+
+def test_labelled_child_stays_beside_a_wildcard(spark):
+    slugs = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(80)]
+    labels = spark.createDataFrame([(f"http://a.org/u/{s}", False) for s in slugs] + [("http://a.org/u/spam", True)] * 8, "url string, bad boolean")
+    got = judged(spark, [f"http://a.org/u/{s}" for s in [*slugs, "spam"]], labelled=labels)
+    assert (got[80].template, got[80].verdict) == ("/u/spam", "block") and got[0].template == "/u/*" and got[0].verdict == "allow"
