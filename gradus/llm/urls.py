@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradus.llm._store import settle
 
 MAX_RULES = 500  # they become one expression
-DEPTH = 6  # segments that can differ in a template; what lies deeper is one wildcard
+DEPTH = 6  # segments that always differ in a template; what lies deeper is divided where its labels differ
 FAN_OUT = 50  # a node with more children than that has variable segments
 PER_CHILD = 4  # a child that has that many times the urls of the mean child, and a FAN_OUT-th of its node's, is none of them
 SUPPORT = 5  # labelled urls that a template needs, and a branch to be compared
@@ -90,7 +90,39 @@ def templates(urls: DataFrame) -> DataFrame:
     deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0
     for level in range(min(DEPTH, deepest)):
         rows = settle(_step(rows, level), "shapes")
-    return rows if deepest <= DEPTH else rows.withColumn("template", F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/" + WILD * 2))).otherwise(F.col("template")))
+    return rows if deepest <= DEPTH else _deep(rows)
+
+
+def _deep(rows: DataFrame) -> DataFrame:
+    """``rows`` with the templates of shapes of more than ``DEPTH`` segments, whose first ``DEPTH`` have theirs.
+
+    The levels go on, down to the deepest shape, in nodes with labels enough for two branches; elsewhere nothing could be
+    told apart. Then from the deepest level up: of the branches of a node with enough labels, those whose share of bad urls
+    differs from that of all of them keep their template; all else is part of the node, and at last one wildcard.
+    """
+    deep = rows.where(F.size("shape") > DEPTH).withColumn("trail", F.array("template"))
+    last, columns = DEPTH, deep.columns
+    while True:
+        going = deep.where((F.size("shape") > last) & (F.size("trail") == last - DEPTH + 1))
+        worth = settle(going.groupBy("host", "template").agg(F.sum("labelled").alias("w")).where(F.col("w") >= 2 * SUPPORT), "worth")
+        if worth.isEmpty():
+            break
+        marked = deep.join(worth, ["host", "template"], "left").withColumn("on", F.col("w").isNotNull() & (F.size("shape") > last) & (F.size("trail") == last - DEPTH + 1))
+        step = _step(marked.where("on").select(*columns), last).withColumn("trail", F.concat("trail", F.array("template")))
+        deep = settle(marked.where(~F.col("on")).select(*columns).unionByName(step.select(*columns)), "deep")
+        last += 1
+    deep = deep.withColumn("kept", F.lit(None).cast("string"))
+    for level in range(last, DEPTH, -1):
+        here = deep.withColumn("node", F.get("trail", F.lit(level - DEPTH - 1))).withColumn("unit", F.get("trail", F.lit(level - DEPTH)))
+        units = here.where(F.col("kept").isNull() & F.col("unit").isNotNull()).groupBy("host", "node", "unit").agg(
+            F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.max(F.size("shape") > level).alias("more")
+        )
+        units = units.where(F.col("l") >= SUPPORT)
+        apart = units.join(units.groupBy("host", "node").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b")), ["host", "node"]).where(_differs("l", "b", "all_l", "all_b"))
+        apart = apart.select("host", "unit", F.concat("unit", F.when(F.col("more"), F.lit("/" + WILD * 2)).otherwise("")).alias("own"))
+        deep = settle(here.join(apart, ["host", "unit"], "left").withColumn("kept", F.coalesce("kept", "own")).select(*columns, "kept"), "deep")
+    whole = F.coalesce("kept", F.concat(F.get("trail", F.lit(0)), F.lit("/" + WILD * 2)))
+    return rows.where(F.size("shape") <= DEPTH).unionByName(deep.withColumn("template", whole).select(*rows.columns))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], *, labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -55,3 +55,14 @@ def test_labelled_child_stays_beside_a_wildcard(spark):
     labels = spark.createDataFrame([(f"http://a.org/u/{s}", False) for s in slugs] + [("http://a.org/u/spam", True)] * 8, "url string, bad boolean")
     got = judged(spark, [f"http://a.org/u/{s}" for s in [*slugs, "spam"]], labelled=labels)
     assert (got[80].template, got[80].verdict) == ("/u/spam", "block") and got[0].template == "/u/*" and got[0].verdict == "allow"
+
+
+def test_deep_branches_differ(spark):
+    top = "http://a.org/a/b/c/d/e/f"
+    names = [f"{chr(97 + i)}q" for i in range(12)]
+    labels = [(f"{top}/g/bad/{x}/y", True) for x in names] + [(f"{top}/g/good/{x}/y", False) for x in names] + [("http://a.org/q/b/c/d/e/f/g/h/k", True)] * 8 + [("http://a.org/q/b/c/d/e/f/g/h/m", True)] * 8
+    pages = [f"{top}/g/bad/{names[0]}/y", f"{top}/g/good/{names[0]}/y", f"{top}/z/1", "http://a.org/q/b/c/d/e/f/g/h/k", "http://a.org/q/b/c/d/e/f/g/h/m"]
+    got = judged(spark, pages, labelled=spark.createDataFrame(labels, "url string, bad boolean"))
+    assert [(got[i].template, got[i].verdict) for i in range(5)] == [
+        ("/a/b/c/d/e/f/g/bad/**", "block"), ("/a/b/c/d/e/f/g/good/**", "allow"), ("/a/b/c/d/e/f/**", "allow"), ("/q/b/c/d/e/f/**", "block"), ("/q/b/c/d/e/f/**", "block"),
+    ]
