@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 MAX_FINDINGS = 20_000  # labelled findings that the forest is fitted on, at most
 SIDE = 40  # characters on either side that count as neighbours
-ASSIGNED = re.compile(r"""[=:]{1,2}[ \t]{0,3}["'`]?([^\s"'`<>=:]{6,256})""")
-LONG = re.compile(r"[A-Za-z0-9+/_\-]{16,256}={0,2}")
+WIDTH = 256  # characters beyond which a value's alphabet is taken not to grow
+ASSIGNED = re.compile(r"""[=:]{1,2}[ \t]{0,3}["'`]?([^\s"'`<>=:]{6,})""")
+LONG = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 # How issued keys begin.
 ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|gh[opsu]_[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|glpat-[A-Za-z0-9_\-]{16,})")
 # Words beside secrets, words beside harmless strings, parts of file paths, words in placeholders.
@@ -48,19 +49,33 @@ FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "pairs",
 PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of assigned values, issued keys and long runs with a digit; of overlapping ones the first, longest."""
+def grouped(text: str) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Spans of assigned values, issued keys and long runs with a digit, whole; each union of overlapping ones with those inside it."""
     found = [m.span(1) for m in ASSIGNED.finditer(text)] + [m.span() for m in ISSUED.finditer(text)]
     found += [m.span() for m in LONG.finditer(text) if not m.group().isalpha() and any(c.isdigit() for c in m.group())]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+    out: list[tuple[tuple[int, int], list[tuple[int, int]]]] = []
+    for a, b in sorted(set(found), key=lambda s: (s[0], -s[1])):
         while b > a and text[b - 1] in ".,;)]}":
             b -= 1
-        if b - a >= 6 and (not out or a >= out[-1][1]):
-            out.append((a, b))
+        if b - a < 6:
+            continue
+        if out and a < out[-1][0][1]:
+            (first, last), inner = out[-1]
+            if b > last:
+                inner.append((first, last))
+                out[-1] = ((first, b), inner)
+            if (a, b) != out[-1][0]:
+                inner.append((a, b))
+        else:
+            out.append(((a, b), []))
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """The spans of ``grouped``: none overlaps another."""
+    return [whole for whole, _ in grouped(text)]
+
+
 def coverage(value: str) -> float:
     """Share of the characters that dictionary words of three letters or more cover, longest first from the left."""
     low, i, covered = value.lower(), 0, 0
@@ -84,7 +99,7 @@ def features(before: str, value: str, after: str, path: str | None) -> list[floa
     left = before[-SIDE:]
     return [
         n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("o") / n, sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
-        sum(p in PAIRS for p in letters) / max(1, len(letters)), len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), coverage(value),
+        sum(p in PAIRS for p in letters) / max(1, len(letters)), len(counts) / min(n, WIDTH), -sum(c / n * math.log2(c / n) for c in counts.values()), coverage(value),
         all(c in "0123456789abcdefABCDEF" for c in value), all(c.isdigit() or c in "-. +" for c in value), value.count(".") / n, "/" in value or "\\" in value,
         bool(re.search(r"""[=:][ \t]{0,3}["'`]?$""", left)), left[-1:] in ("'", '"', "`") and bool(left), bool(SECRET_WORDS.search(left)), bool(HARMLESS_WORDS.search(left) or HARMLESS_WORDS.search(after[:SIDE])), bool(path and TEST_PATH.search(path)), bool(ISSUED.match(value)),
     ]
@@ -234,10 +249,22 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 MASK = "[secret]"
 
 
+def united(spans: Iterable[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Spans in order, overlapping ones made one with the best of their scores."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, s in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), max(s, out[-1][2]))
+        else:
+            out.append((a, b, s))
+    return out
+
+
 def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | None = None, limit: float = 0.5) -> DataFrame:
     """``docs`` with _candidates (bigint), _secrets (spans in characters, with scores) and _redacted (the text without them); columns of those names are replaced.
 
-    A candidate whose score is ``limit`` or more is a secret. A null text has none and stays null; equal rows are judged
+    A candidate whose score is ``limit`` or more is a secret. Where one that is none was made of overlapping matches, or has
+    others inside it, those count by their own scores, and the union of the accepted ones is masked. A null text has none and stays null; equal rows are judged
     alike; texts are scanned whole. ``path`` names a column with the file's path or source, if there is one. An empty table
     stays empty. The forest, some thousand nodes, is broadcast; nothing is shuffled.
     """
@@ -249,13 +276,15 @@ def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | Non
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             paths = batch.column(batch.schema.get_field_index(path)).to_pylist() if path else [None] * len(texts)
-            found = [candidates(t) if t else [] for t in texts]
-            x = [features(t[max(0, a - SIDE) : a], t[a:b], t[b : b + SIDE], p) for t, p, spans in zip(texts, paths, found, strict=True) for a, b in spans]
-            scores, at = sent.value.score(np.array(x, float).reshape(-1, len(FEATURES))).tolist(), 0
+            found = [grouped(t) if t else [] for t in texts]
+            x = [features(t[max(0, a - SIDE) : a], t[a:b], t[b : b + SIDE], p) for t, p, spans in zip(texts, paths, found, strict=True) for whole, inner in spans for a, b in (whole, *inner)]
+            scores = iter(sent.value.score(np.array(x, float).reshape(-1, len(FEATURES))).tolist())
             secrets, redacted = [], []
             for t, spans in zip(texts, found, strict=True):
-                own = [(a, b, s) for (a, b), s in zip(spans, scores[at : at + len(spans)], strict=True) if s >= limit]
-                at += len(spans)
+                own = []
+                for whole, inner in spans:
+                    score, parts = next(scores), sorted((*part, next(scores)) for part in inner)
+                    own += [(*whole, score)] if score >= limit else united(p for p in parts if p[2] >= limit)
                 secrets.append([{"start": a, "end": b, "score": s} for a, b, s in own])
                 if own:
                     edges = [0, *[e for a, b, _ in own for e in (a, b)], len(t)]
