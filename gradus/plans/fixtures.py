@@ -75,11 +75,15 @@ class Fixtures:
         bad = self.spark.createDataFrame([("0", PREFIX + "0", 4), ("1", PREFIX + "1", -1), ("nobody", PREFIX + "2", 1), ("2", PREFIX + "missing", 2), ("3", PREFIX + "3", 0), ("3", PREFIX + "3", 0)], "query_id string, passage_id string, relevance int")
         return self.qrels().unionByName(bad)
 
-    def run_lines(self) -> DataFrame:
-        """The first systems' rows as text, with lines of every kind of fault."""
-        good = self.runs().where(F.col("run") < "s03").select("run", F.concat_ws(" ", "query_id", F.lit("Q0"), "passage_id", F.lit("1"), F.col("score").cast("decimal(12,6)").cast("string"), "run").alias("line"))
+    def all_run_lines(self) -> DataFrame:
+        """Every system's rows as text, with lines of every kind of fault."""
+        good = self.runs().select("run", F.concat_ws(" ", "query_id", F.lit("Q0"), "passage_id", F.lit("1"), F.col("score").cast("decimal(12,6)").cast("string"), "run").alias("line"))
         return good.unionByName(self.spark.createDataFrame([("bad", x) for x in BAD_RUN_LINES], "run string, line string"))
 
+    def run_lines(self) -> DataFrame:
+        """Of those, the lines that ``fx_run_lines`` has in SQL: the first systems' and the faulty ones."""
+        return self.all_run_lines().where(F.col("run") < "s03")
+
     def qrel_lines(self) -> DataFrame:
         good = self.qrels().select(F.concat_ws("\t", "query_id", F.lit("0"), "passage_id", F.col("relevance").cast("string")).alias("line"))
         return good.unionByName(self.spark.createDataFrame([(x,) for x in BAD_QREL_LINES], "line string"))

@@ -177,6 +177,10 @@ def parse_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trec.parse_run_lines(Fixtures(spark, sf_dir).run_lines()).select("run", "query_id", "passage_id", "score", "problem")
 
 
+def parse_all_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trec.parse_run_lines(Fixtures(spark, sf_dir).all_run_lines()).select("run", "query_id", "passage_id", "score", "problem")
+
+
 def parse_qrel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trec.parse_qrel_lines(Fixtures(spark, sf_dir).qrel_lines()).select("query_id", "passage_id", _number("relevance"), "problem")
 
@@ -192,5 +196,5 @@ def queries() -> dict[str, Query]:
     names = """run_metrics_aggregate run_metrics_per_query ranked_top10 rank_correlation rank_correlation_pvalue system_score_bounds agreement_confusion
         agreement_confusion_normalized agreement_summary collection_summary grade_distribution judgments_per_query pending_judgments refreshed_judgments
         judged_queries required_passages orphan_references duplicate_pairs invalid_grades checkpoint_difference passage_truncation token_estimates
-        argmax_grades usage_and_cost union_of_sources rate_limit_schedule parse_run_lines parse_qrel_lines judge_stub"""
+        argmax_grades usage_and_cost union_of_sources rate_limit_schedule parse_run_lines parse_all_run_lines parse_qrel_lines judge_stub"""
     return {name: globals()[name] for name in names.split()}
