@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 TRAIN_TEXTS = 300  # labelled texts of each language that the model is fitted on, at most about
 WORD = 40  # letters; longer words are scored in parts of that length
 UNKNOWN = 1e-9  # probability of a letter that is no piece
+SPREAD = 4.0  # of a letter's log probability above that of even pieces: a mean over n letters is uncertain by SPREAD / sqrt(n)
+SCALE = 65536.0  # each letter's, in sums over segmentations: without it those of WORD unknown letters are 0
 CACHE = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -97,8 +99,8 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     alpha = np.zeros((int(size.max()) + 1, len(words), len(model.languages)))
     alpha[0] = 1
     for end, start, own, piece in _edges(words, model.keys, model.length):
-        alpha[end][own] += alpha[start][own] * model.probability[piece]
-    return np.log(alpha[size, np.arange(len(words))])
+        alpha[end][own] += alpha[start][own] * (model.probability[piece] * SCALE ** (end - start))
+    return np.log(alpha[size, np.arange(len(words))]) - size[:, None] * np.log(SCALE)
 
 
 def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = 3) -> Model:
@@ -121,15 +123,15 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = 3) ->
             alpha = np.zeros((int(size.max()) + 1, len(part), len(languages)))
             alpha[0] = 1
             for end, start, own, piece in edges:
-                alpha[end][own] += alpha[start][own] * probability[piece]
+                alpha[end][own] += alpha[start][own] * (probability[piece] * SCALE ** (end - start))
             beta = np.zeros_like(alpha)
             rows = np.arange(len(part))
             whole = alpha[size, rows]
             beta[size, rows] = w / whole
             for end, start, own, piece in reversed(edges):
-                beta[start][own] += beta[end][own] * probability[piece]
+                beta[start][own] += beta[end][own] * (probability[piece] * SCALE ** (end - start))
             for end, start, own, piece in edges:
-                seen = alpha[start][own] * probability[piece] * beta[end][own]
+                seen = alpha[start][own] * (probability[piece] * SCALE ** (end - start)) * beta[end][own]
                 for x in range(len(languages)):
                     total[:, x] += np.bincount(piece, seen[:, x], len(total))
         total[-1] = 0
@@ -153,11 +155,17 @@ def letters(word: bytes) -> list[str]:
     return [r[i : i + WORD] for r in runs for i in range(0, len(r), WORD)]
 
 
+def with_uniform(model: Model) -> Model:
+    """``model`` with one more language in which all pieces, and letters that are none, are equally likely."""
+    flat = np.full((len(model.probability), 1), 1 / len(model.keys))
+    return model._replace(languages=[*model.languages, UNDETERMINED], probability=np.hstack([model.probability, flat]))
+
+
 class Scorer:
     """Scores of texts; remembers up to ``CACHE`` words."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.number = model, np.zeros((0, len(model.languages) + 1)), {}
+        self.model, self.rows, self.number = model, np.zeros((0, len(model.languages) + 2)), {}
 
     def _learn(self, fresh: list[bytes]) -> None:
         parts = [letters(w) for w in fresh]
@@ -167,16 +175,17 @@ class Scorer:
         for lo in range(0, len(flat), 5000):
             known[lo : lo + 5000] = word_scores(flat[lo : lo + 5000], self.model)
         size = np.array([len(x) for x in parts])
-        rows = np.zeros((len(fresh), len(self.model.languages) + 1))
+        rows = np.zeros((len(fresh), len(self.model.languages) + 2))
         rows[:, -1] = size > 0
+        rows[:, -2] = [sum(map(len, x)) for x in parts]
         owner = np.repeat(np.arange(len(fresh)), size)
-        np.add.at(rows[:, :-1], owner, known[[place[p] for x in parts for p in x]])
+        np.add.at(rows[:, :-2], owner, known[[place[p] for x in parts for p in x]])
         base = len(self.number)
         self.number.update(zip(fresh, range(base, base + len(fresh)), strict=True))
         self.rows = np.concatenate([self.rows, rows])
 
     def totals(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
-        """Per text: log probability in each language, and the number of its words with letters."""
+        """Per text: log probability in each language, the number of its letters, and that of its words with letters."""
         each = [split(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         words = [w for x in each for w in x]
         at = list(map(self.number.get, words))
@@ -187,7 +196,7 @@ class Scorer:
                 fresh = list(set(words))
             self._learn(fresh)
             at = list(map(self.number.get, words))
-        out = np.zeros((len(each), len(self.model.languages) + 1))
+        out = np.zeros((len(each), len(self.model.languages) + 2))
         first = np.cumsum([0, *map(len, each)])
         some = first[1:] > first[:-1]
         if some.any():
@@ -226,37 +235,49 @@ def train(labelled: DataFrame, vocabulary: str, *, text: str = "text", lang: str
     return fit(counts, vocabulary) if counts else None
 
 
-def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone; columns of those names are replaced.
+def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score, and on demand ``fit``, from the text alone; columns of those names are replaced.
 
     A text that is null, or without any letter, is ``und`` with score 0, as is every text if there is no model. Equal
-    scores go to the language first in order. Rows that repeat are judged alike; an empty table stays empty.
+    scores go to the language first in order. ``fit`` names a column for the log probability a letter of the best language
+    above that of pieces drawn evenly, plus its uncertainty over so few letters: it doesn't grow with length and is below
+    0 for what no learned language explains; null where the text is ``und``. Rows that repeat are judged alike; an empty table stays empty.
     """
-    docs = docs.drop(pred, score)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    extra = [fit] if fit else []
+    docs = docs.drop(pred, score, *extra)
+    sent = docs.sparkSession.sparkContext.broadcast(with_uniform(model) if fit and model else model)
+    kinds = [pa.string(), pa.float64(), pa.float64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        if model and model.name not in _scorers:
+        key = model and f"{model.name}/{len(model.languages)}"
+        if model and key not in _scorers:
             _scorers.clear()
-            _scorers[model.name] = Scorer(model)
+            _scorers[key] = Scorer(model)
         for batch in batches:
-            names, scores = [], []
+            names, scores, fits = [], [], []
             for lo, hi, raw, offsets in chunks(batch.column(batch.schema.get_field_index(text))):
                 if not model:
                     names += [UNDETERMINED] * (hi - lo)
                     scores += [0.0] * (hi - lo)
+                    fits += [None] * (hi - lo)
                     continue
-                total = _scorers[model.name].totals(raw, offsets)
-                logs = total[:, :-1]
+                total = _scorers[key].totals(raw, offsets)
+                logs = total[:, : len(model.languages) - len(extra)]
                 best = logs.argmax(axis=1)
                 posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 some = total[:, -1] > 0
                 names += [model.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 scores += np.where(some, posterior, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
-
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
+                if fit:
+                    size = np.maximum(total[:, -2], 1)
+                    above = (logs.max(axis=1) - total[:, -3]) / size + SPREAD / np.sqrt(size)
+                    fits += [x if s else None for x, s in zip(above.tolist(), some.tolist(), strict=True)]
+            made = [pa.array(x, t) for x, t in zip((names, scores, fits)[: 2 + len(extra)], kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, pred, score, *extra])
+
+    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in extra]]
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *fields]))
 
 
 def held_out(doc_id: str = "doc_id"):

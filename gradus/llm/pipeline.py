@@ -9,6 +9,7 @@ from gradus.llm import decontaminate, jaccard, language, mixing, secrets
 from gradus.llm.queries import FINDINGS, FINDINGS_SEED, PIECES, WEIGHTS, table
 
 LEAST_SCORE = 0.5
+LEAST_FIT = -0.1  # of language.identify: the score alone is about 1 for whichever language is least bad over a few words
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
@@ -24,11 +25,11 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose best language is less likely than all others together."""
+    """Rejects documents without a letter, those whose best language is less likely than all others together, and those that no learned language explains."""
     model = language.train(docs.where(~language.held_out()), PIECES)
-    given, moved = _aside(docs, "_lang", "_score")
-    judged = language.identify(given, model, pred="_lang", score="_score")
-    kept = judged.where((F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
+    given, moved = _aside(docs, "_lang", "_score", "_fit")
+    judged = language.identify(given, model, pred="_lang", score="_score", fit="_fit")
+    kept = judged.where((F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE) & (F.col("_fit") >= LEAST_FIT))
     return kept.select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
 
 

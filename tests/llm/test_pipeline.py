@@ -73,3 +73,26 @@ def test_clean_documents_stay(spark):
     marked = decontaminate.mark(docs, bench)
     untouched = marked.where("size(_hits.spans) = 0").select("doc_id", "text")
     assert untouched.exceptAll(decontaminate.remove(marked).select("doc_id", "text")).count() == 0
+
+
+def test_unlearned_languages_and_gibberish_go(spark):
+    import random
+
+    r = random.Random(1)
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60))
+    texts = [
+        noise, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "ມະນຸດທຸກຄົນເກີດມາມີກຽດສັກສິດສິດທິເສລີພາບແລະຄວາມສະເໝີພາບເທົ່າທຽມກັນທຸກຄົນມີເຫດຜົນ" * 3,
+    ]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(texts)], docs.schema)
+    kept = {row.doc_id for row in pipeline.identify_language(spark, docs.unionByName(more), SMALL).collect()}
+    assert kept == {row.doc_id for row in docs.collect()}
+
+
+def test_long_words_of_no_pieces_have_scores(spark):
+    import numpy as np
+
+    model = language.fit({"a": {"the": 5}, "b": {"und": 5}}, queries.PIECES)
+    assert np.isfinite(language.word_scores(["\U00012000" * 40], model)).all()
