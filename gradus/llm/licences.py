@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,63 @@ LICENCES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "MIT-notice": "Released under the MIT License.",
 }
+_TEXTS = Path(__file__).with_name("licence_texts")
+_END = "END OF TERMS AND CONDITIONS"
+# Title lines that files put before a text.
+_TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "MIT": ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+# How notices name a licence, and the sentences that name it.
+_NAMES = {
+    "MIT": ("MIT License", "MIT"), "ISC": ("ISC License", "ISC"), "0BSD": ("0BSD License", "BSD Zero Clause License"), "Unlicense": ("Unlicense", "The Unlicense License"), "Zlib": ("zlib License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License, Version 2.0 (the License)", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache License v2.0", "Apache-2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD-2-Clause", "2-Clause BSD License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "BSD-3-Clause", "3-Clause BSD License", "New BSD License"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL-2.0", "MPL 2.0"), "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "CC0-1.0", "Creative Commons Zero v1.0 Universal"),
+    **{
+        f"{short}-{v}{tail}": tuple(n for v1 in dict.fromkeys((v, v.removesuffix(".0"))) for n in (f"{name}, version {v1}{words}", f"{name} version {v1}{words}", f"{name} v{v1}{words}", f"{short} v{v1}{words}", f"{short}v{v1}{words}", f"{short}-{v1}{words}"))
+        + ((f"{short}-{v}-or-later",) if tail else (f"{short}-{v}-only",))
+        for short, name, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",)))
+        for v in versions for tail, words in (("", ""), ("-or-later", " or later"))
+    },
+    **{
+        f"CC-{k}-{v}": (f"CC {k} {v}", f"CC-{k}-{v}", f"CC {k} {v} License", f"Creative Commons {name} {v}", f"Creative Commons {name} {v} License", f"Creative Commons {name} {v} {area}", f"Creative Commons {name} {v} {area} License")
+        for k, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+        for v, area in (("4.0", "International"), ("3.0", "Unported"))
+    },
+}
+_SENTENCES = (
+    "Licensed under {}.", "Licensed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is licensed under {}.", "This project is licensed under the {}.",
+    "This software is licensed under the {}.", "This file is licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under {}.", "Distributed under the {}.", "License: {}", "SPDX-License-Identifier: {}",
+    "Available under the {}.", "Published under the {}.", "Content licensed under {}.", "Code licensed under the {}.", "Text licensed under {}.", "Dual licensed under the {}.",
+)
+
+
+def common() -> dict[str, list[str]]:
+    """``LICENCES`` and more: texts of common licences, also without appendix and with usual titles, and notices of each."""
+    out = {k: [v] for k, v in LICENCES.items()}
+    for path in sorted(_TEXTS.glob("*.txt")):
+        text = path.read_text("utf-8")
+        head, end, _ = text.partition(_END)
+        out[path.stem] = [text, *([head + end, head] if end else [])]
+    for name, titles in _TITLES.items():
+        body = _PERMISSION if name == "MIT" else out[name][0].partition("\n\n")[2] if name == "Zlib" else out[name][0]
+        out[name] += [f"{t}\n\n{body}" for t in titles]
+    for name, names in _NAMES.items():
+        said = [x for s in _SENTENCES for n in names if LINE_MARK in (x := s.format(n)).lower()]
+        out.setdefault(f"{name}-notice", []).extend(said)
+    return out
+
+
+def _texts(licences: dict[str, str | list[str]]) -> list[tuple[str, str]]:
+    return [(k, x) for k, v in licences.items() for x in ([v] if isinstance(v, str) else v)]
+
+
 #: Of lines, only those with this string once lower-cased can be a notice; ``registry`` makes sure of it.
 LINE_MARK = "licen"
 
@@ -83,16 +142,17 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
-def registry(spark: SparkSession, licences: dict[str, str] | None = None) -> DataFrame:
-    """Id and digest of each known licence. The table is a parameter of the operator: at most 10,000 texts."""
+def registry(spark: SparkSession, licences: dict[str, str | list[str]] | None = None) -> DataFrame:
+    """Id and digest of each known licence, which is a text or a list of them. The table is a parameter of the operator: at most 10,000 texts."""
     licences = LICENCES if licences is None else licences
-    if len(licences) > 10_000:
+    texts = _texts(licences)
+    if len(texts) > 10_000:
         raise ValueError("at most 10,000 licences")
-    rows = spark.createDataFrame(list(licences.items()), "licence string, _text string")
+    rows = spark.createDataFrame(texts, "licence string, _text string")
     return rows.groupBy(F.sha2(canonical(F.col("_text")), 256).alias("licence_digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan_licences(docs: DataFrame, licences: dict[str, str] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, licences: dict[str, str | list[str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the digest of its canonical text, the licence that it is (or null), and the notices among its lines.
 
     ``n_notices`` counts lines that are a known notice, ``notices`` lists their ids in order, without repeats. A null
@@ -101,7 +161,7 @@ def scan_licences(docs: DataFrame, licences: dict[str, str] | None = None, *, do
     digests, at most 10,000 rows, are broadcast: no text is shuffled.
     """
     licences = LICENCES if licences is None else licences
-    if any(LINE_MARK not in x.lower() for k, x in licences.items() if k.endswith("-notice")):
+    if any(LINE_MARK not in x.lower() for k, x in _texts(licences) if k.endswith("-notice")):
         raise ValueError(f"a notice must hold {LINE_MARK!r}")
     known = registry(docs.sparkSession, licences)
     notices = [F.lit(x) for row in known.where(F.col("licence").endswith("-notice")).collect() for x in (row.licence_digest, row.licence)]

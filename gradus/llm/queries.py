@@ -67,7 +67,7 @@ def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(table(spark, sf_dir, "documents"))
+    return licences.scan_licences(table(spark, sf_dir, "documents"), licences.common())
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

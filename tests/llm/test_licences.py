@@ -22,3 +22,13 @@ def test_whole_texts_and_lines(spark):
 def test_equal_texts_are_one_licence(spark):
     got = licences.registry(spark, {"b": "Some  text", "a": "some text."}).collect()
     assert [r.licence for r in got] == ["a"]
+
+
+def test_common_licences(spark):
+    known = licences.common()
+    assert len(licences._texts(known)) <= 10_000
+    texts = [known[k][0] for k in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib")]
+    texts += ["BSD 3-Clause License\n\nCopyright (c) 2020, A. Holder\n\n" + licences.LICENCES["BSD-3-Clause"], "ISC License\n\n" + licences.LICENCES["ISC"], "x\nLicensed under CC BY 4.0.\ny\n// SPDX-License-Identifier: Apache-2.0", "Licensed under nothing."]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).collect()}
+    assert [got[i].licence for i in range(11)] == ["Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib", "BSD-3-Clause", "ISC", None, None]
+    assert got[9].notices == "Apache-2.0-notice,CC-BY-4.0-notice" and got[10].n_notices == 0
