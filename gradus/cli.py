@@ -6,7 +6,7 @@ import argparse
 import importlib
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import SparkSession
 
@@ -26,19 +26,28 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("qrels")
     build.add_argument("shards", nargs="+")
     build.add_argument("--collection", required=True)
+    build.add_argument("--revision", help="publish the tables under this name")
+    build.add_argument("--cache-dir", help="keep the passages here, by the digest of the judgment file")
+    build.add_argument("--check-offsets", action="store_true", help="passages must stand where their ids say")
     summarize = commands.add_parser("summarize", help="counts and lengths of a collection")
     summarize.add_argument("--collection", required=True)
+    summarize.add_argument("--revision", help="a published revision of the tables")
     summarize.add_argument("--json", action="store_true")
     for name, words in (("judge", "judge what the checkpoint lacks, then report"), ("report", "report a complete checkpoint")):
         own = commands.add_parser(name, help=words)
         own.add_argument("--collection", required=True)
+        own.add_argument("--revision", help="a published revision of the tables")
         own.add_argument("--data-dir", required=True)
         own.add_argument("--method", choices=METHODS, default="probabilistic")
         own.add_argument("--runs", help="folder of run files; DATA_DIR/runs by default")
+        own.add_argument("--fetch-from", help="a folder that the driver sees, whose run files are copied to the folder of runs and checked")
+        own.add_argument("--local-runs", action="store_true", help="fetch nothing; only files that are there")
+        own.add_argument("--download-only", action="store_true", help="fetch and check the run files, then stop")
         if name == "judge":
             own.add_argument("--judge", default="gradus.operators.judging:stub", help="module:factory of the judge")
             own.add_argument("--model", default="stub")
-            own.add_argument("--concurrency", type=int, default=16)
+            own.add_argument("--concurrency", type=int, default=16, help="partitions")
+            own.add_argument("--threads", type=int, default=1, help="requests at a time of each partition")
             own.add_argument("--reasoning-effort", choices=prompts.EFFORTS)
             own.add_argument("--rpm", type=int)
             own.add_argument("--tpm", type=int)
@@ -48,18 +57,21 @@ def parser() -> argparse.ArgumentParser:
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     top = parser()
     args = top.parse_args(argv)
+    if args.command in ("judge", "report") and args.local_runs and (args.fetch_from or args.download_only):
+        top.error("with --local-runs there is nothing to fetch")
     if args.command == "judge":
         if args.method != "structured" and any(x is not None for x in (args.reasoning_effort, args.rpm, args.tpm)):
-            top.error("--reasoning-effort, --rpm and --tpm require --method structured")
+            top.error("only the structured method has an effort and rates")
         if any(x is not None and x <= 0 for x in (args.rpm, args.tpm)):
-            top.error("rate limits must be positive")
-        if args.concurrency < 1:
-            top.error("--concurrency must be positive")
+            top.error("a rate must be over 0")
+        if min(args.concurrency, args.threads) < 1:
+            top.error("there must be a partition and a thread at least")
     return args
 
 
 def configuration(args: argparse.Namespace) -> dict:
     """What an experiment's signature depends on; concurrency and rate limits don't count."""
+    # The names and versions that experiments are told apart by.
     if args.method == "probabilistic":
         return {"decision": "argmax_probability_lower_grade_on_tie"}
     return {
@@ -68,46 +80,58 @@ def configuration(args: argparse.Namespace) -> dict:
     }
 
 
-def factory(args: argparse.Namespace):
-    """The judge's factory; a structured judge's budgets are split evenly over the partitions, whose pacers don't meet."""
-    module, _, name = args.judge.partition(":")
-    make = getattr(importlib.import_module(module), name)
+def pace(args: argparse.Namespace) -> Callable[[], judging.Pace]:
+    """A structured judge's budgets, split evenly over the partitions, whose paces don't meet; a probabilistic one has none."""
     if args.method == "probabilistic":
-        return make
+        return judging.Pace
     rpm, tpm = ((x or y) / args.concurrency for x, y in ((args.rpm, prompts.REQUESTS_PER_MINUTE), (args.tpm, prompts.TOKENS_PER_MINUTE)))
+    return lambda: judging.Pace(rpm, tpm)
+
 
-    def paced():
-        judge, pacer = make(), judging.Pacer(rpm, tpm)
+def factory(args: argparse.Namespace) -> Callable[[], judging.Judge]:
+    module, _, name = args.judge.partition(":")
+    return getattr(importlib.import_module(module), name)
 
-        def ask(query: str, passage: str):
-            size = prompts.PROMPT_BYTES - len(json.dumps({"query": "", "passage": ""})) + len(json.dumps({"query": query, "passage": passage}, ensure_ascii=False).encode())
-            pacer.acquire(-(-size // 3) + 128)
-            return judge(query, passage)
 
-        return ask
+def _bytes(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as given:
+        while part := given.read(1 << 20):
+            yield part
 
-    return paced
+
+def run_files(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """The checked run files, fetched first if a folder to fetch from is named."""
+    folder = args.runs or os.path.join(args.data_dir, "runs")
+    if args.fetch_from and not args.local_runs:
+        names = [os.path.basename(p) for p in trec.run_paths(args.fetch_from)]
+        trec.cached_runs(spark, folder, names, lambda n: _bytes(os.path.join(args.fetch_from, n)))
+    paths = trec.run_paths(folder)
+    trec.read_runs(spark, paths)
+    return paths
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = parse(argv)
     spark = SparkSession.builder.appName("gradus").getOrCreate()
     if args.command == "build":
-        tables.write_collection(collection.build(spark, args.queries, args.qrels, args.shards), args.collection)
+        made = collection.build(spark, args.queries, args.qrels, args.shards, cache=args.cache_dir, check_offsets=args.check_offsets)
+        tables.write_collection(made, args.collection, args.revision)
         return
-    known = tables.read_collection(spark, args.collection)
     if args.command == "summarize":
-        found = collection.summarize(**known)
+        found = collection.summarize(**tables.read_collection(spark, args.collection, args.revision))
         print(json.dumps(found, indent=2) if args.json else collection.as_text(found))
         return
+    paths = run_files(spark, args)
+    if args.download_only:
+        print(f"{len(paths)} run files are there and fine")
+        return
+    known = tables.read_collection(spark, args.collection, args.revision)
     folder = f"{args.data_dir}/{args.method}"
-    paths = trec.run_paths(args.runs or os.path.join(args.data_dir, "runs"))
-    trec.read_runs(spark, paths)
     if args.command == "judge":
-        judging.run(spark, known, folder, factory(args), model=args.model, concurrency=args.concurrency, configuration=configuration(args))
+        judging.run(spark, known, folder, factory(args), model=args.model, concurrency=args.concurrency, threads=args.threads, configuration=configuration(args), pace=pace(args))
     found = report.report_only(spark, args.data_dir, args.method, known["qrels"], paths)
     print(json.dumps({k: found[k] for k in ("usage", "cost", "agreement", "system_rank_correlations")}, indent=2))
-    print(f"Reports saved in {folder}")
+    print(f"The whole report is in {folder}/results.json")
 
 
 if __name__ == "__main__":

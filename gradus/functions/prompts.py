@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The instructions, the graded criteria (index = grade), the budgets and the prices.
+# The instructions, the graded criteria (index = grade), the budgets, the prices, the efforts and the schema
+# of a structured answer.
 INSTRUCTIONS = "Rate the passage's relevance to the query using the criteria. Use only information in the passage."
 CRITERIA = (
     "Irrelevant: The passage has nothing to do with the query.",
@@ -42,10 +43,26 @@ def numbered_instructions() -> str:
 PROMPT_BYTES = len((numbered_instructions() + json.dumps(ANSWER_SCHEMA) + json.dumps({"query": "", "passage": ""})).encode())
 
 
+#: Characters that JSON escapes by one more, and by five more.
+SHORT_ESCAPES = '"\\\b\f\n\r\t'
+LONG_ESCAPES = "".join(chr(c) for c in range(32) if chr(c) not in SHORT_ESCAPES)
+
+
+def request_tokens(query: str, passage: str) -> int:
+    """``token_estimate`` of one request."""
+    size = PROMPT_BYTES + len(json.dumps({"query": query, "passage": passage}, ensure_ascii=False).encode()) - len(json.dumps({"query": "", "passage": ""}))
+    return -(-size // 3) + 128
+
+
 def escapes(text: Column) -> Column:
-    """Characters that JSON adds to a string: one for a short escape, five for any other control character."""
-    short = F.length(F.regexp_replace(text, r'[^"\\\x08\x0c\n\r\t]', ""))
-    return short + 5 * F.length(F.regexp_replace(text, r"[^\x00-\x07\x0b\x0e-\x1f]", ""))
+    """Characters that JSON adds to a string."""
+    held = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    return held(SHORT_ESCAPES) + 5 * held(LONG_ESCAPES)
+
+
+def encoded_bytes(text: Column) -> Column:
+    """Bytes of a string in a request."""
+    return F.octet_length(text) + escapes(text)
 
 
 def passage_budget(query: Column, budget: int = CHARACTER_BUDGET, margin: int = MARGIN) -> Column:
@@ -53,14 +70,14 @@ def passage_budget(query: Column, budget: int = CHARACTER_BUDGET, margin: int =
     return F.greatest(F.lit(1), F.lit(budget - margin - REQUEST_CHARS) - F.length(query) - escapes(query))
 
 
-def truncate_passage(query: Column, passage: Column, budget: int = CHARACTER_BUDGET, margin: int = MARGIN) -> Column:
-    return F.substring(passage, F.lit(1), passage_budget(query, budget, margin))
+def token_estimate(query_bytes: Column, passage_bytes: Column) -> Column:
+    """A third of the request's bytes, rounded up, and 128."""
+    return (F.ceil((query_bytes + passage_bytes + F.lit(PROMPT_BYTES)) / F.lit(3)) + 128).cast("bigint")
 
 
-def token_estimate(query: Column, passage: Column) -> Column:
-    """A third of the request's bytes, rounded up, and 128."""
-    size = sum((F.octet_length(c) + escapes(c) for c in (query, passage)), F.lit(PROMPT_BYTES))
-    return (F.ceil(size / F.lit(3)) + 128).cast("bigint")
+def structured_answer(text: Column) -> Column:
+    """The grade that a structured answer holds: a whole number of the domain in an object without other keys; else null."""
+    return F.regexp_extract(text, r'^\s*\{\s*"grade"\s*:\s*([0-3])\s*\}\s*\z', 1).try_cast("int")
 
 
 def argmax_grade(probabilities: Column) -> Column:

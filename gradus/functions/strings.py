@@ -29,6 +29,6 @@ def finite(text: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def file_label(metric: str) -> str:
-    """A metric's name as part of a file name."""
-    return "".join(c if c.isascii() and c.isalnum() else "_" for c in metric)
+def file_label(name: Column) -> Column:
+    """A name as part of a file name: what is no ASCII letter or digit becomes an underscore."""
+    return F.regexp_replace(name, "[^a-zA-Z0-9]", "_")

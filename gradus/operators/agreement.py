@@ -32,14 +32,15 @@ def normalized(cells: DataFrame) -> DataFrame:
 def summary(cells: DataFrame) -> DataFrame:
     """One row: count, agree_count, exact_agreement, chance_agreement, cohen_kappa, undefined_reason and both supports.
 
-    Kappa is null, with a reason, if chance agreement is 1; that is decided in whole numbers.
+    One aggregate of the cells gives the sums and both marginals. Kappa is null, with a reason, if chance agreement is 1;
+    that is decided in whole numbers.
     """
-    total = cells.agg(F.sum("n").alias("count"), F.sum(F.when(F.col("human_relevance") == F.col("predicted_relevance"), F.col("n")).otherwise(0)).alias("agree_count"))
-    sides = {}
-    for side, name in (("human_relevance", "human_support"), ("predicted_relevance", "method_support")):
-        marginal = cells.groupBy(side).agg(F.sum("n").alias("n"))
-        sides[name] = marginal.agg(F.transform(F.array_sort(F.collect_list(F.struct(side, "n"))), lambda s: s["n"]).alias(name))
-    one = total.crossJoin(sides["human_support"]).crossJoin(sides["method_support"])  # one row each
+    held = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    marginal = lambda side: F.array(*[held(F.col(side) == g) for g in GRADES])
+    one = cells.agg(
+        F.sum("n").alias("count"), held(F.col("human_relevance") == F.col("predicted_relevance")).alias("agree_count"),
+        marginal("human_relevance").alias("human_support"), marginal("predicted_relevance").alias("method_support"),
+    )
     chance = F.aggregate(F.zip_with("human_support", "method_support", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, b: a + b)
     one = one.withColumn("_c", chance).withColumn("_n", F.col("count") * F.col("count"))
     p_o, p_e = F.try_divide(F.col("agree_count").cast("double"), F.col("count").cast("double")), F.try_divide(F.col("_c").cast("double"), F.col("_n").cast("double"))

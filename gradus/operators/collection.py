@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 from gradus.functions.strings import words
 from gradus.operators.validate import check_collection
 from gradus.schemas import GRADES
-from gradus.sources import trec
+from gradus.sources import tables, trec
 
 
 def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
 
 
-def build(spark: SparkSession, query_path: str, qrel_path: str, corpus_paths: list[str]) -> dict[str, DataFrame]:
-    """The three tables from text files and corpus shards, checked against each other."""
+def build(spark: SparkSession, query_path: str, qrel_path: str, corpus_paths: list[str], *, cache: str | None = None, check_offsets: bool = False) -> dict[str, DataFrame]:
+    """The three tables from text files and corpus shards, checked against each other.
+
+    With ``cache``, a folder of any file system, the passages are kept there under the digest of the judgment file, so that
+    a second build with the same judgments reads no shard.
+    """
     queries = trec.read_queries(spark, query_path)
     qrels = trec.read_qrels(spark, qrel_path, queries)
-    tables = {"queries": judged_queries(queries, qrels), "passages": trec.read_corpus(spark, corpus_paths, qrels.select("passage_id")), "qrels": qrels}
-    check_collection(**tables)
-    return tables
+    required = qrels.select("passage_id")
+    if cache:
+        kept = f"{cache}/passages-{tables.manifest(spark, [qrel_path])[0]['sha256']}"
+        if not tables.exists(f"{kept}/_SUCCESS"):
+            trec.read_corpus(spark, corpus_paths, required, check_offsets=check_offsets).write.mode("overwrite").parquet(kept)
+        passages = spark.read.parquet(kept)
+    else:
+        passages = trec.read_corpus(spark, corpus_paths, required, check_offsets=check_offsets)
+    found = {"queries": judged_queries(queries, qrels), "passages": passages, "qrels": qrels}
+    check_collection(**found)
+    return found
 
 
 def per_query(queries: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -66,9 +78,16 @@ def summarize(queries: DataFrame, passages: DataFrame, qrels: DataFrame) -> dict
     }
 
 
+def text_lines(queries: DataFrame, passages: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The printed report as a table: line (from 1), text."""
+    lines = as_text(summarize(queries, passages, qrels)).split("\n")
+    return queries.sparkSession.createDataFrame(list(enumerate(lines, 1)), "line int, text string")
+
+
 def as_text(s: dict) -> str:
     """The summary as a printed report."""
     words_, grades = s["query_length_words"], s["relevance_grades"]
+    # Fixed output: the lines of the report and their formats.
     lines = [
         f"Number of queries: {s['number_of_queries']:,}", f"Number of unique passages: {s['number_of_passages']:,}", f"Number of judgments: {s['number_of_judgments']:,}",
         f"Average query length (words): {words_['average']:.2f}", f"Minimum query length (words): {words_['minimum']}", f"Maximum query length (words): {words_['maximum']}",

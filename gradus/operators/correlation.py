@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 CONSTANT = "Constant system scores"
 
 
+PLACES = 12
+
+
 def paired(means: DataFrame) -> DataFrame:
-    """run, metric, human, predicted from macro means."""
-    pick = lambda s: F.max(F.when(F.col("source") == s, F.col("value"))).alias(s)
+    """run, metric, human, predicted from macro means.
+
+    Sums of the same numbers in another order may differ in their last bits, which must not decide the order of systems
+    that tie: scores are rounded to ``PLACES`` decimals.
+    """
+    pick = lambda s: F.round(F.max(F.when(F.col("source") == s, F.col("value"))), PLACES).alias(s)
     return means.groupBy("run", "metric").agg(pick("human"), pick("predicted"))
 
 

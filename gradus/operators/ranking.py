@@ -30,24 +30,28 @@ def _gain(grade: str, at_most: int) -> Column:
 
 
 def _ideal(judgments: DataFrame) -> DataFrame:
-    """Per query: the best possible gains, and the number of relevant passages, of each source."""
-    out = judgments.select("query_id").distinct()
+    """Per query: the best possible gains, and the number of relevant passages, of each source; one shuffle by query."""
+    grades = F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("grade")) for s in SOURCES])
+    rows = judgments.select("query_id", F.explode(grades).alias("g")).select("query_id", "g.*").repartition("query_id")
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "source").orderBy(F.desc("grade"))))
+    sums = []
     for s in SOURCES:
-        best = judgments.select("query_id", F.col(s), F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(s))).alias("rank"))
-        sums = best.groupBy("query_id").agg(_gain(s, 10).alias(f"ideal10_{s}"), _gain(s, 100).alias(f"ideal100_{s}"), F.sum(F.when(F.col(s) >= RELEVANT, 1).otherwise(0)).alias(f"relevant_{s}"))
-        out = out.join(sums, "query_id")
-    return out
+        own = F.when(F.col("source") == s, F.col("grade"))
+        sums += [F.sum(F.when(F.col("rank") <= k, F.coalesce(own, F.lit(0)) / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"ideal{k}_{s}") for k in (10, 100)]
+        sums.append(F.count_if(own >= RELEVANT).alias(f"relevant_{s}"))
+    return rows.groupBy("query_id").agg(*sums)
 
 
 def metrics_per_query(runs: DataFrame, judgments: DataFrame, score_precision: str = "double") -> DataFrame:
     """run, source, query_id, metric, value: every run with every judged query, 0 where it retrieves nothing.
 
     ``judgments``: query_id, passage_id, human, predicted. Queries that weren't judged are dropped before the ranking.
-    Runs are shuffled once, by run and query; the judgments join them by the optimizer's choice of side and size.
+    The grades are joined first, since ranks don't depend on them: then one shuffle, by run and query, serves the ranking,
+    the running sums and the totals. The optimizer chooses side and size of the joins.
     """
     judged = judgments.select("query_id").distinct()
-    rows = ranked(runs.join(judged, "query_id", "left_semi"), score_precision)
-    graded = rows.join(judgments, ["query_id", "passage_id"], "left").fillna(0, list(SOURCES))
+    rows = runs.join(judged, "query_id", "left_semi").join(judgments, ["query_id", "passage_id"], "left").fillna(0, list(SOURCES))
+    graded = ranked(rows, score_precision)
     so_far = W.partitionBy("run", "query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = []
     for s in SOURCES:

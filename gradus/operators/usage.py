@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from gradus.functions.prompts import PRICES
 
 
+def no_price(model: str | None) -> str:
+    """Fixed output: why a cost is null."""
+    return f"No token prices configured for {model}"
+
+
 def usage_and_cost(judgments: DataFrame, pricing_model: str | None, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
     """One row: tokens of the judgments that have both counts, how many do and don't, and costs; null without a price."""
     both = F.col("usage.input_tokens").isNotNull() & F.col("usage.output_tokens").isNotNull()
@@ -20,5 +25,5 @@ def usage_and_cost(judgments: DataFrame, pricing_model: str | None, prices: dict
     return sums.select(
         "*", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), cost[0].alias("input_cost"), cost[1].alias("output_cost"), (cost[0] + cost[1]).alias("total_cost"),
         (F.lit(price is not None) & (F.col("judgments_without_usage") == 0)).alias("complete"),
-        F.lit(None if price else f"No token prices configured for {pricing_model}").cast("string").alias("undefined_reason"),
+        F.lit(None if price else no_price(pricing_model)).cast("string").alias("undefined_reason"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.schemas import GRADES
@@ -44,30 +44,49 @@ def orphans(queries: DataFrame, passages: DataFrame, qrels: DataFrame) -> DataFr
 
 def check_judgments(judgments: DataFrame) -> None:
     """Each pair once, both grades in the domain. A strict schema has already made other types null."""
-    require_empty(duplicates(judgments, "query_id", "passage_id"), "Duplicate judgment")
-    require_empty(bad_grades(judgments, "human_relevance", "predicted_relevance").select("query_id", "passage_id", "human_relevance", "predicted_relevance"), "Invalid human_relevance or predicted_relevance")
+    require_empty(duplicates(judgments, "query_id", "passage_id"), "Pairs with several judgments")
+    require_empty(bad_grades(judgments, "human_relevance", "predicted_relevance").select("query_id", "passage_id", "human_relevance", "predicted_relevance"), "Grades outside the domain")
 
 
-def check_collection(queries: DataFrame, passages: DataFrame, qrels: DataFrame, *, all_judged: bool = True) -> None:
-    """Unique ids and pairs, grades in the domain, no unknown references; with ``all_judged`` no unjudged ids either."""
-    require_empty(duplicates(queries, "query_id"), "Duplicate query ids")
-    require_empty(duplicates(passages, "passage_id"), "Duplicate passage ids")
-    require_empty(duplicates(qrels, "query_id", "passage_id"), "Duplicate judgment")
-    require_empty(orphans(queries, passages, qrels), "Unknown judgment reference")
-    require_empty(bad_grades(qrels, "relevance"), "Invalid relevance grade")
+def collection_violations(queries: DataFrame, passages: DataFrame, qrels: DataFrame, *, all_judged: bool = True) -> DataFrame:
+    """What breaks the rules of a collection: rule, and the id or the pair of ids at fault.
+
+    Unique ids and pairs, grades in the domain, no unknown references; with ``all_judged`` no unjudged ids either.
+    """
+    pair = F.concat_ws(" ", "query_id", "passage_id")
+
+    def broken(rule: str, rows: DataFrame, at: Column) -> DataFrame:
+        return rows.select(F.lit(rule).alias("rule"), at.alias("at"))
+
+    found = [
+        broken("query id repeats", duplicates(queries, "query_id"), F.col("query_id")),
+        broken("passage id repeats", duplicates(passages, "passage_id"), F.col("passage_id")),
+        broken("pair repeats", duplicates(qrels, "query_id", "passage_id"), pair),
+        broken("query of a pair is unknown", outside(qrels, queries, "query_id"), pair),
+        broken("passage of a pair is unknown", outside(qrels, passages, "passage_id"), pair),
+        broken("grade outside the domain", bad_grades(qrels, "relevance"), pair),
+    ]
     if all_judged:
-        require_empty(outside(queries, qrels, "query_id").select("query_id"), "Query ids without judgments")
-        require_empty(outside(passages, qrels, "passage_id").select("passage_id"), "Passage ids without judgments")
-    elif queries.isEmpty():
-        raise InvalidData("Queries must be nonempty")
+        found += [
+            broken("query is never judged", outside(queries, qrels, "query_id"), F.col("query_id")),
+            broken("passage is never judged", outside(passages, qrels, "passage_id"), F.col("passage_id")),
+        ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def check_collection(queries: DataFrame, passages: DataFrame, qrels: DataFrame, *, all_judged: bool = True) -> None:
+    """No ``collection_violations``; with ``all_judged`` off, there must be queries at least."""
+    require_empty(collection_violations(queries, passages, qrels, all_judged=all_judged), "The collection breaks its rules")
+    if not all_judged and queries.isEmpty():
+        raise InvalidData("The collection has no query")
 
 
 def check_same_pairs(checkpoint: DataFrame, qrels: DataFrame, *, complete: bool = True) -> None:
     """No judgment beside the qrels; with ``complete`` none missing either."""
     pair = ("query_id", "passage_id")
-    require_empty(outside(checkpoint, qrels, *pair).select(*pair), "Checkpoint contains unexpected pairs")
+    require_empty(outside(checkpoint, qrels, *pair).select(*pair), "Judgments of pairs that the qrels lack")
     if complete:
-        require_empty(outside(qrels, checkpoint, *pair).select(*pair), "The checkpoint lacks pairs of the qrels")
+        require_empty(outside(qrels, checkpoint, *pair).select(*pair), "Pairs of the qrels without a judgment")
 
 
 def check_equal(left: DataFrame, right: DataFrame) -> None:
@@ -76,12 +95,14 @@ def check_equal(left: DataFrame, right: DataFrame) -> None:
     if shape[0] != shape[1]:
         raise InvalidData(f"Schemas differ: {shape[0]} and {shape[1]}")
     both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
-    surplus = both.groupBy(*left.columns).agg(F.sum("_side").alias("surplus"))
-    require_empty(surplus.where("surplus > 0"), "Rows of the first table only")
-    require_empty(surplus.where("surplus < 0"), "Rows of the second table only")
+    surplus = both.groupBy(*left.columns).agg(F.sum("_side").alias("surplus")).where("surplus <> 0")
+    require_empty(surplus.select(*left.columns, F.when(F.col("surplus") > 0, "first").otherwise("second").alias("only_in")), "Rows of one table only")
+
+
+def not_finite(rows: DataFrame, *fields: str) -> DataFrame:
+    """Rows with NaN or an infinity, which no JSON document may hold."""
+    return rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.isnan(f) | (F.abs(f) == float("inf")), F.lit(False)) for f in fields]))
 
 
 def check_finite(rows: DataFrame, *fields: str) -> None:
-    """No NaN and no infinity may reach a JSON sink."""
-    wrong = reduce(lambda a, b: a | b, [F.isnan(f) | (F.abs(f) == float("inf")) for f in fields])
-    require_empty(rows.where(wrong).select(*fields), "Not finite")
+    require_empty(not_finite(rows, *fields), "Not finite")

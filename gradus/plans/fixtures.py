@@ -19,7 +19,7 @@ class Fixtures:
     """The derived relations of one folder of test tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.folder = spark, sf_dir
         self.documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
         self.benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
         self.n = F.lit(self.documents.count())
@@ -75,21 +75,89 @@ class Fixtures:
         bad = self.spark.createDataFrame([("0", PREFIX + "0", 4), ("1", PREFIX + "1", -1), ("nobody", PREFIX + "2", 1), ("2", PREFIX + "missing", 2), ("3", PREFIX + "3", 0), ("3", PREFIX + "3", 0)], "query_id string, passage_id string, relevance int")
         return self.qrels().unionByName(bad)
 
-    def all_run_lines(self) -> DataFrame:
+    def run_lines(self) -> DataFrame:
         """Every system's rows as text, with lines of every kind of fault."""
         good = self.runs().select("run", F.concat_ws(" ", "query_id", F.lit("Q0"), "passage_id", F.lit("1"), F.col("score").cast("decimal(12,6)").cast("string"), "run").alias("line"))
         return good.unionByName(self.spark.createDataFrame([("bad", x) for x in BAD_RUN_LINES], "run string, line string"))
 
-    def run_lines(self) -> DataFrame:
-        """Of those, the lines that ``fx_run_lines`` has in SQL: the first systems' and the faulty ones."""
-        return self.all_run_lines().where(F.col("run") < "s03")
+    def file_names(self) -> DataFrame:
+        """A path for each document, of a run file or not."""
+        kinds = F.array(*[F.lit(x) for x in SUFFIXES])
+        name = F.concat(F.lit("runs/"), "source", F.lit("/r"), F.col("doc_id").cast("string"), F.element_at(kinds, (F.col("doc_id") % len(SUFFIXES) + 1).cast("int")))
+        return self.documents.select(name.alias("path"))
+
+    def run_text(self) -> DataFrame:
+        """file, place, line: the rows of all systems as run files."""
+        score = F.col("score").cast("decimal(12,6)").cast("string")
+        line = F.concat_ws(" ", "query_id", F.lit("Q0"), "passage_id", F.lit("1"), score, "run")
+        return self.runs().select(F.concat("run", F.lit(".run")).alias("file"), F.struct("query_id", "passage_id").alias("place"), line.alias("line"))
+
+    def judgment_lines(self) -> DataFrame:
+        good = self.judgments().select(F.to_json(F.struct("query_id", "passage_id", "human_relevance", "predicted_relevance", "usage")).alias("line"))
+        return good.unionByName(self.spark.createDataFrame([(x,) for x in BAD_JUDGMENT_LINES], "line string"))
+
+    def query_records(self) -> DataFrame:
+        """Records of a query file, some of several lines by breaks that only strings know, some at fault."""
+        text = F.regexp_replace("text", "[\\x00-\\x1f\\x85]", " ")
+        line = F.concat("query_id", F.lit("\t"), F.when(F.col("query_id").cast("int") % 4 == 0, F.concat(F.lit("a\tb "), text)).otherwise(text))
+        good = self.queries().select(F.when(F.col("query_id").cast("int") % 3 == 0, F.concat(line, F.lit("\x0b"), line, F.lit("x\x85"), line)).otherwise(line).alias("line"))
+        return good.unionByName(self.spark.createDataFrame([(x,) for x in BAD_QUERY_LINES], "line string"))
+
+    def answers(self) -> DataFrame:
+        """query_id, passage_id, answer: what a structured judge might say."""
+        grade = F.col("predicted_relevance").cast("string")
+        forms = [F.concat(F.lit(a), grade, F.lit(b)) for a, b in ANSWERS]
+        return self.judgments().select("query_id", "passage_id", F.element_at(F.array(*forms), (number("passage_id") % len(ANSWERS) + 1).cast("int")).alias("answer"))
+
+    def shard_text(self) -> DataFrame:
+        """file, place, line: corpus shards by doc_id modulo 3; every 97th id says a place one byte off."""
+        d = F.col("doc_id")
+        rows = self.documents.select(d.alias("place"), *_shard(d), F.md5("text").alias("m"))
+        line = F.format_string(SHARD_LINE, "pid", "m", F.lpad(F.col("place").cast("string"), 12, "0"))
+        return rows.select("file", "place", line.alias("line"))
+
+    def required(self) -> DataFrame:
+        """passage_id of the pool's passages in the first two shards."""
+        rows = self._pool().select(F.col("d").alias("place")).where("place % 3 < 2").distinct()
+        return rows.select(*_shard(F.col("place"))).select(F.col("pid").alias("passage_id"))
+
+    def failures(self) -> DataFrame:
+        """Failed requests of all kinds, one for each event."""
+        e = F.col("event_id")
+        pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (e % n + 1).cast("int"))
+        headers = F.map_concat(
+            F.when(e % 5 == 0, F.create_map(F.lit("retry-after-ms"), (e % 90000).cast("string"))).otherwise(F.create_map().cast("map<string,string>")),
+            F.when(e % 4 == 1, F.create_map(F.lit("retry-after"), pick(6, "7", "soon", "nan", "inf", "0.25", "70"))).otherwise(F.create_map().cast("map<string,string>")),
+        )
+        said = F.when(e % 6 == 2, F.concat(F.lit("Limit: TRY AGAIN in "), (e % 70).cast("string"), F.lit(".5s"))).when(e % 6 == 3, F.concat(F.lit("try again in "), e.cast("string"), F.lit("ms."))).otherwise("none")
+        events = self.spark.read.parquet(f"{self.folder}/events.parquet")
+        return events.select("event_id", (e % 10).cast("int").alias("attempt"), pick(7, 429, 429, None, 408, 503, 400, 409).cast("int").alias("status"), pick(3, "insufficient_quota", "rate_limit_exceeded", "rate_limit_exceeded").alias("code"), headers.alias("headers"), said.alias("message"))
 
     def qrel_lines(self) -> DataFrame:
         good = self.qrels().select(F.concat_ws("\t", "query_id", F.lit("0"), "passage_id", F.col("relevance").cast("string")).alias("line"))
         return good.unionByName(self.spark.createDataFrame([(x,) for x in BAD_QREL_LINES], "line string"))
 
 
+def number(passage_id: str) -> Column:
+    """The document's number in a passage id of the first shard."""
+    return F.substring(passage_id, len(PREFIX) + 1, 20).cast("bigint")
+
+
+def _shard(d: Column) -> list[Column]:
+    """file and pid of a document in the shards."""
+    number = F.concat(F.lit("0"), (d % 3).cast("string"))
+    offset = F.floor(d / 3).cast("bigint") * SHARD_BYTES + F.when(d % 97 == 5, 1).otherwise(0)
+    return [F.concat(F.lit("msmarco_passage_"), number).alias("file"), F.concat(F.lit("msmarco_passage_"), number, F.lit("_"), F.lpad(offset.cast("string"), 12, "0")).alias("pid")]
+
+
 _P = PREFIX
+SUFFIXES = (".gz", ".txt", ".trec", ".run", ".md", "", ".run.gz", ".json")
+SHARD_LINE = '{"pid": "%s", "passage": "%s", "docid": "%s", "spans": "(0,1)"}'
+SHARD_BYTES = len(SHARD_LINE % ("msmarco_passage_00_" + "0" * 12, "0" * 32, "0" * 12)) + 1
+ANSWERS = (('{"grade": ', "}"), (' { "grade" :', " }\n"), ('{"grade": "', '"}'), ('{"grade": 1', "}"), ('{"grade": ', ".0}"), ('{"grade": ', ', "why": 1}'), ("", ""))
+_J = '{"query_id": "1", "passage_id": "a", "human_relevance": 1, "predicted_relevance": %s}'
+BAD_JUDGMENT_LINES = (_J % "1.0", _J % "true", _J % '"1"', _J % "[]", "no json", "   ", _J % "2")
+BAD_QUERY_LINES = ("no tab", "\tonly text", "only id\t", "   ", "1\tanother text of one", "900\tx\u2028901\ty\u2029\x1c902\t")
 BAD_RUN_LINES = (f"1 Q0 {_P}1 1 0.5", f"1 Q0 doc_1 1 0.5 x", f"1 Q0 {_P}1 -1 0.5 x", f"1 Q0 {_P}1 1 nan x", f"1 Q0 {_P}1 1 inf x", f"1 Q0 {_P}1 1 1.0d x", f"1 Q0 {_P}1 1 0x1p3 x", "   ", "", f"  1\tQ0  {_P}1 0 1e-3 x ", f"1 Q0 {_P}2 +3 -.5 x", f"1 Q0 {_P}2 1.5 2 x")
 BAD_QREL_LINES = (f"1 0 {_P}1", f"1 0 {_P}1 4", f"1 0 {_P}1 -1", f"1 0 {_P}1 1.0", f"1 0 msmarco_passage_0 1", f"1 0 {_P}1x 1", "  ", f" 1 0  {_P}77 3 ")
 
@@ -114,6 +182,6 @@ runs2 AS (SELECT *, (i * 31 + d * 17) % 100 AS h FROM runs1),
 fx_runs AS (SELECT 's' || lpad(CAST(s AS VARCHAR), 2, '0') AS run, CASE WHEN i = {UNJUDGED} THEN 'unjudged' ELSE CAST(i AS VARCHAR) END AS query_id, '{_P}' || d AS passage_id,
   CAST((d * (2 * e + 3) * 37 + i * 11) % 64 + e * CASE WHEN h < 62 THEN 0 WHEN h < 82 THEN 1 WHEN h < 92 THEN 2 ELSE 3 END AS DOUBLE) / CAST(64 AS DOUBLE) AS score FROM runs2),
 fx_dirty AS (SELECT * FROM fx_qrels UNION ALL VALUES ('0', '{_P}0', 4), ('1', '{_P}1', -1), ('nobody', '{_P}2', 1), ('2', '{_P}missing', 2), ('3', '{_P}3', 0), ('3', '{_P}3', 0)),
-fx_run_lines AS (SELECT run, concat_ws(' ', query_id, 'Q0', passage_id, '1', CAST(CAST(score AS DECIMAL(12, 6)) AS VARCHAR), run) AS line FROM fx_runs WHERE run < 's03'
+fx_run_lines AS (SELECT run, concat_ws(' ', query_id, 'Q0', passage_id, '1', CAST(CAST(score AS DECIMAL(12, 6)) AS VARCHAR), run) AS line FROM fx_runs
   UNION ALL SELECT 'bad', unnest([{", ".join("'" + x.replace(chr(9), "' || chr(9) || '") + "'" for x in BAD_RUN_LINES)}])),
 fx_qrel_lines AS (SELECT concat_ws(chr(9), query_id, '0', passage_id, CAST(relevance AS VARCHAR)) AS line FROM fx_qrels UNION ALL SELECT unnest([{", ".join(f"'{x}'" for x in BAD_QREL_LINES)}]))"""

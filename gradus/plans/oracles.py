@@ -5,7 +5,9 @@ from __future__ import annotations
 from gradus.functions import prompts
 from gradus.operators.agreement import NO_VARIATION
 from gradus.operators.correlation import CONSTANT
-from gradus.plans.fixtures import SQL
+from gradus.operators.judging import PASSING
+from gradus.operators.ranking import RELEVANT
+from gradus.plans.fixtures import ANSWERS, BAD_JUDGMENT_LINES, BAD_QUERY_LINES, PREFIX, SHARD_BYTES, SQL, SUFFIXES
 from gradus.plans.queries import BUDGET
 
 _SUM10 = "sum(CASE WHEN rank <= {k} THEN CAST({g} AS DOUBLE) / log2(rank + 1) ELSE 0 END)"
@@ -31,6 +33,10 @@ counted AS (SELECT metric, count(*) AS n FROM paired GROUP BY metric),
 taus AS (SELECT metric, n, difference, n1, n2, CAST(n * (n - 1) // 2 - n1 AS DOUBLE) * CAST(n * (n - 1) // 2 - n2 AS DOUBLE) AS prod,
   (CAST(n * (n - 1) AS DOUBLE) * (2 * n + 5) - x1 - y1) / 18 + 2 * CAST(n1 AS DOUBLE) * n2 / (n * (n - 1)) + CAST(x0 AS DOUBLE) * y0 / (9 * CAST(n * (n - 1) AS DOUBLE) * (n - 2)) AS var
   FROM counted JOIN pairs USING (metric) JOIN th USING (metric) JOIN tp USING (metric))"""
+#: Of the normal tail from z on: area * exp(-z * z / 2) * sqrt(2 / pi) is the two-sided p-value. Simpson's rule.
+_AREA = """
+areas AS (SELECT metric, n, difference, prod, z, sum(exp(-z * x - x * x / 2) * CASE WHEN k IN (0, 24000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * CAST(0.0005 AS DOUBLE) / 3 AS area
+  FROM (SELECT *, abs(difference / sqrt(var)) AS z FROM taus), (SELECT k, k * CAST(0.0005 AS DOUBLE) AS x FROM range(24001) AS t(k)) GROUP BY ALL)"""
 _CONFUSION = """
 cells AS (SELECT CAST(a.g AS INTEGER) AS human_relevance, CAST(b.g AS INTEGER) AS predicted_relevance, count(j.query_id) AS n FROM range(4) AS a(g) CROSS JOIN range(4) AS b(g)
   LEFT JOIN fx_judgments j ON j.human_relevance = a.g AND j.predicted_relevance = b.g GROUP BY ALL)"""
@@ -53,6 +59,63 @@ _FINITE = r"CASE WHEN regexp_full_match({0}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([e
 _WHOLE = r"CASE WHEN regexp_full_match({0}, '[+-]?[0-9]+') THEN try_cast(ltrim({0}, '+') AS INTEGER) END"
 
 
+def _text(x: str) -> str:
+    """An SQL string; characters below the space and line breaks of strings by their numbers."""
+    out, plain = [], ""
+    for c in x:
+        if c < " " or c in "\x85\u2028\u2029":
+            out += ([f"'{plain}'"] if plain else []) + [f"chr({ord(c)})"]
+            plain = ""
+        else:
+            plain += c.replace("'", "''")
+    return " || ".join(out + ([f"'{plain}'"] if plain or not out else []))
+
+
+_LIST = lambda values: "[" + ", ".join(map(_text, values)) + "]"
+_SHARD = f"""
+placed AS (SELECT doc_id, doc_id % 3 AS k, (doc_id // 3) * {SHARD_BYTES} AS place, md5(text) AS text FROM documents),
+shards AS (SELECT doc_id, k, '{PREFIX[:-3]}0' || k || '_' || lpad(CAST(place + CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END AS VARCHAR), 12, '0') AS passage_id, text, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS document_id, place FROM placed),
+wanted AS (SELECT DISTINCT d FROM pool WHERE d % 3 < 2)"""
+_RECORDS = f"""
+records AS (SELECT CASE WHEN CAST(query_id AS INTEGER) % 3 = 0 THEN line || chr(11) || line || 'x' || chr(133) || line ELSE line END AS line FROM (
+  SELECT query_id, query_id || chr(9) || CASE WHEN CAST(query_id AS INTEGER) % 4 = 0 THEN 'a' || chr(9) || 'b ' ELSE '' END || regexp_replace(text, '[\\x00-\\x1f\\x{{85}}]', ' ', 'g') AS line FROM fx_queries)
+  UNION ALL SELECT unnest({_LIST(BAD_QUERY_LINES)})),
+query_lines AS (SELECT * FROM (SELECT unnest(regexp_split_to_array(line, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM records) WHERE len({_WORDS.format("line")}) > 0),
+parsed AS (SELECT CASE WHEN instr(line, chr(9)) > 0 THEN substr(line, 1, instr(line, chr(9)) - 1) ELSE line END AS query_id, CASE WHEN instr(line, chr(9)) > 0 THEN substr(line, instr(line, chr(9)) + 1) END AS text FROM query_lines),
+queries_ AS (SELECT query_id, text, CASE WHEN text IS NULL THEN 'no tab' WHEN query_id = '' OR text = '' THEN 'nothing on one side of the tab' END AS problem FROM parsed)"""
+_RULES = """
+used AS (SELECT query_id, passage_id, relevance, length(query) AS q, CAST(length(passage) >> k AS INTEGER) AS n, k FROM (SELECT *, CAST(list_min(list_filter(range(0, 40), lambda s: (length(passage) >> s) <= 1000)) AS INTEGER) AS k FROM inputs)),
+outcomes AS (SELECT *, n % 11 IN (3, 4, 5) AS failed, CASE n % 11 WHEN 3 THEN 'lost after 4 repeats' WHEN 4 THEN 'quota' WHEN 5 THEN 'no complete answer: incomplete' END AS error, CASE n % 11 WHEN 3 THEN 'RequestFailed' WHEN 4 THEN 'RequestFailed' WHEN 5 THEN 'ValueError' END AS type,
+  CASE n % 11 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 0 END AS repeats FROM used)"""
+_SECONDS = "CASE WHEN abs({0}) < CAST('inf' AS DOUBLE) THEN {0} ELSE 0 END"
+_RETRIES = f"""
+sent AS (SELECT event_id, CAST(event_id % 10 AS INTEGER) AS attempt, [429, 429, NULL, 408, 503, 400, 409][event_id % 7 + 1] AS status, ['insufficient_quota', '{PASSING}', '{PASSING}'][event_id % 3 + 1] AS code,
+  CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 90000 AS DOUBLE) / 1000 ELSE 0 END AS ms, CASE WHEN event_id % 4 = 1 THEN coalesce(try_cast(['7', 'soon', 'nan', 'inf', '0.25', '70'][event_id % 6 + 1] AS DOUBLE), 0) ELSE 0 END AS s,
+  CASE event_id % 6 WHEN 2 THEN event_id % 70 + CAST(0.5 AS DOUBLE) WHEN 3 THEN CAST(event_id AS DOUBLE) / 1000 ELSE 0 END AS said FROM events),
+kinds AS (SELECT *, CASE WHEN status = 429 THEN CASE WHEN code = '{PASSING}' THEN 8 ELSE 0 END WHEN status IS NULL OR status IN (408, 409) OR status >= 500 THEN 4 ELSE 0 END AS most FROM sent),
+plans AS (SELECT *, attempt < most AS again, greatest(least(60, pow(CAST(2 AS DOUBLE), attempt)), ms, {_SECONDS.format("s")}, said) AS wait FROM kinds)"""
+
+
+def _leaf(name: str, value: str, source: str) -> str:
+    return f"SELECT {name} AS name, round(CAST({value} AS DOUBLE), 6) AS value FROM {source}"
+
+
+_USAGE = f"""
+used_ AS (SELECT i AS input_tokens, o AS output_tokens, i + o AS total_tokens, w AS judgments_with_usage, n - w AS judgments_without_usage, i * CAST({prompts.PRICES["gpt-6-luna"][0]} AS DOUBLE) / 1000000 AS input, o * CAST({prompts.PRICES["gpt-6-luna"][1]} AS DOUBLE) / 1000000 AS output
+  FROM (SELECT coalesce(sum(input_tokens) FILTER (output_tokens IS NOT NULL), 0) AS i, coalesce(sum(output_tokens) FILTER (input_tokens IS NOT NULL), 0) AS o, count(*) FILTER (input_tokens IS NOT NULL AND output_tokens IS NOT NULL) AS w, count(*) AS n FROM fx_judgments))"""
+_AGREE = {"count": "c", "agree_count": "a", "exact_agreement": "CAST(a AS DOUBLE) / c", "cohen_kappa": "(CAST(a AS DOUBLE) / c - CAST(e AS DOUBLE) / (c * c)) / (1 - CAST(e AS DOUBLE) / (c * c))"}
+_COST = {"input": "input", "output": "output", "total": "input + output", "token_costs_per_million.input": str(prompts.PRICES["gpt-6-luna"][0]), "token_costs_per_million.output": str(prompts.PRICES["gpt-6-luna"][1])}
+_CORRELATION = {"tau_b": "difference / sqrt(prod)", "system_count": "n", "p_value": "sqrt(2 / pi()) * exp(-z * z / 2) * area"}
+#: Every number of the report by its path.
+_REPORT = [
+    _leaf("'agreement.labels.' || g", "g", "range(4) AS t(g)"), _leaf("'agreement.counts.' || human_relevance || '.' || predicted_relevance", "n", "cells"),
+    _leaf("'agreement.human_support.' || g", "n", "hs"), _leaf("'agreement.method_support.' || g", "n", "ps"), *[_leaf(f"'agreement.{k}'", v, "one, chance") for k, v in _AGREE.items()],
+    *[_leaf(f"'system_rank_correlations.' || metric || '.{k}'", v, "areas") for k, v in _CORRELATION.items()], *[_leaf(f"'cost.{k}'", v, "used_") for k, v in _COST.items()],
+    *[_leaf(f"'usage.{k}'", k, "used_") for k in ("input_tokens", "output_tokens", "total_tokens", "judgments_with_usage", "judgments_without_usage")],
+    _leaf("'judgment_count'", "count(*)", "fx_judgments"), _leaf("'query_count'", "count(DISTINCT query_id)", "fx_judgments"), f"SELECT 'evaluation.binary_relevance_threshold', CAST({RELEVANT} AS DOUBLE)",
+]
+
+
 def _with(body: str, *parts: str) -> str:
     return f"WITH {','.join([SQL, *parts])}\n{body}"
 
@@ -105,4 +168,37 @@ def oracle_sql() -> dict[str, str]:
         "judge_stub": _with(f"""SELECT {pair}, CAST(CASE WHEN ok THEN relevance END AS DOUBLE) AS human_relevance, CAST(CASE WHEN ok THEN used END AS DOUBLE) AS passage_used_chars, CAST(CASE WHEN ok THEN k END AS DOUBLE) AS length_retries,
             CAST(CASE WHEN ok THEN (length(query) * 3 + used) % 4 END AS DOUBLE) AS predicted_relevance, CAST(CASE WHEN ok THEN length(query) + used END AS DOUBLE) AS input_tokens, CASE WHEN NOT ok THEN 'refused' END AS error, CASE WHEN NOT ok THEN 'ValueError' END AS type
             FROM (SELECT *, CAST(length(passage) >> k AS INTEGER) AS used, (length(passage) >> k) % 97 <> 5 AS ok FROM (SELECT *, CAST(list_min(list_filter(range(0, 40), lambda s: (length(passage) >> s) <= 1000)) AS INTEGER) AS k FROM inputs))""", _inputs(prompts.CHARACTER_BUDGET)),
+        "rank_correlation_pvalue": _with("SELECT metric, n AS system_count, round(difference / sqrt(prod), 6) AS tau_b, round((ln(sqrt(CAST(2 AS DOUBLE) / pi())) - z * z / 2 + ln(area)) / ln(CAST(10 AS DOUBLE)), 6) AS log10_p FROM areas", _METRICS, _TAU, _AREA),
+        "run_files": f"""SELECT path, list_last(string_split(path, '/')) AS run FROM (SELECT 'runs/' || source || '/r' || doc_id || {_LIST(SUFFIXES)}[doc_id % {len(SUFFIXES)} + 1] AS path FROM documents)
+            WHERE regexp_extract(path, '[^/](\\.[^./]*)$', 1) IN ('.gz', '.txt', '.trec', '.run')""",
+        "parse_judgment_lines": _with(f"""SELECT query_id, passage_id, CAST(human_relevance AS DOUBLE) AS human_relevance, CAST(predicted_relevance AS DOUBLE) AS predicted_relevance, CAST(output_tokens AS DOUBLE) AS output_tokens, CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS problem FROM fx_judgments
+            UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, line, 'not of the schema' FROM (SELECT unnest({_LIST(BAD_JUDGMENT_LINES[:5])}) AS line) UNION ALL VALUES ('1', 'a', 1, 2, NULL, NULL, NULL)"""),
+        "parse_query_lines": _with("SELECT query_id, text, problem FROM queries_", _RECORDS),
+        "conflicting_queries": _with("SELECT query_id, count(*) AS n FROM (SELECT DISTINCT query_id, text FROM queries_ WHERE problem IS NULL) GROUP BY query_id HAVING count(*) > 1", _RECORDS),
+        "published_collection": _with("""SELECT 'queries' AS "table", query_id AS key, md5(text) AS digest FROM fx_queries UNION ALL SELECT 'passages', passage_id, md5(concat_ws(' ', text, document_id, spans)) FROM fx_passages
+            UNION ALL SELECT 'qrels', query_id || ' ' || passage_id, md5(CAST(relevance AS VARCHAR)) FROM fx_qrels"""),
+        "corpus_passages": _with("SELECT passage_id, text, document_id, '(0,1)' AS spans, CAST(place AS BIGINT) AS offset, false AS misplaced, 2 AS shards_read FROM shards JOIN wanted ON doc_id = d WHERE doc_id % 97 <> 5 UNION ALL SELECT passage_id, text, document_id, '(0,1)', CAST(place AS BIGINT), true, 2 FROM shards JOIN wanted ON doc_id = d WHERE doc_id % 97 = 5", _SHARD),
+        "missing_passages": _with("SELECT DISTINCT passage_id FROM (SELECT passage_id FROM fx_dirty UNION ALL SELECT passage_id FROM shards JOIN wanted ON doc_id = d) WHERE passage_id NOT IN (SELECT passage_id FROM fx_passages) ORDER BY passage_id LIMIT 10", _SHARD),
+        "unknown_queries": _with("SELECT DISTINCT query_id FROM fx_dirty WHERE query_id NOT IN (SELECT query_id FROM fx_queries)"),
+        "collection_violations": _with(f"""SELECT 'query id repeats' AS rule, query_id AS at FROM fx_queries WHERE query_id IN ('1', '7') UNION ALL SELECT 'pair repeats', query_id || ' ' || passage_id FROM fx_dirty GROUP BY {pair} HAVING count(*) > 1
+            UNION ALL SELECT 'query of a pair is unknown', query_id || ' ' || passage_id FROM fx_dirty WHERE query_id NOT IN (SELECT query_id FROM fx_queries) UNION ALL SELECT 'passage of a pair is unknown', query_id || ' ' || passage_id FROM fx_dirty WHERE passage_id NOT IN (SELECT passage_id FROM fx_passages)
+            UNION ALL SELECT 'grade outside the domain', query_id || ' ' || passage_id FROM fx_dirty WHERE relevance NOT BETWEEN 0 AND 3 UNION ALL SELECT 'query is never judged', query_id FROM (SELECT query_id FROM fx_queries UNION ALL SELECT query_id FROM fx_queries WHERE query_id IN ('1', '7')) WHERE query_id NOT IN (SELECT query_id FROM fx_dirty)
+            UNION ALL SELECT 'passage is never judged', passage_id FROM fx_passages WHERE passage_id NOT IN (SELECT passage_id FROM fx_dirty)"""),
+        "summary_report": _with(f"""SELECT CAST(1 AS INTEGER) AS line, format('Number of queries: {{:,}}', count(*)) AS text FROM fx_queries UNION ALL SELECT 2, format('Number of unique passages: {{:,}}', count(*)) FROM fx_passages UNION ALL SELECT 3, format('Number of judgments: {{:,}}', count(*)) FROM fx_qrels
+            UNION ALL SELECT 4, printf('Average query length (words): %.2f', avg(len({_WORDS.format("text")}))) FROM fx_queries UNION ALL SELECT 5, 'Minimum query length (words): ' || min(len({_WORDS.format("text")})) FROM fx_queries UNION ALL SELECT 6, 'Maximum query length (words): ' || max(len({_WORDS.format("text")})) FROM fx_queries
+            UNION ALL SELECT 7, printf('Average judged passages per query: %.2f', (SELECT count(*) FROM fx_qrels) / (SELECT count(*) FROM fx_queries)) UNION ALL SELECT 8, '' UNION ALL SELECT 9, 'Relevance grade | Judgments | Average judged passages per query'
+            UNION ALL SELECT CAST(10 + g AS INTEGER), lpad(CAST(g AS VARCHAR), 15, ' ') || ' | ' || lpad(format('{{:,}}', n), 9, ' ') || ' | ' || printf('%.2f', n / (SELECT count(*) FROM fx_queries)) FROM (SELECT g, count(query_id) AS n FROM range(4) AS t(g) LEFT JOIN fx_qrels ON relevance = g GROUP BY g)"""),
+        "figure_points": _with("SELECT 'system_scores_' || regexp_replace(metric, '[^a-zA-Z0-9]', '_', 'g') AS figure, run, round(h, 6) AS human, round(p, 6) AS predicted FROM paired", _METRICS),
+        "judge_prompt": f"SELECT CAST(i - 1 AS INTEGER) AS place, l[i] AS line, {prompts.REQUEST_CHARS} AS request_chars FROM (SELECT {_LIST([prompts.INSTRUCTIONS, *(f'[{g}] {c}' for g, c in enumerate(prompts.CRITERIA))])} AS l), range(1, {len(prompts.CRITERIA) + 2}) AS t(i)",
+        "structured_answers": _with(f"""SELECT {pair}, CAST(nullif(regexp_extract(answer, '^\\s*\\{{\\s*"grade"\\s*:\\s*([0-3])\\s*\\}}\\s*$', 1), '') AS DOUBLE) AS grade FROM (
+            SELECT {pair}, {_LIST([a for a, _ in ANSWERS])}[k] || predicted_relevance || {_LIST([b for _, b in ANSWERS])}[k] AS answer FROM (SELECT *, CAST(substr(passage_id, {len(PREFIX) + 1}) AS BIGINT) % {len(ANSWERS)} + 1 AS k FROM fx_judgments))"""),
+        "experiment_guard": "SELECT k AS known, s AS same, e AS empty, e OR (k AND s) AS allowed FROM (VALUES (true), (false)) AS a(k), (VALUES (true), (false)) AS b(s), (VALUES (true), (false)) AS c(e)",
+        "judge_probabilistic": _with(f"""SELECT {pair}, CAST(list_position(w, list_max(w)) - 1 AS DOUBLE) AS predicted_relevance, w[2] + 2 * w[3] + 3 * w[4] AS score, list_max(w) AS confidence, 'weighing' AS model, CAST(g AS VARCHAR) AS grade, w[g + 1] AS probability
+            FROM (SELECT {pair}, list_transform(range(4), lambda g: ((length(query) * (g + 3) + length(passage) * 7) % 8) / CAST(8 AS DOUBLE)) AS w FROM inputs), range(4) AS t(g)""", _inputs(prompts.CHARACTER_BUDGET)),
+        "judge_run": _with(f"""SELECT {pair}, CAST(CASE WHEN NOT failed THEN relevance END AS DOUBLE) AS human_relevance, CAST(CASE WHEN NOT failed THEN (q + n) % 4 END AS DOUBLE) AS predicted_relevance, CAST(CASE WHEN NOT failed THEN n END AS DOUBLE) AS passage_used_chars, CAST(CASE WHEN NOT failed THEN k END AS DOUBLE) AS length_retries,
+            CAST(CASE WHEN NOT failed THEN repeats END AS DOUBLE) AS repeats, CASE WHEN NOT failed THEN true END AS timed, error, type, (SELECT count(*) FROM outcomes WHERE failed) AS failures FROM outcomes""", _inputs(prompts.CHARACTER_BUDGET), _RULES),
+        "retry_schedule": f"WITH {_RETRIES} SELECT event_id, again, round(CASE WHEN again OR status = 429 AND most = 8 THEN wait END, 6) AS delay FROM plans",
+        "run_manifest": _with("SELECT run || '.run' AS file, sha256(string_agg(concat_ws(' ', query_id, 'Q0', passage_id, '1', CAST(CAST(score AS DECIMAL(12, 6)) AS VARCHAR), run), chr(10) ORDER BY query_id, passage_id) || chr(10)) AS sha256 FROM fx_runs GROUP BY run"),
+        "report_numbers": _with(" UNION ALL ".join(_REPORT), _METRICS, _TAU, _AREA, _CONFUSION, _SUMMARY, _USAGE),
+        "not_finite": _with(f"SELECT run, {pair} FROM fx_runs WHERE (CAST(substr(passage_id, {len(PREFIX) + 1}) AS BIGINT) * 7 + CAST(substr(run, 2) AS INTEGER)) % 50 IN (0, 1)"),
     }

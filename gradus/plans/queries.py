@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gradus.functions import prompts
 from gradus.operators import agreement, collection, correlation, judging, ranking, usage, validate
-from gradus.plans.fixtures import Fixtures
-from gradus.sources import trec
+from gradus.plans.fixtures import Fixtures, number
+from gradus.sources import tables, trec
 
 BUDGET = 1_000 + prompts.MARGIN + prompts.REQUEST_CHARS  # about 1,000 characters for a passage, so that many are cut
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +55,7 @@ def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_correlation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.with_p_values(_taus(spark, sf_dir)).select("metric", "system_count", "tau_b", "p_value")
+    return correlation.with_p_values(_taus(spark, sf_dir)).select("metric", "system_count", _six("tau_b"), F.round(F.log10("p_value"), 6).alias("log10_p"))
 
 
 def system_score_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +145,9 @@ def passage_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    rows = judging.inputs(fx.qrels(), fx.queries(), fx.passages())
-    return rows.select("query_id", "passage_id", prompts.token_estimate(F.col("query"), F.col("passage")).alias("tokens"))
+    asked = fx.queries().select("query_id", "text", prompts.encoded_bytes(F.col("text")).alias("query_bytes"))
+    rows = judging.inputs(fx.qrels(), asked, fx.passages()).join(asked.select("query_id", "query_bytes"), "query_id")
+    return rows.select("query_id", "passage_id", prompts.token_estimate(F.col("query_bytes"), F.col("passage_bytes")).alias("tokens"))
 
 
 def argmax_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +180,6 @@ def parse_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trec.parse_run_lines(Fixtures(spark, sf_dir).run_lines()).select("run", "query_id", "passage_id", "score", "problem")
 
 
-def parse_all_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trec.parse_run_lines(Fixtures(spark, sf_dir).all_run_lines()).select("run", "query_id", "passage_id", "score", "problem")
-
-
 def parse_qrel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trec.parse_qrel_lines(Fixtures(spark, sf_dir).qrel_lines()).select("query_id", "passage_id", _number("relevance"), "problem")
 
@@ -192,9 +191,151 @@ def judge_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("query_id", "passage_id", *numbers, F.col("usage.input_tokens").cast("double").alias("input_tokens"), "error", "type")
 
 
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trec.run_files(Fixtures(spark, sf_dir).file_names())
+
+
+def parse_judgment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trec.parse_judgment_lines(Fixtures(spark, sf_dir).judgment_lines())
+    fine = lambda c: F.when(F.col("problem").isNull(), F.col(c)).alias(c)
+    return rows.select(fine("query_id"), fine("passage_id"), *[F.when(F.col("problem").isNull(), F.col(c)).cast("double").alias(c) for c in ("human_relevance", "predicted_relevance")], F.when(F.col("problem").isNull(), F.col("usage.output_tokens")).cast("double").alias("output_tokens"), "line", "problem")
+
+
+def parse_query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = Fixtures(spark, sf_dir).query_records()
+    return trec.parse_query_lines(records.select(F.explode(F.split("line", trec.STRING_BREAKS)).alias("line"))).select("query_id", "text", "problem")
+
+
+def conflicting_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with several texts: a repeat of id and text is none."""
+    return validate.duplicates(parse_query_lines(spark, sf_dir).where("problem IS NULL").select("query_id", "text").distinct(), "query_id")
+
+
+def published_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables as they are read again after they were published under a revision and compared with what was written."""
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "published")
+    tables.write_collection({"queries": fx.queries(), "passages": fx.passages(), "qrels": fx.qrels()}, folder, "r1")
+    got = tables.read_collection(spark, folder, "r1")
+    named = lambda name, key, *rest: got[name].select(F.lit(name).alias("table"), key.alias("key"), F.md5(F.concat_ws(" ", *rest)).alias("digest"))
+    both = named("queries", F.col("query_id"), "text").unionByName(named("passages", F.col("passage_id"), "text", "document_id", "spans"))
+    return both.unionByName(named("qrels", F.concat_ws(" ", "query_id", "passage_id"), F.col("relevance").cast("string")))
+
+
+def corpus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required passages of the shards that their ids name, and whether they stand where their ids say."""
+    fx = Fixtures(spark, sf_dir)
+    required = fx.required()
+    paths = trec.shard_paths(tables.write_files(fx.shard_text(), tables.scratch(spark, "shards")), required)
+    found = trec.parse_corpus_lines(trec.with_offsets(trec.file_lines(spark, paths))).join(required, "passage_id", "left_semi")
+    wrong = trec.misplaced(found).select("passage_id", F.lit(True).alias("misplaced"))
+    rows = found.join(wrong, "passage_id", "left")
+    return rows.select("passage_id", "text", "document_id", "spans", "offset", F.coalesce("misplaced", F.lit(False)).alias("misplaced"), F.lit(len(paths)).alias("shards_read"))
+
+
+def missing_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of the required passages that no table has."""
+    fx = Fixtures(spark, sf_dir)
+    required = fx.dirty().select("passage_id").unionByName(fx.required())
+    return trec.missing_passages(required, fx.passages()).orderBy("passage_id").limit(10)
+
+
+def unknown_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    return trec.unknown_queries(fx.dirty(), fx.queries())
+
+
+def collection_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    twice = fx.queries().unionByName(fx.queries().where("query_id IN ('1', '7')"))
+    return validate.collection_violations(twice, fx.passages(), fx.dirty())
+
+
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    return collection.text_lines(fx.queries(), fx.passages(), fx.qrels())
+
+
+def figure_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradus.plans.report import system_scores
+
+    return system_scores(_means(spark, sf_dir)).select("figure", "run", _six("human"), _six("predicted"))
+
+
+def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the instructions, and what a request takes without its texts."""
+    lines = spark.range(1).select(F.posexplode(F.split(F.lit(prompts.numbered_instructions()), "\n")).alias("place", "line"))
+    return lines.select("place", "line", F.lit(prompts.REQUEST_CHARS).alias("request_chars"))
+
+
+def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Fixtures(spark, sf_dir).answers().select("query_id", "passage_id", prompts.structured_answer(F.col("answer")).cast("double").alias("grade"))
+
+
+def experiment_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a run may go on, by what its folder holds."""
+    rows = []
+    for known, same, empty in itertools.product((False, True), repeat=3):
+        try:
+            judging.check_experiment({"signature": "a"} if known else {}, "a" if same else "b", empty)
+            rows.append((known, same, empty, True))
+        except validate.InvalidData:
+            rows.append((known, same, empty, False))
+    return spark.createDataFrame(rows, "known boolean, same boolean, empty boolean, allowed boolean")
+
+
+def judge_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments by probabilities: of each pair the grade, and every grade's probability by its name."""
+    fx = Fixtures(spark, sf_dir)
+    judged = judging.judge_pairs(judging.inputs(fx.qrels(), fx.queries(), fx.passages()), judging.weighing)
+    return judged.select("query_id", "passage_id", _number("predicted_relevance"), "score", "confidence", "model", F.explode("probabilities").alias("grade", "probability"))
+
+
+def judge_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole run leaves in its checkpoint, with a judge that is limited, lost, refused and too long by rule."""
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "judged")
+    given = {"queries": fx.queries(), "passages": fx.passages(), "qrels": fx.qrels()}
+    with contextlib.suppress(RuntimeError):  # that some pairs failed
+        judging.run(spark, given, folder, judging.scripted, model="scripted", concurrency=8, rounds=3, pace=judging.untimed)
+    done = trec.read_judgments(spark, f"{folder}/judgments").select("query_id", "passage_id", *[_number(c) for c in ("human_relevance", "predicted_relevance", "passage_used_chars", "length_retries")], F.col("usage.output_tokens").cast("double").alias("repeats"), (F.col("latency_seconds") >= 0).alias("timed"))
+    failed = trec.read_failures(spark, f"{folder}/judgments").select("query_id", "passage_id", "error", "type")
+    listed = tables.load_json(f"{folder}/failures.json")
+    return done.unionByName(failed, allowMissingColumns=True).withColumn("failures", F.lit(len(listed)).cast("bigint"))
+
+
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of failed requests, whether they are asked again, and the wait that they put off others by."""
+    return judging.retry_plan(Fixtures(spark, sf_dir).failures()).select("event_id", "again", _six("delay"))
+
+
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run files by name, with the digest of their bytes."""
+    paths = tables.write_files(Fixtures(spark, sf_dir).run_text(), tables.scratch(spark, "runs"))
+    return spark.createDataFrame([(r["file"], r["sha256"]) for r in tables.manifest(spark, paths)], "file string, sha256 string")
+
+
+def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of a report that was written from judgments and run files and read again."""
+    from gradus.plans import report
+
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "report")
+    paths = tables.write_files(fx.run_text(), f"{folder}/runs")
+    report.performance_report(spark, fx.judgments().drop("probabilities", "done"), "structured", run_paths=paths, folder=folder, default_model="gpt-6-luna")
+    found = report.leaves(tables.load_json(f"{folder}/structured/results.json"))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "name string, value double")
+
+
+def not_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that no JSON document may hold, among scores of which some are made NaN or infinite."""
+    at = (number("passage_id") * 7 + F.substring("run", 2, 9).cast("int")) % 50
+    score = F.when(at == 0, F.lit(float("nan"))).when(at == 1, F.lit(float("-inf"))).when(at == 2, F.lit(None)).otherwise(F.col("score"))
+    return validate.not_finite(Fixtures(spark, sf_dir).runs().withColumn("score", score), "score").select("run", "query_id", "passage_id")
+
+
 def queries() -> dict[str, Query]:
     names = """run_metrics_aggregate run_metrics_per_query ranked_top10 rank_correlation rank_correlation_pvalue system_score_bounds agreement_confusion
         agreement_confusion_normalized agreement_summary collection_summary grade_distribution judgments_per_query pending_judgments refreshed_judgments
         judged_queries required_passages orphan_references duplicate_pairs invalid_grades checkpoint_difference passage_truncation token_estimates
-        argmax_grades usage_and_cost union_of_sources rate_limit_schedule parse_run_lines parse_all_run_lines parse_qrel_lines judge_stub"""
+        argmax_grades usage_and_cost union_of_sources rate_limit_schedule parse_run_lines parse_qrel_lines judge_stub run_files parse_judgment_lines
+        parse_query_lines conflicting_queries published_collection corpus_passages missing_passages unknown_queries collection_violations summary_report
+        figure_points judge_prompt structured_answers experiment_guard judge_probabilistic judge_run retry_schedule run_manifest report_numbers not_finite"""
     return {name: globals()[name] for name in names.split()}

@@ -1,10 +1,16 @@
-"""Tables of a judged collection in a folder of Parquet tables, and JSON sinks."""
+"""Tables of a judged collection in a folder of Parquet tables, and JSON documents beside them.
+
+Folders are paths that Spark resolves, so documents lie in the same file system as the tables.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import os
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,35 +18,120 @@ from pyspark.sql import functions as F
 from gradus.operators.validate import check_equal
 
 NAMES = ("queries", "passages", "qrels")
+KEYS = {"queries": ["query_id"], "passages": ["passage_id"], "qrels": ["query_id", "passage_id"]}
+
 
+def _at(folder: str, revision: str | None) -> str:
+    return f"{folder}/revisions/{revision}" if revision else folder
 
-def read_collection(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in NAMES}
 
+def read_collection(spark: SparkSession, folder: str, revision: str | None = None) -> dict[str, DataFrame]:
+    """The three tables; with ``revision`` those that were published under that name."""
+    return {name: spark.read.parquet(f"{_at(folder, revision)}/{name}") for name in NAMES}
 
-def write_collection(tables: dict[str, DataFrame], folder: str) -> None:
+
+def write_collection(tables: dict[str, DataFrame], folder: str, revision: str | None = None) -> None:
     """Write each table that isn't there yet, sorted by its keys, then read it back and compare."""
-    keys = {"queries": ["query_id"], "passages": ["passage_id"], "qrels": ["query_id", "passage_id"]}
     for name, rows in tables.items():
-        rows.orderBy(*keys[name]).write.mode("ignore").parquet(f"{folder}/{name}")
-        check_equal(rows, rows.sparkSession.read.parquet(f"{folder}/{name}"))
+        path = f"{_at(folder, revision)}/{name}"
+        rows.orderBy(*KEYS[name]).write.mode("ignore").parquet(path)
+        check_equal(rows, rows.sparkSession.read.parquet(path))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which a cluster must set; one of our own only on a single machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        shared = tempfile.mkdtemp(prefix="gradus-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_files(lines: DataFrame, folder: str) -> list[str]:
+    """Text files from ``lines`` (file, place, line): one for each file name, its lines by place; their paths, in order.
+
+    Each file is written by one task, so it must fit one; the names are few.
+    """
+    work = f"{folder}/parts"
+    lines.repartition("file").sortWithinPartitions("file", "place").select("file", "line").write.partitionBy("file").text(work)
+    jvm, _, own, system = _file(work)
+    paths = []
+    for status in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{work}/file=*/part-*")):
+        name = status.getPath().getParent().getName().removeprefix("file=")
+        paths.append(f"{folder}/{name}")
+        system.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(paths[-1]))
+    system.delete(own, True)
+    return sorted(paths)
+
+
+def _file(path: str):
+    """The JVM, a Hadoop path and its file system."""
+    spark = SparkSession.active()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, conf, own, own.getFileSystem(conf)
+
+
+def exists(path: str) -> bool:
+    _, _, own, system = _file(path)
+    return system.exists(own)
+
+
+def remove(path: str) -> None:
+    _, _, own, system = _file(path)
+    system.delete(own, True)
 
 
 def save_json(path: str, value: object) -> None:
-    """Replace a JSON file of the driver at once; NaN and infinities are refused."""
+    """Replace a JSON document at once: written beside its place, then renamed. NaN and infinities are refused."""
     text = json.dumps(value, indent=2, allow_nan=False)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path + ".partial", "w", encoding="utf-8") as out:
-        out.write(text)
-    os.replace(path + ".partial", path)
+    jvm, conf, own, system = _file(path)
+    beside = own.suffix(".partial")
+    out = system.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = SparkSession.active().sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), conf).rename(beside, own, options)
 
 
 def load_json(path: str) -> dict:
     """One JSON object; an absent file is an empty one."""
-    if not os.path.exists(path):
+    jvm, _, own, system = _file(path)
+    if not system.exists(own):
         return {}
-    with open(path, encoding="utf-8") as given:
-        return json.load(given)
+    given = system.open(own)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(given, "UTF-8"))
+    finally:
+        given.close()
+
+
+def cached_file(path: str, fetch: Callable[[], Iterable[bytes]], check: Callable[[str], object]) -> str:
+    """The driver's file at ``path``. If it isn't there, what ``fetch`` yields is put there, but only once ``check`` has let it pass.
+
+    ``check`` raises for a faulty file; a file that is there is checked as well, so that nothing is used unseen.
+    """
+    if os.path.exists(path):
+        check(path)
+        return path
+    folder, name = os.path.split(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    partial = os.path.join(folder, f"partial-{name}")  # the same suffix: readers go by it
+    try:
+        with open(partial, "wb") as out:
+            out.writelines(fetch())
+        check(partial)
+        os.replace(partial, path)
+    finally:
+        if os.path.exists(partial):
+            os.remove(partial)
+    return path
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> list[dict]:

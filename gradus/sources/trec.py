@@ -6,24 +6,47 @@ Lines are parsed in place, split by split. Only if a check fails are the files a
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gradus import schemas
 from gradus.functions.strings import blank, finite, whole_number, words
 from gradus.operators.validate import InvalidData, duplicates, outside, require_empty
+from gradus.sources import tables
 
+# How run files end, how passage ids begin and are built (shard, byte offset), what ends a line of a string.
 RUN_SUFFIXES = (".gz", ".txt", ".trec", ".run")
 PREFIX = "msmarco_passage_"
 PASSAGE_ID = r"^msmarco_passage_([0-9]+)_([0-9]+)\z"
+FILE_BREAKS = "\r\n|\n|\r"
+STRING_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def suffix(name: Column) -> Column:
+    """Of a file's name, with its point; empty if it has none."""
+    return F.regexp_extract(name, r"[^/](\.[^./]*)\z", 1)
+
+
+def run_files(names: DataFrame) -> DataFrame:
+    """``names`` (path) to path and run (the file's name) of those that are run files, in order."""
+    run = F.element_at(F.split("path", "/"), -1)
+    return names.where(suffix(F.col("path")).isin(*RUN_SUFFIXES)).select("path", run.alias("run")).orderBy("path")
 
 
 def run_paths(folder: str) -> list[str]:
-    """Run files of a folder that the driver can list, by name; folders inside it are left out."""
-    found = [e.path for e in os.scandir(folder) if e.is_file() and os.path.splitext(e.name)[1] in RUN_SUFFIXES]
-    return sorted(found)
+    """Run files of a folder in any file system that Spark lists, by path; folders inside it are left out."""
+    files = SparkSession.active().read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
+    return [r.path for r in run_files(files.select("path")).collect()]
+
+
+def cached_runs(spark: SparkSession, folder: str, names: Iterable[str], fetch: Callable[[str], Iterable[bytes]]) -> list[str]:
+    """The named run files in a folder of the driver, fetched if they are missing; all are checked, and manifest.json says what they hold."""
+    paths = sorted(tables.cached_file(f"{folder}/{n}", lambda n=n: fetch(n), lambda p: read_runs(spark, [p])) for n in names)
+    tables.save_json(f"{folder}/manifest.json", tables.manifest(spark, paths))
+    return paths
 
 
 def parse_run_lines(lines: DataFrame) -> DataFrame:
@@ -54,87 +77,163 @@ def parse_qrel_lines(lines: DataFrame) -> DataFrame:
     return rows.select(*rest, "line", at(1).alias("query_id"), at(3).alias("passage_id"), grade.alias("relevance"), problem.alias("problem"))
 
 
-def _fail(spark: SparkSession, bad: DataFrame, paths: list[str]) -> None:
+def parse_query_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (…, line) to query_id, text and problem, beside the other columns: split at the first tab, neither part empty."""
+    rest = [c for c in lines.columns if c != "line"]
+    part = lambda i: F.try_element_at(F.split("line", "\t", 2), F.lit(i))
+    problem = F.when(part(2).isNull(), F.lit("no tab")).when((part(1) == "") | (part(2) == ""), F.lit("nothing on one side of the tab"))
+    return lines.where(~blank(F.col("line"))).select(*rest, "line", part(1).alias("query_id"), part(2).alias("text"), problem.alias("problem"))
+
+
+def parse_judgment_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (…, line) to the fields of a judgment and problem, beside the other columns.
+
+    The schema is strict: a grade written as 1.0, true or "1" is no whole number.
+    """
+    rest = [c for c in lines.columns if c != "line"]
+    parsed = F.from_json("line", f"{schemas.JUDGMENTS}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.where(~blank(F.col("line"))).select(*rest, parsed.alias("j")).select(*rest, "j.*")
+    return rows.withColumn("problem", F.when(F.col("_bad").isNotNull(), F.lit("not of the schema"))).withColumnRenamed("_bad", "line")
+
+
+def _fail(spark: SparkSession, bad: DataFrame, paths: list[str], breaks: str = FILE_BREAKS) -> None:
     """Raise with file and line number of the first lines at fault, if there are any."""
     some = {(r["run"], r["line"]): r["problem"] for r in bad.select("run", "line", "problem").limit(5).collect()}
     if not some:
         return
     named = {os.path.basename(p): p for p in paths}
-    whole = spark.read.text([named[run] for run in {run for run, _ in some}], wholetext=True).select(F.col("_metadata.file_name").alias("run"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
+    whole = spark.read.text([named[run] for run in {run for run, _ in some}], wholetext=True).select(F.col("_metadata.file_name").alias("run"), F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), breaks)).alias("at", "line"))
     places = {(r["run"], r["line"]): r["at"] + 1 for r in whole.where(F.col("line").isin([line for _, line in some])).orderBy(F.desc("at")).collect()}
     raise InvalidData("; ".join(f"{named[run]}:{places.get((run, line), '?')}: {problem}" for (run, line), problem in some.items()))
 
 
+def file_lines(spark: SparkSession, paths: list[str], breaks: str | None = None) -> DataFrame:
+    """run (file name), seq, line, split by split; with ``breaks`` also parted where a string's lines end. A byte-order mark goes.
+
+    seq rises along a file: a split's first byte, and lines of its task before this one.
+    """
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = spark.read.text(paths).select(F.col("_metadata.file_name").alias("run"), place.alias("seq"), F.col("value").alias("line"))
+    return rows.select("run", "seq", F.explode(F.split("line", breaks)).alias("line")) if breaks else rows
+
+
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """run (file name), query_id, passage_id, score of all run files; any bad line, repeat or empty file raises."""
     names = [os.path.basename(p) for p in paths]
     if len(set(names)) != len(names):
-        raise InvalidData(f"Duplicate run filename: {sorted({n for n in names if names.count(n) > 1})}")
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("run"), F.col("value").alias("line"))
-    parsed = parse_run_lines(lines)
+        raise InvalidData(f"Run files of one name: {sorted({n for n in names if names.count(n) > 1})}")
+    parsed = parse_run_lines(file_lines(spark, paths))
     _fail(spark, parsed.where("problem IS NOT NULL"), paths)
     runs = parsed.select("run", "query_id", "passage_id", "score")
-    require_empty(duplicates(runs, "run", "query_id", "passage_id"), "Duplicate passage in a run")
+    require_empty(duplicates(runs, "run", "query_id", "passage_id"), "Passages that a run ranks twice")
     found = {r[0] for r in runs.select("run").distinct().collect()}  # a row for each file
     if missing := sorted(set(names) - found):
-        raise InvalidData(f"Empty run: {missing}")
+        raise InvalidData(f"Run files without a line: {missing}")
     return runs
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with all of a string's line breaks, not only the file system's; a leading byte-order mark goes."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    return whole.select(F.posexplode(F.split("value", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("at", "line"))
-
-
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, text of a query file: split at the first tab, both parts nonempty; an id may only repeat with its text."""
-    lines = _lines(spark, path).where(~blank(F.col("line")))
-    parts = F.split("line", "\t", 2)
-    rows = lines.select((F.col("at") + 1).alias("number"), F.try_element_at(parts, F.lit(1)).alias("query_id"), F.try_element_at(parts, F.lit(2)).alias("text"))
-    require_empty(rows.where("text IS NULL OR text = '' OR query_id = ''").select("number"), "Malformed query at line")
-    rows = rows.select("query_id", "text").distinct()
-    require_empty(duplicates(rows, "query_id"), "Conflicting query")
+    """query_id, text of a query file; an id may only repeat with its text."""
+    parsed = parse_query_lines(file_lines(spark, [path], STRING_BREAKS))
+    _fail(spark, parsed.where("problem IS NOT NULL"), [path], STRING_BREAKS)
+    rows = parsed.select("query_id", "text").distinct()
+    require_empty(duplicates(rows, "query_id"), "Queries of one id but several texts")
     return rows
 
 
-def read_qrels(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """query_id, passage_id, relevance of a judgment file, checked against its queries."""
-    parsed = parse_qrel_lines(_lines(spark, path))
-    require_empty(parsed.where("problem IS NOT NULL").select((F.col("at") + 1).alias("number"), "problem"), "Malformed or invalid qrel at line")
-    rows = parsed.select("query_id", "passage_id", "relevance")
-    require_empty(duplicates(rows, "query_id", "passage_id"), "Duplicate judgment")
-    require_empty(outside(rows, queries, "query_id").select("query_id").distinct(), "Missing query")
+def read_qrels(spark: SparkSession, path: str, queries: DataFrame, *, order: bool = False) -> DataFrame:
+    """query_id, passage_id, relevance of a judgment file, checked against its queries; with ``order`` also seq, which rises line by line."""
+    parsed = parse_qrel_lines(file_lines(spark, [path], STRING_BREAKS))
+    _fail(spark, parsed.where("problem IS NOT NULL"), [path], STRING_BREAKS)
+    rows = parsed.select("query_id", "passage_id", "relevance", *["seq"] * order)
+    require_empty(duplicates(rows, "query_id", "passage_id"), "Pairs that are judged twice")
+    require_empty(unknown_queries(rows, queries), "Judged queries that the query file lacks")
     if rows.isEmpty():
-        raise InvalidData("No judgments found")
+        raise InvalidData("The judgment file has no line")
     return rows
 
 
-def read_corpus(spark: SparkSession, paths: list[str], required: DataFrame) -> DataFrame:
+def unknown_queries(qrels: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id of judged queries that don't exist."""
+    return outside(qrels, queries, "query_id").select("query_id").distinct()
+
+
+def missing_passages(required: DataFrame, found: DataFrame) -> DataFrame:
+    """passage_id of required passages that weren't found."""
+    return outside(required, found, "passage_id").select("passage_id").distinct()
+
+
+def shard_paths(paths: list[str], required: DataFrame) -> list[str]:
+    """Of corpus shards, named by their number, those that a required passage is in; files of other names count as all numbers."""
+    wanted = {r[0] for r in required.select(F.regexp_extract("passage_id", PASSAGE_ID, 1)).distinct().collect()}  # a row for each shard
+    number = {p: os.path.basename(p).split(".")[0].removeprefix(PREFIX) for p in paths}
+    return [p for p in paths if not number[p].isdigit() or number[p] in wanted]
+
+
+def with_offsets(lines: DataFrame) -> DataFrame:
+    """``lines`` (run, seq, line) with offset: the bytes of the file before each line, uncompressed.
+
+    Lengths alone are sorted and summed, file by file; a line ends with one byte.
+    """
+    before = W.partitionBy("run").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    sized = lines.select("run", "seq", (F.octet_length("line") + 1).cast("bigint").alias("_size"))
+    return lines.join(sized.select("run", "seq", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("bigint")).alias("offset")), ["run", "seq"])
+
+
+def parse_corpus_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (…, line) of JSON to passage_id, text, document_id, spans, beside the other columns."""
+    rest = [c for c in lines.columns if c != "line"]
+    rows = lines.select(*rest, F.from_json("line", schemas.CORPUS).alias("p"))
+    return rows.select(*rest, F.col("p.pid").alias("passage_id"), F.col("p.passage").alias("text"), F.col("p.docid").alias("document_id"), "p.spans")
+
+
+def misplaced(passages: DataFrame) -> DataFrame:
+    """Of passages (run, offset, passage_id), those whose id isn't that of their shard and place in it."""
+    part = lambda i: F.regexp_extract("passage_id", PASSAGE_ID, i)
+    shard = F.regexp_extract("run", r"^(?:msmarco_passage_)?([0-9]+)(?:\..*)?\z", 1)
+    return passages.where((part(2).try_cast("bigint").isNull()) | (part(2).try_cast("bigint") != F.col("offset")) | ((shard != "") & (shard != part(1))))
+
+
+def read_corpus(spark: SparkSession, paths: list[str], required: DataFrame, *, check_offsets: bool = False) -> DataFrame:
     """The required passages of JSON-line shards (gzip or plain); a missing or malformed one raises.
 
-    The optimizer broadcasts the required ids only under its own size threshold; else both sides are shuffled.
+    Only shards that the required ids name are read. With ``check_offsets`` an id must also say at which byte of which
+    shard it stands. The optimizer broadcasts the required ids only under its own size threshold; else both sides are shuffled.
     """
-    corpus = spark.read.schema(schemas.CORPUS).json(paths).withColumnRenamed("pid", "passage_id")
-    found = corpus.join(required.select("passage_id").distinct(), "passage_id", "left_semi")
-    rows = found.select("passage_id", F.col("passage").alias("text"), F.col("docid").alias("document_id"), "spans")
-    require_empty(rows.where("text IS NULL OR document_id IS NULL OR spans IS NULL").select("passage_id"), "Malformed passage")
-    require_empty(outside(required, rows, "passage_id").select("passage_id").distinct().orderBy("passage_id"), "Missing passages")
+    own = shard_paths(paths, required)
+    wanted = required.select("passage_id").distinct()
+    if not own:
+        require_empty(wanted.orderBy("passage_id"), "Passages that no shard has")
+    lines = file_lines(spark, own or paths)
+    corpus = parse_corpus_lines(with_offsets(lines) if check_offsets else lines)
+    found = corpus.join(wanted, "passage_id", "left_semi")
+    if check_offsets:
+        require_empty(misplaced(found).select("passage_id", "run", "offset"), "Passages at another place than their id says")
+    rows = found.select("passage_id", "text", "document_id", "spans")
+    require_empty(rows.where("text IS NULL OR document_id IS NULL OR spans IS NULL").select("passage_id"), "Passages that lack a field")
+    require_empty(missing_passages(required, rows).orderBy("passage_id"), "Passages that no shard has")
     return rows.dropDuplicates(["passage_id"])
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """The checkpoint of a judging run; none yet gives an empty table, a line of other shape raises.
-
-    The schema is strict: a grade written as 1.0, true or "1" is no whole number.
-    """
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    """The checkpoint of a judging run; none yet gives an empty table, a line of other shape raises."""
+    if not tables.exists(path):
         return spark.createDataFrame([], schemas.JUDGMENTS)
-    lines = spark.read.text(path).where(~blank(F.col("value")))
-    rows = lines.select(F.from_json("value", f"{schemas.JUDGMENTS}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("j")).select("j.*")
-    require_empty(rows.where("_bad IS NOT NULL").select("_bad"), "Invalid judgment")
-    return rows.drop("_bad")
+    lines = spark.read.text(path)
+    if "failed" in lines.columns:
+        lines = lines.where(F.col("failed") == 0)
+    rows = parse_judgment_lines(lines.select(F.col("value").alias("line")))
+    require_empty(rows.where("problem IS NOT NULL").select("line"), "Lines that are no judgment")
+    return rows.drop("line", "problem")
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, passage_id, error, type and attempt of the pairs that failed, from the same checkpoint."""
+    schema = f"{schemas.FAILURES}, attempt STRING"
+    lines = spark.read.text(path) if tables.exists(path) else None
+    if lines is None or "failed" not in lines.columns:
+        return spark.createDataFrame([], schema)
+    return lines.where(F.col("failed") == 1).select(F.from_json("value", schemas.FAILURES).alias("f"), F.col("attempt").cast("string").alias("attempt")).select("f.*", "attempt")
 
 
 def latest(judgments: DataFrame) -> DataFrame:

@@ -11,18 +11,16 @@ from gradus.operators import judging
 from gradus.sources import trec
 
 
-def judge_stream(pairs: DataFrame, queries: DataFrame, passages: DataFrame, make_judge: Callable[[], judging.Judge], path: str, failures: str, progress: str, *, concurrency: int = 16, **trigger) -> StreamingQuery:
-    """Append judgments of streamed qrels to ``path`` and failures to ``failures``; ``progress`` holds the offsets.
+def judge_stream(pairs: DataFrame, queries: DataFrame, passages: DataFrame, make_judge: Callable[[], judging.Judge], path: str, progress: str, *, concurrency: int = 16, trigger: dict | None = None, **paced) -> StreamingQuery:
+    """Append judgments of streamed qrels to the checkpoint ``path``, failures among them; ``progress`` holds the offsets.
 
-    A batch that runs again after a loss judges only pairs that the checkpoint still lacks.
+    A batch is written by one job, and one that runs again after a loss judges only pairs that the checkpoint still lacks.
+    ``trec.read_failures`` has the pairs that failed, with the batch as attempt. ``paced`` goes to ``judge_pairs``.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         done = trec.read_judgments(rows.sparkSession, path)
         left = judging.pending(judging.inputs(rows.dropDuplicates(["query_id", "passage_id"]), queries, passages), done)
-        judged = judging.judge_pairs(left.repartition(concurrency), make_judge).persist()
-        judged.where("error IS NULL").drop("error", "type").write.mode("append").json(path)
-        judged.where("error IS NOT NULL").select("query_id", "passage_id", "error", "type").write.mode("append").json(failures)
-        judged.unpersist()
+        judging.append(judging.judge_pairs(left.repartition(concurrency), make_judge, **paced), path, f"batch-{number}")
 
     return pairs.writeStream.foreachBatch(batch).option("checkpointLocation", progress).trigger(**(trigger or {"availableNow": True})).start()

@@ -10,7 +10,7 @@ from gradus import cli
 P = "msmarco_passage_00_"
 
 
-@pytest.mark.parametrize("more", [["--reasoning-effort", "low"], ["--rpm", "5"], ["--method", "structured", "--tpm", "0"], ["--concurrency", "0"], ["--method", "other"]])
+@pytest.mark.parametrize("more", [["--reasoning-effort", "low"], ["--rpm", "5"], ["--method", "structured", "--tpm", "0"], ["--concurrency", "0"], ["--threads", "0"], ["--local-runs", "--download-only"], ["--method", "other"]])
 def test_options_that_do_not_go_together(more):
     with pytest.raises(SystemExit):
         cli.parse(["judge", "--collection", "c", "--data-dir", "d", *more])
@@ -19,7 +19,7 @@ def test_options_that_do_not_go_together(more):
 def test_signature_leaves_out_limits():
     one, two = (cli.parse(["judge", "--collection", "c", "--data-dir", "d", "--method", "structured", *x]) for x in ([], ["--rpm", "9", "--concurrency", "2"]))
     assert cli.configuration(one) == cli.configuration(two)
-    assert cli.factory(two)()("q", "passage")["predicted_relevance"] in range(4)
+    assert cli.factory(two)()("q", "passage")["predicted_relevance"] in range(4) and cli.pace(two)().rates[0] == 9 / 60 / 2
 
 
 def test_all_commands(spark, tmp_path, capsys):
@@ -35,5 +35,7 @@ def test_all_commands(spark, tmp_path, capsys):
     for n in ("a", "b"):
         (tmp_path / f"data/runs/{n}.run").write_text(f"1 Q0 {P}1 0 {ord(n)} t\n2 Q0 {P}2 0 1 t\n")
     cli.main(["judge", "--collection", made, "--data-dir", data, "--concurrency", "2"])
-    cli.main(["report", "--collection", made, "--data-dir", data])
+    cli.main(["report", "--collection", made, "--data-dir", data, "--local-runs"])
     assert "system_rank_correlations" in capsys.readouterr().out
+    cli.main(["report", "--collection", made, "--data-dir", data, "--runs", str(tmp_path / "copied"), "--fetch-from", f"{data}/runs", "--download-only"])
+    assert "2 run files" in capsys.readouterr().out and (tmp_path / "copied/manifest.json").exists()
