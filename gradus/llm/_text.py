@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 
 U = np.uint64
 CHUNK = 1 << 20
+SLICE = 4 << 20  # bytes of the rows that a Python worker holds as its own objects at a time, about
 _P = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -52,6 +54,42 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return got
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def slices(batches: Batches, size: int = SLICE) -> Batches:
+    """The same rows in runs of about ``size`` bytes, without a copy; a single row is never divided."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
+def release() -> None:
+    """Give back what this worker holds beside its imports: tables of powers, freed Arrow buffers, freed heap."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` for mapInArrow on ``slices``, and ``release`` when the task is done.
+
+    Workers stay alive for a while after their task, beside those of the stages that follow; what they keep counts
+    against the executor's memory as much as what is in use.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(slices(batches))
+        finally:
+            release()
+
+    return run
+
+
 class Words(NamedTuple):
     hash: np.ndarray  # uint64 of each word
     start: np.ndarray  # byte positions in the chunk

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm._text import ALNUM_LOWER, chunks, split_words
+from gradus.llm._store import settle
+from gradus.llm._text import ALNUM_LOWER, chunks, lean, split_words
 
 SHARD = 4 << 20
 SAMPLE = 8
@@ -188,91 +189,123 @@ def occurrences(hashes: np.ndarray, doc: np.ndarray, wanted: Phrases) -> tuple[n
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with _hits: words (bigint), word spans and item ids that occur, all sorted; a column of that name is replaced.
-
-    Items are gathered in blocks of at most about ``PHRASE_BYTES`` of text, each broadcast and searched in every shard
-    in turn, so any number of items is searched whole, without a shuffle. Words are runs of letters, digits and
-    characters beyond ASCII, A-Z lowered. A null text has no words; null items have none; an item of fewer than ``width``
-    words is searched whole; item ids are compared as strings.
-    """
+HITS = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+
+def _found(texts: pa.Array, old: pa.Array, wanted: Phrases) -> list[dict]:
+    """Per text: its words, and spans and items that occur, joined with those found before."""
+    made: list[dict] = []
+    for lo, hi, raw, offsets in chunks(texts, SHARD):
+        words = split_words(raw, offsets, ALNUM_LOWER)
+        phrase, at = occurrences(words.hash, words.doc[:-1], wanted)
+        count = np.diff(words.doc)
+        cover = np.zeros(len(words.hash) + 1, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + wanted.length[phrase], -1)
+        covered = np.cumsum(cover)[:-1] > 0
+        owner = np.searchsorted(words.doc, at, "right") - 1
+        items: dict[int, set[int]] = {}
+        for d, p in np.unique(np.stack([owner, phrase]), axis=1).T.tolist():
+            items.setdefault(d, set()).update(wanted.items[wanted.item_from[p] : wanted.item_from[p + 1]].tolist())
+        for d in range(hi - lo):
+            before = old[lo + d].as_py()
+            spans, names = [], [wanted.names[i] for i in items.get(d, ())] + (before["items"] if before else [])
+            if names:
+                own = covered[words.doc[d] : words.doc[d + 1]].copy()
+                for s in before["spans"] if before else ():
+                    own[s["start"] : s["end"]] = True
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
+                spans = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
+            made.append({"words": int(count[d]), "spans": spans, "items": sorted(names)})
+    return made
+
+
+def _without(texts: pa.Array, hits: list[dict]) -> pa.Array:
+    """The texts without the bytes from the first to the last word of each span."""
+    if not any(h["spans"] for h in hits):
+        return texts
+    out = []
+    for said, h in zip(texts, hits, strict=True):
+        if h["spans"]:
+            raw = said.as_py().encode()
+            words = split_words(raw, np.array([0, len(raw)]), ALNUM_LOWER)
+            edges = [0, *[e for s in h["spans"] for e in (int(words.start[s["start"]]), int(words.end[s["end"] - 1]))], len(raw)]
+            out.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)).decode())
+        else:
+            out.append(said.as_py())
+    return pa.array(out, texts.type)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, width: int, text: str, item_id: str, item_text: str, cut: bool) -> DataFrame:
+    """``docs`` with _hits; with ``cut`` the last pass leaves the spans out of the texts, so that one worker does both."""
     spark = docs.sparkSession
     tests = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("said")).where("name IS NOT NULL")
     total = tests.agg(F.sum(F.octet_length("said"))).first()[0] or 0
     n_blocks = 1 + total * 2 // PHRASE_BYTES
-    kind = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     out = docs.drop("_hits").withColumn("_hits", F.lit(None).cast(f"struct<words:bigint,spans:{SPANS},items:array<string>>"))
     for k in range(n_blocks):
         block = tests.where(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == k)
         sent = spark.sparkContext.broadcast(phrases([(r[0], r[1]) for r in block.collect()], width))
 
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], sent=sent, cut=cut and k == n_blocks - 1) -> Iterator[pa.RecordBatch]:
             wanted = sent.value
             for batch in batches:
-                texts, hits = batch.column(batch.schema.get_field_index(text)), batch.column(batch.num_columns - 1)
-                made: list[dict] = []
-                for lo, hi, raw, offsets in chunks(texts, SHARD):
-                    words = split_words(raw, offsets, ALNUM_LOWER)
-                    phrase, at = occurrences(words.hash, words.doc[:-1], wanted)
-                    count = np.diff(words.doc)
-                    cover = np.zeros(len(words.hash) + 1, np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + wanted.length[phrase], -1)
-                    covered = np.cumsum(cover)[:-1] > 0
-                    owner = np.searchsorted(words.doc, at, "right") - 1
-                    items: dict[int, set[int]] = {}
-                    for d, p in np.unique(np.stack([owner, phrase]), axis=1).T.tolist():
-                        items.setdefault(d, set()).update(wanted.items[wanted.item_from[p] : wanted.item_from[p + 1]].tolist())
-                    for d in range(hi - lo):
-                        spans, names = [], [wanted.names[i] for i in items.get(d, ())]
-                        old = hits[lo + d].as_py()
-                        if names or old and old["items"]:
-                            own = covered[words.doc[d] : words.doc[d + 1]].copy()
-                            for s in old["spans"] if old else ():
-                                own[s["start"] : s["end"]] = True
-                            edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-                            spans = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
-                        made.append({"words": int(count[d]), "spans": spans, "items": sorted(names + (old["items"] if old else []))})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, kind)], batch.schema.names)
-
-        out = out.mapInArrow(work, out.schema)
+                at, columns = batch.schema.get_field_index(text), list(batch.columns)
+                made = _found(columns[at], columns[-1], wanted)
+                if cut:
+                    columns[at] = _without(columns[at], made)
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(made, HITS)], batch.schema.names)
+
+        out = out.mapInArrow(lean(work), out.schema)
+        if k < n_blocks - 1:
+            out = settle(out, "hits")  # a pass for each block, so that no task holds more than one
     return out
 
 
+def mark(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with _hits: words (bigint), word spans and item ids that occur, all sorted; a column of that name is replaced.
+
+    Items are gathered in blocks of at most about ``PHRASE_BYTES`` of text, each broadcast and searched in every shard
+    in a pass of its own, so any number of items is searched whole, without a shuffle, and a task holds one block. Words
+    are runs of letters, digits and characters beyond ASCII, A-Z lowered. A null text has no words; null items have none;
+    an item of fewer than ``width`` words is searched whole; item ids are compared as strings. Rows that repeat are
+    searched alike; an empty table stays empty.
+    """
+    return _search(docs, benchmark, width, text, item_id, item_text, cut=False)
+
+
 def digests(marked: DataFrame) -> DataFrame:
     """Per marked document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hit = F.aggregate("_hits.spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return marked.select("doc_id", F.col("_hits.words").alias("n_words"), hit.alias("n_hit"), F.size("_hits.items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "_hits.items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def _kept(cut: DataFrame, text: str, chars: str | None) -> DataFrame:
+    """The cut documents that have words left, with ``chars`` brought up to date and without _hits."""
+    whole = F.aggregate("_hits.spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    hit = F.size("_hits.spans") > 0
+    left = cut.where(~hit | (whole < F.col("_hits.words")))
+    if chars and chars in cut.columns:
+        left = left.withColumn(chars, F.when(hit, F.length(text).cast(cut.schema[chars].dataType)).otherwise(F.col(chars)))
+    return left.drop("_hits")
+
+
 def remove(marked: DataFrame, *, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
     """The marked documents without the bytes from the first to the last word of each span; ``chars`` is brought up to date.
 
-    A document without spans keeps its text as it is; one of which no word is left goes.
+    A document without spans keeps its text as it is, null or empty as well; one of which no word is left goes.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, texts = batch.schema.get_field_index(text), []
-            for lo, hi, raw, offsets in chunks(batch.column(at)):
-                words = split_words(raw, offsets, ALNUM_LOWER)
-                for d in range(hi - lo):
-                    spans = batch.column(batch.num_columns - 1)[lo + d].as_py()["spans"]
-                    parts, here = [], int(offsets[d])
-                    for s in spans:
-                        parts.append(raw[here : words.start[words.doc[d] + s["start"]]])
-                        here = int(words.end[words.doc[d] + s["end"] - 1])
-                    texts.append(b"".join([*parts, raw[here : offsets[d + 1]]]).decode() if spans else batch.column(at)[lo + d].as_py())
-            columns = batch.columns
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            at, columns = batch.schema.get_field_index(text), list(batch.columns)
+            columns[at] = _without(columns[at], columns[-1].to_pylist())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    whole = F.aggregate("_hits.spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
-    hit = F.size("_hits.spans") > 0
-    left = marked.where(~hit | (whole < F.col("_hits.words")))
-    left = left.mapInArrow(work, left.schema)
-    if chars and chars in marked.columns:
-        left = left.withColumn(chars, F.when(F.size("_hits.spans") > 0, F.length(text).cast(marked.schema[chars].dataType)).otherwise(F.col(chars)))
-    return left.drop("_hits")
+    marked = marked.select(*[c for c in marked.columns if c != "_hits"], "_hits")
+    return _kept(marked.mapInArrow(lean(work), marked.schema), text, chars)
+
+
+def cut(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """``remove(mark(docs, benchmark))`` in one pass over the texts."""
+    return _kept(_search(docs, benchmark, width, text, "item_id", "text", cut=True), text, chars)

@@ -2,13 +2,12 @@
 
 The pieces are those of a public vocabulary, which is only read. For each language, expectation maximisation over the
 words of labelled texts gives each piece a probability; the forward sum over all ways to cut a word into pieces gives
-the probability of the word. A text's score is the posterior of its best language under equal priors.
+the probability of the word, however long it is. A text's score is the posterior of its best language at its mean word
+under equal priors, so that it doesn't run to 1 with the length of the text.
 """
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,28 +18,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradus.llm._text import U, chunks
+from gradus.llm._text import U, chunks, lean
 
 UNDETERMINED = "und"
 TRAIN_TEXTS = 300  # labelled texts of each language that the model is fitted on, at most about
-WORD = 40  # letters; longer words are scored in parts of that length
+TRAIN_LETTERS = 40  # longer words of those texts aren't learned from; all are scored whole
 UNKNOWN = 1e-9  # probability of a letter that is no piece
 SPREAD = 4.0  # of a letter's log probability above that of even pieces: a mean over n letters is uncertain by SPREAD / sqrt(n)
-SCALE = 65536.0  # each letter's, in sums over segmentations: without it those of WORD unknown letters are 0
-CACHE = 200_000
+SCALE = 65536.0  # each letter's, while fitting: without it sums over TRAIN_LETTERS unknown letters are 0
+STEP = 16  # letters after which the sums of a word are scaled again, while scoring: UNKNOWN to that power is no 0
+LETTERS = 200_000  # of the words whose pieces are looked up at a time
+CACHE = 200_000  # words that a task remembers
 _BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_SIEVE = 20  # bits of a hash that tell most strings from pieces before they are looked up
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Model(NamedTuple):
-    name: str
     languages: list[str]
     keys: np.ndarray  # sorted hashes of the pieces
     length: int  # of the longest piece
     probability: np.ndarray  # (pieces + 1, languages); the last row is for no piece
 
 
+class Hits(NamedTuple):
+    """Occurrences of pieces in words; a letter that is no piece has the number after the last piece."""
+
+    end: np.ndarray
+    owner: np.ndarray  # number of the word
+    span: np.ndarray  # letters
+    piece: np.ndarray
+
+
 def pieces(path: str) -> list[str]:
     """Lower-cased pieces of letters, with a leading mark where they begin a word."""
     from sentencepiece import SentencePieceProcessor
@@ -51,93 +62,143 @@ def pieces(path: str) -> list[str]:
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, longest) code points behind a mark, 0 beyond the end; lengths with the mark."""
+    """(longest, words) code points behind a mark, 0 beyond the end; lengths with the mark."""
     size = np.array([len(w) + 1 for w in words])
-    flat = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le"), np.uint32)
+    flat = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.zeros((len(words), int(size.max())), np.uint32)
     out[np.arange(out.shape[1]) < size[:, None]] = flat
-    return out, size
-
-
-def _prefixes(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros((codes.shape[1] + 1, len(codes)), np.uint64)
-    for j in range(codes.shape[1]):
-        out[j + 1] = out[j] * U(_BASE) + codes[:, j] + U(1)
-    return out
+    return np.ascontiguousarray(out.T), size
 
 
 def _piece_hashes(texts: list[str]) -> np.ndarray:
-    out = []
-    for t in texts:
-        h = 0
-        for c in t:
-            h = (h * _BASE + ord(c) + 1) & ((1 << 64) - 1)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def _edges(words: list[str], keys: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """End, start, words and pieces of all piece occurrences, by end; a letter that is no piece has the number ``len(keys)``."""
-    codes, size = _codes(words)
-    prefix = _prefixes(codes)
-    power = [pow(_BASE, k, 1 << 64) for k in range(length + 1)]
-    for end in range(1, codes.shape[1] + 1):
-        inside = np.flatnonzero(size >= end)
-        for start in range(max(0, end - length), end):
-            h = prefix[end][inside] - prefix[start][inside] * U(power[end - start])
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
-            if end - start == 1:
-                yield end, start, inside, np.where(hit, at, len(keys))
-            elif hit.any():
-                yield end, start, inside[hit], at[hit]
+    return np.array([sum((ord(c) + 1) * pow(_BASE, j, 1 << 64) for j, c in enumerate(t)) & ((1 << 64) - 1) for t in texts], np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of words, given by length, that make a table of about ``LETTERS`` letters."""
+    lo = 0
+    while lo < len(sizes):
+        some = sizes[lo : lo + LETTERS]
+        hi = lo + max(1, int((np.arange(1, len(some) + 1) * some <= LETTERS).sum()))
+        yield lo, hi
+        lo = hi
+
+
+def _hits(codes: np.ndarray, size: np.ndarray, first: int, last: int, keys: np.ndarray, length: int) -> Hits:
+    """The pieces that end after letters ``first`` + 1 to ``last`` of the words, by end, then word."""
+    base = max(0, first + 1 - length)
+    power, inverse = _powers(_BASE, last - base), _powers(_BASE_INVERSE, last - base + 1)
+    total = np.zeros((last - base + 1, codes.shape[1]), np.uint64)
+    np.cumsum((codes[base:last].astype(np.uint64) + U(1)) * power[:, None], axis=0, out=total[1:])
+    sieve = np.zeros(1 << _SIEVE, bool)
+    sieve[keys >> U(64 - _SIEVE)] = True
+    found = []
+    for k in range(1, min(length, last) + 1):
+        ends = np.arange(max(first + 1, k), last + 1)
+        h = (total[ends - base] - total[ends - base - k]) * inverse[ends - base - k][:, None]
+        inside = ends[:, None] <= size
+        i, own = np.nonzero(inside if k == 1 else inside & sieve[h >> U(64 - _SIEVE)])
+        own_hash = h[i, own]
+        at = np.minimum(np.searchsorted(keys, own_hash), len(keys) - 1)
+        hit = keys[at] == own_hash
+        if k == 1:
+            at = np.where(hit, at, len(keys))
+        else:
+            i, own, at = i[hit], own[hit], at[hit]
+        found.append((ends[i], own, np.full(len(i), k), at))
+    end, owner, span, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(end * codes.shape[1] + owner, kind="stable")
+    return Hits(end[order], owner[order], span[order], piece[order])
+
+
+def _summed(part: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+    """Put the sums of the rows of each owner, which are in order, into the rows of ``out``."""
+    if len(owner):
+        head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        out[owner[head]] = np.add.reduceat(part, head)
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """Log probability of each word in each language, over all segmentations."""
-    size = np.array([len(w) + 1 for w in words])
-    alpha = np.zeros((int(size.max()) + 1, len(words), len(model.languages)))
-    alpha[0] = 1
-    for end, start, own, piece in _edges(words, model.keys, model.length):
-        alpha[end][own] += alpha[start][own] * (model.probability[piece] * SCALE ** (end - start))
-    return np.log(alpha[size, np.arange(len(words))]) - size[:, None] * np.log(SCALE)
+    """Log probability of each word in each language, over all segmentations.
+
+    Only the sums at the last ``model.length`` letters are kept; they are scaled every ``STEP`` letters.
+    """
+    codes, size = _codes(words)
+    around, width = model.length + 1, max(1, LETTERS // len(words))
+    ring = np.zeros((around, len(words), len(model.languages)))
+    ring[0] = 1
+    logs = np.zeros(ring.shape[1:])
+    out = np.zeros_like(logs)
+    for first in range(0, len(codes), width):
+        last = min(first + width, len(codes))
+        hits = _hits(codes, size, first, last, model.keys, model.length)
+        edge = np.searchsorted(hits.end, np.arange(first + 1, last + 2))
+        for e in range(first + 1, last + 1):
+            some = slice(edge[e - first - 1], edge[e - first])
+            own, here = hits.owner[some], ring[e % around]
+            part = ring[(e - hits.span[some]) % around, own] * model.probability[hits.piece[some]]
+            here[:] = 0
+            _summed(part, own, here)
+            done = np.flatnonzero(size == e)
+            if len(done):
+                out[done] = np.log(here[done]) + logs[done]
+            if e % STEP == 0:
+                scale = np.where(here > 0, here, 1.0)
+                ring /= scale
+                logs += np.log(scale)
+    return out
 
 
 def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = 3) -> Model:
-    """Piece probabilities of each language from its word counts."""
+    """Piece probabilities of each language from its word counts; of words of ``TRAIN_LETTERS`` letters at most."""
     languages = sorted(counts)
     names = pieces(vocabulary)
     hashes = _piece_hashes(names)
     order = np.argsort(hashes)
     keys, longest = hashes[order], max(map(len, names))
-    words = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts[x].get(w, 0) for x in languages] for w in words], float)
+    words = sorted({w for c in counts.values() for w in c if len(w) <= TRAIN_LETTERS}, key=lambda w: (len(w), w))
+    weight = np.array([[counts[x].get(w, 0) for x in languages] for w in words], float).reshape(len(words), len(languages))
     probability = np.full((len(keys) + 1, len(languages)), 1 / len(keys))
     probability[-1] = UNKNOWN
+    parts = list(_runs(np.array([len(w) + 1 for w in words], np.int64)))
     for _ in range(rounds):
         total = np.zeros_like(probability)
-        for lo in range(0, len(words), 20_000):
-            part, w = words[lo : lo + 20_000], weight[lo : lo + 20_000]
-            size = np.array([len(x) + 1 for x in part])
-            edges = list(_edges(part, keys, longest))
-            alpha = np.zeros((int(size.max()) + 1, len(part), len(languages)))
-            alpha[0] = 1
-            for end, start, own, piece in edges:
-                alpha[end][own] += alpha[start][own] * (probability[piece] * SCALE ** (end - start))
-            beta = np.zeros_like(alpha)
-            rows = np.arange(len(part))
-            whole = alpha[size, rows]
-            beta[size, rows] = w / whole
-            for end, start, own, piece in reversed(edges):
-                beta[start][own] += beta[end][own] * (probability[piece] * SCALE ** (end - start))
-            for end, start, own, piece in edges:
-                seen = alpha[start][own] * (probability[piece] * SCALE ** (end - start)) * beta[end][own]
-                for x in range(len(languages)):
-                    total[:, x] += np.bincount(piece, seen[:, x], len(total))
+        for lo, hi in parts:
+            _expect(words[lo:hi], weight[lo:hi], keys, longest, probability, total)
         total[-1] = 0
         probability = (total + 0.01) / (total.sum(axis=0) + 0.01 * len(keys))
         probability[-1] = UNKNOWN
-    return Model(uuid.uuid4().hex, languages, keys, longest, probability)
+    return Model(languages, keys, longest, probability)
+
+
+def _expect(words: list[str], weight: np.ndarray, keys: np.ndarray, longest: int, probability: np.ndarray, total: np.ndarray) -> None:
+    """Add how often each piece is expected in the segmentations of the words, by forward and backward sums."""
+    codes, size = _codes(words)
+    hits = _hits(codes, size, 0, len(codes), keys, longest)
+    rows, chance = np.arange(len(words)), probability[hits.piece] * SCALE ** hits.span[:, None]
+    start = hits.end - hits.span
+    alpha = np.zeros((len(codes) + 1, *weight.shape))
+    alpha[0] = 1
+    edge = np.searchsorted(hits.end, np.arange(1, len(codes) + 2))
+    for e in range(1, len(codes) + 1):
+        some = slice(edge[e - 1], edge[e])
+        _summed(alpha[start[some], hits.owner[some]] * chance[some], hits.owner[some], alpha[e])
+    beta = np.zeros_like(alpha)
+    beta[size, rows] = weight / alpha[size, rows]
+    back = np.argsort(start * len(words) + hits.owner, kind="stable")
+    edge = np.searchsorted(start[back], np.arange(len(codes) + 1))
+    for s in range(len(codes) - 1, -1, -1):
+        some = back[edge[s] : edge[s + 1]]
+        _summed(beta[hits.end[some], hits.owner[some]] * chance[some], hits.owner[some], beta[s])
+    seen = alpha[start, hits.owner] * chance * beta[hits.end, hits.owner]
+    for x in range(weight.shape[1]):
+        total[:, x] += np.bincount(hits.piece, seen[:, x], len(total))
 
 
 def split(raw: bytes) -> list[bytes]:
@@ -145,14 +206,9 @@ def split(raw: bytes) -> list[bytes]:
     return raw.translate(_LETTERS).split()
 
 
-@functools.lru_cache(50_000)
 def letters(word: bytes) -> list[str]:
-    """The runs of letters in a run of ``split``, lowered, in parts that can be scored."""
-    if word.isascii():
-        runs = [word.decode()]
-    else:
-        runs = _RUN.findall(word.decode().lower())
-    return [r[i : i + WORD] for r in runs for i in range(0, len(r), WORD)]
+    """The runs of letters in a run of ``split``, lowered."""
+    return [word.decode()] if word.isascii() else _RUN.findall(word.decode().lower())
 
 
 def with_uniform(model: Model) -> Model:
@@ -172,8 +228,8 @@ class Scorer:
         flat = sorted({p for x in parts for p in x}, key=len)
         place = {p: i for i, p in enumerate(flat)}
         known = np.zeros((len(flat), len(self.model.languages)))
-        for lo in range(0, len(flat), 5000):
-            known[lo : lo + 5000] = word_scores(flat[lo : lo + 5000], self.model)
+        for lo, hi in _runs(np.array([len(p) + 1 for p in flat], np.int64)):
+            known[lo:hi] = word_scores(flat[lo:hi], self.model)
         size = np.array([len(x) for x in parts])
         rows = np.zeros((len(fresh), len(self.model.languages) + 2))
         rows[:, -1] = size > 0
@@ -204,9 +260,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def train(labelled: DataFrame, vocabulary: str, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", texts: int = TRAIN_TEXTS) -> Model | None:
     """A model from about ``texts`` labelled texts of each language, chosen by hash; None if none is labelled.
 
@@ -228,7 +281,7 @@ def train(labelled: DataFrame, vocabulary: str, *, text: str = "text", lang: str
                         found[name, part] = found.get((name, part), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
-    words = own.where(place < share).select(lang, text).mapInArrow(work, "lang string, word string, n bigint")
+    words = own.where(place < share).select(lang, text).mapInArrow(lean(work), "lang string, word string, n bigint")
     counts: dict[str, dict[str, int]] = {}
     for name, word, n in words.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
         counts.setdefault(name, {})[word] = n
@@ -239,7 +292,8 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred:
     """``docs`` with lang_pred and score, and on demand ``fit``, from the text alone; columns of those names are replaced.
 
     A text that is null, or without any letter, is ``und`` with score 0, as is every text if there is no model. Equal
-    scores go to the language first in order. ``fit`` names a column for the log probability a letter of the best language
+    scores go to the language first in order. The score is the best language's posterior at the text's mean word: 1 over
+    the number of languages where they are equally likely, however long the text. ``fit`` names a column for the log probability a letter of the best language
     above that of pieces drawn evenly, plus its uncertainty over so few letters: it doesn't grow with length and is below
     0 for what no learned language explains; null where the text is ``und``. Rows that repeat are judged alike; an empty table stays empty.
     """
@@ -250,10 +304,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        key = model and f"{model.name}/{len(model.languages)}"
-        if model and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model)
+        scorer = model and Scorer(model)  # of this task alone: what it remembers goes with it
         for batch in batches:
             names, scores, fits = [], [], []
             for lo, hi, raw, offsets in chunks(batch.column(batch.schema.get_field_index(text))):
@@ -262,10 +313,10 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred:
                     scores += [0.0] * (hi - lo)
                     fits += [None] * (hi - lo)
                     continue
-                total = _scorers[key].totals(raw, offsets)
+                total = scorer.totals(raw, offsets)
                 logs = total[:, : len(model.languages) - len(extra)]
                 best = logs.argmax(axis=1)
-                posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                posterior = 1 / np.exp((logs - logs.max(axis=1, keepdims=True)) / np.maximum(total[:, -1:], 1)).sum(axis=1)
                 some = total[:, -1] > 0
                 names += [model.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 scores += np.where(some, posterior, 0.0).tolist()
@@ -277,7 +328,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, pred, score, *extra])
 
     fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in extra]]
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, *fields]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -41,20 +41,33 @@ def source_rates(docs: DataFrame, weights: dict[str, float], *, default_weight:
     return rates.select("_source", "_chars", "_rate", cdf.alias("_cdf"))
 
 
+def _prefix(docs: DataFrame) -> str:
+    """Underscores that no column of ``docs`` begins with."""
+    tag = "_"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    return tag
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float], *, seed: int = 17, default_weight: float = 1.0, epochs: float = 1.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents, each repeated by a Poisson count of its source's rate, in a global random order.
 
     The count inverts the distribution at the hash of seed and id, so a run can be repeated after any loss.
-    Columns: those of ``docs`` (copy_no and names that begin with _ are replaced), then ``copy_no`` (int, from 1). Null or empty texts are drawn as others of their
-    source; rows that repeat are drawn alike; an empty table stays empty; all other columns are carried along.
+    Columns: those of ``docs`` (one named copy_no, in capitals or not, is replaced), then ``copy_no`` (int, from 1). Null or
+    empty texts are drawn as others of their source; rows that repeat are drawn alike; an empty table stays empty; all
+    other columns are carried along.
     The rates have a row for each source: Spark broadcasts them only under its own size threshold, else it
     sort-merges, splitting a hot source.
     """
-    docs = docs.select(*[c for c in docs.columns if c != "copy_no" and not c.startswith("_")])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy_no"])
+    own, tag = [F.col(f"`{c}`") for c in docs.columns], _prefix(docs)
     rates = settle(source_rates(docs, weights, default_weight=default_weight, epochs=epochs, text=text, source=source), "source-rates")
-    drawn = docs.join(rates.select(F.col("_source").alias("_rate_source"), "_cdf"), F.col(source).eqNullSafe(F.col("_rate_source")), "left")
-    count = F.coalesce(F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))), F.lit(0))
-    copies = drawn.withColumn("_u", uniform(seed, docs[doc_id])).withColumn("_n", F.when(F.col("_cdf").isNull(), 0).otherwise(count)).where("_n > 0")
-    out = copies.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
-    out = out.withColumn("_place", F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy_no")))
-    return out.repartition(F.col("_place")).sortWithinPartitions("_place").drop("_place")
+    rates = rates.select(F.col("_source").alias(f"{tag}of"), F.col("_cdf").alias(f"{tag}cdf"))
+    at = uniform(seed, F.col(doc_id))
+    count = F.coalesce(F.size(F.filter(f"{tag}cdf", lambda c: c <= F.col(f"{tag}at"))), F.lit(0))
+    drawn = docs.join(rates, F.col(source).eqNullSafe(F.col(f"{tag}of")), "left").withColumn(f"{tag}at", at)
+    drawn = drawn.withColumn(f"{tag}n", F.when(F.col(f"{tag}cdf").isNull(), 0).otherwise(count)).where(F.col(f"{tag}n") > 0)
+    out = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col(f"{tag}n"))).alias("copy_no"))
+    place = f"{tag}place"
+    out = out.withColumn(place, F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy_no")))
+    return out.repartition(F.col(place)).sortWithinPartitions(place).drop(place)

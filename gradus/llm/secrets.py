@@ -6,14 +6,18 @@ import math
 import random
 import re
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gradus.llm._text import lean
+
+if TYPE_CHECKING:
+    import pandas as pd  # the driver alone uses it; it would take its share of each Python worker
+
 MAX_FINDINGS = 20_000  # labelled findings that the forest is fitted on, at most
 SIDE = 40  # characters on either side that count as neighbours
 WIDTH = 256  # characters beyond which a value's alphabet is taken not to grow
@@ -171,6 +175,8 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 9, least
 
 def invented_findings(n: int, seed: int) -> pd.DataFrame:
     """Labelled findings (before, value, after, path, secret) drawn from a seeded rule: no secret in it is real."""
+    import pandas as pd
+
     r = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     words = sorted(WORDS)
@@ -292,4 +298,4 @@ def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | Non
                 redacted.append(t)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(f) for f in found], pa.int64()), pa.array(secrets, kind), pa.array(redacted, pa.string())], [*batch.schema.names, "_candidates", "_secrets", "_redacted"])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("_candidates", T.LongType()), T.StructField("_secrets", SPANS), T.StructField("_redacted", T.StringType())]))
+    return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, T.StructField("_candidates", T.LongType()), T.StructField("_secrets", SPANS), T.StructField("_redacted", T.StringType())]))

@@ -23,6 +23,12 @@ def test_odd_rows(spark):
         mixing.mix_sources(docs(spark, rows), {"x": -1.0})
 
 
+def test_other_columns_stay(spark):
+    rows = spark.createDataFrame([(i, "text", "a", i, 2, 3, "x") for i in range(30)], "doc_id long, text string, source string, `_mine` long, COPY_NO int, `__n` int, `a.b` string")
+    out = mixing.mix_sources(rows, {})
+    assert out.columns == ["doc_id", "text", "source", "_mine", "__n", "a.b", "copy_no"] and all(r["_mine"] == r.doc_id and r["__n"] == 3 and r["a.b"] == "x" for r in out.collect())
+
+
 def test_shares_and_poisson(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("word " * 10).alias("text"), F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("source"))
     out = mixing.mix_sources(rows, {"small": 1.0, "big": 1.0})

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gradus.llm import decontaminate, language, mixing, pipeline, queries, secrets
 from tests.conftest import SMALL
@@ -14,7 +16,8 @@ def test_stages_against_plain_code(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = language.train(docs.where(~language.held_out()), queries.PIECES)
     said = {r.doc_id: r for r in language.identify(docs, model).collect()}
-    kept = {i: r.text for i, r in rows.items() if said[i].lang_pred != "und" and said[i].score >= pipeline.LEAST_SCORE}
+    fits = {r.doc_id: r.fit for r in language.identify(docs, model, fit="fit").collect()}
+    kept = {i: r.text for i, r in rows.items() if said[i].lang_pred != "und" and said[i].score >= pipeline.LEAST_SCORE and fits[i] >= pipeline.LEAST_FIT}
     from fractions import Fraction
 
     kept = {i: kept[i] for i, (_, c) in brute(list(kept.items()), 5, Fraction("0.8")).items() if i == c}
@@ -54,16 +57,35 @@ def test_stages_against_plain_code(spark):
 
 
 def test_stages_on_odd_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, `_hits` int, key string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, `_hits` int, `_n` int, COPY_NO int, key string"
     long = " ".join(f"word{i % 977}" for i in range(30_000))
     rows = [(1, None, None, None, None), (None, "the and of that this", "en", "a", 20), (3, "", "en", "a", 0), (4, "the one thing that was with the other", "en", "a", 37), (4, "the one thing that was with the other", "en", "a", 37), (5, long, None, None, None)]
-    docs = spark.createDataFrame([(*r, 1, 2, "k") for r in rows], schema)
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, "k") for r in rows], schema)
     for given in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, given, SMALL)
-            assert out.columns == docs.columns, name
-            ids = [r.doc_id for r in out.collect()]
-            assert (4 in ids and 5 in ids or given is not docs) and (name != "n-gram Jaccard join" or ids.count(4) <= 1), name
+            last = name == "mixing sources"
+            assert out.columns == ([*[c + "_" * (c == "COPY_NO") for c in docs.columns], "copy_no"] if last else docs.columns), name
+            found = out.collect()
+            ids = [r.doc_id for r in found]
+            assert all((r["score"], r["_hits"], r["_n"], r["COPY_NO_" if last else "COPY_NO"], r.key) == (1, 2, 3, 4, "k") for r in found), name
+            assert (last or 4 in ids and 5 in ids or given is not docs) and (name != "n-gram Jaccard join" or ids.count(4) <= 1), name
+            assert given is docs or not ids
+
+
+def test_stages_without_optional_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").drop("source", "n_chars").limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == [*docs.columns, *["copy_no"] * (name == "mixing sources")] and out.count() > 0, name
+
+
+def test_a_missing_language_is_filled_in(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    bare = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    got = {r.doc_id: r.lang for r in pipeline.identify_language(spark, bare, SMALL).collect()}
+    want = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(got[i] == want[i] for i in got if i % 5) and sum(got[i] == want[i] for i in got if i % 5 == 0) >= 0.95 * sum(i % 5 == 0 for i in got)
 
 
 def test_clean_documents_stay(spark):
