@@ -1,176 +1,373 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-The index stores blocks of vectors. Each vector, less its block's centre and scaled to length 1, is rotated by one
-random rotation and kept as its signs and two scalars: its length, and its inner product with its own sign vector. The
-signs' inner product with a query, divided by that scalar, estimates the true one without bias, within an error that
-the scalar bounds. In each block, vectors whose upper bound reaches the k-th largest lower bound are reranked with their
-original components.
+Every different vector is indexed once; of those who share it only the ids that can be among the nearest are kept.
+Centres, fitted on a bounded sample, part the vectors into cells, and cells into blocks of bounded size. A vector, less
+its cell's centre and scaled to length 1, is rotated by one random frame and kept as its packed signs and two scalars: its
+length, and its inner product with its own signs. Vectors of fewer than ``BITS`` components are turned into that many
+dimensions, which narrows the error. A query is turned alike and kept in planes of ``PLANES`` bits, so the signs' product
+with it is counted in bits; divided by the scalar it estimates the true product without bias, within an error that the
+scalar bounds.
+
+Queries go in groups against the cells whose centre and radius let them reach a score that the sample already grants. A
+group meets its blocks best first and carries the scores to beat from block to block. Vectors whose upper bound reaches
+those scores are reranked by their original components, which are joined to these pairs alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gradus.llm._store import settle
+from gradus.llm._text import lean
 
-BLOCK_NUMBERS = 1_000_000  # components of a block of the index; a block has as many vectors as that allows
-QUERIES = 1024  # of a block of queries
-AT_ONCE = 128  # queries whose estimates are in memory together
-EPSILON = 3.0  # the bound holds for all but about exp(-EPSILON ** 2 / 2) of the estimates
-INDEX = "block bigint, ids binary, codes binary, length binary, own binary, centre binary, vectors binary"
+BITS = 512  # of a code, at least; a multiple of 64
+PLANES = 4  # bits of a query's components
+EPSILON = 1.9  # standard errors that the bounds allow for
+SAMPLE = 16_384  # vectors that centres and first scores to beat are taken from, about: a bound on what the driver holds
+CELLS = 256  # at most; a cell has CELL_ROWS vectors or more on average
+CELL_ROWS = 4096
+BLOCK = 2048  # vectors of a block, about
+QUERIES = 512  # of a group
+LANES = 4  # parts of a group's blocks that are searched side by side
+AT_ONCE = 32  # queries whose estimates are in memory together
 
+BLOCKS = "size int, cell int, part int, keys binary, codes binary, length binary, own binary"
+GROUPS = "grp bigint, size int, keys binary, planes binary, scale binary, least binary, cells array<struct<cell:int,bound:double,centred:binary>>"
+PAIRS = "ask bigint, key bigint, estimate double, upper double"
 
-def rotation(size: int, seed: int) -> np.ndarray:
-    """A random rotation, the same on every executor."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
-    return q * np.sign(np.diag(r))
 
+class Sample(NamedTuple):
+    """Of vectors of one number of components."""
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
-    """Vectors with an id that aren't null, zero or of components null or not finite, each (id, vector) once.
+    rows: np.ndarray
+    centres: np.ndarray
 
-    Only those of the commonest number of components take part; of equally common ones the smallest.
-    """
-    x = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    x = x.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine & F.exists("v", lambda c: c != 0))
-    sizes = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = sizes["n"] if sizes else 0
-    return x.where(F.size("v") == size).dropDuplicates(["id", "v"]), size
 
+def frame(size: int, seed: int) -> np.ndarray:
+    """(size, bits): an orthonormal frame in random position, the same on every executor."""
+    bits = max(BITS, -(-size // 64) * 64)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, size)))
+    return (q * np.sign(np.diag(r))).T
+
+
+def fit_centres(rows: np.ndarray, cells: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """Centres by Lloyd's iteration; one that loses all rows stays where it is."""
+    centres = rows[np.sort(np.random.default_rng(seed).permutation(len(rows))[:cells])].copy()
+    for _ in range(rounds):
+        own = cell_of(rows, centres)
+        count = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return centres
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
+def cell_of(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
-def encode(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Packed signs, lengths, products with the own signs, and the centre."""
-    centre = v.mean(axis=0)
-    rest = v - centre
+
+def encode(rest: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs (rows, words), lengths, and products with the own signs, of vectors less their centre."""
     length = np.sqrt((rest**2).sum(axis=1))
     unit = (rest / np.where(length > 0, length, 1)[:, None]) @ turn
-    own = np.abs(unit).sum(axis=1) / np.sqrt(v.shape[1])
-    return np.packbits(unit >= 0, axis=1), length, np.where(length > 0, own, 1), centre
+    own = np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
+    return np.packbits(unit >= 0, axis=1).view(np.uint64), length, np.where(length > 0, own, 1)
+
+
+def planes_of(queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turned queries as bit planes (rows, planes, words), and (rows, 4): least value, step, sum of values, length."""
+    turned = queries @ turn
+    low = turned.min(axis=1, keepdims=True)
+    step = (turned.max(axis=1, keepdims=True) - low) / ((1 << PLANES) - 1)
+    step = np.where(step > 0, step, 1.0)
+    level = np.rint((turned - low) / step).astype(np.uint8)
+    bits = np.stack([np.packbits((level >> j) & 1, axis=1).view(np.uint64) for j in range(PLANES)], axis=1)
+    total = low[:, 0] * turn.shape[1] + step[:, 0] * level.sum(axis=1)
+    return bits, np.stack([low[:, 0], step[:, 0], total, np.sqrt((queries**2).sum(axis=1))], axis=1)
+
+
+def bounds(planes: np.ndarray, scale: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, centred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products (queries, vectors) from packed bits, and how far the true ones may be."""
+    shape, size = (len(planes), len(codes)), codes.shape[1] * 64
+    both, ones = np.empty(shape, np.uint64), np.empty(shape, np.uint8)
+    dot, columns = np.zeros(shape, np.int32), np.ascontiguousarray(codes.T)
+    for j in range(PLANES):
+        plane = np.zeros(shape, np.int32)
+        for word, column in enumerate(columns):
+            np.bitwise_and(planes[:, j, word, None], column, out=both)
+            plane += np.bitwise_count(both, out=ones)
+        dot += plane << j
+    low, step, total, norm = (scale[:, i, None] for i in range(4))
+    held = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    product = (2 * (low * held + step * dot) - total) / math.sqrt(size)
+    spread = (1 - own**2) / own**2 / max(1, size - 1)
+    error = EPSILON * length * np.sqrt(norm**2 * np.maximum(spread, 0) + step**2 / 12 / own**2)
+    return product * (length / own) + centred[:, None], error + 1e-9 * (1 + norm)
+
+
+class Search:
+    """One group of queries on its way through blocks: the best estimates so far, and the pairs that may be among the best."""
+
+    def __init__(self, row: dict, k: int):
+        self.keys = np.frombuffer(row["keys"], np.int64)
+        self.planes = np.frombuffer(row["planes"], np.uint64).reshape(len(self.keys), PLANES, -1)
+        self.scale = np.frombuffer(row["scale"]).reshape(-1, 4)
+        self.least = np.frombuffer(row["least"]).copy()
+        self.best = np.full((len(self.keys), k), -np.inf)
+        self.found: list[np.ndarray] = []  # rows of ask, key, estimate, upper bound
+        self.keys_found: list[np.ndarray] = []
+
+    def visit(self, row: dict) -> None:
+        ids = np.frombuffer(row["keys"], np.int64)
+        code = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), -1)
+        length, own, centred = (np.frombuffer(row[c]) for c in ("length", "own", "centred"))
+        reach = np.flatnonzero(centred + self.scale[:, 3] * length.max() >= self.least)  # no other query can find anything here
+        k = self.best.shape[1]
+        for lo in range(0, len(reach), AT_ONCE):
+            some = reach[lo : lo + AT_ONCE]
+            estimate, error = bounds(self.planes[some], self.scale[some], code, length, own, centred[some])
+            both = np.concatenate([self.best[some], estimate], axis=1)
+            self.best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            self.least[some] = np.maximum(self.least[some], self.best[some].min(axis=1))
+            i, j = np.nonzero(estimate + error >= self.least[some, None])
+            self.found.append(np.stack([some[i], estimate[i, j], (estimate + error)[i, j]], axis=1))
+            self.keys_found.append(ids[j])
+
+    def pairs(self) -> pa.RecordBatch:
+        found = np.concatenate([np.zeros((0, 3)), *self.found])
+        keys = np.concatenate([np.zeros(0, np.int64), *self.keys_found])
+        at = found[:, 0].astype(np.int64)
+        keep = found[:, 2] >= self.least[at]
+        return pa.RecordBatch.from_arrays([pa.array(self.keys[at[keep]]), pa.array(keys[keep]), pa.array(found[keep, 1]), pa.array(found[keep, 2])], ["ask", "key", "estimate", "upper"])
+
+
+def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """id, v of the vectors with an id that aren't null, empty, zero or of components null or not finite; each once."""
+    x = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).alias("v"))
+    if x.schema["v"].dataType.elementType.typeName() not in ("float", "double"):
+        x = x.select("id", F.col("v").cast("array<double>").alias("v"))
+    fine = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    x = x.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine & F.exists("v", lambda c: c != 0))
+    return x.select("id", F.transform("v", lambda c: c + F.lit(0).cast(x.schema["v"].dataType.elementType)).alias("v"))  # no -0.0: equal vectors are of one group
 
 
-def bounds(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries, vectors) and how far the true ones may be."""
-    size = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1
-    product = ((queries @ turn).astype(np.float32) @ signs.T).astype(float) / np.sqrt(size)
-    estimate = product / own * length + (queries @ centre)[:, None]
-    spread = np.sqrt(np.maximum(0, 1 - own**2)) / own * EPSILON / np.sqrt(max(1, size - 1)) + 1e-5
-    return estimate, np.sqrt((queries**2).sum(axis=1))[:, None] * (length * spread) + 1e-9
+def different(x: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(key, v) of the different vectors, and (key, id) of who has them; of each only the ``most`` smallest ids."""
+    first = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    kept = x if most is None else x.withColumn("_at", first).where(F.col("_at") <= most).drop("_at")
+    named = settle(kept.select("v").distinct().withColumn("key", F.monotonically_increasing_id()), "vectors")
+    return named.select("key", F.size("v").alias("size"), "v"), kept.join(named, "v").select("key", "id")
 
 
-def _filled(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows``, the last one shorter."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        while sum(b.num_rows for b in held) >= rows:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=rows)
-            yield whole[0]
-            held = whole[1:]
-    if sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
 
 
-def build(vectors: DataFrame, size: int, seed: int = 5) -> DataFrame:
-    """The index: blocks of about ``BLOCK_NUMBERS`` components, one row each. Every row of the table is indexed."""
-    block = max(1, BLOCK_NUMBERS // size)
-    vectors = vectors.repartition(1 + vectors.count() // block, "id")
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a batch of (key, size, v): number of components, rows of that number, their vectors."""
+    sizes = batch.column(1).to_numpy()
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size, at, _matrix(batch.column(2).take(pa.array(at)), size)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        turn, number = rotation(size, seed), TaskContext.get().partitionId() << 32
-        for part in _filled(batches, block):
-            v = _matrix(part.column(1), size)
-            codes, length, own, centre = encode(v, turn)
-            row = [part.column(0).to_numpy(), codes, length, own, centre, v]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row]], ["block", "ids", "codes", "length", "own", "centre", "vectors"])
-            number += 1
-
-    return vectors.select("id", "v").mapInArrow(work, INDEX)
-
-
-def top(query_ids: np.ndarray, queries: np.ndarray, row: dict, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` vectors of a block for each query, by exact inner product; equal ones by id."""
-    size = queries.shape[1]
-    ids = np.frombuffer(row["ids"], np.int64)
-    v = np.frombuffer(row["vectors"]).reshape(-1, size)
-    code = (np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]), np.frombuffer(row["centre"]), turn)
-    out = []
-    for lo in range(0, len(queries), AT_ONCE):
-        own, q = query_ids[lo : lo + AT_ONCE], queries[lo : lo + AT_ONCE]
-        estimate, error = bounds(q, *code)
-        estimate[own[:, None] == ids] = -np.inf
-        chosen = np.isfinite(estimate)
-        if len(ids) > k:
-            chosen &= estimate + error >= np.partition(estimate - error, len(ids) - k, axis=1)[:, len(ids) - k, None]
-        # Rerank. Products of matrices pick the best and what ties with them; those are scored one by one.
-        if chosen.mean() > 0.02:
-            score = np.where(chosen, q @ v.T, -np.inf)
-        else:
-            score = np.full(chosen.shape, -np.inf)
-            i, j = np.nonzero(chosen)
-            score[i, j] = np.einsum("ij,ij->i", q[i], v[j])
-        if len(ids) > k:
-            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-            chosen &= score >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]
-        i, j = np.nonzero(chosen)
-        exact = (q[i] * v[j]).sum(axis=1)
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
-        out.append((own[i[keep]], ids[j[keep]], exact[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def take_samples(x: DataFrame, seed: int) -> dict[int, Sample]:
+    """About ``SAMPLE`` vectors by hash, and centres fitted on them, by number of components. Every row is indexed."""
+    n = x.count()
+    place = F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 20))
+    got = x.where(place < math.ceil((1 << 20) * min(1.0, SAMPLE / max(1, n)))).select("key", "size", "v").toArrow()
+    out, sizes = {}, got.column("size").to_numpy()
+    for size in np.unique(sizes).tolist():
+        rows = _matrix(got.column("v").combine_chunks().filter(pa.array(sizes == size)), size)
+        cells = max(1, min(CELLS, n * len(rows) // len(sizes) // CELL_ROWS, len(rows) // 8))
+        out[size] = Sample(rows, fit_centres(rows, cells, seed))
+    return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """For each query its ``k`` nearest vectors found, none of its own id: query_id, rank (from 1), vec_id, score.
+def _centres(samples: dict[int, Sample], size: int) -> np.ndarray:
+    return samples[size].centres if size in samples else np.zeros((1, size))
 
-    Scores are inner products of the original vectors in double precision; equal scores go to the smaller vec_id. Null,
-    zero and not finite vectors take no part, on either side; rows that repeat count once; other columns are ignored.
-    Fewer than ``k`` vectors give all of them, an empty table gives none. Queries go in blocks against all blocks of the
-    index; each pair of blocks keeps ``k`` a query, which are ranked with partial limits.
-    """
-    x, size = usable(vectors, vec_id, embedding)
-    out = "query_id bigint, vec_id bigint, score double"
-    if not size:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index = settle(build(x, size, seed), "index")
-    asked = usable(queries, vec_id, embedding)[0].where(F.size("v") == size)
+
+def build(x: DataFrame, samples: dict[int, Sample], seed: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The index, a row for each block, and the radius of every cell."""
+    sent = x.sparkSession.sparkContext.broadcast({size: s.centres for size, s in samples.items()})
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, at, v in _by_size(batch):
+                centres = sent.value.get(size, np.zeros((1, size)))
+                cell = cell_of(v, centres)
+                far = np.sqrt(((v - centres[cell]) ** 2).sum(axis=1))
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(cell.astype(np.int32)), pa.array(far)], ["key", "size", "v", "cell", "far"])
+
+    kind = x.schema["v"].dataType.simpleString()
+    placed = settle(x.select("key", "size", "v").mapInArrow(lean(assign), f"key bigint, size int, v {kind}, cell int, far double"), "placed")
+    cells = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # CELLS rows for each number of components
+    radius = {size: np.zeros(len(_centres(samples, size))) for size in {r["size"] for r in cells}}
+    for r in cells:
+        radius[r["size"]][r["cell"]] = r["radius"]
+    parts = x.sparkSession.createDataFrame([(r["size"], r["cell"], -(-r["n"] // BLOCK)) for r in cells], "size int, cell int, parts bigint")
+    dealt = placed.join(parts, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "v")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (size, cell, part), table in grouped(batches, 3):
+            v = _matrix(table.column("v").combine_chunks(), size) - sent.value.get(size, np.zeros((1, size)))[cell]
+            codes, length, own = encode(v, frame(size, seed))
+            row = [table.column("key").to_numpy(), codes, length, own]
+            ids = [pa.array([x], pa.int32()) for x in (size, cell, part)]
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row]], ["size", "cell", "part", "keys", "codes", "length", "own"])
+
+    order = ["size", "cell", "part"]
+    packed = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(pack), BLOCKS)
+    return settle(packed, "index"), radius
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows that agree in the first columns, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    at: tuple[int, ...] | None = None
+    for batch in batches:
+        named = np.stack([c.to_numpy() for c in batch.columns[:keys]], axis=1)
+        edges = [0, *(np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = tuple(named[a].tolist())
+            if held and own != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def ask(asked: DataFrame, samples: dict[int, Sample], radius: dict[int, np.ndarray], most: int, seed: int) -> DataFrame:
+    """Groups of about ``QUERIES`` queries near the same centre, each with the cells that its queries' bounds allow."""
+    sent = asked.sparkSession.sparkContext.broadcast((samples, radius))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples, radius = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(lo, QUERIES)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_matrix(part.column(1), size).tobytes()], pa.binary())], ["query_ids", "queries"])
+            for size, at, v in _by_size(batch):
+                if size not in radius:
+                    continue  # no vector has as many components
+                least = np.full(len(v), -np.inf)
+                if size in samples and len(samples[size].rows) >= most:
+                    rows = samples[size].rows
+                    for lo in range(0, len(v), AT_ONCE):
+                        score = v[lo : lo + AT_ONCE] @ rows.T
+                        least[lo : lo + AT_ONCE] = np.partition(score, len(rows) - most, axis=1)[:, len(rows) - most]
+                home = (v @ _centres(samples, size).T).argmax(axis=1).astype(np.int32)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(home), pa.array(least)], ["key", "size", "v", "home", "least"])
 
-    parts = max(1, asked.count() // QUERIES)
-    asked = settle(asked.select("id", "v").repartition(parts, "id").mapInArrow(pack, "query_ids binary, queries binary"), "queries")
-    lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    right = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        samples, radius = sent.value
+        number = TaskContext.get().partitionId() << 32
+        for (size,), table in grouped((b.select(["size", "key", "v", "least"]) for b in batches), 1):
+            turn, centres = frame(size, seed), _centres(samples, size)
+            for lo in range(0, table.num_rows, QUERIES):
+                part = table.slice(lo, QUERIES).combine_chunks()
+                v, least = _matrix(part.column("v").combine_chunks(), size), part.column("least").to_numpy()
+                planes, scale = planes_of(v, turn)
+                centred = v @ centres.T
+                bound = centred + scale[:, 3, None] * radius[size]
+                slack = 1e-9 * (1 + np.abs(least))
+                reach = np.flatnonzero((bound >= (least - slack)[:, None]).any(axis=0))
+                cells = [{"cell": c, "bound": float(bound[:, c].max()), "centred": np.ascontiguousarray(centred[:, c]).tobytes()} for c in reach.tolist()]
+                row = [part.column("key").to_numpy(), planes, scale, least - slack]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.array([size], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row], pa.array([cells], pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64()), ("centred", pa.binary())])))],
+                    ["grp", "size", "keys", "planes", "scale", "least", "cells"],
+                )
+                number += 1
+
+    kind = asked.schema["v"].dataType.simpleString()
+    placed = settle(asked.select("key", "size", "v").mapInArrow(lean(place), f"key bigint, size int, v {kind}, home int, least double"), "asked")
+    groups = max(1, placed.count() // QUERIES)
+    order = ["size", "home", "key"]
+    return settle(placed.repartitionByRange(groups, *order).sortWithinPartitions(*order).mapInArrow(lean(pack), GROUPS), "groups")
+
+
+def search(groups: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """ask, key, estimate, upper of the pairs that may be among the ``k`` best of their query.
+
+    A group is sent once to each of its lanes, and each block once to each group that its cell is allowed for; so the
+    work is that of the pairs of groups and blocks that no bound rules out.
+    """
+    nothing = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    heads = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("bound"), "keys", "planes", "scale", "least", *nothing("codes", "length", "own", "centred"))
+    wanted = groups.select("grp", "size", F.explode("cells").alias("c")).select("grp", "size", "c.*")
+    blocks = wanted.join(index, ["size", "cell"])
+    lane = F.pmod(F.xxhash64("cell", "part"), F.lit(LANES)).cast("int").alias("lane")
+    blocks = blocks.select("grp", lane, F.lit(1).alias("kind"), "bound", "keys", *nothing("planes", "scale", "least"), "codes", "length", "own", "centred")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(size, seed)
+        at = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                got = top(np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["queries"]).reshape(-1, size), row, turn, k)
-                yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["query_id", "vec_id", "score"])
+                if row["kind"] == 0:
+                    if at:
+                        yield at.pairs()
+                    at = Search(row, k)
+                else:
+                    at.visit(row)
+        if at:
+            yield at.pairs()
+
+    order = ["grp", "lane", "kind", F.desc("bound")]
+    return heads.unionByName(blocks).repartition("grp", "lane").sortWithinPartitions(*order).mapInArrow(lean(work), PAIRS)
 
-    pairs = left.join(right, "lane").drop("lane", "block").mapInArrow(work, out)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+def _product(a: str, b: str) -> Column:
+    both = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(both, F.lit(0.0), lambda s, p: s + p)
 
+
+def chosen(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs whose upper bound reaches the estimate at place ``most`` of their query over all lanes."""
+    by = W.partitionBy("ask")
+    ranked = pairs.withColumn("at", F.row_number().over(by.orderBy(F.desc("estimate"), "key")))
+    least = F.max(F.when(F.col("at") == most, F.col("estimate"))).over(by)
+    return ranked.withColumn("least", least).where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("ask", "key")
+
+
+def candidates(x: DataFrame, asked: DataFrame, *, most: int, seed: int = 5) -> DataFrame:
+    """ask, key: the pairs of queries and different vectors that are worth an exact product."""
+    samples = take_samples(x, seed)
+    index, radius = build(x, samples, seed)
+    return chosen(search(ask(asked, samples, radius, most, seed), index, most), most)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """For each query its ``k`` nearest vectors found, none of its own id: query_id, rank (from 1), vec_id, score.
+
+    Scores are inner products of the original vectors in double precision; equal scores go to the smaller vec_id. Null,
+    empty, zero and not finite vectors take no part, on either side; rows that repeat count once; other columns are
+    ignored. Only vectors of as many components meet. Several vectors of one query id are answered as one query: the
+    ``k`` best of their pairs. Fewer than ``k`` vectors give all of them, an empty table gives none.
+    """
+    rows = settle(usable(vectors, vec_id, embedding).distinct(), "rows")
+    most = k + (rows.groupBy("id").count().agg(F.max("count")).first()[0] or 0)  # k, and the query's own, 1 but for ids that repeat
+    x, holders = different(rows, most)
+    asked, askers = different(usable(queries, vec_id, embedding).distinct(), None)
+    pairs = candidates(x, asked, most=most, seed=seed)
+    scored = pairs.join(x.select("key", "v"), "key").join(asked.select(F.col("key").alias("ask"), F.col("v").alias("q")), "ask")
+    scored = scored.select("ask", "key", _product("v", "q").alias("score"))
+    # Of equal vectors and scores the smallest ids count: so many of each hold k of other ids.
+    best = scored.join(holders, "key").select("ask", F.col("id").alias("vec_id"), "score")
+    best = best.withColumn("at", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))).where(F.col("at") <= most)
+    every = best.join(askers.select(F.col("key").alias("ask"), F.col("id").alias("query_id")), "ask").where("vec_id <> query_id")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return every.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,10 +13,15 @@ def exact(ids, x, query, k):
     return [(int(ids[i]), float(score[i])) for i in order[:k]]
 
 
-def test_recall_of_the_query(spark):
-    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+def table(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.1"])
+def test_recall_of_the_query(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in queries.op8_one_bit_neighbours(spark, SMALL).collect()}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in queries.op8_one_bit_neighbours(spark, folder).collect()}
     hits = total = 0
     for q in np.flatnonzero(ids % 20 == 0):
         best = exact(ids, x, q, 20)
@@ -28,29 +33,71 @@ def test_recall_of_the_query(spark):
     assert hits / total >= 0.9 and len(got) == total
 
 
+def test_few_are_reranked(spark):
+    """At sf0.1 the codes leave a twentieth of all pairs at most; 1 % is what an exact search would return."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x, _ = neighbours.different(neighbours.usable(v, "vec_id", "embedding"), 21)
+    asked, _ = neighbours.different(neighbours.usable(v.where("vec_id % 20 = 0"), "vec_id", "embedding"), None)
+    share = neighbours.candidates(x, asked, most=21).count() / (x.count() * asked.count())
+    assert 0.01 < share < 0.05
+
+
+def clustered(rng, n):
+    centres = 6 * rng.standard_normal((8, 32))
+    return (centres[rng.integers(0, 8, n)] + 0.2 * rng.standard_normal((n, 32))).astype("float32")
+
+
+def test_bounds_rule_cells_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    x = clustered(np.random.default_rng(4), 1600)
+    v = table(spark, x)
+    keys, _ = neighbours.different(neighbours.usable(v, "vec_id", "embedding"), 6)
+    asked, _ = neighbours.different(neighbours.usable(v.where("vec_id % 40 = 0"), "vec_id", "embedding"), None)
+    samples = neighbours.take_samples(keys, 5)
+    index, radius = neighbours.build(keys, samples, 5)
+    groups = neighbours.ask(asked, samples, radius, 6, 5)
+    assert index.selectExpr("size", "cell").distinct().count() == len(samples[32].centres) == 32 and index.count() > 40
+    allowed = sum(len(r.cells) * len(r["keys"]) // 8 for r in groups.collect())
+    assert allowed < 40 * 32 / 2
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.nearest(v, v.where("vec_id % 40 = 0"), k=5).collect()}
+    want = {(q, r + 1): i for q in range(0, 1600, 40) for r, (i, _) in enumerate(exact(np.arange(1600), x.astype(float), q, 5))}
+    assert sum(got[p] == want[p] for p in want) / len(want) >= 0.9 and got.keys() == want.keys()
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [inf, 1.0], 1), (8, [nan, 1.0], 1), (9, [1.0], 1), (None, [5.0, 5.0], 1), (2, [2.0, 0.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [2.0, -0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [inf, 1.0], 1), (8, [nan, 1.0], 1), (9, [1.0], 1), (10, [], 1), (None, [5.0, 5.0], 1), (2, [2.0, 0.0], 1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = [tuple(r) for r in neighbours.nearest(v, v, k=5).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 2, 2.0), (1, 2, 3, 2.0), (2, 1, 3, 4.0), (2, 2, 1, 2.0), (3, 1, 2, 4.0), (3, 2, 1, 2.0)]
     assert neighbours.nearest(v.limit(0), v, k=5).count() == 0 and neighbours.nearest(v, v.limit(0), k=5).count() == 0
 
 
+def test_lengths_and_ids_that_repeat(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [3.0, 3.0]), (2, [1.0, 1.0]), (3, [0.5, 0.5]), (4, [2.0]), (5, [3.0]), (6, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(v, v, k=2).collect()}
+    assert got == {(1, 1): (2, 6.0), (1, 2): (3, 3.0), (2, 1): (1, 6.0), (2, 2): (1, 1.0), (3, 1): (1, 3.0), (3, 2): (2, 1.0), (4, 1): (5, 6.0), (5, 1): (4, 6.0)}
+
+
 def test_many_equal_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_NUMBERS", 50 * 16)
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((300, 16)).astype("float32")
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    x = np.random.default_rng(2).standard_normal((300, 16)).astype("float32")
     x[:200] = x[0]
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    got = [r.vec_id for r in neighbours.nearest(v, v.where("vec_id = 7"), k=20).orderBy("rank").collect()]
-    assert got == [v for v, _ in exact(np.arange(300), x.astype(float), 7, 20)]
+    v = table(spark, x)
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.nearest(v, v.where("vec_id in (7, 190)"), k=20).collect()}
+    assert got == {(q, r + 1): i for q in (7, 190) for r, (i, _) in enumerate(exact(np.arange(300), x.astype(float), q, 20))}
+    assert neighbours.different(neighbours.usable(v, "vec_id", "embedding"), 21)[1].count() == 121
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(3)
-    x, q = rng.standard_normal((500, 64)), rng.standard_normal((20, 64))
-    turn = neighbours.rotation(64, 5)
-    assert turn @ turn.T == pytest.approx(np.eye(64))
-    estimate, error = neighbours.bounds(q, *neighbours.encode(x, turn), turn)
-    assert (np.abs(estimate - q @ x.T) <= error).mean() > 0.99
+    for size in (20, 64, 700):
+        x, q = rng.standard_normal((500, size)) + 0.3, rng.standard_normal((20, size))
+        turn, centre = neighbours.frame(size, 5), x.mean(axis=0)
+        assert turn @ turn.T == pytest.approx(np.eye(size)) and turn.shape[1] % 64 == 0
+        estimate, error = neighbours.bounds(*neighbours.planes_of(q, turn), *neighbours.encode(x - centre, turn), q @ centre)
+        off = np.abs(estimate - q @ x.T)
+        assert (off <= error).mean() > 0.92 and (estimate - q @ x.T).mean() == pytest.approx(0, abs=0.05 * np.sqrt(size))
