@@ -196,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "judge_probabilistic": _with(f"""SELECT {pair}, CAST(list_position(w, list_max(w)) - 1 AS DOUBLE) AS predicted_relevance, w[2] + 2 * w[3] + 3 * w[4] AS score, list_max(w) AS confidence, 'weighing' AS model, CAST(g AS VARCHAR) AS grade, w[g + 1] AS probability
             FROM (SELECT {pair}, list_transform(range(4), lambda g: ((length(query) * (g + 3) + length(passage) * 7) % 8) / CAST(8 AS DOUBLE)) AS w FROM inputs), range(4) AS t(g)""", _inputs(prompts.CHARACTER_BUDGET)),
         "judge_run": _with(f"""SELECT {pair}, CAST(CASE WHEN NOT failed THEN relevance END AS DOUBLE) AS human_relevance, CAST(CASE WHEN NOT failed THEN (q + n) % 4 END AS DOUBLE) AS predicted_relevance, CAST(CASE WHEN NOT failed THEN n END AS DOUBLE) AS passage_used_chars, CAST(CASE WHEN NOT failed THEN k END AS DOUBLE) AS length_retries,
-            CAST(CASE WHEN NOT failed THEN repeats END AS DOUBLE) AS repeats, CASE WHEN NOT failed THEN true END AS timed, error, type, (SELECT count(*) FROM outcomes WHERE failed) AS failures FROM outcomes""", _inputs(prompts.CHARACTER_BUDGET), _RULES),
+            CAST(CASE WHEN NOT failed THEN repeats END AS DOUBLE) AS repeats, NOT failed AS timed, error, type, (SELECT count(*) FROM outcomes WHERE failed) AS failures FROM outcomes""", _inputs(prompts.CHARACTER_BUDGET), _RULES),
         "retry_schedule": f"WITH {_RETRIES} SELECT event_id, again, round(CASE WHEN again OR status = 429 AND most = 8 THEN wait END, 6) AS delay FROM plans",
         "run_manifest": _with("SELECT run || '.run' AS file, sha256(string_agg(concat_ws(' ', query_id, 'Q0', passage_id, '1', CAST(CAST(score AS DECIMAL(12, 6)) AS VARCHAR), run), chr(10) ORDER BY query_id, passage_id) || chr(10)) AS sha256 FROM fx_runs GROUP BY run"),
         "report_numbers": _with(" UNION ALL ".join(_REPORT), _METRICS, _TAU, _AREA, _CONFUSION, _SUMMARY, _USAGE),

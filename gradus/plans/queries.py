@@ -299,7 +299,8 @@ def judge_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = trec.read_judgments(spark, f"{folder}/judgments").select("query_id", "passage_id", *[_number(c) for c in ("human_relevance", "predicted_relevance", "passage_used_chars", "length_retries")], F.col("usage.output_tokens").cast("double").alias("repeats"), (F.col("latency_seconds") >= 0).alias("timed"))
     failed = trec.read_failures(spark, f"{folder}/judgments").select("query_id", "passage_id", "error", "type")
     listed = tables.load_json(f"{folder}/failures.json")
-    return done.unionByName(failed, allowMissingColumns=True).withColumn("failures", F.lit(len(listed)).cast("bigint"))
+    both = done.unionByName(failed, allowMissingColumns=True).withColumn("timed", F.coalesce("timed", F.lit(False)))
+    return both.withColumn("failures", F.lit(len(listed)).cast("bigint"))
 
 
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
