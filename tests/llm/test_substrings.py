@@ -33,15 +33,23 @@ def corpus(seed):
     return [*rows, (None, rows[7][1]), (7, rows[7][1]), (100, None), (101, ""), (102, "z " * 3000), (103, "a\x1cb é\tc\nd")]
 
 
-@pytest.mark.parametrize("width, anchor, block", [(8, 3, 4096), (8, 3, 2), (5, 5, 4096), (12, 4, 3)])
+@pytest.mark.parametrize("width, anchor, block", [(8, 3, 512), (8, 3, 2), (8, 2, 1), (5, 5, 512), (5, 5, 1), (12, 4, 3)])
 def test_against_brute_force(spark, monkeypatch, width, anchor, block):
     monkeypatch.setattr(substrings, "BLOCK", block)
-    monkeypatch.setattr(substrings, "BROADCAST_KEYS", 0 if block == 2 else 1_000_000)
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0 if block == 2 else 1 << 20)
     rows = corpus(width)
     got = substrings.drop_repeats(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int"), width=width, anchor=anchor)
     assert sorted(tuple(r) for r in got.na.fill(-1).collect()) == brute(rows, width)
 
 
+def test_factors():
+    import numpy as np
+
+    a, b, c = np.array([1, 2, 3, 4, 5, 9], np.uint64), np.array([7, 2, 3, 4, 5, 6], np.uint64), np.array([8, 8, 8, 8], np.uint64)
+    assert substrings.factor([a, b, c], [1, 1, 1], 3) == [[(1, 2)], [(1, 2)], [(0, 1), (1, 1)]]
+    assert substrings.factor([a, b, c], [2, 1, 2], 3) == [[(0, 4)], [(1, 2)], [(0, 2)]]
+
+
 def test_empty_table(spark):
     assert substrings.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
