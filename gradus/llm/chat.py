@@ -1,19 +1,29 @@
-"""Chat formatting: render whole conversations, encode once, find the tokens of the assistant by their offsets."""
+"""Chat formatting: render whole conversations, encode once, find the tokens of the assistant by their offsets.
+
+The public vocabulary is one of bytes, so the tokens of a text tile its bytes, and sums of their lengths are their offsets.
+"""
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm._text import lean
+
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = (START, MIDDLE, END)
+# Fixed value: the pattern that parts a text before the vocabulary's merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+AT_ONCE = 64  # conversations that a worker holds as Python objects
 SCHEMA = """conv_id bigint, formatted string, input_ids array<int>, loss_mask array<boolean>,
     loss_spans array<struct<start:bigint,end:bigint>>"""
 
@@ -48,37 +58,91 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-@functools.lru_cache(2)
-def tokenizer(path: str):
-    """The public tokenizer at ``path`` with the three control strings as further tokens."""
-    from tokenizers import Tokenizer
+class Vocabulary(NamedTuple):
+    encode: Callable[[str], np.ndarray]
+    size: np.ndarray  # bytes of each token
+
 
-    got = Tokenizer.from_file(path)
-    got.add_special_tokens(list(CONTROL))
-    return got
+@functools.lru_cache(1)
+def vocabulary_at(path: str) -> Vocabulary:
+    """The public byte vocabulary (lines of base64 and rank) at ``path``, with the three control strings as further tokens."""
+    import tiktoken
 
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    first = max(ranks.values()) + 2  # the number between is another control string's in this family of vocabularies
+    control = {c: first + i for i, c in enumerate(CONTROL)}
+    size = np.zeros(first + len(CONTROL), np.int64)
+    for word, i in [*ranks.items(), *((c.encode(), i) for c, i in control.items())]:
+        size[i] = len(word)
+    own = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=control)
+    return Vocabulary(lambda text: own.encode_to_numpy(text, allowed_special="all").astype(np.int32), size)
 
-def token_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which tokens touch a span, and the characters of the spans that those tokens cover.
 
-    Both lists are sorted and disjoint but for tokens that share a character, so each token finds its only possible
-    span by binary search.
+def token_mask(ends: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens touch a span, and what of each span those tokens cover; tokens by the bytes at which they end.
+
+    Spans (n, 2) are sorted and apart, and tokens tile the text: binary search finds the first and last token of each span.
     """
-    if not len(offsets) or not spans:
-        return np.zeros(len(offsets), bool), []
-    edges = np.array(spans)
-    at = np.searchsorted(edges[:, 1], offsets[:, 0], "right")
-    inside = at < len(edges)
-    own = edges[np.minimum(at, len(edges) - 1)]
-    lo, hi = np.maximum(offsets[:, 0], own[:, 0]), np.minimum(offsets[:, 1], own[:, 1])
-    mask = inside & (lo < hi)
-    covered: list[tuple[int, int]] = []
-    for a, b, k in zip(lo[mask].tolist(), hi[mask].tolist(), at[mask].tolist(), strict=True):
-        if covered and covered[-1][2] == k and a <= covered[-1][1]:
-            covered[-1] = (covered[-1][0], max(b, covered[-1][1]), k)
-        else:
-            covered.append((a, b, k))
-    return mask, [(a, b) for a, b, _ in covered]
+    starts = ends - np.diff(ends, prepend=0)
+    first, last = np.searchsorted(ends, spans[:, 0], "right"), np.searchsorted(starts, spans[:, 1], "left")
+    step = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, last, -1)
+    covered = np.stack([np.maximum(starts[first], spans[:, 0]), np.minimum(ends[last - 1], spans[:, 1])], axis=1) if len(spans) else spans
+    return np.cumsum(step)[:-1] > 0, covered
+
+
+def encode(text: str, spans: list[tuple[int, int]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids, the mask of those that touch a span, and the characters that the masked tokens cover of each span."""
+    ids = vocabulary.encode(text)
+    edges = np.array(spans, np.int64).reshape(-1, 2)
+    if text.isascii():
+        mask, covered = token_mask(np.cumsum(vocabulary.size[ids]), edges)
+        return ids, mask, covered
+    starts = np.flatnonzero((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)  # first byte of each character
+    ends = np.cumsum(vocabulary.size[ids])
+    mask, covered = token_mask(ends, np.append(starts, ends[-1] if len(ends) else 0)[edges])
+    return ids, mask, np.searchsorted(starts, covered)
+
+
+def read_back(text: str, spans: list[tuple[int, int]]) -> tuple[int, str, int, str, int]:
+    """From a formatted conversation: turns and their digest, characters under the mask and their digest, characters."""
+    turns = parse(text)
+    learnt = unescape("".join(text[a:b] for a, b in spans))
+    whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+    return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    edges = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def _spans(parts: list[np.ndarray]) -> pa.Array:
+    edges = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(both[:, i]), pa.int64()) for i in (0, 1)], ["start", "end"]))
+
+
+Coded = tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _chats(conversations: DataFrame, vocabulary: str, learn: str, finish: Callable[[list[Coded]], list[pa.Array]], names: list[str], schema: str) -> DataFrame:
+    """conv_id and what ``finish`` makes of formatted and encoded conversations, in one pass."""
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary_at(vocabulary)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                made = [render(list(zip(r, t, strict=True)), learn) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *finish([(text, encode(text, spans, known)) for text, spans in made])], ["conv_id", *names])
+
+    return grouped.mapInArrow(lean(work), schema)
 
 
 def format_chats(conversations: DataFrame, vocabulary: str, *, learn: str = "assistant") -> DataFrame:
@@ -89,38 +153,25 @@ def format_chats(conversations: DataFrame, vocabulary: str, *, learn: str = "ass
     other columns are ignored. One conversation is formatted in one piece, so it must fit a task; a hot set of
     conversations is spread by id.
     """
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    grouped = grouped.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(vocabulary)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 64):
-                rows = batch.slice(part, 64).to_pylist()
-                made = [render(list(zip(r["roles"], r["texts"], strict=True)), learn) for r in rows]
-                out = []
-                for row, (text, spans), code in zip(rows, made, encoder.encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
-                    mask, covered = token_mask(np.array(code.offsets).reshape(-1, 2), spans)
-                    out.append({"conv_id": row["conv_id"], "formatted": text, "input_ids": code.ids, "loss_mask": mask.tolist(), "loss_spans": [{"start": a, "end": b} for a, b in covered]})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("input_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+    def finish(made: list[Coded]) -> list[pa.Array]:
+        ids, masks, spans = (list(x) for x in zip(*[c for _, c in made], strict=True))
+        return [pa.array([text for text, _ in made], pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_()), _spans(spans)]
 
-    return grouped.mapInArrow(work, SCHEMA)
+    conversations = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
+    return _chats(conversations, vocabulary, learn, finish, ["formatted", "input_ids", "loss_mask", "loss_spans"], SCHEMA)
 
 
-def chat_digests(chats: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations: turns, and the text under the mask."""
+DIGESTS = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text, turns = row["formatted"], parse(row["formatted"])
-                learnt = unescape("".join(text[s["start"] : s["end"]] for s in row["loss_spans"]))
-                whole = "".join(f"{role}\n{said}\n" for role, said in turns)
-                out.append((row["conv_id"], len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text), len(row["input_ids"]), sum(row["loss_mask"])))
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
-
-    return chats.select("conv_id", "formatted", "input_ids", "loss_mask", "loss_spans").mapInArrow(work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, n_loss_tokens bigint")
+
+def chat_digests(conversations: DataFrame, vocabulary: str, *, learn: str = "assistant") -> DataFrame:
+    """What can be read back from the output of ``format_chats``, without sending it anywhere: turns, and the text under the mask."""
+
+    def finish(made: list[Coded]) -> list[pa.Array]:
+        rows = [read_back(text, spans.tolist()) for text, (_, _, spans) in made]
+        return [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), DIGESTS.values(), strict=True)]
+
+    conversations = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
+    kinds = ", ".join(f"{n} {'string' if n.endswith('sha256') else 'bigint'}" for n in DIGESTS)
+    return _chats(conversations, vocabulary, learn, finish, list(DIGESTS), f"conv_id bigint, {kinds}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, secrets, substrings, urls
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
-CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.json"
+CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.tiktoken"
 PIECES = f"{VOCABULARIES}/piece_bpe_32k.model"
 #: Target shares of the mix: the first source is held to a tenth, a few are raised, the rest weigh 1.
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5, "src3": 1.5}
@@ -47,7 +47,7 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], chats.schema)
-    return chat.chat_digests(chat.format_chats(chats.unionByName(own), CHAT_VOCABULARY)).drop("n_tokens", "n_loss_tokens")
+    return chat.chat_digests(chats.unionByName(own), CHAT_VOCABULARY)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -16,12 +15,29 @@ def test_round_trip(turns):
     text, spans = chat.render(turns)
     assert chat.parse(text) == turns
     assert [chat.unescape(text[a:b]) for a, b in spans] == [t for role, t in turns if role == "assistant" and t]
-    code = chat.tokenizer(CHAT_VOCABULARY).encode(text, add_special_tokens=False)
-    mask, covered = chat.token_mask(np.array(code.offsets).reshape(-1, 2), spans)
-    assert chat.unescape("".join(text[a:b] for a, b in covered)) == "".join(t for role, t in turns if role == "assistant")
-    for (a, b), m in zip(code.offsets, mask, strict=True):
-        assert m == any(a < y and b > x for x, y in spans)
-    assert sum(i in {chat.tokenizer(CHAT_VOCABULARY).token_to_id(c) for c in chat.CONTROL} for i in code.ids) == 3 * len(turns)
+    known = chat.vocabulary_at(CHAT_VOCABULARY)
+    ids, mask, covered = chat.encode(text, spans, known)
+    assert chat.unescape("".join(text[a:b] for a, b in covered.tolist())) == "".join(t for role, t in turns if role == "assistant")
+    ends = known.size[ids].cumsum()
+    raw = [(len(text[:a].encode()), len(text[:b].encode())) for a, b in spans]
+    assert [bool(m) for m in mask] == [any(e - n < y and e > x for x, y in raw) for e, n in zip(ends.tolist(), known.size[ids].tolist(), strict=True)]
+    assert (ends[-1] if len(ends) else 0) == len(text.encode()) and int((ids >= len(known.size) - 3).sum()) == 3 * len(turns)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=40))
+def test_same_tokens_and_offsets_as_the_other_library(text):
+    """The same public vocabulary, read by a library that reports offsets itself."""
+    from tokenizers import Tokenizer
+
+    said = chat.render([("user", text), ("assistant", text + " ")])[0]
+    other = Tokenizer.from_file(CHAT_VOCABULARY.replace(".tiktoken", ".json"))
+    other.add_special_tokens(list(chat.CONTROL))
+    code, known = other.encode(said, add_special_tokens=False), chat.vocabulary_at(CHAT_VOCABULARY)
+    ids = known.encode(said)
+    assert code.ids == ids.tolist()
+    if said.isascii():
+        assert [b for _, b in code.offsets] == known.size[ids].cumsum().tolist()
 
 
 def test_odd_rows(spark):
@@ -31,6 +47,6 @@ def test_odd_rows(spark):
     assert chat.parse(got[1].formatted) == [("user", ""), ("", "x")] and got[1].loss_spans == []
     assert chat.parse(got[2].formatted) == [("user", "a"), ("assistant", "b"), ("assistant", "b")] and len(got[2].loss_spans) == 2
     assert chat.parse(got[None].formatted) == [("assistant", "lost")] and any(got[None].loss_mask) and len(got[3].formatted) > 50_000
-    digests = {r.conv_id: r for r in chat.chat_digests(chat.format_chats(given_, CHAT_VOCABULARY)).collect()}
+    digests = {r.conv_id: r for r in chat.chat_digests(given_, CHAT_VOCABULARY).collect()}
     assert digests[3].loss_chars == 50_000 and digests[1].loss_chars == 0 and digests[2].n_turns == 3
-    assert chat.chat_digests(chat.format_chats(given_.limit(0), CHAT_VOCABULARY)).count() == 0
+    assert chat.chat_digests(given_.limit(0), CHAT_VOCABULARY).count() == 0 == chat.format_chats(given_.limit(0), CHAT_VOCABULARY).count()
