@@ -6,24 +6,28 @@ from gradus.llm import licences, queries, urls
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
 _FITS = [(k, r, "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))) for k, r in sorted(queries.RULES, key=lambda x: (-len(x[1]), x[1]))]
+_DIFFERS = "pow(CAST(b AS DOUBLE) * {0}_l - CAST(l AS DOUBLE) * {0}_b, 2) > CAST({similar} AS DOUBLE) * l * {0}_b * ({0}_l - {0}_b)"
 _LEVEL = """
 c{0} AS (SELECT host, template, shape[{0}] AS child, sum(n) AS n, sum(labelled) AS l, sum(bad) AS b FROM t{1} WHERE len(shape) >= {0} GROUP BY ALL),
-m{0} AS (SELECT host, template, count(*) AS k, sum(n) AS all_n, sum(CASE WHEN l >= {support} THEN l ELSE 0 END) AS all_l, sum(CASE WHEN l >= {support} THEN b ELSE 0 END) AS all_b FROM c{0} GROUP BY ALL),
-j{0} AS (SELECT host, template, child, k > {fan} AND all_n < k * {per} AS variable, l >= {support} AND pow(CAST(b AS DOUBLE) * all_l - CAST(l AS DOUBLE) * all_b, 2) <= CAST({similar} AS DOUBLE) * l * all_b * (all_l - all_b) AS alike FROM c{0} JOIN m{0} USING (host, template)),
+m{0} AS (SELECT host, template, count(*) AS k, sum(n) AS all_n, sum(CASE WHEN l >= {support} THEN l ELSE 0 END) AS strong_l, sum(CASE WHEN l >= {support} THEN b ELSE 0 END) AS strong_b, sum(l) AS node_l, sum(b) AS node_b FROM c{0} GROUP BY ALL),
+j{0} AS (SELECT host, template, child, k > {fan} AND NOT (n * {fan} >= all_n AND n * k > all_n * {per}) AND NOT (l >= {support} AND {of_node}) AS variable, l >= {support} AND NOT ({of_strong}) AS alike FROM c{0} JOIN m{0} USING (host, template)),
 w{0} AS (SELECT host, template, child, variable OR (alike AND count(*) FILTER (alike) OVER (PARTITION BY host, template) > 1) AS wild FROM j{0}),
 t{0} AS (SELECT t.host, t.shape, t.n, t.labelled, t.bad, CASE WHEN len(t.shape) >= {0} THEN t.template || '/' || CASE WHEN wild THEN '*' ELSE w.child END ELSE t.template END AS template
   FROM t{1} t LEFT JOIN w{0} w ON w.host = t.host AND w.template = t.template AND w.child = t.shape[{0}])"""
+_OF = {f"of_{x}": _DIFFERS.format(x, similar=urls.SIMILAR) for x in ("node", "strong")}
 URLS = f"""
 WITH cut AS (SELECT page_id, {_REST} AS rest FROM pages),
 own AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS (SELECT *, CASE {" ".join(f"WHEN {f} THEN '{r}'" for _, r, f in _FITS)} END AS rule, CASE {" ".join(f"WHEN {f} THEN '{k}'" for k, _, f in _FITS)} END AS ruled,
   list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '[0-9a-fA-F]{{8,}}') THEN '<hex>' ELSE regexp_replace(s, '[0-9]+', '<n>', 'g') END) AS shape FROM own),
-t0 AS (SELECT host, shape, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, '' AS template FROM ruled GROUP BY host, shape),
-{",".join(_LEVEL.format(i, i - 1, support=urls.SUPPORT, fan=urls.FAN_OUT, per=urls.PER_CHILD, similar=urls.SIMILAR) for i in range(1, urls.DEPTH + 1))},
+marked AS (SELECT host, shape, 1 AS n, CASE WHEN ruled IS NOT NULL THEN 1 ELSE 0 END AS labelled, CASE WHEN ruled = 'block' THEN 1 ELSE 0 END AS bad FROM ruled
+  UNION ALL SELECT host, shape, 0, 1, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END FROM ruled JOIN labels ON doc_id = try_cast(regexp_extract(path, '{queries.DOCUMENT}', 1) AS BIGINT) WHERE ruled IS NULL),
+t0 AS (SELECT host, shape, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, '' AS template FROM marked GROUP BY host, shape),
+{",".join(_LEVEL.format(i, i - 1, support=urls.SUPPORT, fan=urls.FAN_OUT, per=urls.PER_CHILD, **_OF) for i in range(1, urls.DEPTH + 1))},
 whole AS (SELECT host, shape, labelled, bad, CASE WHEN len(shape) > {urls.DEPTH} THEN template || '/**' ELSE template END AS template FROM t{urls.DEPTH}),
 sums AS (SELECT host, template, CAST(sum(labelled) AS BIGINT) AS n_labelled, CAST(sum(bad) AS BIGINT) AS n_bad FROM whole GROUP BY ALL)
-SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN n_labelled >= {urls.SUPPORT} AND CAST(n_bad AS DOUBLE) + 1 >= CAST({urls.PURITY} AS DOUBLE) * (n_labelled + 2) THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN n_labelled >= {urls.SUPPORT} AND CAST(n_bad AS DOUBLE) + 1 >= CAST({urls.IMPURE} AS DOUBLE) * (n_labelled + 2) THEN 'block' ELSE 'allow' END) AS verdict,
   w.template, n_labelled, n_bad
 FROM ruled r LEFT JOIN whole w ON w.host = r.host AND w.shape = r.shape LEFT JOIN sums s ON s.host = w.host AND s.template = w.template"""
 

@@ -24,8 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where a url names the document that its page was made from: the last number of its path.
+DOCUMENT = r"([0-9]+)[^0-9/]*/?$"
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, bad: pages made from a labelled document, bad if it is toxic or of low quality."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(urls.host_and_path(F.col("url"))[1], DOCUMENT, 1).try_cast("bigint")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return pages.select("url", number.alias("doc_id")).join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("url", "bad")
+
+
 def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), RULES, labelled=page_labels(spark, sf_dir))
 
 
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

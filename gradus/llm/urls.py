@@ -14,7 +14,7 @@ DEPTH = 6  # segments that always differ in a template; what lies deeper is divi
 FAN_OUT = 50  # a node with more children than that has variable segments
 PER_CHILD = 4  # a child that has that many times the urls of the mean child, and a FAN_OUT-th of its node's, is none of them
 SUPPORT = 5  # labelled urls that a template needs, and a branch to be compared
-PURITY = 0.8
+IMPURE = 0.5  # of a template's labelled urls, smoothed, that are bad
 SIMILAR = 3.8416  # z squared: branches below it are of one kind
 WILD = "*"
 
@@ -129,25 +129,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, labelled: DataFrame
     """Per page: page_id, host, path, rule (or null), verdict (allow or block), template, n_labelled, n_bad.
 
     The verdict is the rule's. Without one, a page is blocked if its template has ``SUPPORT`` labelled urls or more and
-    the smoothed share of bad ones, (bad + 1) / (labelled + 2), is ``PURITY`` or more. ``labelled`` (url, bad) gives the
-    labels; without it, urls that a rule judges are the labelled ones, bad if blocked. A null url, or one without
-    ``://``, has empty host and path and the empty template. Rows that repeat count and come out as often; other columns
-    are ignored; an empty table gives an empty one.
+    the smoothed share of bad ones, (bad + 1) / (labelled + 2), is ``IMPURE`` or more. Labelled are the urls that a rule
+    judges, bad if blocked, and those of ``labelled`` (url, bad) that no rule judges; a null ``bad`` is false, and a url that
+    it holds twice counts twice. A null url, or one without ``://``, has empty host and path and the empty template. Rows
+    that repeat count and come out as often; other columns are ignored; an empty table gives an empty one.
     """
     host, path = host_and_path(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = own.select("*", name.alias("rule"), verdict.alias("ruled"), shaped(F.col("path")).alias("shape"))
-    if labelled is None:
-        seen = own.select("host", "shape", F.lit(1).alias("n"), F.col("ruled").isNotNull().cast("int").alias("labelled"), F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int").alias("bad"))
-    else:
+    seen = own.select("host", "shape", F.lit(1).alias("n"), F.col("ruled").isNotNull().cast("int").alias("labelled"), F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int").alias("bad"))
+    if labelled is not None:
         h, p = host_and_path(F.col("url"))
-        marks = labelled.select(h.alias("host"), shaped(p).alias("shape"), F.lit(0).alias("n"), F.lit(1).alias("labelled"), F.coalesce(F.col("bad").cast("int"), F.lit(0)).alias("bad"))
-        seen = own.select("host", "shape", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad")).unionByName(marks)
+        marks = labelled.select(h.alias("host"), p.alias("path"), F.coalesce(F.col("bad").cast("int"), F.lit(0)).alias("bad"))
+        marks = marks.where(verdict.isNull()).select("host", shaped(F.col("path")).alias("shape"), F.lit(0).alias("n"), F.lit(1).alias("labelled"), "bad")
+        seen = seen.unionByName(marks)
     tree = templates(seen.groupBy("host", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]))
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("n_bad"))
     known = settle(tree.select("host", "shape", "template").join(sums, ["host", "template"]), "templates")
     out = own.join(known, ["host", "shape"], "left")
-    bad = (F.col("n_labelled") >= SUPPORT) & (F.col("n_bad").cast("double") + 1 >= F.lit(PURITY) * (F.col("n_labelled").cast("double") + 2))
+    bad = (F.col("n_labelled") >= SUPPORT) & (F.col("n_bad").cast("double") + 1 >= F.lit(IMPURE) * (F.col("n_labelled").cast("double") + 2))
     verdict = F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "n_labelled", "n_bad")

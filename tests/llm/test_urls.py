@@ -66,3 +66,21 @@ def test_deep_branches_differ(spark):
     assert [(got[i].template, got[i].verdict) for i in range(5)] == [
         ("/a/b/c/d/e/f/g/bad/**", "block"), ("/a/b/c/d/e/f/g/good/**", "allow"), ("/a/b/c/d/e/f/**", "allow"), ("/q/b/c/d/e/f/**", "block"), ("/q/b/c/d/e/f/**", "block"),
     ]
+
+
+def test_templates_judge_pages_without_a_rule(spark):
+    """At sf0.1 780 of the 1,395 pages without a rule are in templates with labels enough, and 30 of them go by these."""
+    from gradus.llm.queries import op1_url_templates
+
+    rows = op1_url_templates(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
+    judged = [r for r in rows if (r.n_labelled or 0) >= urls.SUPPORT]
+    gone = [r for r in rows if r.verdict == "block"]
+    assert (len(rows), len(judged), len(gone)) == (1395, 780, 30)
+    assert all(r in judged and (r.n_bad + 1) / (r.n_labelled + 2) >= urls.IMPURE for r in gone) and any("*" in r.template for r in gone)
+
+
+def test_rules_are_labels_too(spark):
+    labels = spark.createDataFrame([("http://a.net/es/1", False)] * 9 + [("http://a.net/en/1", None)] * 5 + [("http://a.net/de/1", True)] * 5 + [(None, True)] * 5, "url string, bad boolean")
+    got = judged(spark, [f"http://a.net/es/{i}" for i in range(6)] + ["http://a.net/en/2", "http://a.net/de/3", "http://a.net/pt/3", None], labelled=labels)
+    assert [(got[i].rule, got[i].verdict, got[i].n_labelled, got[i].n_bad) for i in (0, 6, 7, 8)] == [("net/es/", "block", 11, 11), (None, "allow", 5, 0), (None, "block", 11, 11), (None, "allow", 0, 0)]
+    assert got[9].verdict == "block" and got[9].host == ""  # five bad labels without an address are the empty template's
