@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import decontaminate, jaccard, language, mixing, secrets
-from gradus.llm.queries import FINDINGS, FINDINGS_SEED, PIECES, WEIGHTS, table
+from gradus.llm.queries import PIECES, WEIGHTS, secret_forest, table
 
 #: Of four learned languages a text that speaks for none has about 0.25 to 0.3; the least of clean documents was 0.49.
 LEAST_SCORE = 0.35
@@ -67,9 +67,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mask in the place of each secret and brings n_chars up to date; no document goes, and a null text stays null."""
-    forest = secrets.train(secrets.invented_findings(FINDINGS, FINDINGS_SEED))
     given, moved = _aside(docs, "_candidates", "_secrets", "_redacted")
-    found = secrets.scan(given, forest, path="source" if "source" in docs.columns else None)
+    found = secrets.scan(given, secret_forest(), path="source" if "source" in docs.columns else None)
     changed = {"text": F.col("_redacted")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.size("_secrets") > 0, F.length("_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -20,6 +20,10 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 FINDINGS, FINDINGS_SEED = 4000, 23
 
 
+def secret_forest() -> secrets.Forest:
+    return secrets.train(secrets.invented_findings(FINDINGS, FINDINGS_SEED), secrets.dictionary(CHAT_VOCABULARY))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +46,7 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = secrets.scan(docs, secrets.train(secrets.invented_findings(FINDINGS, FINDINGS_SEED)), path="source")
+    found = secrets.scan(docs, secret_forest(), path="source")
     spans = F.array_join(F.transform("_secrets", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", F.col("_candidates").alias("n_candidates"), F.size("_secrets").cast("bigint").alias("n_secrets"), spans.alias("spans"), F.sha2("_redacted", 256).alias("redacted_sha256"))
 

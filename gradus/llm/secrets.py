@@ -1,10 +1,17 @@
-"""Secret scans: candidate strings by pattern, false positives removed by a random forest trained on labelled findings."""
+"""Secret scans: candidate strings by pattern, false positives removed by a random forest trained on labelled findings.
+
+The forest asks for length, character kinds, transitions between characters, dictionary coverage, the file's path and
+neighbouring words. Transitions, words and parts of paths count by the log odds that the labelled findings give them.
+"""
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import TYPE_CHECKING, NamedTuple
 
@@ -25,10 +32,8 @@ ASSIGNED = re.compile(r"""[=:]{1,2}[ \t]{0,3}["'`]?([^\s"'`<>=:]{6,})""")
 LONG = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 # How issued keys begin.
 ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|gh[opsu]_[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|glpat-[A-Za-z0-9_\-]{16,})")
-# Words beside secrets, words beside harmless strings, parts of file paths, words in placeholders.
-SECRET_WORDS = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|credential|bearer|signature)")
-HARMLESS_WORDS = re.compile(r"(?i)(commit|sha1|sha256|md5|checksum|digest|hash|revision|uuid|guid|version|build|isbn|doi|order|invoice|phone|card|https?|href|src|image|color|page|see|note|time|date)")
-TEST_PATH = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|docs?|samples?|fixtures?|mocks?|demo)([/_.\-]|$)")
+BUCKETS = 2048  # of hashed neighbouring words and parts of paths
+#: Words that invented findings are made of.
 WORDS = frozenset("""
 about access account admin after again allow also amount another answer apple application available back base because been before
 being best better between black blue book both build business button call case change changeme check city class client close code
@@ -48,9 +53,61 @@ their them theme then there these they thing think this those three time title t
 until update upload user username value version very video view want water website week well were what when where which while
 white will window with without word work world would write year your
 """.split())
-FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "pairs", "distinct", "entropy", "words", "hexadecimal", "number", "dots", "path", "assigned", "quoted", "secret_word", "harmless_word", "test_path", "issued")
-# Pairs of letters common in prose.
-PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
+FEATURES = (
+    "length", "digits", "upper", "lower", "other", "switches", "distinct", "entropy", "dictionary", "hexadecimal", "number", "dots", "slashes", "assigned", "quoted", "issued",
+    "pairs", "nearest", "left", "left_most", "right", "path",
+)
+_SYMBOL = np.full(128, 38, np.int64)  # letters, digits and some marks; all else is one symbol
+_SYMBOL[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = np.arange(26)
+_SYMBOL[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = np.arange(26)
+_SYMBOL[[ord(c) for c in "0123456789"]] = 26 + np.arange(10)
+_SYMBOL[[ord(c) for c in "-_./"]] = 36
+_SYMBOL[[ord(c) for c in "+="]] = 37
+SYMBOLS = 39
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+class Evidence(NamedTuple):
+    """What labelled findings teach beside the forest: log odds that a secret rather than something else has it."""
+
+    pairs: np.ndarray  # (symbols, symbols): one character after another
+    left: np.ndarray  # by bucket: a word before it
+    right: np.ndarray  # a word behind it
+    path: np.ndarray  # a part of the file's path
+
+
+def symbols(value: str) -> np.ndarray:
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(code < 128, _SYMBOL[np.minimum(code, 127)], 38)
+
+
+def buckets(text: str | None) -> list[int]:
+    """Of the words of a text."""
+    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in _TOKEN.findall((text or "").lower())]
+
+
+def evidence(findings: Iterable[tuple], smoothing: float = 1.0) -> Evidence:
+    """From findings (before, value, after, path, secret); a word counts once a finding."""
+    pairs, words = np.full((2, SYMBOLS, SYMBOLS), smoothing), np.full((2, 3, BUCKETS), smoothing)
+    seen = np.full(2, 2 * smoothing)
+    for before, value, after, path, secret in findings:
+        kind, s = int(secret), symbols(value)
+        seen[kind] += 1
+        np.add.at(pairs[kind], (s[:-1], s[1:]), 1)
+        for side, text in enumerate((before[-SIDE:], after[:SIDE], path)):
+            words[kind, side, list(set(buckets(text)))] += 1
+    pairs /= pairs.sum(axis=2, keepdims=True)
+    odds = np.log(words / seen[:, None, None])
+    left, right, path = odds[1] - odds[0]
+    return Evidence(np.log(pairs[1] / pairs[0]), left, right, path)
+
+
+def dictionary(vocabulary: str) -> frozenset[str]:
+    """Words of four letters or more that a public byte vocabulary (lines of base64 and rank) holds behind a space."""
+    with open(vocabulary, "rb") as lines:
+        pieces = (base64.b64decode(line.split()[0]) for line in lines)
+        words = (p[1:].decode().lower() for p in pieces if p[:1] == b" " and p[1:].isalpha())
+        return frozenset(w for w in words if len(w) >= 4)
 
 
 def grouped(text: str) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
@@ -80,12 +137,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [whole for whole, _ in grouped(text)]
 
 
-def coverage(value: str) -> float:
-    """Share of the characters that dictionary words of three letters or more cover, longest first from the left."""
+def coverage(value: str, words: frozenset[str]) -> float:
+    """Share of the characters that dictionary words cover, longest first from the left."""
     low, i, covered = value.lower(), 0, 0
     while i < len(low):
-        for n in range(min(12, len(low) - i), 2, -1):
-            if low[i : i + n] in WORDS:
+        for n in range(min(14, len(low) - i), 3, -1):
+            if low[i : i + n] in words:
                 covered += n
                 i += n
                 break
@@ -94,29 +151,38 @@ def coverage(value: str) -> float:
     return covered / max(1, len(value))
 
 
-def features(before: str, value: str, after: str, path: str | None) -> list[float]:
+def features(before: str, value: str, after: str, path: str | None, known: Evidence, words: frozenset[str]) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
-    counts = {c: value.count(c) for c in set(value)}
-    low = value.lower()
-    letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
-    left = before[-SIDE:]
+    counts = Counter(value)
+    left, s = before[-SIDE:], symbols(value)
+    odds = [float(known.left[b]) for b in buckets(left)]
     return [
         n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("o") / n, sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
-        sum(p in PAIRS for p in letters) / max(1, len(letters)), len(counts) / min(n, WIDTH), -sum(c / n * math.log2(c / n) for c in counts.values()), coverage(value),
-        all(c in "0123456789abcdefABCDEF" for c in value), all(c.isdigit() or c in "-. +" for c in value), value.count(".") / n, "/" in value or "\\" in value,
-        bool(re.search(r"""[=:][ \t]{0,3}["'`]?$""", left)), left[-1:] in ("'", '"', "`") and bool(left), bool(SECRET_WORDS.search(left)), bool(HARMLESS_WORDS.search(left) or HARMLESS_WORDS.search(after[:SIDE])), bool(path and TEST_PATH.search(path)), bool(ISSUED.match(value)),
+        len(counts) / min(n, WIDTH), -sum(c / n * math.log2(c / n) for c in counts.values()), coverage(value, words),
+        all(c in "0123456789abcdefABCDEF" for c in value), all(c.isdigit() or c in "-. +" for c in value), value.count(".") / n, (value.count("/") + value.count("\\")) / n,
+        bool(re.search(r"""[=:][ \t]{0,3}["'`]?$""", left)), left[-1:] in ("'", '"', "`") and bool(left), bool(ISSUED.match(value)),
+        float(known.pairs[s[:-1], s[1:]].mean()) if n > 1 else 0.0, odds[-1] if odds else 0.0, sum(odds), max(odds, default=0.0), sum(float(known.right[b]) for b in buckets(after[:SIDE])), sum(float(known.path[b]) for b in buckets(path)),
     ]
 
 
 class Forest(NamedTuple):
-    """Trees in arrays: node i asks if feature[i] <= limit[i], left to i's child, else to the one after it; -1 ends."""
+    """Trees in arrays: node i asks if feature[i] <= limit[i], left to i's child, else to the one after it; -1 ends.
+
+    With them what their features are measured by.
+    """
 
     roots: np.ndarray
     feature: np.ndarray
     limit: np.ndarray
     child: np.ndarray
     share: np.ndarray
+    known: Evidence | None = None
+    words: frozenset[str] = frozenset()
+
+    def rate(self, found: Iterable[tuple[str, str, str, str | None]]) -> np.ndarray:
+        """``score`` of findings (before, value, after, path)."""
+        return self.score(np.array([features(*f, self.known, self.words) for f in found], float).reshape(-1, len(FEATURES)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Mean share of secrets in the leaves that each row reaches."""
@@ -130,7 +196,7 @@ class Forest(NamedTuple):
         return self.share[at].mean(axis=1)
 
 
-def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 9, least: int = 3, seed: int = 1) -> Forest:
+def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 9, least: int = 3, seed: int = 1) -> Forest:
     """A random forest: each tree on a bootstrap sample, each split the best by Gini among some features."""
     rng = np.random.default_rng(seed)
     tried = max(1, round(math.sqrt(x.shape[1])))
@@ -243,12 +309,17 @@ def invented_findings(n: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["before", "value", "after", "path", "secret"])
 
 
-def train(findings: pd.DataFrame, *, seed: int = 1) -> Forest:
-    """The forest of labelled findings (before, value, after, path, secret); of more than ``MAX_FINDINGS`` a seeded sample."""
+def train(findings: pd.DataFrame, words: frozenset[str], *, seed: int = 1) -> Forest:
+    """The forest of labelled findings (before, value, after, path, secret); of more than ``MAX_FINDINGS`` a seeded sample.
+
+    While it grows, each half of the findings is measured by what the other half taught, so that no finding vouches for itself.
+    """
     if len(findings) > MAX_FINDINGS:
         findings = findings.sample(MAX_FINDINGS, random_state=seed)
-    x = np.array([features(*r) for r in findings[["before", "value", "after", "path"]].itertuples(index=False)], float)
-    return grow(x, findings["secret"].to_numpy(float), seed=seed)
+    rows = list(findings[["before", "value", "after", "path", "secret"]].itertuples(index=False, name=None))
+    halves = [evidence(rows[i::2]) for i in (0, 1)]
+    x = np.array([features(*r[:4], halves[(i + 1) % 2], words) for i, r in enumerate(rows)], float)
+    return grow(x, findings["secret"].to_numpy(float), seed=seed)._replace(known=evidence(rows), words=words)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
@@ -272,7 +343,7 @@ def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | Non
     A candidate whose score is ``limit`` or more is a secret. Where one that is none was made of overlapping matches, or has
     others inside it, those count by their own scores, and the union of the accepted ones is masked. A null text has none and stays null; equal rows are judged
     alike; texts are scanned whole. ``path`` names a column with the file's path or source, if there is one. An empty table
-    stays empty. The forest, some thousand nodes, is broadcast; nothing is shuffled.
+    stays empty. The forest, some thousand nodes with a dictionary, is broadcast; nothing is shuffled.
     """
     docs = docs.drop("_candidates", "_secrets", "_redacted")
     sent = docs.sparkSession.sparkContext.broadcast(forest)
@@ -283,8 +354,8 @@ def scan(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | Non
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             paths = batch.column(batch.schema.get_field_index(path)).to_pylist() if path else [None] * len(texts)
             found = [grouped(t) if t else [] for t in texts]
-            x = [features(t[max(0, a - SIDE) : a], t[a:b], t[b : b + SIDE], p) for t, p, spans in zip(texts, paths, found, strict=True) for whole, inner in spans for a, b in (whole, *inner)]
-            scores = iter(sent.value.score(np.array(x, float).reshape(-1, len(FEATURES))).tolist())
+            parts = ((t[max(0, a - SIDE) : a], t[a:b], t[b : b + SIDE], p) for t, p, spans in zip(texts, paths, found, strict=True) for whole, inner in spans for a, b in (whole, *inner))
+            scores = iter(sent.value.rate(parts).tolist())
             secrets, redacted = [], []
             for t, spans in zip(texts, found, strict=True):
                 own = []

@@ -43,7 +43,7 @@ def test_stages_against_plain_code(spark):
                 out += text[here : at[k].start()]
             here = at[k].end()
         cut[i] = out + text[here:]
-    forest = secrets.train(secrets.invented_findings(queries.FINDINGS, queries.FINDINGS_SEED))
+    forest = queries.secret_forest()
     clean = spark.createDataFrame([(i, t, rows[i].source) for i, t in cut.items()], "doc_id long, text string, source string")
     masked = secrets.scan(clean, forest, path="source").select("doc_id", "_redacted", "source").withColumnRenamed("_redacted", "text")
     want = sorted((r.doc_id, r.text, r.copy_no) for r in mixing.mix_sources(masked, queries.WEIGHTS).collect())
