@@ -1,41 +1,47 @@
 """Exact n-gram Jaccard join of documents as a blocked sparse matrix product.
 
-Rows of the incidence matrix are the distinct shingle sets, columns are hashes of shingles. Two sets of at most r
-shingles with similarity t differ in at most D = 2r(1-t)/(1+t) shingles. So if the columns are cut into more than D
-ranges, two similar rows agree in a whole range: each range of a row is a block signature, and only rows that share a
-block can have a product entry above the bound. Ranges are cut finely enough that some are to spare, so ranges with
-too few shingles, which would be shared by many rows, needn't serve as blocks. Sizes go into intervals with bounds of
-their own; a row also enters the next interval if a larger row there can still be similar.
-
-In a block every row first meets the block's smallest row: linear in the block however large a group of copies is. Pairs
-that a bound from their sizes and the parities of 512 hashed columns allows are joined into clusters. Rows of a block in
-different clusters then meet each other under the same bound, which only ever merges clusters. Clusters are cut into
-tiles of bounded size, in which first parities of about eight bits a shingle part what the narrow ones joined, and then
-the overlaps are accumulated exactly; a tile gives a spanning forest of its links, so what leaves it
-is linear in its rows.
+Rows of the incidence matrix are the distinct shingle sets, columns are hashes of shingles.
+
+*Counts.* A task packs the entries of its documents into chunks and sends each block of columns one entry for each chunk
+and column; the block sums them and answers each chunk with the counts of its columns that have several rows. So a column
+that a third of all rows have is no block's burden.
+
+*Bound.* A set of n shingles shares at least ceil(t n) of them with any similar one. If all columns are ordered from the
+rarest on, two similar rows share one of their first n - ceil(t n) + 1. A column of one row is shared with none, so a row
+with as many of those has no partner and is done; others keep what is left of these columns.
+
+*Products.* Rows that keep a column in common are the only entries of the product that can reach the bound. In each column
+every row first meets the least row, and their overlap is counted exactly: linear in the column, however large a group of
+copies is. Rows that these links leave apart are held against each other in tiles of bounded size by parities of about six
+bits a shingle, which bound the difference from below; the pairs that these allow are counted exactly too. Where a row has
+more of them than ``PARTNERS``, another round follows, without the pairs that failed. A component that is large after the
+first links meets the other rows of its columns as one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm._store import settle
-from gradus.llm._text import SPACED_LOWER, U, chunks, mix, split_words, windows
+from gradus.llm._text import SPACED_LOWER, U, chunks, lean, mix, split_words, windows
 from gradus.llm.components import components
 
-PARITIES = [f"p{i}" for i in range(8)]
-BROADCAST_IDS = 1_000_000
-SEEN = 500_000
-PANEL = 1024  # rows of a panel, about
-PANEL_SHINGLES = 1_000_000
+SEEN = 200_000  # sets that a task remembers, so as not to send copies
+ROW_BITS = 16  # an entry is a column's hash, cut to the other 48 bits, and the number of its row in the chunk
+CHUNK_ENTRIES = 1 << 21
+BLOCK_ENTRIES = 1 << 20  # of a block of columns, about
+PANEL = 512  # rows of a panel, about; a tile is two panels
+PARTNERS = 32  # of a row that a tile names in one round; others wait for the next
+GROUP = 64  # rows from which on a component is held against other rows as a whole, not column by column
+
+PACKED = "block int, chunk bigint, kind int, data binary, extra binary, ids binary, known binary, sizes binary, sigs binary, fresh binary"
+FOUND = "kind int, doc_id bigint, n bigint, sig bigint, col bigint"
 
 
 def sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,16 +78,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(_each(mix(values), offsets, np.add) + (offsets[1:] - offsets[:-1]).astype(np.uint64)).view(np.int64)
 
 
-def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(sets, 8) words: bit j is the parity of the shingles that hash to j. Bits that differ bound a difference below."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    bits = np.bincount(row * 512 + (values & U(511)).astype(np.int64), minlength=n * 512) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, 512), axis=1).view(np.int64)
-
-
 def wide_parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The same with about eight bits for each shingle, so that they tell long sets apart too; a power of two of bits."""
+    """For each set a bit string: bit j is the parity of the shingles that hash to j. Bits that differ bound a difference below.
+
+    Four to eight bits for each shingle, a power of two of them, so that they tell long sets apart too.
+    """
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         width = max(512, 1 << (4 * (b - a)).bit_length())
@@ -98,290 +99,318 @@ def folded(packed: np.ndarray, bytes_: int) -> np.ndarray:
     return packed
 
 
-class Intervals:
-    """Size intervals of the rows, and the number of column ranges of each."""
-
-    def __init__(self, similarity: Fraction, ratio: float = 1.3):
-        self.t, low, high = similarity, [1], []
-        while low[-1] < 1 << 40:
-            high.append(max(low[-1], int(low[-1] * ratio)))
-            low.append(high[-1] + 1)
-        self.low = np.array(low[:-1])
-        self.differ = np.array([math.floor(2 * r * (1 - similarity) / (1 + similarity)) for r in high])
-        base = self.differ + 1
-        dense = self.low >= 64
-        self.least = np.where(dense, 2, 1)  # shingles that a range must have to serve as a block
-        self.spare = np.where(dense, np.ceil(base * 0.15) + 2, np.ceil(base * 0.05) + 1).astype(np.int64)
-        self.ranges = base + self.spare
-
-    def entered(self, size: np.ndarray, step: int) -> np.ndarray:
-        """The interval ``step`` above each row's own; -1 if no row there can be similar."""
-        at = np.searchsorted(self.low, size, "right") - 1 + step
-        low = self.low[np.minimum(at, len(self.low) - 1)]
-        near = (size > 0) & (low * self.t.numerator <= size * self.t.denominator)
-        return np.where((near | ((step == 0) & (size > 0))) & (self.differ[np.minimum(at, len(self.low) - 1)] > 0), at, -1)
-
-    def steps(self) -> int:
-        return 1 + math.ceil(math.log(1 / float(self.t)) / math.log(1.3)) + 2
-
-
-def blocks(values: np.ndarray, offsets: np.ndarray, cut: Intervals) -> tuple[np.ndarray, np.ndarray]:
-    """Block signatures of sets, and the set that each belongs to."""
-    size = np.diff(offsets)
-    keys, owners = [], []
-    mixed = mix(values + U(0x5851F42D4C957F2D))
-    for step in range(cut.steps()):
-        tag = cut.entered(size, step)
-        rows = np.flatnonzero(tag >= 0)
-        if not len(rows):
-            continue
-        keep = np.repeat(tag >= 0, size)
-        row = np.repeat(np.arange(len(size)), size)[keep]
-        k = cut.ranges[tag[row]].astype(np.uint64)
-        part = ((values[keep] >> U(32)) * k) >> U(32)
-        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))
-        total = np.add.reduceat(mixed[keep], first)
-        count = np.diff(np.append(first, len(row)))
-        own, place = row[first], part[first]
-        salt = mix((tag[own].astype(np.uint64) << U(40)) + place + U(1))
-        key = mix(total ^ salt)
-        heavy = count >= cut.least[tag[own]]
-        light = cut.ranges[tag] - np.bincount(own[heavy], minlength=len(size))
-        bare = (tag >= 0) & (light > cut.spare[tag])  # too few blocks: all ranges serve
-        serve = heavy | bare[own]
-        keys.append(key[serve])
-        owners.append(own[serve])
-        for r in np.flatnonzero(bare).tolist():  # and the empty ones
-            empty = np.setdiff1d(np.arange(cut.ranges[tag[r]], dtype=np.uint64), place[own == r])
-            keys.append(mix(mix((np.uint64(tag[r]) << U(40)) + empty + U(1))))
-            owners.append(np.full(len(empty), r))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
-
-
-def _rows(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: id, size, signature (null if empty), parities and wide parities."""
+def squeeze(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as their differences, byte by byte in planes, without the planes that are all 0."""
+    if not len(values):
+        return b""
+    step = np.diff(values)
+    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8).T[: (int(step.max()).bit_length() + 7) // 8 if len(step) else 0]
+    return len(values).to_bytes(8, "little") + int(values[0]).to_bytes(8, "little") + planes.tobytes()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, values, offsets in sets(batch.column(1), width):
-                n = np.diff(offsets)
-                bits = parities(values, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(n)), pa.array(n), pa.array(signatures(values, offsets), mask=n == 0), *[pa.array(bits[:, i]) for i in range(8)], pa.array(wide_parities(values, offsets), pa.binary())],
-                    ["doc_id", "n_shingles", "sig", *PARITIES, "wide"],
-                )
 
-    return docs.mapInArrow(work, f"doc_id bigint, n_shingles bigint, sig bigint, {', '.join(f'{p} bigint' for p in PARITIES)}, wide binary")
+def unsqueeze(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    n = int.from_bytes(data[:8], "little")
+    step = np.zeros((n, 8), np.uint8)
+    if n > 1:
+        planes = np.frombuffer(data, np.uint8, offset=16).reshape(-1, n - 1)
+        step[1:, : len(planes)] = planes.T
+    out = step.view("<u8")[:, 0].astype(np.uint64)
+    out[0] = int.from_bytes(data[8:16], "little")
+    return np.cumsum(out, dtype=np.uint64)
 
 
-def _keys(docs: DataFrame, width: int, cut: Intervals) -> DataFrame:
-    """Block and signature, once for each distinct set of a task (as far back as ``SEEN`` sets are remembered)."""
+def prefix(n: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """How many of a row's columns, in one order of all columns, must hold one that a similar row has among its own."""
+    p, q = similarity.numerator, similarity.denominator
+    return n + (-n * p) // q + 1
+
+
+class _Chunk:
+    """Entries of up to 2 ** ROW_BITS documents on their way to the blocks of columns."""
+
+    def __init__(self, name: int, blocks: int):
+        self.name, self.blocks = name, blocks
+        self.entries: list[np.ndarray] = []
+        self.ids: list[pa.Array] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = self.size = 0
+
+    def add(self, ids: pa.Array, n: np.ndarray, sig: np.ndarray, fresh: np.ndarray, values: np.ndarray) -> None:
+        """Documents, and the shingles of the fresh ones."""
+        row = np.repeat(np.flatnonzero(fresh) + self.rows, n[fresh]).astype(np.uint64)
+        self.entries.append((values >> U(ROW_BITS) << U(ROW_BITS)) | row)
+        self.ids.append(ids)
+        self.parts.append((n, sig, fresh))
+        self.rows += len(n)
+        self.size += len(values)
+
+    def packed(self) -> pa.RecordBatch:
+        """A row for each block of columns, and one (kind 1) of the documents and of what other rows of a column there are."""
+        entries = np.sort(np.concatenate(self.entries))
+        first = np.ones(len(entries), bool)
+        first[1:] = (entries[1:] ^ entries[:-1]) >> U(ROW_BITS) != 0
+        at = np.flatnonzero(first)
+        one, extra = entries[at], (np.diff(np.append(at, len(entries))) - 1).astype("<u4")
+        edges = np.append(np.searchsorted(one, np.arange(self.blocks, dtype=np.uint64) << U(64 - (self.blocks - 1).bit_length())), len(one))
+        some = np.flatnonzero(np.diff(edges))
+        data = [squeeze(one[edges[b] : edges[b + 1]]) for b in some.tolist()]
+        more = [extra[edges[b] : edges[b + 1]].view(np.uint8).reshape(-1, 4).T.tobytes() for b in some.tolist()]
+        ids = pa.chunked_array(self.ids, pa.int64())
+        known = np.ones(len(ids), bool) if not ids.null_count else ids.is_valid().to_numpy()
+        n, sig, fresh = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        own = [ids.fill_null(0).to_numpy(), known, n.astype(np.int64), sig, fresh]
+        count, nothing = len(some) + 1, [None] * len(some)
+        columns = [
+            pa.array([*some.tolist(), -1 - int(self.name % 64)], pa.int32()), pa.array([self.name] * count, pa.int64()), pa.array([0] * len(some) + [1], pa.int32()),
+            pa.array([*data, squeeze(entries[~first])], pa.binary()), pa.array([*more, None], pa.binary()), *[pa.array([*nothing, x.tobytes()], pa.binary()) for x in own],
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PACKED.split(", ")])
+
+
+def _entries(docs: DataFrame, width: int, blocks: int) -> DataFrame:
+    """The chunks of all documents; a set that a task has sent already counts as not fresh."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        from pyspark import TaskContext
+
+        name, seen = TaskContext.get().partitionId() << 32, set()
+        chunk = _Chunk(name, blocks)
         for batch in batches:
-            for _, values, offsets in sets(batch.column(1), width):
-                sig = signatures(values, offsets)
+            for lo, values, offsets in sets(batch.column(1), width):
+                n, sig = np.diff(offsets), signatures(values, offsets)
                 fresh = np.zeros(len(sig), bool)
                 for i, s in enumerate(sig.tolist()):
-                    if s not in seen:
+                    if n[i] and s not in seen:
                         fresh[i] = True
                         seen.add(s)
                 if len(seen) > SEEN:
                     seen.clear()
-                size = np.diff(offsets)
-                values = values[np.repeat(fresh, size)]
-                key, own = blocks(values, np.concatenate(([0], np.cumsum(size[fresh]))), cut)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig[fresh][own])], ["key", "sig"])
+                for a in range(0, len(n), 1 << ROW_BITS):
+                    some = slice(a, a + (1 << ROW_BITS))
+                    if chunk.size >= CHUNK_ENTRIES or chunk.rows + len(n[some]) > 1 << ROW_BITS:
+                        yield chunk.packed()
+                        name += 1
+                        chunk = _Chunk(name, blocks)
+                    own = values[offsets[a] : offsets[a + len(n[some])]][np.repeat(fresh[some], n[some])]
+                    chunk.add(batch.column(0).slice(lo + a, len(n[some])), n[some], sig[some], fresh[some], own)
+        if chunk.rows:
+            yield chunk.packed()
 
-    return docs.mapInArrow(work, "key bigint, sig bigint")
-
-
-def _set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """Signature and whole set of each document."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, values, offsets in sets(batch.column(1), width):
-                keep = np.diff(offsets) > 0
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(signatures(values, offsets)).filter(pa.array(keep)), lists.filter(pa.array(keep))], ["sig", "set"])
-
-    return docs.mapInArrow(work, "sig bigint, set array<bigint>")
-
-
-def _bound(similarity: Fraction, a: str, b: str) -> Column:
-    """Whether the sizes and parities of two rows allow the similarity."""
-    p, q = similarity.numerator, similarity.denominator
-    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differ = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))).cast("bigint") for x in PARITIES), F.lit(0).cast("bigint"))
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (differ * (p + q) <= (n + m) * (q - p))
-
-
-class _Forest:
-    """Union-find over the rows of a group; remembers the edges that joined two trees."""
-
-    def __init__(self, n: int):
-        self.tree, self.edges = np.arange(n), []
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        for j in others.tolist():
-            if self.tree[i] != self.tree[j]:
-                self.edges.append((i, j))
-                self.tree[self.tree == self.tree[j]] = self.tree[i]
+    return docs.mapInArrow(lean(work), PACKED)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows that agree in the first columns, of batches sorted by them."""
-    rest: list[pa.RecordBatch] = []
+    held: list[pa.RecordBatch] = []
+    at: tuple[int, ...] | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest.append(batch)
-        key = np.stack([c.to_numpy() for c in batch.columns[:keys]], axis=1)
-        last = rest[0].slice(0, 1).to_pylist()[0]
-        first = [last[n] for n in batch.schema.names[:keys]]
-        if (key[-1] == first).all():
-            continue
-        whole = pa.Table.from_batches(rest)
-        key = np.stack([c.to_numpy() for c in whole.columns[:keys]], axis=1)
-        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+        named = np.stack([c.to_numpy() for c in batch.columns[:keys]], axis=1)
+        edges = [0, *(np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield whole.slice(a, b - a)
-        rest = whole.slice(edges[-1]).combine_chunks().to_batches()
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _pairs(sig: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    at = np.array(edges, np.int64).reshape(-1, 2)
-    x, y = sig[at[:, 0]], sig[at[:, 1]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            own = tuple(named[a].tolist())
+            if held and own != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _crossing(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """A spanning forest of the pairs that share a block, are in different clusters, and that the bound allows."""
-    p, q = similarity.numerator, similarity.denominator
+def _counted(packed: DataFrame) -> DataFrame:
+    """Each block's entries of columns that have several rows, with the columns' counts, chunk by chunk; documents pass through."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, 1):
-            _, sig, cluster, n, *bits = (c.to_numpy() for c in group.columns)
-            bits, forest = np.stack(bits, axis=1).view(np.uint64), _Forest(len(sig))  # of a signed number numpy counts the absolute value's bits
-            for i in range(len(sig) - 1):
-                other = np.flatnonzero((cluster[i + 1 :] != cluster[i]) & (forest.tree[i + 1 :] != forest.tree[i])) + i + 1
-                differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                forest.join(i, other[(np.minimum(n[other], n[i]) * q >= np.maximum(n[other], n[i]) * p) & (differ * (p + q) <= (n[other] + n[i]) * (q - p))])
-            yield _pairs(sig, forest.edges)
+        for block in _grouped(batches, 1):
+            if block.column("block")[0].as_py() < 0:
+                yield from block.to_batches()
+                continue
+            data = [unsqueeze(x.as_py()) for x in block.column("data")]
+            more = [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for x in block.column("extra")]
+            col = np.concatenate(data) >> U(ROW_BITS)
+            order = np.argsort(col, kind="stable")
+            head = np.flatnonzero(np.concatenate(([True], col[order[1:]] != col[order[:-1]])))
+            sums = np.add.reduceat(np.concatenate(more)[order].astype(np.int64) + 1, head)
+            count = np.empty(len(col), np.int64)
+            count[order] = np.repeat(sums, np.diff(np.append(head, len(col))))
+            edges = np.cumsum([0, *map(len, data)])
+            out = []
+            for chunk, own, a, b in zip(block.column("chunk").to_pylist(), data, edges[:-1], edges[1:], strict=True):
+                live = count[a:b] > 1
+                if live.any():
+                    out.append((chunk, squeeze(own[live]), np.minimum(count[a:b][live], 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+            if out:
+                nothing = pa.nulls(len(out), pa.binary())
+                columns = [pa.array([0] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary()), *[nothing] * 5]
+                yield pa.RecordBatch.from_arrays(columns, block.column_names)
+
+    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(lean(work), PACKED)
+
+
+def _postings(counted: DataFrame, similarity: Fraction) -> DataFrame:
+    """kind 0: every document's doc_id, n and sig (null if it has no shingle); kind 1: the columns that rows keep, with n and sig."""
 
-    return rows.select("key", "sig", "cluster", "n_shingles", *PARITIES).repartition("key").sortWithinPartitions("key").mapInArrow(work, "a bigint, b bigint")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _grouped((b.select(["chunk", *[c for c in b.schema.names if c != "chunk"]]) for b in batches), 1):
+            kind = chunk.column("kind").to_numpy()
+            at = int(np.flatnonzero(kind == 1)[0])
+            row = {c: chunk.column(c)[at].as_py() for c in ("data", "ids", "known", "sizes", "sigs", "fresh")}
+            n, sig = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["sigs"], np.int64)
+            ids, known, fresh = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), np.frombuffer(row["fresh"], bool)
+            yield _found(0, pa.array(ids, mask=~known), n, pa.array(sig, mask=n == 0), None)
+            rest = unsqueeze(row["data"])
+            live = np.flatnonzero(kind == 0).tolist()
+            one = np.concatenate([np.zeros(0, np.uint64), *[unsqueeze(chunk.column("data")[i].as_py()) for i in live]])
+            count = np.concatenate([np.zeros(0, np.uint32), *[np.ascontiguousarray(np.frombuffer(chunk.column("extra")[i].as_py(), np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for i in live]])
+            order = np.argsort(one)
+            one, count = one[order], count[order]
+            also = count[np.searchsorted(one >> U(ROW_BITS), rest >> U(ROW_BITS))] if len(rest) else count[:0]
+            entry, count = np.concatenate([one, rest]), np.concatenate([count, also])
+            own = (entry & U((1 << ROW_BITS) - 1)).astype(np.int64)
+            keep = prefix(n, similarity) - (n - np.bincount(own, minlength=len(n)))  # of the columns with several rows
+            col = entry >> U(ROW_BITS)
+            order = np.lexsort((col, count, own))
+            own, col = own[order], col[order]
+            place = np.arange(len(own)) - np.searchsorted(own, np.arange(len(n)))[own]
+            held = place < keep[own]
+            own, col = own[held], col[held]
+            if len(own):
+                yield _found(1, None, n[own], pa.array(sig[own]), col.astype(np.int64))
+
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(work), FOUND)
+
+
+def _found(kind: int, ids: pa.Array | None, n: np.ndarray, sig: pa.Array, col: np.ndarray | None) -> pa.RecordBatch:
+    nothing = pa.nulls(len(n), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), nothing if ids is None else ids, pa.array(n), sig, nothing if col is None else pa.array(col)], ["kind", "doc_id", "n", "sig", "col"])
 
 
-def _members(clusters: DataFrame, heads: DataFrame, name: str) -> DataFrame:
-    """``clusters`` (sig, cluster, done) of two rows or more with first_id and their number of panels."""
-    sized = clusters.join(heads.select("sig", "first_id", "n_shingles"), "sig")
-    sizes = sized.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).where("rows > 1")
-    panels = F.ceil(F.greatest(F.col("rows") / PANEL, F.col("shingles") / PANEL_SHINGLES)).cast("int")
-    return settle(sized.join(sizes, "cluster").select("sig", "first_id", "cluster", "done", "n_shingles", panels.alias("panels")), name)
+def _set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """Signature, size, whole set and wide parities of each document that has shingles."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, values, offsets in sets(batch.column(1), width):
+                keep = pa.array(np.diff(offsets) > 0)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+                made = [pa.array(signatures(values, offsets)), pa.array(np.diff(offsets)), lists, pa.array(wide_parities(values, offsets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in made], ["sig", "n", "set", "wide"])
 
-def _tiled(rows: DataFrame, *payload: str) -> DataFrame:
-    """Rows of clusters (with panels), once for each tile that their panel has a part in, tile by tile."""
-    panel = F.pmod(F.xxhash64("sig"), F.col("panels")).cast("int")
-    tiled = rows.withColumn("i", panel).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("panels") - 1)))
-    tiled = tiled.select("cluster", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "i", "sig", "done", "n_shingles", *payload)
-    order = ["cluster", "x", "y"]
-    return tiled.repartition(*order).sortWithinPartitions(*order)
+    return docs.mapInArrow(lean(work), "sig bigint, n bigint, set array<bigint>, wide binary")
 
 
-def _candidates(tile: pa.Table, similarity: Fraction) -> tuple[np.ndarray, _Forest, Iterator[tuple[int, np.ndarray]]]:
-    """Signatures, an empty forest, and for each row the later ones that sizes allow, not yet linked or compared before."""
+def _verified(pairs: DataFrame, own: DataFrame, similarity: Fraction) -> DataFrame:
+    """``pairs`` (a, b) with linked: whether their overlap, counted exactly, reaches the similarity. Sizes alone may rule it out."""
     p, q = similarity.numerator, similarity.denominator
-    sig, done, panel, n = (tile.column(c).to_numpy() for c in ("sig", "done", "i", "n_shingles"))
-    apart, forest = tile.column("x")[0].as_py() != tile.column("y")[0].as_py(), _Forest(len(sig))
-
-    def rows() -> Iterator[tuple[int, np.ndarray]]:
-        for i in range(len(sig)):
-            near = (forest.tree != forest.tree[i]) & (done != done[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
-            near[: i + 1] = False
-            if apart:
-                near &= panel != panel[i]
-            if len(other := np.flatnonzero(near)):
-                yield i, other
+    x, y = (own.select(F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("set").alias(f"set_{s}")) for s in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b")
+    overlap = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
+    near = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
+    return both.select("a", "b", F.when(near, overlap * q >= (F.col("n_a") + F.col("n_b") - overlap) * p).otherwise(False).alias("linked"))
 
-    return sig, forest, rows()
 
+def _tiles(placed: DataFrame) -> DataFrame:
+    """at, x, y, apart, panel, sig, comp: rows (col, sig, comp, large) of columns with several components, once for each of their tiles.
 
-def _refined(clusters: DataFrame, table: DataFrame, heads: DataFrame, similarity: Fraction) -> DataFrame:
-    """``clusters`` cut where no wide parities allow a link: what joined them by the narrow ones alone falls apart."""
-    p, q = similarity.numerator, similarity.denominator
-    own = _members(clusters, heads, "members")
-    wide = table.select(F.col("sig").alias("_sig"), "doc_id", "wide")
-    placed = wide.join(own, (wide["_sig"] == own.sig) & wide.doc_id.eqNullSafe(own.first_id)).dropDuplicates(["sig"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _grouped(batches, 3):
-            sig, forest, rows = _candidates(tile, similarity)
-            n, packed = tile.column("n_shingles").to_numpy(), tile.column("wide").to_pylist()
-            width = np.array([len(x) for x in packed])
-            place = np.zeros(len(sig), np.int64)
-            of: dict[tuple[int, int], np.ndarray] = {}
-            for w in np.unique(width).tolist():
-                some = np.flatnonzero(width == w)
-                place[some] = np.arange(len(some))
-                of[w, w] = np.frombuffer(b"".join(packed[k] for k in some), np.uint8).reshape(len(some), w)
-            for i, other in rows:
-                mine = of[int(width[i]), int(width[i])][place[i]][None]
-                for w in np.unique(width[other]).tolist():
-                    least, some = min(w, int(width[i])), other[width[other] == w]
-                    if (w, least) not in of:
-                        of[w, least] = folded(of[w, w], least)
-                    differ = np.bitwise_count((of[w, least][place[some]] ^ folded(mine, least)).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    forest.join(i, some[differ * (p + q) <= (n[some] + n[i]) * (q - p)])
-            yield _pairs(sig, forest.edges)
-
-    edges = settle(_tiled(placed, "wide").mapInArrow(work, "a bigint, b bigint").distinct(), "wide-links")
-    found = components(edges)
-    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    return own.join(found, own.sig == found.node).select("sig", F.col("component").alias("cluster"), "done")
-
-
-def _products(clusters: DataFrame, docs: DataFrame, table: DataFrame, heads: DataFrame, similarity: Fraction, width: int) -> DataFrame:
-    """Links within ``clusters`` (sig, cluster, done): a spanning forest of each tile.
-
-    A cluster is cut into panels of about ``PANEL`` rows (fewer if they are long), and every two panels make a tile of
-    the product. In a tile a row's overlaps with the rows not yet linked to it are accumulated over all its columns,
-    unless sizes rule them out; rows of the same ``done`` were compared before.
+    Rows of small components meet column by column; columns with the same such rows are one. A large component meets the
+    other rows of its columns once, whatever number of columns they share; so a large group of copies beside a few rows
+    costs no more than its rows. ``apart`` says that only rows of different panels need to be compared.
+    """
+    several = placed.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col")
+    mixed = settle(placed.join(several, "col"), "mixed")
+    panels = lambda rows: F.greatest(F.lit(1), F.ceil(rows / PANEL)).cast("int")
+    some = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    few = mixed.where(~F.col("large"))
+    known = few.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("sig")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("b"))
+    alone = known.where("lo < hi").groupBy("lo", "hi", "rows", "a", "b").agg(F.min("col").alias("col")).select("col", panels(F.col("rows")).alias("n"))
+    dealt = few.join(alone, "col").withColumn("panel", F.pmod(F.xxhash64("comp"), F.col("n")).cast("int")).withColumn("other", some(F.col("n")))
+    by_column = dealt.select(F.col("col").alias("at"), F.least("panel", "other").alias("x"), F.greatest("panel", "other").alias("y"), (F.col("panel") != F.col("other")).alias("apart"), "panel", "sig", "comp")
+
+    own = mixed.where("large").select("col", F.col("comp").alias("group"), "sig")
+    beside = mixed.join(own.select("col", "group").distinct(), "col").where("comp > group OR comp < group AND NOT large").select("group", F.lit(1).alias("side"), "sig", "comp")
+    sides = settle(own.select("group", F.lit(0).alias("side"), "sig", F.col("group").alias("comp")).unionByName(beside).distinct(), "sides")
+    count = sides.groupBy("group").agg(*[panels(F.count_if(F.col("side") == i)).alias(f"n{i}") for i in (0, 1)], F.max("side").alias("met")).where("met = 1")
+    here, there = (F.when(F.col("side") == i, F.col("n0")).otherwise(F.col("n1")) for i in (0, 1))
+    both = sides.join(count, "group").withColumn("place", F.pmod(F.xxhash64("sig"), here).cast("int")).withColumn("other", some(there))
+    x, y = (F.when(F.col("side") == i, F.col("place")).otherwise(F.col("other")) for i in (0, 1))
+    # y counts on from PANEL squared, so that no tile of a group is taken for one of a column of the same number.
+    by_group = both.select(F.col("group").alias("at"), x.alias("x"), (y + PANEL * PANEL).alias("y"), F.lit(True).alias("apart"), F.col("side").alias("panel"), "sig", "comp")
+    return by_column.unionByName(by_group)
+
+
+def _allowed(tiled: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b: of each tile the pairs of different components that sizes and parities (n, wide) allow, but for those that failed.
+
+    Of a row at most ``PARTNERS`` of larger signature are named at a time, so that what failed with it stays a short list; a
+    row of nulls says that there are more.
     """
-    own = _members(_refined(settle(clusters, "clusters"), table, heads, similarity), heads, "members")
-    few = own.count() <= BROADCAST_IDS  # beyond that, the texts are shuffled once
-    ids = own.select(F.col("first_id").alias("_id")).distinct()
-    sets_of = _set_rows(docs.join(F.broadcast(ids) if few else ids, docs.doc_id.eqNullSafe(ids["_id"]), "left_semi"), width)
-    placed = sets_of.join(F.broadcast(own) if few else own, "sig").dropDuplicates(["sig"])
     p, q = similarity.numerator, similarity.denominator
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _grouped(batches, 3):
-            sig, forest, rows = _candidates(tile, similarity)
-            lists = tile.column("set").combine_chunks()
-            start = lists.offsets.to_numpy()
-            values = lists.flatten().to_numpy()[: start[-1] - start[0]]
-            start = (start - start[0]).astype(np.int64)
-            _, column = np.unique(values, return_inverse=True)
-            n = np.diff(start)
-            mark = np.zeros(int(column.max()) + 1, np.int64)
-            for i, other in rows:
-                mark[column[start[i] : start[i + 1]]] = 1
-                if len(other) * 4 > len(sig):
-                    overlap = np.add.reduceat(mark[column], start[:-1])[other]
-                else:
-                    overlap = np.array([mark[column[start[j] : start[j + 1]]].sum() for j in other])
-                mark[column[start[i] : start[i + 1]]] = 0
-                forest.join(i, other[overlap * q >= (n[other] + n[i] - overlap) * p])
-            yield _pairs(sig, forest.edges)
-
-    return settle(_tiled(placed, "set").mapInArrow(work, "a bigint, b bigint").distinct(), "links")
+            sig, comp, panel, n = (tile.column(c).to_numpy() for c in ("sig", "comp", "panel", "n"))
+            apart = tile.column("apart")[0].as_py()
+            packed, failed = tile.column("wide").to_pylist(), tile.column("failed").to_pylist()
+            width = np.array([len(x) for x in packed])
+            of = {w: np.zeros((len(sig), w), np.uint8) for w in np.unique(width).tolist()}  # also of longer ones, folded
+            for w, own in of.items():
+                for i in np.flatnonzero(width >= w).tolist():
+                    own[i] = folded(np.frombuffer(packed[i], np.uint8)[None], w)[0]
+            a, b, more = [], [], False
+            for i in range(len(sig) - 1):
+                near = (comp != comp[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
+                near[: i + 1] = False
+                if apart:
+                    near &= panel != panel[i]
+                if failed[i]:
+                    near &= ~np.isin(sig, failed[i])
+                other = np.flatnonzero(near)
+                for w in np.unique(np.minimum(width[other], width[i])).tolist():
+                    some = other[np.minimum(width[other], width[i]) == w]
+                    differ = np.bitwise_count((of[w][some] ^ of[w][i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    some = some[differ * (p + q) <= (n[some] + n[i]) * (q - p)]
+                    more |= len(some) > PARTNERS
+                    b.append(sig[some[:PARTNERS]])
+                    a.append(np.full(len(b[-1]), sig[i]))
+            none = pa.array([None] * more, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])), none]) for x in (a, b)], ["a", "b"])
+
+    order = ["at", "x", "y"]
+    return tiled.repartition(*order).sortWithinPartitions(*order, "sig").mapInArrow(lean(work), "a bigint, b bigint").distinct()
+
+
+def _links(live: DataFrame, own: DataFrame, similarity: Fraction) -> DataFrame:
+    """node, component of all rows linked by pairs that keep a column (live: col, sig, head) in common; ``own`` has their sets."""
+    stars = live.where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b")).distinct()
+    links, failed = settle(_verified(stars, own, similarity).where("linked").select("a", "b"), "links"), None
+    while True:
+        found = components(links)
+        large = found.groupBy("component").agg((F.count("*") >= GROUP).alias("large"))
+        named = found.join(large, "component").unionByName(large.select("component", F.col("component").alias("node"), "large"))
+        placed = live.join(named, live.sig == named.node, "left").select("col", "sig", F.coalesce("component", "sig").alias("comp"), F.coalesce("large", F.lit(False)).alias("large"))
+        tiled = _tiles(placed).join(own.select("sig", "n", "wide"), "sig")  # sets and parities join only what is left
+        if failed is None:
+            tiled = tiled.withColumn("failed", F.lit(None).cast("array<bigint>"))
+        else:
+            tiled = tiled.join(failed.groupBy(F.col("a").alias("sig")).agg(F.collect_set("b").alias("failed")), "sig", "left")
+        pairs = settle(_allowed(tiled.select("at", "x", "y", "sig", "apart", "panel", "comp", "n", "wide", "failed"), similarity), "allowed")
+        if pairs.isEmpty():
+            return found
+        checked = settle(_verified(pairs.where("a IS NOT NULL"), own, similarity), "checked")
+        links = settle(links.unionByName(checked.where("linked").select("a", "b")), "links")
+        if pairs.where("a IS NULL").isEmpty():
+            return components(links)
+        bad = checked.where("NOT linked").select("a", "b")
+        failed = bad if failed is None else settle(failed.unionByName(bad), "failed")
+
+
+def _blocks(docs: DataFrame) -> int:
+    """Blocks of columns, a power of two, from the plan's estimate of the table's size; it decides nothing but sizes."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 << min(16, max(6, (size // 2 // BLOCK_ENTRIES).bit_length()))
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.8", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,31 +425,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: str = "0.
     if not 0 < t <= 1:
         raise ValueError("the similarity must be over 0, 1 at most")
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    cut = Intervals(t)
-    table = settle(_rows(docs, width), "rows")
-    heads = settle(table.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(p).alias(p) for p in PARITIES]), "heads")
-    least = F.min("sig").over(W.partitionBy("key").orderBy("sig").rowsBetween(W.unboundedPreceding, W.currentRow))
-    live = settle(_keys(docs, width, cut).withColumn("head", least).where("sig <> head"), "live")
-    a, b = heads.alias("a"), heads.alias("b")
-    met = live.select("sig", "head").distinct()
-    near = met.alias("e").join(a, F.col("e.sig") == F.col("a.sig")).join(b, F.col("e.head") == F.col("b.sig")).where(_bound(t, "a", "b"))
-    stars = near.select(F.col("e.head").alias("a"), F.col("e.sig").alias("b"))
-    first = components(stars)
-    first = settle(first.unionByName(first.select(F.col("component").alias("node"), "component").distinct()), "first")
-    links = _products(first.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.col("node").alias("done")), docs, table, heads, t, width)
-    # Blocks whose rows beside the head are in different clusters.
-    placed = live.join(first, live.sig == first.node, "left").select("key", "sig", F.coalesce("component", "sig").alias("cluster"))
-    mixed = placed.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi").distinct()
-    more = settle(_crossing(rest.join(heads, "sig"), t).distinct(), "crossing")
-    if not more.isEmpty():
-        wide = components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        met = more.select(F.greatest("a", "b").alias("node")).join(wide, "node").select("component").distinct()  # never the smallest of its component
-        every = wide.unionByName(wide.select(F.col("component").alias("node"), "component").distinct()).join(met, "component", "left_semi").distinct()
-        every = every.join(first.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("node") == F.col("_n"), "left")
-        links = links.unionByName(_products(every.select(F.col("node").alias("sig"), F.col("component").alias("cluster"), F.coalesce("_c", "node").alias("done")), docs, table, heads, t, width))
-    found = components(links)
-    named = table.join(found, table.sig == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("c"))
+    found = settle(_postings(_counted(_entries(docs, width, _blocks(docs))), t), "incidence")
+    table, kept = found.where("kind = 0").select("doc_id", "n", "sig"), found.where("kind = 1").select("col", "sig").distinct()
+    span = kept.groupBy("col").agg(F.min("sig").alias("head"), F.max("sig").alias("last")).where("head < last").select("col", "head")
+    live = settle(kept.join(span, "col"), "live")
+    wanted = live.select("sig").distinct()
+    holders = settle(wanted.join(table, "sig").groupBy("sig").agg(F.min("doc_id").alias("_id")), "holders")
+    texts = docs.join(holders.select("_id").distinct(), docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    own = settle(_set_rows(texts, width).join(wanted, "sig").dropDuplicates(["sig"]), "sets")
+    linked = _links(live, own, t)
+    named = table.join(linked, table.sig == linked.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sig").alias("c"))
     # Written, so that the last join is one that the optimizer may broadcast, or split where a component is large.
     names = settle(named.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
     return named.join(names, "c", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))

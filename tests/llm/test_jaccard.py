@@ -57,12 +57,60 @@ def test_components(spark, width, t):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, width, Fraction(t))
 
 
-def test_small_panels(spark, monkeypatch):
+@pytest.mark.parametrize("seed, width, t", [(4, 4, "0.85"), (5, 3, "0.6")])
+def test_small_panels_and_chunks(spark, monkeypatch, seed, width, t):
     monkeypatch.setattr(jaccard, "PANEL", 2)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
-    rows = corpus(4)
-    got = jaccard.jaccard_components(spark.createDataFrame([(i, x, 1, "k") for i, x in rows], SCHEMA), width=4, similarity="0.85")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 4, Fraction("0.85"))
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+    monkeypatch.setattr(jaccard, "CHUNK_ENTRIES", 500)
+    rows = corpus(seed)
+    got = jaccard.jaccard_components(spark.createDataFrame([(i, x, 1, "k") for i, x in rows], SCHEMA), width=width, similarity=t)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, width, Fraction(t))
+
+
+def test_links_that_no_least_row_sees(spark):
+    """A long text holds all rare shingles of a group of near copies and comes first in every column, but links with none."""
+    r = random.Random(8)
+    base = [f"v{i}" for i in range(60)]
+    group = []
+    for _ in range(12):
+        own = list(base)
+        own[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        group.append(" ".join(own))
+    rows = list(enumerate([*group, " ".join([*group, *base])]))
+    got = jaccard.jaccard_components(spark.createDataFrame([(i, x, 1, "k") for i, x in rows], SCHEMA), width=3, similarity="0.8")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 3, Fraction("0.8"))
+
+
+@pytest.mark.parametrize("group, panel", [(64, 512), (3, 2), (10**6, 3)])
+def test_tiles_join_what_stars_leave_apart(spark, monkeypatch, group, panel):
+    """Rows of a column that meet neither their head nor each other before: tiles must find them, failed pairs and all."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "PANEL", panel)
+    monkeypatch.setattr(jaccard, "PARTNERS", 2 if panel == 3 else 32)
+    rng, t = np.random.default_rng(6), Fraction("0.7")
+    core = [np.unique(rng.integers(1, 1 << 62, 90, dtype=np.uint64)) for _ in range(5)]
+    sets = [np.unique(np.concatenate([c[rng.random(len(c)) < 0.93], rng.integers(1, 1 << 62, 3, dtype=np.uint64)])) for c in core for _ in range(9)]
+    alone = np.unique(rng.integers(1, 1 << 62, 90, dtype=np.uint64))
+    every = [alone, *sets]
+    own = []
+    for v in every:
+        off = np.array([0, len(v)])
+        own.append((int(jaccard.signatures(v, off)[0]), len(v), v.view(np.int64).tolist(), jaccard.wide_parities(v, off)[0]))
+    head = min(x[0] for x in own) - 1  # a row of no set that is least in the only column
+    frame = spark.createDataFrame([*own, (head, 90, alone.view(np.int64).tolist(), own[0][3])], "sig long, n long, set array<long>, wide binary")
+    live = frame.selectExpr("1L col", "sig", f"{head}L head")
+    found = jaccard._links(live, frame, t)
+    got = {r.node: r.component for r in found.collect()}
+    tree = {x[0]: x[0] for x in own} | {head: head}
+    find = lambda x: x if tree[x] == x else find(tree[x])
+    full = [*[(x[0], set(x[2])) for x in own], (head, set(own[0][2]))]
+    for i, (a, x) in enumerate(full):
+        for b, y in full[:i]:
+            if len(x & y) >= t * len(x | y):
+                u, v = find(a), find(b)
+                tree[max(u, v)] = min(u, v)
+    assert {s: got.get(s, s) for s in tree} == {s: find(s) for s in tree}
 
 
 def test_odd_rows(spark):
@@ -77,30 +125,37 @@ def test_odd_rows(spark):
         jaccard.jaccard_components(docs, similarity="0")
 
 
-def test_similar_sets_share_a_block():
-    """Every two sets at the bound share a block, whatever their sizes."""
+def test_similar_sets_share_one_of_their_rarest_columns():
+    """Every two sets at the bound do, whatever their sizes and whatever the order."""
     rng = np.random.default_rng(0)
-    for t in ("0.85", "0.8", "0.6"):
-        cut, q = jaccard.Intervals(Fraction(t)), Fraction(t)
-        for n in [*range(1, 60), 100, 333, 1500]:
+    for t in ("0.85", "0.8", "0.6", "1"):
+        q = Fraction(t)
+        for n in [*range(1, 60), 100, 333]:
             for extra in (0, 1, 2):
-                shared = rng.integers(1, 1 << 63, n, dtype=np.uint64)
-                room = int((n - q * n) / q)
+                shared, room = list(range(n)), int((n - q * n) / q)
                 left = room * extra // 2
-                x = np.sort(np.concatenate([shared, rng.integers(1, 1 << 63, left, dtype=np.uint64)]))
-                y = np.sort(np.concatenate([shared, rng.integers(1, 1 << 63, room - left, dtype=np.uint64)]))
-                if len(x) == len(y) == n:
-                    continue
-                keys = [set(jaccard.blocks(v, np.array([0, len(v)]), cut)[0].tolist()) for v in (x, y)]
-                assert keys[0] & keys[1], (t, n, left, room)
+                x, y = [*shared, *range(1000, 1000 + left)], [*shared, *range(2000, 2000 + room - left)]
+                order = rng.permutation(4000)
+                first = [set(sorted(v, key=order.__getitem__)[: int(jaccard.prefix(np.array([len(v)]), q)[0])]) for v in (x, y)]
+                assert first[0] & first[1], (t, n, left, room)
+
+
+def test_squeezed_values():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        for top in (1 << 20, 1 << 63):
+            v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+            assert (jaccard.unsqueeze(jaccard.squeeze(v)) == v).all()
+    assert jaccard.unsqueeze(jaccard.squeeze(np.array([5, 5, 5], np.uint64))).tolist() == [5, 5, 5]
 
 
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
-    b = np.unique(np.concatenate([a[:800], rng.integers(0, 1 << 63, 90, dtype=np.uint64)]))
-    p = [jaccard.parities(v, np.array([0, len(v)]))[0].view(np.uint64) for v in (a, b)]
-    assert 0 < np.bitwise_count(p[0] ^ p[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+    b = np.unique(np.concatenate([a[:300], rng.integers(0, 1 << 63, 90, dtype=np.uint64)]))
+    p, q = (np.frombuffer(jaccard.wide_parities(v, np.array([0, len(v)]))[0], np.uint8)[None] for v in (a, b))
+    assert p.shape[1] > q.shape[1]
+    assert 0 < np.bitwise_count(jaccard.folded(p, q.shape[1]) ^ q).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_set_rows_of_short_texts():
