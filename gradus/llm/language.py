@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradus.llm._text import U, chunks, lean
+from gradus.llm._text import U, chunks, lean, release
 
 UNDETERMINED = "und"
 TRAIN_TEXTS = 300  # labelled texts of each language that the model is fitted on, at most about
@@ -285,7 +285,10 @@ def train(labelled: DataFrame, vocabulary: str, *, text: str = "text", lang: str
     counts: dict[str, dict[str, int]] = {}
     for name, word, n in words.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
         counts.setdefault(name, {})[word] = n
-    return fit(counts, vocabulary) if counts else None
+    model = fit(counts, vocabulary) if counts else None
+    del counts
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", pred: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:

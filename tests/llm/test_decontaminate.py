@@ -64,6 +64,18 @@ def test_removal(spark):
     assert d.mark(docs.limit(0), bench).count() == 0 and d.mark(docs, bench.limit(0)).where("size(_hits.spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("blocks", [16 << 20, 60])
+def test_one_pass_cuts_like_two(spark, monkeypatch, blocks):
+    monkeypatch.setattr(d, "PHRASE_BYTES", blocks)
+    docs, items = data(9)
+    given = spark.createDataFrame([(i, t, len(t or ""), "k") for i, t in docs], "doc_id long, text string, n_chars int, `_hits` string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, two = d.cut(given, bench, width=5), d.remove(d.mark(given, bench, width=5))
+    assert one.columns == two.columns == ["doc_id", "text", "n_chars"]
+    rows = sorted(map(str, one.collect()))
+    assert rows == sorted(map(str, two.collect())) and 0 < len(rows) < len(docs) and d.cut(given.limit(0), bench).count() == 0
+
+
 def test_suffix_array_and_index():
     r = random.Random(1)
     for n in (1, 2, 7, 60, 300):

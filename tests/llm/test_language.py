@@ -59,6 +59,54 @@ def test_words_beyond_the_cache(model, monkeypatch):
         assert a == pytest.approx(many.totals(part, np.array([0, len(part)])))
 
 
+def test_long_words_are_scored_whole(model, monkeypatch):
+    """However the letters are cut into runs for look-up: a word's log probability is that of one forward sum in logarithms."""
+    names = language.pieces(queries.PIECES)
+    number = {n: i for i, n in enumerate(np.array(names, object)[np.argsort(language._piece_hashes(names))])}
+    for word in ("thething" * 40, "q\u0416" * 70, "x"):
+        marked, best = "\u2581" + word, [np.zeros(2)]
+        for end in range(1, len(marked) + 1):
+            parts = [best[start] + np.log(model.probability[number.get(marked[start:end], -1)]) for start in range(max(0, end - model.length), end) if marked[start:end] in number or end - start == 1]
+            best.append(np.logaddexp.reduce(parts))
+        for letters in (200_000, 50, 7):
+            monkeypatch.setattr(language, "LETTERS", letters)
+            assert language.word_scores([word], model)[0] == pytest.approx(best[-1], rel=1e-12)
+    assert language.letters(("a" * 5000).encode()) == ["a" * 5000]
+
+
+def test_query_against_brute_force(spark):
+    """Every text by itself: its words by a regular expression, each by a forward sum in plain Python."""
+    import functools
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs.where(~language.held_out()), queries.PIECES)
+    names = language.pieces(queries.PIECES)
+    order = np.argsort(language._piece_hashes(names))
+    chance = {names[j]: model.probability[i].tolist() for i, j in enumerate(order.tolist())}
+
+    @functools.cache
+    def logs(word):
+        marked, size = "\u2581" + word, len(model.languages)
+        sums = [[1.0] * size]
+        for end in range(1, len(marked) + 1):
+            here = [0.0] * size
+            for start in range(max(0, end - model.length), end):
+                p = chance.get(marked[start:end]) or ([language.UNKNOWN] * size if end - start == 1 else None)
+                if p:
+                    here = [h + s * x for h, s, x in zip(here, sums[start], p, strict=True)]
+            sums.append(here)
+        return [math.log(x) for x in sums[-1]]
+
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, SMALL).collect()}
+    for r in docs.collect():
+        words = [x for w in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", r.text) for x in [language._RUN.findall(w.lower())] if x]
+        total = [sum(c) for c in zip(*[logs(x) for w in words for x in w], strict=True)]
+        best = max(total)
+        assert got[r.doc_id].lang_pred == model.languages[total.index(best)]
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp((t - best) / len(words)) for t in total), rel=1e-9)
+
+
 def test_held_out_accuracy(spark):
     got = queries.op6_language_id(spark, SMALL).collect()
     true = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
