@@ -132,14 +132,10 @@ LINE_MARK = "licen"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no holder lines, words joined by one space, equivalent spellings made equal."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, HOLDER, "")
-    t = F.regexp_replace(t, RESERVED, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", "  "), F.lit(" "))
-    for old, new in EQUIVALENT:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+    """Lower case, no holder lines, words joined by one space, equivalent spellings made equal; one look-up a word."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), HOLDER, ""), RESERVED, "")
+    kept = F.create_map(*[F.lit(x) for pair in EQUIVALENT for x in pair])
+    return F.trim(F.array_join(F.transform(F.split(t, "[^a-z0-9]+"), lambda w: F.coalesce(F.element_at(kept, w), w)), " "))
 
 
 def registry(spark: SparkSession, licences: dict[str, str | list[str]] | None = None) -> DataFrame:
