@@ -119,8 +119,35 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_remov
 FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+#: The checksum goes byte by byte through a table that is made first; the rest follows each pane's totals from batch to batch.
+PANES = """
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+given AS (SELECT click_id, epoch_us(coalesce(arrived_at, ts)) AS arrived, epoch_us(ts) AS us, coalesce(kind, 'none') AS kind,
+  CASE WHEN abs(value) < 9e16 THEN CAST(floor(100 * value + 0.5) AS BIGINT) ELSE 0 END AS cents FROM clicks WHERE ts IS NOT NULL),
+once AS (SELECT * FROM given WHERE click_id IS NULL UNION ALL
+  SELECT * FROM (SELECT * FROM given WHERE click_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY arrived, us, kind, cents) = 1)),
+dealt AS (SELECT *, CAST(floor(arrived / 86400000000) AS BIGINT) AS d, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(click_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS sum FROM once, crc),
+rows AS (SELECT least(9, (d % 10 + 10) % 10 + greatest(0, sum % 30 - 23)) AS batch, us - (d - (d % 10 + 10) % 10) * 86400000000 AS us, kind, click_id, cents FROM dealt),
+timed AS (SELECT *, CAST(floor(us / 3600000000) AS BIGINT) AS hour FROM rows),
+marks AS (SELECT b AS batch, max(us) AS w FROM range(10) AS r(b) LEFT JOIN rows ON rows.batch < b GROUP BY b),
+wide AS (SELECT t.*, coalesce(m.w >= (hour + 1) * 3600000000 + 172800000000, false) AS late FROM timed AS t JOIN marks AS m USING (batch)),
+added AS (SELECT kind, hour, batch, count(*) AS n, sum(cents) AS c FROM wide WHERE NOT late GROUP BY ALL),
+summed AS (SELECT *, sum(n) OVER p AS n1, sum(c) OVER p AS c1, min(batch) OVER (PARTITION BY kind, hour) AS first, row_number() OVER p AS k FROM added WINDOW p AS (PARTITION BY kind, hour ORDER BY batch)),
+due AS (SELECT kind, hour, first, (SELECT min(m.batch) FROM marks AS m WHERE m.w >= (hour + 1) * 3600000000 + 43200000000) AS ready FROM (SELECT DISTINCT kind, hour, first FROM summed)),
+told AS (SELECT kind, hour, CASE WHEN ready IS NULL THEN 9 ELSE greatest(first, ready) END AS at, ready IS NULL AS final FROM due),
+panes AS (SELECT t.at AS batch, CASE WHEN final THEN 'final' ELSE 'emit' END AS record, kind, hour, max(n1) AS n_rows, arg_max(c1, s.batch) AS cents FROM told AS t JOIN summed AS s USING (kind, hour) WHERE s.batch <= t.at GROUP BY ALL),
+changed AS (SELECT s.*, n1 - n AS n0, c1 - c AS c0 FROM summed AS s JOIN told AS t USING (kind, hour) WHERE s.batch > t.at)
+SELECT CAST(batch AS BIGINT) AS batch, 'late' AS record, kind, hour, click_id, CAST(1 AS BIGINT) AS n_rows, cents FROM wide WHERE late
+UNION ALL SELECT batch, record, kind, hour, -1, CAST(n_rows AS BIGINT), CAST(cents AS BIGINT) FROM panes
+UNION ALL SELECT batch, 'retract', kind, hour, -1, CAST(n0 AS BIGINT), CAST(c0 AS BIGINT) FROM changed
+UNION ALL SELECT batch, 'replace', kind, hour, -1, CAST(n1 AS BIGINT), CAST(c1 AS BIGINT) FROM changed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_templates": URLS, "op3_poisson_mixing": MIXING, "op4_jaccard_components": JACCARD, "op5_chat_masks": CHAT, "op7_repeated_passages": PASSAGES,
         "op9_licence_digests": LICENCES, "op10_decontamination": DECONTAMINATION,
+        "op12_pane_revisions": PANES,
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, secrets, substrings, urls
+from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, panes, secrets, substrings, urls
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
 CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.tiktoken"
@@ -91,5 +91,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op12_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = panes.revise(panes.click_batches(table(spark, sf_dir, "clicks"), 10), 10)
+    return found.select(F.col("batch").cast("bigint").alias("batch"), "record", "kind", "hour", "click_id", "n_rows", "cents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
