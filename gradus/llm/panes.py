@@ -29,7 +29,7 @@ HOURS = f"us div {HOUR_US} - IF(us % {HOUR_US} < 0, 1, 0)"
 DAYS = "hour div 24 - IF(hour % 24 < 0, 1, 0)"
 OUTPUT = "record STRING, kind STRING, hour BIGINT, click_id BIGINT, n_rows BIGINT, cents BIGINT"
 #: A stream's own settings: state that supports timers, and a batch for each start and no other.
-STREAM = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+STREAM = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 class Revisions(StatefulProcessor):
