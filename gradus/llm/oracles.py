@@ -144,10 +144,18 @@ UNION ALL SELECT batch, record, kind, hour, -1, CAST(n_rows AS BIGINT), CAST(cen
 UNION ALL SELECT batch, 'retract', kind, hour, -1, CAST(n0 AS BIGINT), CAST(c0 AS BIGINT) FROM changed
 UNION ALL SELECT batch, 'replace', kind, hour, -1, CAST(n1 AS BIGINT), CAST(c1 AS BIGINT) FROM changed"""
 
+WARC = """
+WITH own AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, url FROM pages),
+digits AS (SELECT *, list_transform([1, 11, 21, 31], lambda i: CAST('0x' || substr(hex, i, 10) AS BIGINT)) AS fives, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS FIRST) AS place,
+  first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS FIRST) AS response FROM own)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+  lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> k) % 32 + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN response END AS refers_to FROM digits"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_templates": URLS, "op3_poisson_mixing": MIXING, "op4_jaccard_components": JACCARD, "op5_chat_masks": CHAT, "op7_repeated_passages": PASSAGES,
         "op9_licence_digests": LICENCES, "op10_decontamination": DECONTAMINATION,
-        "op12_pane_revisions": PANES,
+        "op12_pane_revisions": PANES, "op13_warc_archive": WARC,
     }

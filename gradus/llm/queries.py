@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, panes, secrets, substrings, urls
+from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, panes, secrets, substrings, urls, warc
+from gradus.llm._store import shared_dir
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
 CHAT_VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.tiktoken"
@@ -96,5 +98,12 @@ def op12_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("batch").cast("bigint").alias("batch"), "record", "kind", "hour", "click_id", "n_rows", "cents")
 
 
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.store(warc.records(pages), pages, folder)
+    return warc.digests(warc.restore(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
