@@ -119,6 +119,21 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_remov
 FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, w[i:i + k - 1] AS w, k, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS t(k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+common AS (SELECT * FROM grams WHERE f >= 100),
+cuts AS (SELECT lang, w, k, f AS a, unnest(range(1, k)) AS c FROM common WHERE k > 1),
+scored AS (SELECT x.lang, x.w, x.a, c, l.f AS l, r.f AS r, n, 1000 * CAST(x.a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS score FROM cuts AS x JOIN totals AS t ON t.lang = x.lang
+  JOIN common AS l ON l.lang = x.lang AND l.w = x.w[1:c] JOIN common AS r ON r.lang = x.lang AND r.w = x.w[c + 1:k]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, c) = 1),
+inner_ AS (SELECT lang, w[i:j] AS w, max(f) AS most FROM (SELECT lang, w, f, k, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT lang, w, f, k, unnest(range(1, k)) AS i FROM common WHERE k > 2)) WHERE j - i + 1 < k GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, l, r, n, score FROM best AS b LEFT JOIN inner_ AS i ON i.lang = b.lang AND i.w = b.w WHERE coalesce(most < a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000"""
+
 #: The checksum goes byte by byte through a table that is made first; the rest follows each pane's totals from batch to batch.
 PANES = """
 WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
@@ -157,5 +172,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_templates": URLS, "op3_poisson_mixing": MIXING, "op4_jaccard_components": JACCARD, "op5_chat_masks": CHAT, "op7_repeated_passages": PASSAGES,
         "op9_licence_digests": LICENCES, "op10_decontamination": DECONTAMINATION,
-        "op12_pane_revisions": PANES, "op13_warc_archive": WARC,
+        "op11_collocations": COLLOCATIONS, "op12_pane_revisions": PANES, "op13_warc_archive": WARC,
     }

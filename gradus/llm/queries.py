@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import chat, decontaminate, jaccard, language, licences, mixing, neighbours, panes, secrets, substrings, urls, warc
+from gradus.llm import chat, collocations, decontaminate, jaccard, language, licences, mixing, neighbours, panes, secrets, substrings, urls, warc
 from gradus.llm._store import shared_dir
 
 VOCABULARIES = os.environ.get("GRADUS_VOCABULARIES", "/opt/tokenizers")
@@ -93,6 +93,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 def op12_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = panes.revise(panes.click_batches(table(spark, sf_dir, "clicks"), 10), 10)
     return found.select(F.col("batch").cast("bigint").alias("batch"), "record", "kind", "hour", "click_id", "n_rows", "cents")
