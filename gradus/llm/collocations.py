@@ -3,13 +3,15 @@
 The texts of a language are cut into shards of about ``SHARD`` bytes at the ends of pieces, which phrases don't cross. A
 suffix array over a shard's word ids, made by prefix doubling, puts equal phrases side by side; runs of suffixes that share
 k words, the intervals of the array of longest common prefixes, are the counts of its phrases of k words. Counts of all
-shards are merged by key. A phrase can only be common if every phrase in it is, so three passes suffice: words and hashed
-pairs; pairs in full and hashed triples of common pairs; triples and longer phrases of common triples in full. Hashes only
-decide what is looked at again, where two that agree cost a look; all counts that are used go by the phrase itself.
+shards are merged by key. A phrase can only be common if every phrase in it is, so two passes suffice: words in full, with
+pairs and triples by a 64-bit hash; then longer phrases of common triples in full, while the first shard of each common pair
+and triple says what it is. Two of those that have one hash would be counted as one: with 10^11 different ones, a given
+common phrase is such a case 5 times in 10^9.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +31,10 @@ SHARD = 8 << 20
 FOLD = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64) | U(1)
 ROWS = 1 << 16
+FLUSH = 200_000  # rows of counts that a task holds
 SHARDS = "shard BIGINT, lang STRING, words ARRAY<STRING>, counts ARRAY<BIGINT>, ids BINARY"
-COUNTS = "lang STRING, phrase STRING, key BIGINT, shard BIGINT, n BIGINT"
+KEYS = "key BIGINT, shard BIGINT, k INT, n INT"
+COUNTS = "lang STRING, phrase STRING, n BIGINT"
 
 
 def encode(raw: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -102,7 +106,7 @@ def intervals(ids: np.ndarray, room: np.ndarray, lengths: range) -> Iterator[tup
 
 def _keys(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, length: int, lang: int) -> np.ndarray:
     """A hash of the phrase of ``length`` words at each position, alike in all shards of a language."""
-    total = np.full(len(at), U(lang), np.uint64)
+    total = np.full(len(at), U(lang) + U(length), np.uint64)
     for j in range(length):
         total += hashes[ids[at + j]] * FACTORS[j]
     return mix(total).view(np.int64)
@@ -116,15 +120,7 @@ def _hash_words(words: pa.Array) -> np.ndarray:
 
 
 def _lang(name: str) -> int:
-    return zlib.crc32(name.encode()) << 16 | 1
-
-
-def _rows(lang: str, shard: int, n: np.ndarray, keys: np.ndarray | None = None, phrases: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(n), ROWS):
-        size = min(ROWS, len(n) - lo)
-        key = pa.nulls(size, pa.int64()) if keys is None else pa.array(keys[lo : lo + size])
-        phrase = pa.nulls(size, pa.string()) if phrases is None else phrases.slice(lo, size)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), phrase, key, pa.array(np.full(size, shard)), pa.array(n[lo : lo + size].astype(np.int64))], ["lang", "phrase", "key", "shard", "n"])
+    return int.from_bytes(hashlib.sha256(name.encode()).digest()[:7])
 
 
 def _phrases(ids: np.ndarray, at: np.ndarray, words: pa.Array, length: int) -> pa.Array:
@@ -184,66 +180,95 @@ def shards(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(lean(work), SHARDS)
 
 
-def _counted(given: DataFrame, length: int, longest: int) -> DataFrame:
-    """``given`` (``SHARDS``, wanted: keys of common phrases of ``length`` words, or none yet for 1) to ``COUNTS``.
+def _hashed(given: DataFrame, longest: int) -> DataFrame:
+    """``given`` (``SHARDS``) to ``KEYS``: how often each pair and triple of words occurs in a shard, by its hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(zlib.decompress(batch["ids"][i].as_py()), np.int32)
+                hashes, seed, shard = _hash_words(batch["words"][i].values), _lang(batch["lang"][i].as_py()), batch["shard"][i].as_py()
+                for k, at, n in intervals(ids, room_of(ids), range(2, min(longest, 3) + 1)):
+                    for lo in range(0, len(n), ROWS):
+                        some = at[lo : lo + ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.array(_keys(ids, some, hashes, k, seed)), pa.array(np.full(len(some), shard)), pa.array(np.full(len(some), k, np.int32)), pa.array(n[lo : lo + ROWS].astype(np.int32))], ["key", "shard", "k", "n"])
+
+    return given.select("shard", "lang", "words", "ids").mapInArrow(lean(work), KEYS)
+
+
+def _common(keys: DataFrame, least: int) -> DataFrame:
+    """shard, the triples in it that ``least`` occurrences have in all shards, and those that it is the first to have, with their counts.
 
-    Phrases of ``length`` words and more, up to ``longest``, in full; and, below it, those of one word more by key only.
+    A shard gets no more of them than it has itself.
     """
+    by = W.partitionBy("key")
+    rows = keys.select("key", "shard", "k", F.sum("n").over(by).alias("total"), F.min("shard").over(by).alias("first")).where(F.col("total") >= least)
+    own = F.when(F.col("shard") == F.col("first"), F.struct("key", "k", "total"))
+    return rows.where((F.col("k") == 3) | own.isNotNull()).groupBy("shard").agg(F.collect_list(F.when(F.col("k") == 3, F.col("key"))).alias("triples"), F.collect_list(own).alias("named"))
+
+
+def _where(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each key its place in the sorted ``wanted``, or -1."""
+    if not len(wanted):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    return np.where(wanted[at] == keys, at, -1)
+
+
+def _counted(given: DataFrame, longest: int) -> DataFrame:
+    """``given`` (``SHARDS``, triples, named) to ``COUNTS``: the named pairs and triples with all their occurrences, and
+    those of each task of the longer phrases that consist of common triples."""
+
+    def rows(lang: str, ids: np.ndarray, words: pa.Array, k: int, at: np.ndarray, n: np.ndarray) -> pa.Table:
+        return pa.table({"lang": pa.array([lang] * len(n), pa.string()), "phrase": _phrases(ids, at, words, k), "n": pa.array(n.astype(np.int64))})
+
+    def met(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, lang = batch["shard"][i].as_py(), batch["lang"][i].as_py()
-                words = batch["words"][i].values
+                lang, words = batch["lang"][i].as_py(), batch["words"][i].values
                 ids = np.frombuffer(zlib.decompress(batch["ids"][i].as_py()), np.int32)
                 room, hashes, seed = room_of(ids), _hash_words(words), _lang(lang)
-                if length > 1:
-                    wanted = batch["wanted"][i].values
-                    if wanted is None or not len(wanted):
-                        continue
-                    wanted = np.sort(wanted.to_numpy(zero_copy_only=False))
-                    at = np.flatnonzero(room >= length)
-                    keys = _keys(ids, at, hashes, length, seed)
-                    good = np.zeros(len(ids), bool)
-                    good[at] = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
-                    room = common_room(good, length)
-                last = longest if length == 3 else min(longest, length + 1)
-                for k, at, n in intervals(ids, room, range(max(length, 2), last + 1)):
-                    if k == length or length == 3:
-                        yield from _rows(lang, shard, n, phrases=_phrases(ids, at, words, k))
-                    else:
-                        yield from _rows(lang, shard, n, keys=_keys(ids, at, hashes, k, seed))
-
-    columns = ["shard", "lang", "words", "ids", *["wanted"] * (length > 1)]
-    return given.select(*columns).mapInArrow(lean(work), COUNTS)
-
-
-def _wanted(counts: DataFrame, least: int) -> DataFrame:
-    """shard and the keys of ``counts`` in it that ``least`` occurrences have in all shards: no more than the shard has itself."""
-    total = F.sum("n").over(W.partitionBy("key"))
-    return counts.select("key", "shard", "n", total.alias("total")).where(F.col("total") >= least).groupBy("shard").agg(F.collect_list("key").alias("wanted"))
+                named = batch["named"][i].values
+                key, total = (named.field(c).to_numpy(zero_copy_only=False) for c in ("key", "total"))
+                order = np.argsort(key)
+                good = np.zeros(len(ids), bool)
+                for k in range(2, min(longest, 3) + 1):
+                    at = np.flatnonzero(room >= k)
+                    keys = _keys(ids, at, hashes, k, seed)
+                    place = _where(keys, key[order])
+                    own, first = np.unique(place, return_index=True)
+                    if (some := own >= 0).any():
+                        held.append(rows(lang, ids, words, k, at[first[some]], total[order][own[some]]))
+                    if k == 3:
+                        good[at] = _where(keys, np.sort(batch["triples"][i].values.to_numpy(zero_copy_only=False))) >= 0
+                if longest > 3 and good.any():
+                    held += [rows(lang, ids, words, k, at, n) for k, at, n in intervals(ids, common_room(good, 3), range(4, longest + 1)) if len(n)]
+                if sum(t.num_rows for t in held) > FLUSH:
+                    held = [met(held)]
+                    if held[0].num_rows > FLUSH // 2:
+                        yield from held.pop().combine_chunks().to_batches(ROWS)
+        if held:
+            yield from met(held).combine_chunks().to_batches(ROWS)
+
+    return given.select("shard", "lang", "words", "ids", "triples", "named").mapInArrow(lean(work), COUNTS)
 
 
 def phrase_counts(docs: DataFrame, *, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """``docs`` (lang, text) to (lang, phrase, k, n: every phrase of up to ``longest`` words that occurs ``least`` times) and (lang, total: words).
 
-    Counts are exact and cover all texts. A null lang is ``und``, a null text is empty. Other columns are ignored.
+    Counts cover all texts, and are exact but for hashes that agree (above). A null lang is ``und``, a null text is empty. Other columns are ignored.
     """
     if longest < 2 or longest > len(FACTORS):
         raise ValueError(f"longest must be from 2 to {len(FACTORS)}")
     given = settle(shards(docs), "shards")
     word = given.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("n"))
     words = settle(word, "words")
-    pairs = _counted(given, 1, longest)
-    found = [words.select("lang", "phrase", "n")]
-    for length in (2, 3)[: longest - 1]:
-        some = given.join(_wanted(pairs, least), "shard")
-        counts = settle(_counted(some, length, longest), "counts")
-        found.append(counts.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
-        pairs = counts.where("phrase IS NULL")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    longer = _counted(given.join(_common(_hashed(given, longest), least), "shard"), longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    every = words.select("lang", "phrase", "n").unionByName(longer)
     size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
     return settle(every.where(F.col("n") >= least).select("lang", "phrase", size.alias("k"), "n"), "phrases"), words.groupBy("lang").agg(F.sum("n").alias("total"))
 

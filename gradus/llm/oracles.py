@@ -127,7 +127,7 @@ totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP
 common AS (SELECT * FROM grams WHERE f >= 100),
 cuts AS (SELECT lang, w, k, f AS a, unnest(range(1, k)) AS c FROM common WHERE k > 1),
 scored AS (SELECT x.lang, x.w, x.a, c, l.f AS l, r.f AS r, n, 1000 * CAST(x.a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS score FROM cuts AS x JOIN totals AS t ON t.lang = x.lang
-  JOIN common AS l ON l.lang = x.lang AND l.w = x.w[1:c] JOIN common AS r ON r.lang = x.lang AND r.w = x.w[c + 1:k]),
+  JOIN common AS l ON l.lang = x.lang AND l.w = x.w[1:c] JOIN common AS r ON r.lang = x.lang AND r.w = x.w[c + 1:]),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, c) = 1),
 inner_ AS (SELECT lang, w[i:j] AS w, max(f) AS most FROM (SELECT lang, w, f, k, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT lang, w, f, k, unnest(range(1, k)) AS i FROM common WHERE k > 2)) WHERE j - i + 1 < k GROUP BY ALL),
 kept AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, l, r, n, score FROM best AS b LEFT JOIN inner_ AS i ON i.lang = b.lang AND i.w = b.w WHERE coalesce(most < a, true))
