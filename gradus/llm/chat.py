@@ -61,6 +61,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 class Vocabulary(NamedTuple):
     encode: Callable[[str], np.ndarray]
     size: np.ndarray  # bytes of each token
+    decode: Callable[[np.ndarray], bytes]
 
 
 @functools.lru_cache(1)
@@ -76,7 +77,7 @@ def vocabulary_at(path: str) -> Vocabulary:
     for word, i in [*ranks.items(), *((c.encode(), i) for c, i in control.items())]:
         size[i] = len(word)
     own = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=control)
-    return Vocabulary(lambda text: own.encode_to_numpy(text, allowed_special="all").astype(np.int32), size)
+    return Vocabulary(lambda text: own.encode_to_numpy(text, allowed_special="all").astype(np.int32), size, lambda ids: own.decode_bytes(ids.tolist()))
 
 
 def token_mask(ends: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +107,11 @@ def encode(text: str, spans: list[tuple[int, int]], vocabulary: Vocabulary) -> t
     return ids, mask, np.searchsorted(starts, covered)
 
 
-def read_back(text: str, spans: list[tuple[int, int]]) -> tuple[int, str, int, str, int]:
-    """From a formatted conversation: turns and their digest, characters under the mask and their digest, characters."""
+def read_back(ids: np.ndarray, mask: np.ndarray, vocabulary: Vocabulary) -> tuple[int, str, int, str, int]:
+    """From tokens and their mask alone: turns and their digest, characters under the mask and their digest, characters."""
+    text = vocabulary.decode(ids).decode()
     turns = parse(text)
-    learnt = unescape("".join(text[a:b] for a, b in spans))
+    learnt = unescape(vocabulary.decode(ids[mask]).decode(errors="replace"))
     whole = "".join(f"{role}\n{said}\n" for role, said in turns)
     return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)
 
@@ -125,7 +127,7 @@ def _spans(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(both[:, i]), pa.int64()) for i in (0, 1)], ["start", "end"]))
 
 
-Coded = tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+Coded = tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray], Vocabulary]
 
 
 def _chats(conversations: DataFrame, vocabulary: str, learn: str, finish: Callable[[list[Coded]], list[pa.Array]], names: list[str], schema: str) -> DataFrame:
@@ -140,7 +142,7 @@ def _chats(conversations: DataFrame, vocabulary: str, learn: str, finish: Callab
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
                 made = [render(list(zip(r, t, strict=True)), learn) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *finish([(text, encode(text, spans, known)) for text, spans in made])], ["conv_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *finish([(text, encode(text, spans, known), known) for text, spans in made])], ["conv_id", *names])
 
     return grouped.mapInArrow(lean(work), schema)
 
@@ -155,8 +157,8 @@ def format_chats(conversations: DataFrame, vocabulary: str, *, learn: str = "ass
     """
 
     def finish(made: list[Coded]) -> list[pa.Array]:
-        ids, masks, spans = (list(x) for x in zip(*[c for _, c in made], strict=True))
-        return [pa.array([text for text, _ in made], pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_()), _spans(spans)]
+        ids, masks, spans = (list(x) for x in zip(*[c for _, c, _ in made], strict=True))
+        return [pa.array([text for text, _, _ in made], pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_()), _spans(spans)]
 
     conversations = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
     return _chats(conversations, vocabulary, learn, finish, ["formatted", "input_ids", "loss_mask", "loss_spans"], SCHEMA)
@@ -166,10 +168,10 @@ DIGESTS = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.
 
 
 def chat_digests(conversations: DataFrame, vocabulary: str, *, learn: str = "assistant") -> DataFrame:
-    """What can be read back from the output of ``format_chats``, without sending it anywhere: turns, and the text under the mask."""
+    """What the token ids and the mask of ``format_chats`` decode to, without sending them anywhere: turns, and the text under the mask."""
 
     def finish(made: list[Coded]) -> list[pa.Array]:
-        rows = [read_back(text, spans.tolist()) for text, (_, _, spans) in made]
+        rows = [read_back(ids, mask, known) for _, (ids, mask, _), known in made]
         return [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), DIGESTS.values(), strict=True)]
 
     conversations = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")

@@ -24,6 +24,19 @@ def test_round_trip(turns):
     assert (ends[-1] if len(ends) else 0) == len(text.encode()) and int((ids >= len(known.size) - 3).sum()) == 3 * len(turns)
 
 
+def test_digests_follow_the_mask():
+    """Any bit of the mask changes what is read back (but for a token that only escapes); the text itself is read from the tokens."""
+    known = chat.vocabulary_at(CHAT_VOCABULARY)
+    text, spans = chat.render([("user", "one é"), ("assistant", "two, three \U0001f600"), ("assistant", "four")])
+    ids, mask, _ = chat.encode(text, spans, known)
+    right = chat.read_back(ids, mask, known)
+    assert right[0] == 3 and right[2] == len("two, three \U0001f600four") and right[4] == len(text)
+    for i in range(len(mask)):
+        wrong = mask.copy()
+        wrong[i] = not wrong[i]
+        assert chat.read_back(ids, wrong, known)[3] != right[3]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=40))
 def test_same_tokens_and_offsets_as_the_other_library(text):
