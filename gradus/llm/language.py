@@ -22,10 +22,8 @@ from gradus.llm._text import U, chunks, lean, release
 
 UNDETERMINED = "und"
 TRAIN_TEXTS = 300  # labelled texts of each language that the model is fitted on, at most about
-TRAIN_LETTERS = 40  # longer words of those texts aren't learned from; all are scored whole
 UNKNOWN = 1e-9  # probability of a letter that is no piece
 SPREAD = 4.0  # of a letter's log probability above that of even pieces: a mean over n letters is uncertain by SPREAD / sqrt(n)
-SCALE = 65536.0  # each letter's, while fitting: without it sums over TRAIN_LETTERS unknown letters are 0
 STEP = 16  # letters after which the sums of a word are scaled again, while scoring: UNKNOWN to that power is no 0
 LETTERS = 200_000  # of the words whose pieces are looked up at a time
 CACHE = 200_000  # words that a task remembers
@@ -156,13 +154,13 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 
 
 def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = 3) -> Model:
-    """Piece probabilities of each language from its word counts; of words of ``TRAIN_LETTERS`` letters at most."""
+    """Piece probabilities of each language from its word counts, whole words of any length."""
     languages = sorted(counts)
     names = pieces(vocabulary)
     hashes = _piece_hashes(names)
     order = np.argsort(hashes)
     keys, longest = hashes[order], max(map(len, names))
-    words = sorted({w for c in counts.values() for w in c if len(w) <= TRAIN_LETTERS}, key=lambda w: (len(w), w))
+    words = sorted({w for c in counts.values() for w in c}, key=lambda w: (len(w), w))
     weight = np.array([[counts[x].get(w, 0) for x in languages] for w in words], float).reshape(len(words), len(languages))
     probability = np.full((len(keys) + 1, len(languages)), 1 / len(keys))
     probability[-1] = UNKNOWN
@@ -178,27 +176,39 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = 3) ->
 
 
 def _expect(words: list[str], weight: np.ndarray, keys: np.ndarray, longest: int, probability: np.ndarray, total: np.ndarray) -> None:
-    """Add how often each piece is expected in the segmentations of the words, by forward and backward sums."""
+    """Add how often each piece is expected in the segmentations of the words, by forward and backward sums.
+
+    Sums are kept as logs, each taken next to its neighbour's: a piece's letters apart they differ by no more than so many
+    unknown letters, so words may be of any length.
+    """
     codes, size = _codes(words)
     hits = _hits(codes, size, 0, len(codes), keys, longest)
-    rows, chance = np.arange(len(words)), probability[hits.piece] * SCALE ** hits.span[:, None]
     start = hits.end - hits.span
-    alpha = np.zeros((len(codes) + 1, *weight.shape))
-    alpha[0] = 1
+    before = np.full((len(codes) + 1, *weight.shape), -np.inf)
+    before[0] = 0
     edge = np.searchsorted(hits.end, np.arange(1, len(codes) + 2))
     for e in range(1, len(codes) + 1):
         some = slice(edge[e - 1], edge[e])
-        _summed(alpha[start[some], hits.owner[some]] * chance[some], hits.owner[some], alpha[e])
-    beta = np.zeros_like(alpha)
-    beta[size, rows] = weight / alpha[size, rows]
+        own, near = hits.owner[some], before[e - 1]
+        here = np.ones_like(near)
+        _summed(np.exp(before[start[some], own] - near[own]) * probability[hits.piece[some]], own, here)
+        live = size >= e
+        before[e, live] = near[live] + np.log(here[live])
+    whole = before[size, np.arange(len(words))]
+    after = np.full_like(before, -np.inf)
+    after[size, np.arange(len(words))] = 0
     back = np.argsort(start * len(words) + hits.owner, kind="stable")
     edge = np.searchsorted(start[back], np.arange(len(codes) + 1))
     for s in range(len(codes) - 1, -1, -1):
         some = back[edge[s] : edge[s + 1]]
-        _summed(beta[hits.end[some], hits.owner[some]] * chance[some], hits.owner[some], beta[s])
-    seen = alpha[start, hits.owner] * chance * beta[hits.end, hits.owner]
+        own, near = hits.owner[some], after[s + 1]
+        here = np.ones_like(near)
+        _summed(np.exp(after[hits.end[some], own] - near[own]) * probability[hits.piece[some]], own, here)
+        live = size > s
+        after[s, live] = near[live] + np.log(here[live])
+    share = np.exp(before[start, hits.owner] + after[hits.end, hits.owner] - whole[hits.owner]) * probability[hits.piece] * weight[hits.owner]
     for x in range(weight.shape[1]):
-        total[:, x] += np.bincount(hits.piece, seen[:, x], len(total))
+        total[:, x] += np.bincount(hits.piece, share[:, x], len(total))
 
 
 def split(raw: bytes) -> list[bytes]:

@@ -113,3 +113,40 @@ def test_held_out_accuracy(spark):
     own = [r for r in got if r.held_out]
     assert len(got) == len(true) and len(own) > 30 and sum(r.lang_pred == true[r.doc_id] for r in own) / len(own) >= 0.98
     assert math.isclose(sum(r.held_out for r in got) / len(got), 0.25, abs_tol=0.1)
+
+
+def test_long_words_are_learned_from():
+    """A word is learned from whatever its length: scripts without spaces, and beyond any table of powers."""
+    thai = "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์" * 3
+    latin = "abcdefghij" * 200
+    model = language.fit({"th": {thai: 1}, "xx": {latin: 1}, "en": {"the": 5, "of": 4}}, queries.PIECES)
+    flat = 1 / len(model.keys)
+    for x in range(3):
+        own = model.probability[:-1, x]
+        assert own.sum() == pytest.approx(1) and own.max() > 50 * flat
+    scores = language.word_scores(["bcdef", "ภาษาไทย", "the"], model)
+    assert scores.argmax(axis=1).tolist() == [model.languages.index(x) for x in ("xx", "th", "en")]
+
+
+def test_expected_pieces(model):
+    """One round of counting against all segmentations, one by one."""
+    names = language.pieces(queries.PIECES)
+    hashes = language._piece_hashes(names)
+    order = np.argsort(hashes)
+    known = {names[i]: at for at, i in enumerate(order.tolist())}
+    words, weight = ["a", "thé", "onder", "qqq"], np.array([[1.0, 2], [3, 0], [2, 5], [1, 1]])
+    got, want = np.zeros_like(model.probability), np.zeros_like(model.probability)
+    language._expect(words, weight, model.keys, model.length, model.probability, got)
+    for word, w in zip(words, weight, strict=True):
+        marked, ways = "▁" + word, []
+        for cuts in itertools.product([0, 1], repeat=len(marked) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(marked)]
+            parts = [marked[a:b] for a, b in zip(edges, edges[1:])]
+            if all(p in known or len(p) == 1 for p in parts):
+                rows = [known.get(p, -1) for p in parts]
+                ways.append((rows, np.prod(model.probability[rows], axis=0)))
+        whole = sum(p for _, p in ways)
+        for rows, p in ways:
+            for r in rows:
+                want[r] += w * p / whole
+    assert got == pytest.approx(want)
