@@ -7,6 +7,7 @@ neighbouring words. Transitions, words and parts of paths count by the log odds
 from __future__ import annotations
 
 import base64
+import functools
 import math
 import random
 import re
@@ -102,12 +103,20 @@ def evidence(findings: Iterable[tuple], smoothing: float = 1.0) -> Evidence:
     return Evidence(np.log(pairs[1] / pairs[0]), left, right, path)
 
 
-def dictionary(vocabulary: str) -> frozenset[str]:
+class Dictionary(frozenset):
+    """Words, with the letters of the longest of them."""
+
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self), default=0)
+
+
+def dictionary(vocabulary: str) -> Dictionary:
     """Words of four letters or more that a public byte vocabulary (lines of base64 and rank) holds behind a space."""
     with open(vocabulary, "rb") as lines:
         pieces = (base64.b64decode(line.split()[0]) for line in lines)
         words = (p[1:].decode().lower() for p in pieces if p[:1] == b" " and p[1:].isalpha())
-        return frozenset(w for w in words if len(w) >= 4)
+        return Dictionary(w for w in words if len(w) >= 4)
 
 
 def grouped(text: str) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
@@ -137,11 +146,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [whole for whole, _ in grouped(text)]
 
 
-def coverage(value: str, words: frozenset[str]) -> float:
+def coverage(value: str, words: Dictionary) -> float:
     """Share of the characters that dictionary words cover, longest first from the left."""
     low, i, covered = value.lower(), 0, 0
     while i < len(low):
-        for n in range(min(14, len(low) - i), 3, -1):
+        for n in range(min(words.longest, len(low) - i), 3, -1):
             if low[i : i + n] in words:
                 covered += n
                 i += n
@@ -151,7 +160,7 @@ def coverage(value: str, words: frozenset[str]) -> float:
     return covered / max(1, len(value))
 
 
-def features(before: str, value: str, after: str, path: str | None, known: Evidence, words: frozenset[str]) -> list[float]:
+def features(before: str, value: str, after: str, path: str | None, known: Evidence, words: Dictionary) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     counts = Counter(value)
@@ -178,7 +187,7 @@ class Forest(NamedTuple):
     child: np.ndarray
     share: np.ndarray
     known: Evidence | None = None
-    words: frozenset[str] = frozenset()
+    words: Dictionary = Dictionary()
 
     def rate(self, found: Iterable[tuple[str, str, str, str | None]]) -> np.ndarray:
         """``score`` of findings (before, value, after, path)."""
@@ -309,7 +318,7 @@ def invented_findings(n: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["before", "value", "after", "path", "secret"])
 
 
-def train(findings: pd.DataFrame, words: frozenset[str], *, seed: int = 1) -> Forest:
+def train(findings: pd.DataFrame, words: Dictionary, *, seed: int = 1) -> Forest:
     """The forest of labelled findings (before, value, after, path, secret); of more than ``MAX_FINDINGS`` a seeded sample.
 
     While it grows, each half of the findings is measured by what the other half taught, so that no finding vouches for itself.

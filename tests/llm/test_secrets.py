@@ -96,6 +96,8 @@ def test_evidence_and_dictionary():
     assert known.path[secrets.buckets("prod")[0]] > 2 and known.pairs[tuple(secrets.symbols("Gq"))] > 0 > known.pairs[tuple(secrets.symbols("ab"))]
     words = secrets.dictionary(queries.CHAT_VOCABULARY)
     assert {"password", "management", "river"} <= words and len(words) > 15_000 and secrets.coverage("RiverManagement7", words) == 15 / 16
+    long = secrets.Dictionary(["electroencephalography", "able"])
+    assert secrets.coverage("xElectroencephalography", long) == 22 / 23 and secrets.coverage("x", secrets.Dictionary()) == 0
 
 
 def test_candidates_do_not_overlap():
