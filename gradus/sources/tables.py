@@ -12,30 +12,53 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.operators.validate import check_equal
+from gradus.operators.validate import InvalidData, check_equal
 
 NAMES = ("queries", "passages", "qrels")
 KEYS = {"queries": ["query_id"], "passages": ["passage_id"], "qrels": ["query_id", "passage_id"]}
 
 
-def _at(folder: str, revision: str | None) -> str:
-    return f"{folder}/revisions/{revision}" if revision else folder
+def _manifest(folder: str, revision: str | None) -> str:
+    return f"{folder}/revisions/{revision}.json" if revision else f"{folder}/tables.json"
+
+
+def _known(folder: str, revision: str | None) -> dict[str, str]:
+    """The folder of each table that a collection has: those that its manifest names, or whole ones where there is none."""
+    if listed := load_json(_manifest(folder, revision)):
+        return {name: f"{folder}/{path}" for name, path in listed.items()}
+    plain = f"{folder}/revisions/{revision}" if revision else folder
+    return {name: f"{plain}/{name}" for name in NAMES if exists(f"{plain}/{name}/_SUCCESS")}
 
 
 def read_collection(spark: SparkSession, folder: str, revision: str | None = None) -> dict[str, DataFrame]:
-    """The three tables; with ``revision`` those that were published under that name."""
-    return {name: spark.read.parquet(f"{_at(folder, revision)}/{name}") for name in NAMES}
+    """The three tables; with ``revision`` those that were published under that name. A table that isn't there raises."""
+    known = _known(folder, revision)
+    if missing := [name for name in NAMES if name not in known]:
+        raise InvalidData(f"{folder} has no {', '.join(missing)}" + (f" of revision {revision}" if revision else ""))
+    return {name: spark.read.parquet(known[name]) for name in NAMES}
 
 
 def write_collection(tables: dict[str, DataFrame], folder: str, revision: str | None = None) -> None:
-    """Write each table that isn't there yet, sorted by its keys, then read it back and compare."""
+    """Publish each table that isn't there yet, sorted by its keys; one that is there must have the same rows.
+
+    New tables are written aside, read back and compared; then one renamed manifest makes all of them visible. What a broken
+    run leaves is never seen, and another run starts anew. Of two that publish at once the later one's manifest holds.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    known, aside = _known(folder, revision), f"data/{uuid.uuid4().hex}"
+    new = {}
     for name, rows in tables.items():
-        path = f"{_at(folder, revision)}/{name}"
-        rows.orderBy(*KEYS[name]).write.mode("ignore").parquet(path)
-        check_equal(rows, rows.sparkSession.read.parquet(path))
+        path = known.get(name)
+        if path is None:
+            path, new[name] = f"{folder}/{aside}/{name}", f"{aside}/{name}"
+            rows.orderBy(*KEYS[name]).write.parquet(path)
+        check_equal(rows, spark.read.parquet(path))
+    if new:
+        save_json(_manifest(folder, revision), {**{name: path.removeprefix(f"{folder}/") for name, path in known.items()}, **new})
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,6 +72,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to a new folder of ``scratch`` and read again: alike from then on, whatever executors are lost."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_files(lines: DataFrame, folder: str) -> list[str]:
     """Text files from ``lines`` (file, place, line): one for each file name, its lines by place; their paths, in order.
 
@@ -56,7 +86,7 @@ def write_files(lines: DataFrame, folder: str) -> list[str]:
     """
     work = f"{folder}/parts"
     lines.repartition("file").sortWithinPartitions("file", "place").select("file", "line").write.partitionBy("file").text(work)
-    jvm, _, own, system = _file(work)
+    jvm, _, own, system = hadoop(work)
     paths = []
     for status in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{work}/file=*/part-*")):
         name = status.getPath().getParent().getName().removeprefix("file=")
@@ -66,7 +96,7 @@ def write_files(lines: DataFrame, folder: str) -> list[str]:
     return sorted(paths)
 
 
-def _file(path: str):
+def hadoop(path: str):
     """The JVM, a Hadoop path and its file system."""
     spark = SparkSession.active()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -75,19 +105,19 @@ def _file(path: str):
 
 
 def exists(path: str) -> bool:
-    _, _, own, system = _file(path)
+    _, _, own, system = hadoop(path)
     return system.exists(own)
 
 
 def remove(path: str) -> None:
-    _, _, own, system = _file(path)
+    _, _, own, system = hadoop(path)
     system.delete(own, True)
 
 
 def save_json(path: str, value: object) -> None:
     """Replace a JSON document at once: written beside its place, then renamed. NaN and infinities are refused."""
     text = json.dumps(value, indent=2, allow_nan=False)
-    jvm, conf, own, system = _file(path)
+    jvm, conf, own, system = hadoop(path)
     beside = own.suffix(".partial")
     out = system.create(beside, True)
     try:
@@ -100,9 +130,24 @@ def save_json(path: str, value: object) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), conf).rename(beside, own, options)
 
 
+def rename_new(source: str, target: str) -> bool:
+    """Move a file to where none is; False if one is there, and then nothing is moved."""
+    jvm, conf, own, system = hadoop(target)
+    system.mkdirs(own.getParent())
+    options = SparkSession.active().sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(source), own, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception):
+            raise
+        remove(source)
+        return False
+    return True
+
+
 def load_json(path: str) -> dict:
     """One JSON object; an absent file is an empty one."""
-    jvm, _, own, system = _file(path)
+    jvm, _, own, system = hadoop(path)
     if not system.exists(own):
         return {}
     given = system.open(own)
