@@ -6,7 +6,9 @@ Lines are parsed in place, split by split. Only if a check fails are the files a
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 from gradus import schemas
 from gradus.functions.strings import blank, finite, whole_number, words
 from gradus.operators.validate import InvalidData, duplicates, outside, require_empty
-from gradus.sources import tables
+from gradus.sources import archives, chunks, tables
 
 # How run files end, how passage ids begin and are built (shard, byte offset), what ends a line of a string.
 RUN_SUFFIXES = (".gz", ".txt", ".trec", ".run")
 PREFIX = "msmarco_passage_"
 PASSAGE_ID = r"^msmarco_passage_([0-9]+)_([0-9]+)\z"
+SHARD_NAME = re.compile(r"msmarco_passage_([0-9]+)(?:\.gz)?")
 FILE_BREAKS = "\r\n|\n|\r"
 STRING_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -194,49 +197,114 @@ def misplaced(passages: DataFrame) -> DataFrame:
     return passages.where((part(2).try_cast("bigint").isNull()) | (part(2).try_cast("bigint") != F.col("offset")) | ((shard != "") & (shard != part(1))))
 
 
-def read_corpus(spark: SparkSession, paths: list[str], required: DataFrame, *, check_offsets: bool = False) -> DataFrame:
-    """The required passages of JSON-line shards (gzip or plain); a missing or malformed one raises.
+def corpus_lines(spark: SparkSession, paths: list[str], required: DataFrame | None = None) -> DataFrame:
+    """run, offset (null where only a whole file's order gives it), line of shards in files and of those in tar archives.
+
+    With ``required`` only members that its ids name are planned, and of an archive no byte but its headers and theirs is read.
+    """
+    tars = [p for p in paths if p.endswith(".tar")]
+    parts = [archives.tar_lines(spark, p, None if required is None else [x.run for x in own_shards(archives.places(p), required)]) for p in tars]
+    if plain := [p for p in paths if not p.endswith(".tar")]:
+        parts.append(file_lines(spark, plain).select("run", F.lit(None).cast("bigint").alias("offset"), "line"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def own_shards(shards: list[archives.Place], required: DataFrame) -> list[archives.Place]:
+    """Of an archive's members the shards that a required passage is in, by the number in their names; other files are none."""
+    kept = set(shard_paths([s.run for s in shards], required))
+    return [s for s in shards if s.run in kept and shard_number(s.run) is not None]
+
+
+def shard_number(run: str) -> str | None:
+    """The number in a shard's name; None for other files."""
+    named = SHARD_NAME.fullmatch(run)
+    return named and named[1]
+
+
+def passages_at(required: DataFrame, paths: list[str]) -> DataFrame:
+    """passage_id, run, offset, text, document_id, spans and bytes of the required passages, by the places that their ids say.
+
+    Shards that aren't compressed, also inside tar archives, are read by seeking, others as far as needed. An id at whose place
+    no passage of that id stands has no text; one of no shard is left out.
+    """
+    shards = [(shard_number(s.run), s) for p in paths for s in archives.places(p)]
+    part = lambda i: F.regexp_extract("passage_id", PASSAGE_ID, i)
+    spark = required.sparkSession
+    names = spark.createDataFrame([(n, s.run) for n, s in shards if n is not None], "_shard STRING, run STRING")
+    wanted = required.select("passage_id", part(1).alias("_shard"), part(2).try_cast("bigint").alias("offset")).distinct().where("offset IS NOT NULL")
+    found = archives.lines_at(wanted.join(names, "_shard").select("run", "offset", "passage_id"), [s for n, s in shards if n is not None])
+    p = F.from_json("line", schemas.CORPUS)
+    right = F.col("p.pid") == F.col("passage_id")
+    return found.withColumn("p", p).select("passage_id", "run", "offset", *[F.when(right, F.col(f"p.{a}")).alias(b) for a, b in (("passage", "text"), ("docid", "document_id"), ("spans", "spans"))], "bytes")
+
+
+def read_corpus(spark: SparkSession, paths: list[str], required: DataFrame, *, check_offsets: bool = False, seek: bool = False) -> DataFrame:
+    """The required passages of JSON-line shards (gzip, plain, or members of tar archives); a missing or malformed one raises.
 
     Only shards that the required ids name are read. With ``check_offsets`` an id must also say at which byte of which
-    shard it stands. The optimizer broadcasts the required ids only under its own size threshold; else both sides are shuffled.
+    shard it stands; with ``seek`` passages are looked up there, and no shard is scanned. The optimizer broadcasts the
+    required ids only under its own size threshold; else both sides are shuffled.
     """
-    own = shard_paths(paths, required)
     wanted = required.select("passage_id").distinct()
-    if not own:
-        require_empty(wanted.orderBy("passage_id"), "Passages that no shard has")
-    lines = file_lines(spark, own or paths)
-    corpus = parse_corpus_lines(with_offsets(lines) if check_offsets else lines)
-    found = corpus.join(wanted, "passage_id", "left_semi")
-    if check_offsets:
-        require_empty(misplaced(found).select("passage_id", "run", "offset"), "Passages at another place than their id says")
-    rows = found.select("passage_id", "text", "document_id", "spans")
+    if seek:
+        found = passages_at(required, paths)
+        require_empty(found.where("text IS NULL AND document_id IS NULL AND spans IS NULL").select("passage_id", "run", "offset"), "Passages at another place than their id says")
+        rows = found.select("passage_id", "text", "document_id", "spans")
+    else:
+        own = [p for p in paths if p.endswith(".tar")] + shard_paths([p for p in paths if not p.endswith(".tar")], required)
+        if not own:
+            require_empty(wanted.orderBy("passage_id"), "Passages that no shard has")
+        if check_offsets:
+            tars, plain = [p for p in own if p.endswith(".tar")], [p for p in own if not p.endswith(".tar")]
+            parts = [corpus_lines(spark, tars, required)] if tars else []
+            lines = reduce(DataFrame.unionByName, [*parts, *[with_offsets(file_lines(spark, plain)).select("run", "offset", "line")] * bool(plain)])
+        else:
+            lines = corpus_lines(spark, own or paths, required)
+        found = parse_corpus_lines(lines).join(wanted, "passage_id", "left_semi")
+        if check_offsets:
+            require_empty(misplaced(found).select("passage_id", "run", "offset"), "Passages at another place than their id says")
+        rows = found.select("passage_id", "text", "document_id", "spans")
     require_empty(rows.where("text IS NULL OR document_id IS NULL OR spans IS NULL").select("passage_id"), "Passages that lack a field")
     require_empty(missing_passages(required, rows).orderBy("passage_id"), "Passages that no shard has")
     return rows.dropDuplicates(["passage_id"])
 
 
+#: How a checkpoint's chunks are parted: judgments, pairs that failed, pairs that are to be asked again.
+DONE, FAILED, LATER = 0, 1, 2
+
+
+def checkpoint_lines(spark: SparkSession, path: str, kind: int) -> DataFrame | None:
+    """The lines (value, chunk) of one kind that a checkpoint's chunks hold; of other files and folders all lines are judgments."""
+    lines = chunks.read_text(spark, path, "failed INT")
+    if lines is not None:
+        return lines.where(F.col("failed") == kind).select("value", "chunk")
+    if kind != DONE or not tables.exists(path) or tables.exists(f"{path}/data"):
+        return None
+    return spark.read.text(path).select("value", F.lit(None).cast("string").alias("chunk"))
+
+
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """The checkpoint of a judging run; none yet gives an empty table, a line of other shape raises."""
-    if not tables.exists(path):
+    lines = checkpoint_lines(spark, path, DONE)
+    if lines is None:
         return spark.createDataFrame([], schemas.JUDGMENTS)
-    lines = spark.read.text(path)
-    if "failed" in lines.columns:
-        lines = lines.where(F.col("failed") == 0)
     rows = parse_judgment_lines(lines.select(F.col("value").alias("line")))
     require_empty(rows.where("problem IS NOT NULL").select("line"), "Lines that are no judgment")
     return rows.drop("line", "problem")
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, passage_id, error, type and attempt of the pairs that failed, from the same checkpoint."""
-    schema = f"{schemas.FAILURES}, attempt STRING"
-    lines = spark.read.text(path) if tables.exists(path) else None
-    if lines is None or "failed" not in lines.columns:
-        return spark.createDataFrame([], schema)
-    return lines.where(F.col("failed") == 1).select(F.from_json("value", schemas.FAILURES).alias("f"), F.col("attempt").cast("string").alias("attempt")).select("f.*", "attempt")
-
-
-def latest(judgments: DataFrame) -> DataFrame:
-    """One row of each pair, for checkpoints that a repeated task may have written twice."""
-    order = W.partitionBy("query_id", "passage_id").orderBy(F.col("latency_seconds").asc_nulls_last(), "request_id", "predicted_relevance")
-    return judgments.withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_at")
+    """query_id, passage_id, error, type and chunk of the pairs that failed, from the same checkpoint."""
+    lines = checkpoint_lines(spark, path, FAILED)
+    if lines is None:
+        return spark.createDataFrame([], f"{schemas.FAILURES}, chunk STRING")
+    return lines.select(F.from_json("value", schemas.FAILURES).alias("f"), "chunk").select("f.*", "chunk")
+
+
+def read_deferred(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, passage_id, attempt, not_before and chunk of the pairs that were put off, from the same checkpoint."""
+    lines = checkpoint_lines(spark, path, LATER)
+    schema = "query_id STRING, passage_id STRING, attempt INT, not_before DOUBLE"
+    if lines is None:
+        return spark.createDataFrame([], f"{schema}, chunk STRING")
+    return lines.select(F.from_json("value", schema).alias("f"), "chunk").select("f.*", "chunk")
