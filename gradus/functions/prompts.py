@@ -77,7 +77,9 @@ def token_estimate(query_bytes: Column, passage_bytes: Column) -> Column:
 
 def structured_answer(text: Column) -> Column:
     """The grade that a structured answer holds: a whole number of the domain in an object without other keys; else null."""
-    return F.regexp_extract(text, r'^\s*\{\s*"grade"\s*:\s*([0-3])\s*\}\s*\z', 1).try_cast("int")
+    answer = F.try_parse_json(text)
+    grade = F.try_variant_get(answer, "$.grade", "int")
+    return F.when((F.schema_of_variant(answer) == "OBJECT<grade: BIGINT>") & grade.between(0, 3), grade)
 
 
 def argmax_grade(probabilities: Column) -> Column:

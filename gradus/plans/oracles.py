@@ -120,6 +120,14 @@ def _with(body: str, *parts: str) -> str:
     return f"WITH {','.join([SQL, *parts])}\n{body}"
 
 
+def _paced(key: str) -> str:
+    """A request costs a 450th or its tokens' 180,000ths of a minute, in microseconds: 133,333, or 333 a token."""
+    return f"""WITH costs AS (SELECT event_id, user_id, epoch_us(ts) AS t, greatest(133333, (200 + event_id % 400) * 333) AS cost FROM events),
+        befores AS (SELECT *, coalesce(sum(cost) OVER ({key} ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM costs),
+        starts AS (SELECT *, CAST(b + max(t - b) OVER ({key} ORDER BY t, event_id) AS BIGINT) AS start FROM befores)
+        SELECT event_id, user_id, start, CAST(start - t AS BIGINT) AS delay FROM starts"""
+
+
 def oracle_sql() -> dict[str, str]:
     pair = "query_id, passage_id"
     rate = prompts.PRICES["gpt-6-luna"]
@@ -155,10 +163,8 @@ def oracle_sql() -> dict[str, str]:
             round(o * CAST({rate[1]} AS DOUBLE) / 1000000, 6) AS output_cost, round(i * CAST({rate[0]} AS DOUBLE) / 1000000 + o * CAST({rate[1]} AS DOUBLE) / 1000000, 6) AS total_cost, n = w AS complete, CAST(NULL AS VARCHAR) AS undefined_reason
             FROM (SELECT coalesce(sum(input_tokens) FILTER (output_tokens IS NOT NULL), 0) AS i, coalesce(sum(output_tokens) FILTER (input_tokens IS NOT NULL), 0) AS o, count(*) FILTER (input_tokens IS NOT NULL AND output_tokens IS NOT NULL) AS w, count(*) AS n FROM fx_judgments)"""),
         "union_of_sources": _with(f"SELECT {pair}, 'human' AS source, human_relevance AS relevance, CAST(NULL AS DOUBLE) AS input_tokens FROM fx_judgments UNION ALL SELECT {pair}, 'method', predicted_relevance, CAST(input_tokens AS DOUBLE) FROM fx_judgments"),
-        "rate_limit_schedule": f"""WITH costs AS (SELECT event_id, user_id, epoch_us(ts) AS t, greatest({60_000_000 // prompts.REQUESTS_PER_MINUTE}, (200 + event_id % 400) * {60_000_000 // prompts.TOKENS_PER_MINUTE}) AS cost FROM events),
-            befores AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM costs),
-            starts AS (SELECT *, CAST(b + max(t - b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS BIGINT) AS start FROM befores)
-            SELECT event_id, user_id, start, CAST(start - t AS BIGINT) AS delay FROM starts""",
+        "rate_limit_schedule": _paced("PARTITION BY user_id"),
+        "rate_limit_shared": _paced(""),
         "parse_run_lines": _with(f"""SELECT run, f[1] AS query_id, f[3] AS passage_id, {_FINITE.format("f[5]")} AS score,
             CASE WHEN len(f) <> 6 THEN 'expected six columns' WHEN NOT starts_with(f[3], 'msmarco_passage_') OR coalesce({_WHOLE.format("f[4]")} < 0, true) THEN 'invalid passage or rank' WHEN ({_FINITE.format("f[5]")}) IS NULL THEN 'invalid score' END AS problem
             FROM (SELECT run, {_WORDS.format("line")} AS f FROM fx_run_lines) WHERE len(f) > 0"""),
@@ -178,6 +184,8 @@ def oracle_sql() -> dict[str, str]:
         "published_collection": _with("""SELECT 'queries' AS "table", query_id AS key, md5(text) AS digest FROM fx_queries UNION ALL SELECT 'passages', passage_id, md5(concat_ws(' ', text, document_id, spans)) FROM fx_passages
             UNION ALL SELECT 'qrels', query_id || ' ' || passage_id, md5(CAST(relevance AS VARCHAR)) FROM fx_qrels"""),
         "corpus_passages": _with("SELECT passage_id, text, document_id, '(0,1)' AS spans, CAST(place AS BIGINT) AS offset, false AS misplaced, 2 AS shards_read FROM shards JOIN wanted ON doc_id = d WHERE doc_id % 97 <> 5 UNION ALL SELECT passage_id, text, document_id, '(0,1)', CAST(place AS BIGINT), true, 2 FROM shards JOIN wanted ON doc_id = d WHERE doc_id % 97 = 5", _SHARD),
+        "corpus_passages_by_offset": _with("""SELECT passage_id, substr(passage_id, 1, 18) AS run, CASE WHEN fits THEN text END AS text, CASE WHEN fits THEN document_id END AS document_id, CASE WHEN fits THEN '(0,1)' END AS spans, CAST(place + CASE WHEN fits THEN 0 ELSE 1 END AS BIGINT) AS offset
+            FROM (SELECT *, doc_id % 97 <> 5 AS fits FROM shards JOIN wanted ON doc_id = d)""", _SHARD),
         "missing_passages": _with("SELECT DISTINCT passage_id FROM (SELECT passage_id FROM fx_dirty UNION ALL SELECT passage_id FROM shards JOIN wanted ON doc_id = d) WHERE passage_id NOT IN (SELECT passage_id FROM fx_passages) ORDER BY passage_id LIMIT 10", _SHARD),
         "unknown_queries": _with("SELECT DISTINCT query_id FROM fx_dirty WHERE query_id NOT IN (SELECT query_id FROM fx_queries)"),
         "collection_violations": _with(f"""SELECT 'query id repeats' AS rule, query_id AS at FROM fx_queries WHERE query_id IN ('1', '7') UNION ALL SELECT 'pair repeats', query_id || ' ' || passage_id FROM fx_dirty GROUP BY {pair} HAVING count(*) > 1
@@ -189,14 +197,29 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 7, printf('Average judged passages per query: %.2f', (SELECT count(*) FROM fx_qrels) / (SELECT count(*) FROM fx_queries)) UNION ALL SELECT 8, '' UNION ALL SELECT 9, 'Relevance grade | Judgments | Average judged passages per query'
             UNION ALL SELECT CAST(10 + g AS INTEGER), lpad(CAST(g AS VARCHAR), 15, ' ') || ' | ' || lpad(format('{{:,}}', n), 9, ' ') || ' | ' || printf('%.2f', n / (SELECT count(*) FROM fx_queries)) FROM (SELECT g, count(query_id) AS n FROM range(4) AS t(g) LEFT JOIN fx_qrels ON relevance = g GROUP BY g)"""),
         "figure_points": _with("SELECT 'system_scores_' || regexp_replace(metric, '[^a-zA-Z0-9]', '_', 'g') AS figure, run, round(h, 6) AS human, round(p, 6) AS predicted FROM paired", _METRICS),
-        "judge_prompt": f"SELECT CAST(i - 1 AS INTEGER) AS place, l[i] AS line, {prompts.REQUEST_CHARS} AS request_chars FROM (SELECT {_LIST([prompts.INSTRUCTIONS, *(f'[{g}] {c}' for g, c in enumerate(prompts.CRITERIA))])} AS l), range(1, {len(prompts.CRITERIA) + 2}) AS t(i)",
+        "judge_prompt": _with(f"SELECT query_id, CAST(i - 1 AS INTEGER) AS place, l[i] AS line, CAST(530 + length(text) + {_ESC.format('text')} AS INTEGER) AS request_chars FROM fx_queries, (SELECT {_LIST([prompts.INSTRUCTIONS, *(f'[{g}] {c}' for g, c in enumerate(prompts.CRITERIA))])} AS l), range(1, {len(prompts.CRITERIA) + 2}) AS t(i)"),
         "structured_answers": _with(f"""SELECT {pair}, CAST(nullif(regexp_extract(answer, '^\\s*\\{{\\s*"grade"\\s*:\\s*([0-3])\\s*\\}}\\s*$', 1), '') AS DOUBLE) AS grade FROM (
             SELECT {pair}, {_LIST([a for a, _ in ANSWERS])}[k] || predicted_relevance || {_LIST([b for _, b in ANSWERS])}[k] AS answer FROM (SELECT *, CAST(substr(passage_id, {len(PREFIX) + 1}) AS BIGINT) % {len(ANSWERS)} + 1 AS k FROM fx_judgments))"""),
-        "experiment_guard": "SELECT k AS known, s AS same, e AS empty, e OR (k AND s) AS allowed FROM (VALUES (true), (false)) AS a(k), (VALUES (true), (false)) AS b(s), (VALUES (true), (false)) AS c(e)",
+        "experiment_guard": _with(f"""SELECT query_id, CASE WHEN done IS NULL THEN NULL WHEN i % 3 = 0 THEN 'The folder has judgments, but not what they were made with' WHEN i % 3 = 1 AND done <> every THEN 'The folder''s judgments are of another experiment: other texts, model or configuration' END AS problem
+            FROM (SELECT query_id, CAST(query_id AS BIGINT) AS i, string_agg(passage_id || ':' || predicted_relevance, ',' ORDER BY passage_id || ':' || predicted_relevance) AS every FROM fx_judgments GROUP BY ALL)
+            LEFT JOIN (SELECT query_id, string_agg(passage_id || ':' || predicted_relevance, ',' ORDER BY passage_id || ':' || predicted_relevance) AS done FROM fx_checkpoint WHERE query_id NOT LIKE '%7' GROUP BY ALL) USING (query_id)"""),
         "judge_probabilistic": _with(f"""SELECT {pair}, CAST(list_position(w, list_max(w)) - 1 AS DOUBLE) AS predicted_relevance, w[2] + 2 * w[3] + 3 * w[4] AS score, list_max(w) AS confidence, 'weighing' AS model, CAST(g AS VARCHAR) AS grade, w[g + 1] AS probability
             FROM (SELECT {pair}, list_transform(range(4), lambda g: ((length(query) * (g + 3) + length(passage) * 7) % 8) / CAST(8 AS DOUBLE)) AS w FROM inputs), range(4) AS t(g)""", _inputs(prompts.CHARACTER_BUDGET)),
         "judge_run": _with(f"""SELECT {pair}, CAST(CASE WHEN NOT failed THEN relevance END AS DOUBLE) AS human_relevance, CAST(CASE WHEN NOT failed THEN (q + n) % 4 END AS DOUBLE) AS predicted_relevance, CAST(CASE WHEN NOT failed THEN n END AS DOUBLE) AS passage_used_chars, CAST(CASE WHEN NOT failed THEN k END AS DOUBLE) AS length_retries,
             CAST(CASE WHEN NOT failed THEN repeats END AS DOUBLE) AS repeats, NOT failed AS timed, error, type, (SELECT count(*) FROM outcomes WHERE failed) AS failures FROM outcomes""", _inputs(prompts.CHARACTER_BUDGET), _RULES),
+        "judge_resumed": _with(f"""SELECT {pair}, CAST(relevance AS DOUBLE) AS human_relevance, CAST(CASE WHEN length(passage) % 3 <> 0 THEN length(passage) % 4 ELSE (length(query) + length(passage)) % 4 END AS DOUBLE) AS predicted_relevance,
+            CASE WHEN length(passage) % 3 <> 0 THEN 'first' ELSE 'second' END AS model FROM inputs""", _inputs(prompts.CHARACTER_BUDGET)),
+        "deferred_requests": _with(f"""SELECT {pair}, CAST(t AS DOUBLE) AS attempts, CAST(t AS DOUBLE) AS rounds, true AS timed FROM (SELECT *, CASE n % 11 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 4 END AS t FROM used) WHERE t IS NOT NULL""", _inputs(prompts.CHARACTER_BUDGET), _RULES),
+        "equal_tables": _with("""SELECT 'qrels again' AS tables, true AS same, count(*) AS left_rows, count(*) AS right_rows FROM fx_qrels UNION ALL SELECT 'dirty and qrels', false, (SELECT count(*) FROM fx_dirty), count(*) FROM fx_qrels
+            UNION ALL SELECT 'dirty and one with repeats', (SELECT count(*) FROM (FROM fx_dirty EXCEPT ALL FROM again)) + (SELECT count(*) FROM (FROM again EXCEPT ALL FROM fx_dirty)) = 0, (SELECT count(*) FROM fx_dirty), (SELECT count(*) FROM again)
+            UNION ALL SELECT 'no labels of a query', count(*) FILTER (query_id = '1') = 0, count(*), count(*) FROM fx_qrels UNION ALL SELECT 'passages again', true, count(*), count(*) FROM fx_passages""",
+            "again AS (SELECT * FROM fx_dirty WHERE query_id <> '3' UNION ALL SELECT * FROM fx_dirty WHERE query_id = '2')"),
+        "ordered_fingerprint": _with("""SELECT name, CASE WHEN n <= 256 THEN d1 WHEN n <= 65536 THEN d2 ELSE d3 END AS sha256 FROM (SELECT name, max(n) AS n, any_value(d1) AS d1 FROM first GROUP BY name) JOIN (SELECT name, any_value(d2) AS d2 FROM second GROUP BY name) USING (name)
+            JOIN (SELECT name, sha256(string_agg(d2, '' ORDER BY i)) AS d3 FROM second GROUP BY name) USING (name)""",
+            """leaves AS (SELECT *, sha256(length(query_id) || ':' || query_id || length(passage_id) || ':' || passage_id || '1:' || relevance) AS d FROM fx_qrels),
+            placed AS (SELECT 'by id' AS name, d, row_number() OVER (ORDER BY query_id, passage_id) - 1 AS i FROM leaves UNION ALL SELECT 'backwards', d, row_number() OVER (ORDER BY CAST(query_id AS BIGINT) DESC, CAST(substr(passage_id, 20) AS BIGINT) DESC) - 1 FROM leaves),
+            first AS (SELECT name, i // 256 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d1, sum(count(*)) OVER (PARTITION BY name) AS n FROM placed GROUP BY name, i // 256),
+            second AS (SELECT name, i // 256 AS i, sha256(string_agg(d1, '' ORDER BY i)) AS d2 FROM first GROUP BY name, i // 256)"""),
         "retry_schedule": f"WITH {_RETRIES} SELECT event_id, again, round(CASE WHEN again OR status = 429 AND most = 8 THEN wait END, 6) AS delay FROM plans",
         "run_manifest": _with("SELECT run || '.run' AS file, sha256(string_agg(concat_ws(' ', query_id, 'Q0', passage_id, '1', CAST(CAST(score AS DECIMAL(12, 6)) AS VARCHAR), run), chr(10) ORDER BY query_id, passage_id) || chr(10)) AS sha256 FROM fx_runs GROUP BY run"),
         "report_numbers": _with(" UNION ALL ".join(_REPORT), _METRICS, _TAU, _AREA, _CONFUSION, _SUMMARY, _USAGE),

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import itertools
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import prompts
-from gradus.operators import agreement, collection, correlation, judging, ranking, usage, validate
+from gradus.operators import agreement, collection, correlation, judging, order, ranking, usage, validate
 from gradus.plans.fixtures import Fixtures, number
-from gradus.sources import tables, trec
+from gradus.sources import archives, tables, trec
 
 BUDGET = 1_000 + prompts.MARGIN + prompts.REQUEST_CHARS  # about 1,000 characters for a passage, so that many are cut
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,12 +169,22 @@ def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return human.unionByName(method, allowMissingColumns=True)
 
 
-def rate_limit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as requests, paced by the default budgets, in microseconds."""
+def _paced(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    """Events as requests, paced for each key by the default budgets, in microseconds."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     cost = F.greatest(F.lit(60_000_000 // prompts.REQUESTS_PER_MINUTE), (200 + F.col("event_id") % 400) * F.lit(60_000_000 // prompts.TOKENS_PER_MINUTE))
-    rows = events.select("event_id", "user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)").alias("at"), cost.alias("cost"))
-    return judging.pace_schedule(rows, "user_id", "at", "cost", "at", "event_id").select("event_id", "user_id", "start", "delay")
+    rows = events.select("event_id", "user_id", key.alias("key"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)").alias("at"), cost.alias("cost"))
+    return judging.pace_schedule(rows, "key", "at", "cost", "at", "event_id").select("event_id", "user_id", "start", "delay")
+
+
+def rate_limit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as requests."""
+    return _paced(spark, sf_dir, F.col("user_id"))
+
+
+def rate_limit_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as requests of one key, paced by one budget."""
+    return _paced(spark, sf_dir, F.lit("all"))
 
 
 def parse_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,14 +233,22 @@ def published_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The required passages of the shards that their ids name, and whether they stand where their ids say."""
+    """The required passages of tar archives of gzip shards, of those that their ids name, and whether they stand where their ids say."""
     fx = Fixtures(spark, sf_dir)
     required = fx.required()
-    paths = trec.shard_paths(tables.write_files(fx.shard_text(), tables.scratch(spark, "shards")), required)
-    found = trec.parse_corpus_lines(trec.with_offsets(trec.file_lines(spark, paths))).join(required, "passage_id", "left_semi")
+    paths = archives.pack(fx.shard_text(), tables.scratch(spark, "shards"))
+    read = sum(len(trec.own_shards(archives.places(p), required)) for p in paths)
+    found = trec.parse_corpus_lines(trec.corpus_lines(spark, paths, required)).join(required, "passage_id", "left_semi")
     wrong = trec.misplaced(found).select("passage_id", F.lit(True).alias("misplaced"))
     rows = found.join(wrong, "passage_id", "left")
-    return rows.select("passage_id", "text", "document_id", "spans", "offset", F.coalesce("misplaced", F.lit(False)).alias("misplaced"), F.lit(len(paths)).alias("shards_read"))
+    return rows.select("passage_id", "text", "document_id", "spans", "offset", F.coalesce("misplaced", F.lit(False)).alias("misplaced"), F.lit(read).alias("shards_read"))
+
+
+def corpus_passages_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same passages looked up where their ids say, of shards that aren't compressed; those that aren't there have no text."""
+    fx = Fixtures(spark, sf_dir)
+    paths = tables.write_files(fx.shard_text(), tables.scratch(spark, "shards"))
+    return trec.passages_at(fx.required(), paths).select("passage_id", "run", "text", "document_id", "spans", "offset")
 
 
 def missing_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,9 +281,10 @@ def figure_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the instructions, and what a request takes without its texts."""
-    lines = spark.range(1).select(F.posexplode(F.split(F.lit(prompts.numbered_instructions()), "\n")).alias("place", "line"))
-    return lines.select("place", "line", F.lit(prompts.REQUEST_CHARS).alias("request_chars"))
+    """The lines of the instructions for each query, and the characters that its request takes without a passage."""
+    asked = Fixtures(spark, sf_dir).queries()
+    size = (F.lit(prompts.REQUEST_CHARS) + F.length("text") + prompts.escapes(F.col("text"))).alias("request_chars")
+    return asked.select("query_id", F.posexplode(F.split(F.lit(prompts.numbered_instructions()), "\n")).alias("place", "line"), size)
 
 
 def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,15 +292,14 @@ def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a run may go on, by what its folder holds."""
-    rows = []
-    for known, same, empty in itertools.product((False, True), repeat=3):
-        try:
-            judging.check_experiment({"signature": "a"} if known else {}, "a" if same else "b", empty)
-            rows.append((known, same, empty, True))
-        except validate.InvalidData:
-            rows.append((known, same, empty, False))
-    return spark.createDataFrame(rows, "known boolean, same boolean, empty boolean, allowed boolean")
+    """Whether the judgments of each query, as if of a folder each, may be gone on with: some have no signature, or of other grades."""
+    fx, i = Fixtures(spark, sf_dir), F.col("query_id").cast("bigint")
+    graded = F.array_sort(F.collect_list(F.concat_ws(":", "passage_id", F.col("predicted_relevance").cast("string"))))
+    marks = fx.judgments().groupBy("query_id").agg(F.sha2(F.array_join(graded, ","), 256).alias("mark"))
+    done = fx.checkpoint().groupBy("query_id").agg(graded.alias("done"))
+    known = F.when(i % 3 == 0, F.lit(None)).when(i % 3 == 1, F.sha2(F.array_join("done", ","), 256)).otherwise(F.col("mark"))
+    rows = marks.join(done.where("query_id NOT LIKE '%7'"), "query_id", "left")
+    return rows.select("query_id", judging.experiment_problem(known, F.col("mark"), F.col("done").isNull()).alias("problem"))
 
 
 def judge_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +314,7 @@ def judge_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "judged")
     given = {"queries": fx.queries(), "passages": fx.passages(), "qrels": fx.qrels()}
     with contextlib.suppress(RuntimeError):  # that some pairs failed
-        judging.run(spark, given, folder, judging.scripted, model="scripted", concurrency=8, rounds=3, pace=judging.untimed)
+        judging.run(spark, given, folder, judging.scripted, model="scripted", concurrency=8, rounds=3, pace=judging.untimed, wait=lambda _: math.inf)
     done = trec.read_judgments(spark, f"{folder}/judgments").select("query_id", "passage_id", *[_number(c) for c in ("human_relevance", "predicted_relevance", "passage_used_chars", "length_retries")], F.col("usage.output_tokens").cast("double").alias("repeats"), (F.col("latency_seconds") >= 0).alias("timed"))
     failed = trec.read_failures(spark, f"{folder}/judgments").select("query_id", "passage_id", "error", "type")
     listed = tables.load_json(f"{folder}/failures.json")
@@ -303,6 +322,45 @@ def judge_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("failures", F.lit(len(listed)).cast("bigint"))
 
 
+def judge_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments of a run that failed for a third of the pairs and was gone on with by another judge; a third run finds nothing to do."""
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "resumed")
+    given = {"queries": fx.queries(), "passages": fx.passages(), "qrels": fx.qrels()}
+    with contextlib.suppress(RuntimeError):  # that some pairs failed
+        judging.run(spark, given, folder, judging.choosy, model="two", concurrency=4, rounds=2)
+    judging.run(spark, given, folder, judging.second, model="two", concurrency=4, rounds=2)
+    done = judging.run(spark, given, folder, judging.scripted, model="two", concurrency=4, rounds=2)
+    return done.select("query_id", "passage_id", _number("human_relevance"), _number("predicted_relevance"), "model")
+
+
+def deferred_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs that a run asked again: how often they had been asked, as the rows say by which it put them off."""
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "deferred")
+    given = judging.inputs(fx.qrels(), fx.queries(), fx.passages())
+    judging.judge_chunks([("first", given)], folder, judging.scripted, tasks=8, pace=judging.untimed, wait=lambda _: math.inf)
+    later = trec.read_deferred(spark, folder).where("attempt > 0")
+    return later.groupBy("query_id", "passage_id").agg(F.max("attempt").cast("double").alias("attempts"), F.countDistinct("chunk").cast("double").alias("rounds"), (F.min("not_before") > 0).alias("timed"))
+
+
+def equal_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether tables have the same rows as often, by their digests: in another order, with one row twice for another, with other labels."""
+    fx = Fixtures(spark, sf_dir)
+    qrels, stale = fx.qrels(), fx.qrels().withColumn("relevance", F.when(F.col("query_id") == "1", F.lit(None)).otherwise(F.col("relevance")))
+    twice = fx.dirty().where("query_id <> '3'").unionByName(fx.dirty().where("query_id = '2'"))
+    pairs = [("qrels again", qrels, qrels.repartition(7)), ("dirty and qrels", fx.dirty(), qrels), ("dirty and one with repeats", fx.dirty(), twice), ("no labels of a query", qrels, stale), ("passages again", fx.passages(), fx.passages().orderBy(F.desc("passage_id")))]
+    found = [validate.same_rows(a, b).select(F.lit(name).alias("tables"), "same", "left_rows", "right_rows") for name, a, b in pairs]
+    return reduce(DataFrame.unionByName, found)
+
+
+def ordered_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the judged pairs in the order of their ids, and from the last to the first."""
+    rows = Fixtures(spark, sf_dir).qrels()
+    ids, columns = ["query_id", "passage_id"], ["query_id", "passage_id", "relevance"]
+    back = rows.withColumn("n", -F.col("query_id").cast("bigint")).withColumn("d", -number("passage_id"))
+    found = [("by id", order.fingerprint(rows, ids, columns)), ("backwards", order.fingerprint(back, ["n", "d"], columns))]
+    return spark.createDataFrame(found, "name string, sha256 string")
+
+
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of failed requests, whether they are asked again, and the wait that they put off others by."""
     return judging.retry_plan(Fixtures(spark, sf_dir).failures()).select("event_id", "again", _six("delay"))
@@ -336,7 +394,8 @@ def queries() -> dict[str, Query]:
     names = """run_metrics_aggregate run_metrics_per_query ranked_top10 rank_correlation rank_correlation_pvalue system_score_bounds agreement_confusion
         agreement_confusion_normalized agreement_summary collection_summary grade_distribution judgments_per_query pending_judgments refreshed_judgments
         judged_queries required_passages orphan_references duplicate_pairs invalid_grades checkpoint_difference passage_truncation token_estimates
-        argmax_grades usage_and_cost union_of_sources rate_limit_schedule parse_run_lines parse_qrel_lines judge_stub run_files parse_judgment_lines
-        parse_query_lines conflicting_queries published_collection corpus_passages missing_passages unknown_queries collection_violations summary_report
-        figure_points judge_prompt structured_answers experiment_guard judge_probabilistic judge_run retry_schedule run_manifest report_numbers not_finite"""
+        argmax_grades usage_and_cost union_of_sources rate_limit_schedule rate_limit_shared parse_run_lines parse_qrel_lines judge_stub run_files parse_judgment_lines
+        parse_query_lines conflicting_queries published_collection corpus_passages corpus_passages_by_offset missing_passages unknown_queries collection_violations summary_report
+        figure_points judge_prompt structured_answers experiment_guard judge_probabilistic judge_run judge_resumed deferred_requests
+        equal_tables ordered_fingerprint retry_schedule run_manifest report_numbers not_finite"""
     return {name: globals()[name] for name in names.split()}
