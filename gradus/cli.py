@@ -6,7 +6,7 @@ import argparse
 import importlib
 import json
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--revision", help="publish the tables under this name")
     build.add_argument("--cache-dir", help="keep the passages here, by the digest of the judgment file")
     build.add_argument("--check-offsets", action="store_true", help="passages must stand where their ids say")
+    build.add_argument("--fetch-from", help="a folder that executors see, from which the two metadata files are copied to the cache if they aren't there")
+    build.add_argument("--seek", action="store_true", help="look passages up where their ids say, and scan no shard")
     summarize = commands.add_parser("summarize", help="counts and lengths of a collection")
     summarize.add_argument("--collection", required=True)
     summarize.add_argument("--revision", help="a published revision of the tables")
@@ -40,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--data-dir", required=True)
         own.add_argument("--method", choices=METHODS, default="probabilistic")
         own.add_argument("--runs", help="folder of run files; DATA_DIR/runs by default")
-        own.add_argument("--fetch-from", help="a folder that the driver sees, whose run files are copied to the folder of runs and checked")
+        own.add_argument("--fetch-from", help="a folder that executors see, whose run files are copied to the folder of runs and checked")
         own.add_argument("--local-runs", action="store_true", help="fetch nothing; only files that are there")
         own.add_argument("--download-only", action="store_true", help="fetch and check the run files, then stop")
         if name == "judge":
@@ -51,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument("--reasoning-effort", choices=prompts.EFFORTS)
             own.add_argument("--rpm", type=int)
             own.add_argument("--tpm", type=int)
+            own.add_argument("--one-rate", action="store_true", help="partitions lease shares of the rates from each other; all must run at a time")
     return top
 
 
@@ -59,8 +62,10 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     args = top.parse_args(argv)
     if args.command in ("judge", "report") and args.local_runs and (args.fetch_from or args.download_only):
         top.error("with --local-runs there is nothing to fetch")
+    if args.command == "build" and args.fetch_from and not args.cache_dir:
+        top.error("what is fetched needs a cache")
     if args.command == "judge":
-        if args.method != "structured" and any(x is not None for x in (args.reasoning_effort, args.rpm, args.tpm)):
+        if args.method != "structured" and (args.one_rate or any(x is not None for x in (args.reasoning_effort, args.rpm, args.tpm))):
             top.error("only the structured method has an effort and rates")
         if any(x is not None and x <= 0 for x in (args.rpm, args.tpm)):
             top.error("a rate must be over 0")
@@ -81,11 +86,13 @@ def configuration(args: argparse.Namespace) -> dict:
 
 
 def pace(args: argparse.Namespace) -> Callable[[], judging.Pace]:
-    """A structured judge's budgets, split evenly over the partitions, whose paces don't meet; a probabilistic one has none."""
+    """A structured judge's budgets, split evenly over the partitions, whose paces don't meet, or one for all; a probabilistic one has none."""
     if args.method == "probabilistic":
         return judging.Pace
-    rpm, tpm = ((x or y) / args.concurrency for x, y in ((args.rpm, prompts.REQUESTS_PER_MINUTE), (args.tpm, prompts.TOKENS_PER_MINUTE)))
-    return lambda: judging.Pace(rpm, tpm)
+    rpm, tpm = args.rpm or prompts.REQUESTS_PER_MINUTE, args.tpm or prompts.TOKENS_PER_MINUTE
+    if args.one_rate:
+        return lambda: judging.SharedPace(rpm, tpm)
+    return lambda: judging.Pace(rpm / args.concurrency, tpm / args.concurrency)
 
 
 def factory(args: argparse.Namespace) -> Callable[[], judging.Judge]:
@@ -93,18 +100,12 @@ def factory(args: argparse.Namespace) -> Callable[[], judging.Judge]:
     return getattr(importlib.import_module(module), name)
 
 
-def _bytes(path: str) -> Iterator[bytes]:
-    with open(path, "rb") as given:
-        while part := given.read(1 << 20):
-            yield part
-
-
 def run_files(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     """The checked run files, fetched first if a folder to fetch from is named."""
     folder = args.runs or os.path.join(args.data_dir, "runs")
     if args.fetch_from and not args.local_runs:
         names = [os.path.basename(p) for p in trec.run_paths(args.fetch_from)]
-        trec.cached_runs(spark, folder, names, lambda n: _bytes(os.path.join(args.fetch_from, n)))
+        trec.cached_runs(spark, folder, names, tables.copied(args.fetch_from))
     paths = trec.run_paths(folder)
     trec.read_runs(spark, paths)
     return paths
@@ -114,7 +115,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = parse(argv)
     spark = SparkSession.builder.appName("gradus").getOrCreate()
     if args.command == "build":
-        made = collection.build(spark, args.queries, args.qrels, args.shards, cache=args.cache_dir, check_offsets=args.check_offsets)
+        named = [args.queries, args.qrels]
+        if args.fetch_from:
+            named = tables.cached_files(spark, args.cache_dir, [os.path.basename(n) for n in named], tables.copied(args.fetch_from), lambda _: None)
+        made = collection.build(spark, *named, args.shards, cache=args.cache_dir, check_offsets=args.check_offsets, seek=args.seek)
         tables.write_collection(made, args.collection, args.revision)
         return
     if args.command == "summarize":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gradus.schemas import GRADES
 
+# Fixed value: the reason that a report gives for a kappa that isn't defined.
 NO_VARIATION = "No variation in either assessor"
 
 

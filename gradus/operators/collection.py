@@ -15,8 +15,8 @@ def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
 
 
-def build(spark: SparkSession, query_path: str, qrel_path: str, corpus_paths: list[str], *, cache: str | None = None, check_offsets: bool = False) -> dict[str, DataFrame]:
-    """The three tables from text files and corpus shards, checked against each other.
+def build(spark: SparkSession, query_path: str, qrel_path: str, corpus_paths: list[str], *, cache: str | None = None, check_offsets: bool = False, seek: bool = False) -> dict[str, DataFrame]:
+    """The three tables from text files and corpus shards (also in tar archives), checked against each other.
 
     With ``cache``, a folder of any file system, the passages are kept there under the digest of the judgment file, so that
     a second build with the same judgments reads no shard.
@@ -27,10 +27,10 @@ def build(spark: SparkSession, query_path: str, qrel_path: str, corpus_paths: li
     if cache:
         kept = f"{cache}/passages-{tables.manifest(spark, [qrel_path])[0]['sha256']}"
         if not tables.exists(f"{kept}/_SUCCESS"):
-            trec.read_corpus(spark, corpus_paths, required, check_offsets=check_offsets).write.mode("overwrite").parquet(kept)
+            trec.read_corpus(spark, corpus_paths, required, check_offsets=check_offsets, seek=seek).write.mode("overwrite").parquet(kept)
         passages = spark.read.parquet(kept)
     else:
-        passages = trec.read_corpus(spark, corpus_paths, required, check_offsets=check_offsets)
+        passages = trec.read_corpus(spark, corpus_paths, required, check_offsets=check_offsets, seek=seek)
     found = {"queries": judged_queries(queries, qrels), "passages": passages, "qrels": qrels}
     check_collection(**found)
     return found

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the reason that a report gives for a correlation that isn't defined.
 CONSTANT = "Constant system scores"
 
 

@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.operators.validate import InvalidData, check_equal
+from gradus.sources import archives
 
 NAMES = ("queries", "passages", "qrels")
 KEYS = {"queries": ["query_id"], "passages": ["passage_id"], "qrels": ["query_id", "passage_id"]}
@@ -157,26 +159,50 @@ def load_json(path: str) -> dict:
         given.close()
 
 
-def cached_file(path: str, fetch: Callable[[], Iterable[bytes]], check: Callable[[str], object]) -> str:
-    """The driver's file at ``path``. If it isn't there, what ``fetch`` yields is put there, but only once ``check`` has let it pass.
+def cached_files(spark: SparkSession, folder: str, names: list[str], fetch: Callable[[str], Iterable[bytes]], check: Callable[[str], object]) -> list[str]:
+    """The paths of the named files in a folder that all executors see. What isn't there is fetched, a file a task, where the task runs.
 
-    ``check`` raises for a faulty file; a file that is there is checked as well, so that nothing is used unseen.
+    ``fetch`` yields a file's bytes. Each is written aside and renamed when it is whole, then ``check``, which raises for a
+    faulty one, must let it pass before it gets its name; files that are there are checked as well, so nothing is used unseen.
     """
-    if os.path.exists(path):
-        check(path)
-        return path
-    folder, name = os.path.split(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    partial = os.path.join(folder, f"partial-{name}")  # the same suffix: readers go by it
+    paths = {n: f"{folder}/{n}" for n in names}
+    missing = [n for n, path in paths.items() if not exists(path)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                system, inner = archives.opened(folder)
+                system.create_dir(inner)
+                aside = f"{inner}/.{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as out:
+                    for part in fetch(name):
+                        out.write(part)
+                system.move(aside, f"{inner}/partial-{name}")  # the same suffix: readers go by it
+            yield batch
+
+    if missing:
+        spark.createDataFrame([(n,) for n in missing], "name string").repartition(len(missing)).mapInArrow(work, "name string").collect()
     try:
-        with open(partial, "wb") as out:
-            out.writelines(fetch())
-        check(partial)
-        os.replace(partial, path)
+        for name, path in paths.items():
+            check(f"{folder}/partial-{name}" if name in missing else path)
+            if name in missing:
+                rename_new(f"{folder}/partial-{name}", path)
     finally:
-        if os.path.exists(partial):
-            os.remove(partial)
-    return path
+        for name in missing:
+            remove(f"{folder}/partial-{name}")
+    return [*paths.values()]
+
+
+def copied(folder: str) -> Callable[[str], Iterable[bytes]]:
+    """A ``fetch`` of files of a folder, in any file system that ``archives.opened`` knows."""
+
+    def fetch(name: str) -> Iterator[bytes]:
+        system, inner = archives.opened(f"{folder}/{name}")
+        with system.open_input_stream(inner, compression=None) as given:
+            while part := given.read(1 << 20):
+                yield part
+
+    return fetch
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> list[dict]:

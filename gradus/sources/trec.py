@@ -46,8 +46,8 @@ def run_paths(folder: str) -> list[str]:
 
 
 def cached_runs(spark: SparkSession, folder: str, names: Iterable[str], fetch: Callable[[str], Iterable[bytes]]) -> list[str]:
-    """The named run files in a folder of the driver, fetched if they are missing; all are checked, and manifest.json says what they hold."""
-    paths = sorted(tables.cached_file(f"{folder}/{n}", lambda n=n: fetch(n), lambda p: read_runs(spark, [p])) for n in names)
+    """The named run files in a folder that executors see, fetched there if they are missing; all are checked, and manifest.json says what they hold."""
+    paths = sorted(tables.cached_files(spark, folder, [*names], fetch, lambda p: read_runs(spark, [p])))
     tables.save_json(f"{folder}/manifest.json", tables.manifest(spark, paths))
     return paths
 

@@ -106,7 +106,3 @@ def test_usage_and_cost(spark):
     none = usage.usage_and_cost(rows, "unknown").first()
     assert none.total_cost is None and none.undefined_reason == "No token prices configured for unknown"
     assert usage.usage_and_cost(rows.limit(0), "probabilistic").first().input_tokens == 0
-
-
-def test_published_totals():
-    assert 13_866 + 4_372 + 2_259 + 1_830 == 22_327 and round(22_327 / 82, 2) == 272.28

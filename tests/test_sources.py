@@ -172,18 +172,24 @@ def test_passages_are_kept_by_the_judgments_digest(spark, tmp_path):
 
 def test_cached_runs(spark, tmp_path):
     good, bad = f"1 Q0 {P}1 0 2.5 t\n".encode(), b"nothing of a run\n"
-    asked = []
+    asked = str(tmp_path / "asked")
 
-    def fetch(name):
-        asked.append(name)
-        yield good if name != "bad.run" else bad
+    def fetch(name):  # on an executor
+        with open(asked, "a") as out:
+            out.write(f"{name}\n")
+        yield good[:7] if name != "bad.run" else bad
+        if name == "cut.run":
+            raise OSError("cut")
+        yield good[7:] if name != "bad.run" else b""
 
     folder = str(tmp_path / "runs")
     for _ in range(2):
         assert [p.rsplit("/", 1)[1] for p in trec.cached_runs(spark, folder, ["b.run", "a.run"], fetch)] == ["a.run", "b.run"]
-    assert asked == ["b.run", "a.run"] and [r["file"] for r in tables.load_json(f"{folder}/manifest.json")] == ["a.run", "b.run"]
+    assert sorted(open(asked).read().split()) == ["a.run", "b.run"] and [r["file"] for r in tables.load_json(f"{folder}/manifest.json")] == ["a.run", "b.run"]
     with pytest.raises(InvalidData):
         trec.cached_runs(spark, folder, ["bad.run"], fetch)
+    with pytest.raises(Exception, match="cut"):
+        trec.cached_runs(spark, folder, ["cut.run"], fetch)
     assert sorted(p.name for p in (tmp_path / "runs").iterdir() if not p.name.startswith(".")) == ["a.run", "b.run", "manifest.json"]
     (tmp_path / "runs/a.run").write_bytes(bad)
     with pytest.raises(InvalidData):
