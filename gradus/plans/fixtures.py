@@ -121,6 +121,11 @@ class Fixtures:
         rows = self._pool().select(F.col("d").alias("place")).where("place % 3 < 2").distinct()
         return rows.select(*_shard(F.col("place"))).select(F.col("pid").alias("passage_id"))
 
+    def shard_qrels(self) -> DataFrame:
+        """query_id, passage_id, relevance of the pool's pairs whose passages stand in the first two shards where their ids say."""
+        rows = self._pool().select("i", F.col("d").alias("place"), "relevance").where("place % 3 < 2 AND place % 97 <> 5")
+        return rows.select(F.col("i").cast("string").alias("query_id"), *_shard(F.col("place")), "relevance").select("query_id", F.col("pid").alias("passage_id"), "relevance")
+
     def failures(self) -> DataFrame:
         """Failed requests of all kinds, one for each event."""
         e = F.col("event_id")

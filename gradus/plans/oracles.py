@@ -76,6 +76,7 @@ _SHARD = f"""
 placed AS (SELECT doc_id, doc_id % 3 AS k, (doc_id // 3) * {SHARD_BYTES} AS place, md5(text) AS text FROM documents),
 shards AS (SELECT doc_id, k, '{PREFIX[:-3]}0' || k || '_' || lpad(CAST(place + CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END AS VARCHAR), 12, '0') AS passage_id, text, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS document_id, place FROM placed),
 wanted AS (SELECT DISTINCT d FROM pool WHERE d % 3 < 2)"""
+_SHARD_QRELS = "judged AS (SELECT CAST(i AS VARCHAR) AS query_id, passage_id, relevance FROM pool JOIN shards ON doc_id = d WHERE d % 3 < 2 AND d % 97 <> 5)"
 _RECORDS = f"""
 records AS (SELECT CASE WHEN CAST(query_id AS INTEGER) % 3 = 0 THEN line || chr(11) || line || 'x' || chr(133) || line ELSE line END AS line FROM (
   SELECT query_id, query_id || chr(9) || CASE WHEN CAST(query_id AS INTEGER) % 4 = 0 THEN 'a' || chr(9) || 'b ' ELSE '' END || regexp_replace(text, '[\\x00-\\x1f\\x{{85}}]', ' ', 'g') AS line FROM fx_queries)
@@ -186,6 +187,10 @@ def oracle_sql() -> dict[str, str]:
         "corpus_passages": _with("SELECT passage_id, text, document_id, '(0,1)' AS spans, CAST(place AS BIGINT) AS offset, false AS misplaced, 2 AS shards_read FROM shards JOIN wanted ON doc_id = d WHERE doc_id % 97 <> 5 UNION ALL SELECT passage_id, text, document_id, '(0,1)', CAST(place AS BIGINT), true, 2 FROM shards JOIN wanted ON doc_id = d WHERE doc_id % 97 = 5", _SHARD),
         "corpus_passages_by_offset": _with("""SELECT passage_id, substr(passage_id, 1, 18) AS run, CASE WHEN fits THEN text END AS text, CASE WHEN fits THEN document_id END AS document_id, CASE WHEN fits THEN '(0,1)' END AS spans, CAST(place + CASE WHEN fits THEN 0 ELSE 1 END AS BIGINT) AS offset
             FROM (SELECT *, doc_id % 97 <> 5 AS fits FROM shards JOIN wanted ON doc_id = d)""", _SHARD),
+        "built_collection": _with("""SELECT 'queries' AS "table", query_id AS key, md5(regexp_replace(text, '[\\x00-\\x1f\\x{85}\\x{2028}\\x{2029}]', ' ', 'g')) AS digest FROM fx_queries WHERE query_id IN (SELECT query_id FROM judged)
+            UNION ALL SELECT 'passages', passage_id, md5(text || ' ' || document_id || ' (0,1)') FROM shards WHERE passage_id IN (SELECT passage_id FROM judged)
+            UNION ALL SELECT 'qrels', query_id || ' ' || passage_id, md5(CAST(relevance AS VARCHAR)) FROM judged""", _SHARD, _SHARD_QRELS),
+        "qrels_in_order": _with("SELECT query_id, passage_id, CAST(relevance AS DOUBLE) AS relevance, row_number() OVER (ORDER BY md5(query_id || ' ' || passage_id) || query_id || ' ' || passage_id) - 1 AS position FROM judged", _SHARD, _SHARD_QRELS),
         "missing_passages": _with("SELECT DISTINCT passage_id FROM (SELECT passage_id FROM fx_dirty UNION ALL SELECT passage_id FROM shards JOIN wanted ON doc_id = d) WHERE passage_id NOT IN (SELECT passage_id FROM fx_passages) ORDER BY passage_id LIMIT 10", _SHARD),
         "unknown_queries": _with("SELECT DISTINCT query_id FROM fx_dirty WHERE query_id NOT IN (SELECT query_id FROM fx_queries)"),
         "collection_violations": _with(f"""SELECT 'query id repeats' AS rule, query_id AS at FROM fx_queries WHERE query_id IN ('1', '7') UNION ALL SELECT 'pair repeats', query_id || ' ' || passage_id FROM fx_dirty GROUP BY {pair} HAVING count(*) > 1

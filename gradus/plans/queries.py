@@ -251,6 +251,34 @@ def corpus_passages_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trec.passages_at(fx.required(), paths).select("passage_id", "run", "text", "document_id", "spans", "offset")
 
 
+def _metadata(fx: Fixtures, folder: str) -> list[str]:
+    """The paths of a query file and of a judgment file, whose lines go by the digest of their pairs."""
+    plain = F.regexp_replace("text", r"[\x00-\x1f\x85\u2028\u2029]", " ")
+    asked = fx.queries().select(F.lit("q.tsv").alias("file"), F.col("query_id").alias("place"), F.concat("query_id", F.lit("\t"), plain).alias("line"))
+    pair = F.concat_ws(" ", "query_id", "passage_id")
+    judged = fx.shard_qrels().select(F.lit("r.txt").alias("file"), F.concat(F.md5(pair), pair).alias("place"), F.concat_ws(" ", "query_id", F.lit("0"), "passage_id", F.col("relevance").cast("string")).alias("line"))
+    return tables.write_files(asked.unionByName(judged), folder)
+
+
+def built_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a collection that was built from text files and archives, whose passages come from the cache the second time."""
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "built")
+    query_path, qrel_path = _metadata(fx, folder)
+    paths = archives.pack(fx.shard_text(), f"{folder}/shards")
+    collection.build(spark, query_path, qrel_path, paths, cache=f"{folder}/cache", check_offsets=True)
+    got = collection.build(spark, query_path, qrel_path, [], cache=f"{folder}/cache")
+    both = got["queries"].select(F.lit("queries").alias("table"), F.col("query_id").alias("key"), F.md5("text").alias("digest")).unionByName(got["passages"].select(F.lit("passages").alias("table"), F.col("passage_id").alias("key"), F.md5(F.concat_ws(" ", "text", "document_id", "spans")).alias("digest")))
+    return both.unionByName(got["qrels"].select(F.lit("qrels").alias("table"), F.concat_ws(" ", "query_id", "passage_id").alias("key"), F.md5(F.col("relevance").cast("string")).alias("digest")))
+
+
+def qrels_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged pairs with their places in the judgment file, as the order in which a checkpoint's labels are read anew."""
+    fx, folder = Fixtures(spark, sf_dir), tables.scratch(spark, "order")
+    query_path, qrel_path = _metadata(fx, folder)
+    qrels = trec.read_qrels(spark, qrel_path, trec.read_queries(spark, query_path), order=True)
+    return order.with_positions(qrels, "seq").select("query_id", "passage_id", _number("relevance"), "position")
+
+
 def missing_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten of the required passages that no table has."""
     fx = Fixtures(spark, sf_dir)
@@ -395,7 +423,7 @@ def queries() -> dict[str, Query]:
         agreement_confusion_normalized agreement_summary collection_summary grade_distribution judgments_per_query pending_judgments refreshed_judgments
         judged_queries required_passages orphan_references duplicate_pairs invalid_grades checkpoint_difference passage_truncation token_estimates
         argmax_grades usage_and_cost union_of_sources rate_limit_schedule rate_limit_shared parse_run_lines parse_qrel_lines judge_stub run_files parse_judgment_lines
-        parse_query_lines conflicting_queries published_collection corpus_passages corpus_passages_by_offset missing_passages unknown_queries collection_violations summary_report
+        parse_query_lines conflicting_queries published_collection corpus_passages corpus_passages_by_offset built_collection qrels_in_order missing_passages unknown_queries collection_violations summary_report
         figure_points judge_prompt structured_answers experiment_guard judge_probabilistic judge_run judge_resumed deferred_requests
         equal_tables ordered_fingerprint retry_schedule run_manifest report_numbers not_finite"""
     return {name: globals()[name] for name in names.split()}
