@@ -47,59 +47,65 @@ def encode(raw: bytes) -> tuple[pa.Array, np.ndarray]:
         return pa.array([], pa.string()), np.zeros(0, np.int32)
     offsets = np.concatenate(([0], np.cumsum(end - start)))
     held = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(b[word])]).dictionary_encode()
-    piece = np.cumsum(b == 10, dtype=np.int32)[start]
-    breaks = np.cumsum(np.concatenate(([0], np.diff(piece) != 0)))
+    piece = np.searchsorted(np.flatnonzero(b == 10), start).astype(np.int32)
+    breaks = np.cumsum(np.concatenate(([False], piece[1:] != piece[:-1])), dtype=np.int32)
     ids = np.full(len(start) + int(breaks[-1]), -1, np.int32)
-    ids[np.arange(len(start)) + breaks] = held.indices.to_numpy()
+    ids[np.arange(len(start), dtype=np.int32) + breaks] = held.indices.to_numpy()
     return held.dictionary.cast(pa.binary()).cast(pa.string()), ids
 
 
+def _next(where: np.ndarray) -> np.ndarray:
+    """For each position the first one, from it on, at which ``where`` is true; the number of positions, if there is none."""
+    stops = np.append(np.flatnonzero(where), len(where)).astype(np.int32)
+    return np.repeat(stops, np.diff(stops, prepend=-1))[: len(where)]
+
+
 def room_of(ids: np.ndarray) -> np.ndarray:
     """Words from each position to the end of its piece, itself included; 0 between pieces."""
-    n = len(ids)
-    ends = np.append(np.flatnonzero(ids < 0), n)
-    return ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    return _next(ids < 0) - np.arange(len(ids), dtype=np.int32)
 
 
 def common_room(good: np.ndarray, width: int) -> np.ndarray:
     """Words from each position on that common phrases of ``width`` words, which start where ``good``, cover without a gap between starts."""
-    n = len(good)
-    at = np.arange(n)
-    stops = np.append(np.flatnonzero(~good), n)
-    last = np.maximum.accumulate(np.where(good, at, -width)) if n else at
-    return np.where(good, stops[np.searchsorted(stops, at)] - 1 + width - at, np.maximum(last + width - at, 0))
+    at = np.arange(len(good), dtype=np.int32)
+    last = np.maximum.accumulate(np.where(good, at, -width)) if len(good) else at
+    return np.where(good, _next(~good) - 1 + width - at, np.maximum(last + width - at, 0))
 
 
 def intervals(ids: np.ndarray, room: np.ndarray, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length, a position of every different phrase of so many words and how often it occurs.
 
     ``room`` says how many words from a position on belong together. Suffixes are sorted by their first words, as many as the
-    longest phrase has, by doubling: a rank of 2w words is a pair of ranks of w. What ends sooner comes first.
+    longest phrase has, by doubling: a rank of 2w words is a pair of ranks of w. What ends sooner comes first. All that is kept
+    are numbers of 32 bits; a shard has fewer words than they count.
     """
     depth, n = lengths[-1], len(ids)
-    at = np.flatnonzero(room > 0)
-    if not len(at):
+    sa = np.flatnonzero(room > 0).astype(np.int32)
+    if not len(sa):
         return
-    left = room[at]
-    rank = np.zeros(n + depth, np.int64)
-    rank[at] = ids[at] + 1
-    sa, width = at[np.argsort(rank[at], kind="stable")] if depth == 1 else at, 1
+    rank = np.zeros(n + depth, np.int32)
+    rank[sa] = ids[sa] + 1
+    width = 1
     while width < depth:
-        key = rank[at] * (int(rank.max()) + 1) + np.where(left > width, rank[np.minimum(at + width, n)], 0)
+        key = rank[sa].astype(np.int64)
+        key *= int(key.max()) + 1
+        key += np.where(room[sa] > width, rank[np.minimum(sa + width, n)], 0)
         order = np.argsort(key)
-        ranked = key[order]
-        sa = at[order]
-        rank = np.zeros(n + depth, np.int64)
-        rank[sa] = np.cumsum(np.concatenate(([1], ranked[1:] != ranked[:-1])))
+        sa, key = sa[order], key[order]
+        del order
+        rank = np.zeros(n + depth, np.int32)
+        rank[sa] = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])), dtype=np.int32)
+        del key
         width *= 2
     after, words = room[sa], np.append(ids, np.full(depth, -1, ids.dtype))
+    del rank
     same, lcp = np.ones(len(sa) - 1, bool), np.zeros(len(sa) - 1, np.int8)
     for j in range(depth):
         same &= (after[1:] > j) & (after[:-1] > j) & (words[sa[1:] + j] == words[sa[:-1] + j])
         lcp += same
     for k in lengths:
-        heads = np.flatnonzero(np.concatenate(([True], lcp < k)))
-        size = np.diff(np.append(heads, len(sa)))
+        heads = np.flatnonzero(np.concatenate(([True], lcp < k))).astype(np.int32)
+        size = np.diff(heads, append=np.int32(len(sa)))
         long = after[heads] >= k
         yield k, sa[heads[long]], size[long]
 
