@@ -53,7 +53,7 @@ def test_replay(spark):
     for i in range(400):
         day = rng.choice([0, 0, 0, 1, 2, 4])
         rows.append((day, rng.choice(["a", "a", "b", ""]), (day - 1) * 26 * HOUR + rng.randrange(-30 * HOUR, 24 * HOUR), rng.choice([i, None, 7]), rng.choice([1, -5, None, 10**12])))
-    rows += [(1, "a", -1, 900, 1), (2, "a", -HOUR, 901, 1), (4, "a", 12 * HOUR, 902, 2), (4, "only once", 200 * HOUR, 903, 3)] + [rows[3]] * 3
+    rows += [(1, "a", -1, 900, 1), (2, "b", 70 * HOUR, 904, 1), (2, "a", 40 * HOUR, 905, 1), (4, "a", 40 * HOUR + 7, 906, 5), (2, "a", -HOUR, 901, 1), (4, "a", 12 * HOUR, 902, 2), (4, "only once", 200 * HOUR, 903, 3)] + [rows[3]] * 3
     want = replay(rows, 5)  # batch 3 is empty
     assert {"late", "emit", "retract", "replace", "final"} == {r[1] for r in want} and any(r[0] == 3 for r in want) and any(r[3] < 0 for r in want)
     assert got(spark, rows, 5) == want
