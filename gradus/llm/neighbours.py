@@ -4,13 +4,16 @@ Every different vector is indexed once; of those who share it only the ids that
 Centres, fitted on a bounded sample, part the vectors into cells, and cells into blocks of bounded size. A vector, less
 its cell's centre and scaled to length 1, is rotated by one random frame and kept as its packed signs and two scalars: its
 length, and its inner product with its own signs. Vectors of fewer than ``BITS`` components are turned into that many
-dimensions, which narrows the error. A query is turned alike and kept in planes of ``PLANES`` bits, so the signs' product
-with it is counted in bits; divided by the scalar it estimates the true product without bias, within an error that the
-scalar bounds.
+dimensions, which narrows the error. A query, less the sample's mean, is turned alike and kept in planes of ``PLANES``
+bits, so the signs' product with it is counted in bits; divided by the scalar it estimates the true product without bias,
+within an error that the scalar bounds. What the mean adds to a vector's product is a third scalar, so that vectors which
+have much in common, as in a narrow cone, don't drown what tells them apart.
 
 Queries go in groups against the cells whose centre and radius let them reach a score that the sample already grants. A
 group meets its blocks best first and carries the scores to beat from block to block. Vectors whose upper bound reaches
-those scores are reranked by their original components, which are joined to these pairs alone.
+those scores are reranked at once by their original components, which the blocks hold beside the codes. So the scores to
+beat are true ones and never estimates, the largest of which are too large by chance: where codes tell little, more is
+reranked, and nothing more is missed.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,18 +33,22 @@ from gradus.llm._text import lean
 
 BITS = 512  # of a code, at least; a multiple of 64
 PLANES = 4  # bits of a query's components
-EPSILON = 1.9  # standard errors that the bounds allow for
+EPSILON = 3.0  # standard errors that the bounds allow for
 SAMPLE = 16_384  # vectors that centres and first scores to beat are taken from, about: a bound on what the driver holds
 CELLS = 256  # at most; a cell has CELL_ROWS vectors or more on average
 CELL_ROWS = 4096
-BLOCK = 2048  # vectors of a block, about
+BLOCK = 2048  # vectors of a block, about, and fewer if that is more than BLOCK_BYTES
+BLOCK_BYTES = 1 << 20
 QUERIES = 512  # of a group
 LANES = 4  # parts of a group's blocks that are searched side by side
 AT_ONCE = 32  # queries whose estimates are in memory together
+PRODUCTS = 1 << 20  # components multiplied at a time
 
-BLOCKS = "size int, cell int, part int, keys binary, codes binary, length binary, own binary"
-GROUPS = "grp bigint, size int, keys binary, planes binary, scale binary, least binary, cells array<struct<cell:int,bound:double,centred:binary>>"
-PAIRS = "ask bigint, key bigint, estimate double, upper double"
+HELD = ["keys", "firsts", "codes", "length", "own", "tilt", "vectors"]
+ASKED = ["keys", "planes", "scale", "least", "slack", "vectors"]
+BLOCKS = f"size int, cell int, part int, {', '.join(f'{c} binary' for c in HELD)}"
+GROUPS = f"grp bigint, size int, {', '.join(f'{c} binary' for c in ASKED)}, cells array<struct<cell:int,bound:double,centred:binary>>"
+PAIRS = "ask bigint, key bigint, first bigint, score double"
 
 
 class Sample(NamedTuple):
@@ -49,6 +56,7 @@ class Sample(NamedTuple):
 
     rows: np.ndarray
     centres: np.ndarray
+    middle: np.ndarray
 
 
 def frame(size: int, seed: int) -> np.ndarray:
@@ -110,43 +118,64 @@ def bounds(planes: np.ndarray, scale: np.ndarray, codes: np.ndarray, length: np.
     product = (2 * (low * held + step * dot) - total) / math.sqrt(size)
     spread = (1 - own**2) / own**2 / max(1, size - 1)
     error = EPSILON * length * np.sqrt(norm**2 * np.maximum(spread, 0) + step**2 / 12 / own**2)
-    return product * (length / own) + centred[:, None], error + 1e-9 * (1 + norm)
+    return product * (length / own) + centred[:, None], error
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up from the first component to the last."""
+    return np.add.accumulate(a.astype(float) * b, axis=1)[:, -1] + 0.0  # no -0.0
 
 
 class Search:
-    """One group of queries on its way through blocks: the best estimates so far, and the pairs that may be among the best."""
+    """One group of queries on its way through blocks: of each query the ``most`` best vectors so far, by score and smallest id."""
 
-    def __init__(self, row: dict, k: int):
-        self.keys = np.frombuffer(row["keys"], np.int64)
+    def __init__(self, row: dict, most: int):
+        self.most, self.keys = most, np.frombuffer(row["keys"], np.int64)
         self.planes = np.frombuffer(row["planes"], np.uint64).reshape(len(self.keys), PLANES, -1)
         self.scale = np.frombuffer(row["scale"]).reshape(-1, 4)
-        self.least = np.frombuffer(row["least"]).copy()
-        self.best = np.full((len(self.keys), k), -np.inf)
-        self.found: list[np.ndarray] = []  # rows of ask, key, estimate, upper bound
-        self.keys_found: list[np.ndarray] = []
+        self.least, self.slack = np.frombuffer(row["least"]).copy(), np.frombuffer(row["slack"])
+        self.vectors = np.frombuffer(row["vectors"]).reshape(len(self.keys), -1)
+        self.scored = 0
+        self.best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, key, smallest id, score
 
     def visit(self, row: dict) -> None:
-        ids = np.frombuffer(row["keys"], np.int64)
+        ids, firsts = (np.frombuffer(row[c], np.int64) for c in ("keys", "firsts"))
         code = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), -1)
-        length, own, centred = (np.frombuffer(row[c]) for c in ("length", "own", "centred"))
-        reach = np.flatnonzero(centred + self.scale[:, 3] * length.max() >= self.least)  # no other query can find anything here
-        k = self.best.shape[1]
+        length, own, tilt, centred = (np.frombuffer(row[c]) for c in ("length", "own", "tilt", "centred"))
+        size = self.vectors.shape[1]
+        vectors = np.frombuffer(row["vectors"], f"f{len(row['vectors']) // (len(ids) * size)}").reshape(-1, size)
+        reach = np.flatnonzero(centred + self.scale[:, 3] * length.max() + tilt.max() >= self.least - self.slack)  # no other query can find anything here
+        found, lacking = [self.best], np.bincount(self.best[0], minlength=len(self.keys)) < self.most
         for lo in range(0, len(reach), AT_ONCE):
             some = reach[lo : lo + AT_ONCE]
             estimate, error = bounds(self.planes[some], self.scale[some], code, length, own, centred[some])
-            both = np.concatenate([self.best[some], estimate], axis=1)
-            self.best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            self.least[some] = np.maximum(self.least[some], self.best[some].min(axis=1))
-            i, j = np.nonzero(estimate + error >= self.least[some, None])
-            self.found.append(np.stack([some[i], estimate[i, j], (estimate + error)[i, j]], axis=1))
-            self.keys_found.append(ids[j])
+            estimate += tilt
+            near = estimate + error >= (self.least - self.slack)[some, None]
+            if (few := lacking[some]).any():  # so that errors of the estimates leave no query without its number of vectors
+                top = np.argpartition(-estimate[few], min(self.most, len(ids)) - 1, axis=1)[:, : self.most]
+                near[np.flatnonzero(few)[:, None], top] = True
+            i, j = np.nonzero(near)
+            self.scored += len(i)
+            step = max(1, PRODUCTS // size)
+            for at in range(0, len(i), step):
+                a, b = some[i[at : at + step]], j[at : at + step]
+                score = products(self.vectors[a], vectors[b])
+                good = lacking[a] | (score >= self.least[a])
+                found.append([a[good], ids[b[good]], firsts[b[good]], score[good]])
+        if len(found) > 1:
+            self._rank([np.concatenate(x) for x in zip(*found, strict=True)])
+
+    def _rank(self, found: list[np.ndarray]) -> None:
+        query, key, first, score = found
+        order = np.lexsort((key, first, -score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        self.best = [x[order][place < self.most] for x in found]
+        last = order[place == self.most - 1]
+        self.least[query[last]] = np.maximum(self.least[query[last]], score[last])
 
     def pairs(self) -> pa.RecordBatch:
-        found = np.concatenate([np.zeros((0, 3)), *self.found])
-        keys = np.concatenate([np.zeros(0, np.int64), *self.keys_found])
-        at = found[:, 0].astype(np.int64)
-        keep = found[:, 2] >= self.least[at]
-        return pa.RecordBatch.from_arrays([pa.array(self.keys[at[keep]]), pa.array(keys[keep]), pa.array(found[keep, 1]), pa.array(found[keep, 2])], ["ask", "key", "estimate", "upper"])
+        query, *rest = self.best
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.keys[query], *rest)], ["ask", "key", "first", "score"])
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -160,11 +189,11 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def different(x: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """(key, v) of the different vectors, and (key, id) of who has them; of each only the ``most`` smallest ids."""
-    first = F.row_number().over(W.partitionBy("v").orderBy("id"))
-    kept = x if most is None else x.withColumn("_at", first).where(F.col("_at") <= most).drop("_at")
-    named = settle(kept.select("v").distinct().withColumn("key", F.monotonically_increasing_id()), "vectors")
-    return named.select("key", F.size("v").alias("size"), "v"), kept.join(named, "v").select("key", "id")
+    """(key, first, size, v) of the different vectors, first the smallest id, and (key, id) of who has them; of each only the ``most`` smallest ids."""
+    place = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    kept = x if most is None else x.withColumn("_at", place).where(F.col("_at") <= most).drop("_at")
+    named = settle(kept.groupBy("v").agg(F.min("id").alias("first")).withColumn("key", F.monotonically_increasing_id()), "vectors")
+    return named.select("key", "first", F.size("v").alias("size"), "v"), kept.join(named, "v").select("key", "id")
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -188,7 +217,7 @@ def take_samples(x: DataFrame, seed: int) -> dict[int, Sample]:
     for size in np.unique(sizes).tolist():
         rows = _matrix(got.column("v").combine_chunks().filter(pa.array(sizes == size)), size)
         cells = max(1, min(CELLS, n * len(rows) // len(sizes) // CELL_ROWS, len(rows) // 8))
-        out[size] = Sample(rows, fit_centres(rows, cells, seed))
+        out[size] = Sample(rows, fit_centres(rows, cells, seed), rows.mean(axis=0))
     return out
 
 
@@ -196,41 +225,52 @@ def _centres(samples: dict[int, Sample], size: int) -> np.ndarray:
     return samples[size].centres if size in samples else np.zeros((1, size))
 
 
+def _middle(samples: dict[int, Sample], size: int) -> np.ndarray:
+    return samples[size].middle if size in samples else np.zeros(size)
+
+
 def build(x: DataFrame, samples: dict[int, Sample], seed: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """The index, a row for each block, and the radius of every cell."""
-    sent = x.sparkSession.sparkContext.broadcast({size: s.centres for size, s in samples.items()})
+    sent = x.sparkSession.sparkContext.broadcast({size: s._replace(rows=s.rows[:0]) for size, s in samples.items()})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, at, v in _by_size(batch):
-                centres = sent.value.get(size, np.zeros((1, size)))
+                centres = _centres(sent.value, size)
                 cell = cell_of(v, centres)
                 far = np.sqrt(((v - centres[cell]) ** 2).sum(axis=1))
                 rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(cell.astype(np.int32)), pa.array(far)], ["key", "size", "v", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), pa.array(cell.astype(np.int32)), pa.array(far)], ["key", "size", "v", "first", "cell", "far"])
 
     kind = x.schema["v"].dataType.simpleString()
-    placed = settle(x.select("key", "size", "v").mapInArrow(lean(assign), f"key bigint, size int, v {kind}, cell int, far double"), "placed")
+    placed = settle(x.select("key", "size", "v", "first").mapInArrow(lean(assign), f"key bigint, size int, v {kind}, first bigint, cell int, far double"), "placed")
     cells = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # CELLS rows for each number of components
     radius = {size: np.zeros(len(_centres(samples, size))) for size in {r["size"] for r in cells}}
     for r in cells:
         radius[r["size"]][r["cell"]] = r["radius"]
-    parts = x.sparkSession.createDataFrame([(r["size"], r["cell"], -(-r["n"] // BLOCK)) for r in cells], "size int, cell int, parts bigint")
-    dealt = placed.join(parts, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "v")
+    parts = x.sparkSession.createDataFrame([(r["size"], r["cell"], -(-r["n"] // block_rows(r["size"]))) for r in cells], "size int, cell int, parts bigint")
+    dealt = placed.join(parts, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "first", "v")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (size, cell, part), table in grouped(batches, 3):
-            v = _matrix(table.column("v").combine_chunks(), size) - sent.value.get(size, np.zeros((1, size)))[cell]
-            codes, length, own = encode(v, frame(size, seed))
-            row = [table.column("key").to_numpy(), codes, length, own]
+            v = _matrix(column := table.column("v").combine_chunks(), size)
+            rest = v - _centres(sent.value, size)[cell]
+            codes, length, own = encode(rest, frame(size, seed))
+            original = v.astype(column.type.value_type.to_pandas_dtype())
+            row = [table.column("key").to_numpy(), table.column("first").to_numpy(), codes, length, own, rest @ _middle(sent.value, size), original]
             ids = [pa.array([x], pa.int32()) for x in (size, cell, part)]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row]], ["size", "cell", "part", "keys", "codes", "length", "own"])
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row]], ["size", "cell", "part", *HELD])
 
     order = ["size", "cell", "part"]
     packed = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(pack), BLOCKS)
     return settle(packed, "index"), radius
 
 
+def block_rows(size: int) -> int:
+    """Vectors of a block: their components of eight bytes at most, codes of a bit for each, and scalars."""
+    return max(1, min(BLOCK, BLOCK_BYTES // (8 * size + max(BITS, size) // 8 + 40)))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
     """Runs of rows that agree in the first columns, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -279,16 +319,16 @@ def ask(asked: DataFrame, samples: dict[int, Sample], radius: dict[int, np.ndarr
             for lo in range(0, table.num_rows, QUERIES):
                 part = table.slice(lo, QUERIES).combine_chunks()
                 v, least = _matrix(part.column("v").combine_chunks(), size), part.column("least").to_numpy()
-                planes, scale = planes_of(v, turn)
-                centred = v @ centres.T
-                bound = centred + scale[:, 3, None] * radius[size]
-                slack = 1e-9 * (1 + np.abs(least))
-                reach = np.flatnonzero((bound >= (least - slack)[:, None]).any(axis=0))
+                planes, scale = planes_of(v - _middle(samples, size), turn)
+                centred, norm = v @ centres.T, np.sqrt((v**2).sum(axis=1))
+                bound = centred + norm[:, None] * radius[size]
+                slack = 1e-11 * norm * (radius[size].max() + np.sqrt((centres**2).sum(axis=1).max()) + np.sqrt((_middle(samples, size) ** 2).sum()))  # of sums in other orders
+                reach = np.flatnonzero((bound >= (least - 2 * slack)[:, None]).any(axis=0))
                 cells = [{"cell": c, "bound": float(bound[:, c].max()), "centred": np.ascontiguousarray(centred[:, c]).tobytes()} for c in reach.tolist()]
-                row = [part.column("key").to_numpy(), planes, scale, least - slack]
+                row = [part.column("key").to_numpy(), planes, scale, least - slack, slack, v]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([size], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row], pa.array([cells], pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64()), ("centred", pa.binary())])))],
-                    ["grp", "size", "keys", "planes", "scale", "least", "cells"],
+                    ["grp", "size", *ASKED, "cells"],
                 )
                 number += 1
 
@@ -299,18 +339,18 @@ def ask(asked: DataFrame, samples: dict[int, Sample], radius: dict[int, np.ndarr
     return settle(placed.repartitionByRange(groups, *order).sortWithinPartitions(*order).mapInArrow(lean(pack), GROUPS), "groups")
 
 
-def search(groups: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """ask, key, estimate, upper of the pairs that may be among the ``k`` best of their query.
+def search(groups: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """ask, key, first, score of the ``most`` best vectors that each lane of a query's group has found.
 
     A group is sent once to each of its lanes, and each block once to each group that its cell is allowed for; so the
     work is that of the pairs of groups and blocks that no bound rules out.
     """
     nothing = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-    heads = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("bound"), "keys", "planes", "scale", "least", *nothing("codes", "length", "own", "centred"))
+    heads = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("bound"), *ASKED, *nothing(*[c for c in HELD if c not in ASKED], "centred"))
     wanted = groups.select("grp", "size", F.explode("cells").alias("c")).select("grp", "size", "c.*")
     blocks = wanted.join(index, ["size", "cell"])
     lane = F.pmod(F.xxhash64("cell", "part"), F.lit(LANES)).cast("int").alias("lane")
-    blocks = blocks.select("grp", lane, F.lit(1).alias("kind"), "bound", "keys", *nothing("planes", "scale", "least"), "codes", "length", "own", "centred")
+    blocks = blocks.select("grp", lane, F.lit(1).alias("kind"), "bound", *HELD, *nothing(*[c for c in ASKED if c not in HELD]), "centred")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
@@ -320,7 +360,7 @@ def search(groups: DataFrame, index: DataFrame, k: int) -> DataFrame:
                 if row["kind"] == 0:
                     if at:
                         yield at.pairs()
-                    at = Search(row, k)
+                    at = Search(row, most)
                 else:
                     at.visit(row)
         if at:
@@ -330,21 +370,14 @@ def search(groups: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return heads.unionByName(blocks).repartition("grp", "lane").sortWithinPartitions(*order).mapInArrow(lean(work), PAIRS)
 
 
-def _product(a: str, b: str) -> Column:
-    both = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(both, F.lit(0.0), lambda s, p: s + p)
-
-
 def chosen(pairs: DataFrame, most: int) -> DataFrame:
-    """The pairs whose upper bound reaches the estimate at place ``most`` of their query over all lanes."""
-    by = W.partitionBy("ask")
-    ranked = pairs.withColumn("at", F.row_number().over(by.orderBy(F.desc("estimate"), "key")))
-    least = F.max(F.when(F.col("at") == most, F.col("estimate"))).over(by)
-    return ranked.withColumn("least", least).where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("ask", "key")
+    """The ``most`` best of each query over all lanes, which send so many each at most."""
+    place = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "first", "key"))
+    return pairs.withColumn("at", place).where(F.col("at") <= most).select("ask", "key", "score")
 
 
 def candidates(x: DataFrame, asked: DataFrame, *, most: int, seed: int = 5) -> DataFrame:
-    """ask, key: the pairs of queries and different vectors that are worth an exact product."""
+    """ask, key, score: the ``most`` best different vectors found for each query, equal scores by their smallest ids."""
     samples = take_samples(x, seed)
     index, radius = build(x, samples, seed)
     return chosen(search(ask(asked, samples, radius, most, seed), index, most), most)
@@ -363,10 +396,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, seed: int =
     x, holders = different(rows, most)
     asked, askers = different(usable(queries, vec_id, embedding).distinct(), None)
     pairs = candidates(x, asked, most=most, seed=seed)
-    scored = pairs.join(x.select("key", "v"), "key").join(asked.select(F.col("key").alias("ask"), F.col("v").alias("q")), "ask")
-    scored = scored.select("ask", "key", _product("v", "q").alias("score"))
     # Of equal vectors and scores the smallest ids count: so many of each hold k of other ids.
-    best = scored.join(holders, "key").select("ask", F.col("id").alias("vec_id"), "score")
+    best = pairs.join(holders, "key").select("ask", F.col("id").alias("vec_id"), "score")
     best = best.withColumn("at", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))).where(F.col("at") <= most)
     every = best.join(askers.select(F.col("key").alias("ask"), F.col("id").alias("query_id")), "ask").where("vec_id <> query_id")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

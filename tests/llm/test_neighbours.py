@@ -101,3 +101,38 @@ def test_bounds_hold():
         estimate, error = neighbours.bounds(*neighbours.planes_of(q, turn), *neighbours.encode(x - centre, turn), q @ centre)
         off = np.abs(estimate - q @ x.T)
         assert (off <= error).mean() > 0.92 and (estimate - q @ x.T).mean() == pytest.approx(0, abs=0.05 * np.sqrt(size))
+
+
+def cone(rng, n, size):
+    """Vectors of length 1 that have most of their length in common."""
+    x = 5 * rng.standard_normal((1, size)) / np.sqrt(size) + 0.05 * rng.standard_normal((n, size)) / np.sqrt(size)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+
+
+@pytest.mark.parametrize("kind", ["cone", "wide", "ties"])
+def test_recall_on_other_rows(spark, kind):
+    """Rows that codes tell little about: estimates aren't held against estimates, and every query gets its number of vectors."""
+    rng, n = np.random.default_rng(7), 1000
+    x = {"cone": lambda: cone(rng, n, 64), "wide": lambda: rng.standard_normal((n, 768)), "ties": lambda: rng.integers(0, 2, (n, 16))}[kind]().astype("float32")
+    v = table(spark, x)
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.nearest(v, v.where("vec_id % 20 = 0"), k=20).collect()}
+    assert len(got) == n // 20 * 20
+    hits = sum(len({got[q, r] for r in range(1, 21)} & {i for i, _ in exact(np.arange(n), x.astype(float), q, 20)}) for q in range(0, n, 20))
+    assert hits / len(got) >= 0.99
+
+
+def test_codes_leave_few_products(spark):
+    """At sf0.1 one of eight pairs at most is multiplied in full; the codes rule out the others."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x, _ = neighbours.different(neighbours.usable(v, "vec_id", "embedding"), 21)
+    asked, _ = neighbours.different(neighbours.usable(v.where("vec_id % 20 = 0"), "vec_id", "embedding"), None)
+    samples = neighbours.take_samples(x, 5)
+    index, radius = neighbours.build(x, samples, 5)
+    blocks, scored = index.collect(), 0
+    for group in neighbours.ask(asked, samples, radius, 21, 5).collect():
+        search, centred = neighbours.Search(group.asDict(), 21), {c.cell: c.centred for c in group.cells}
+        for block in blocks:
+            search.visit({**block.asDict(), "centred": centred[block.cell]})
+        scored += search.scored
+    share = scored / (x.count() * asked.count())
+    assert 0.01 < share < 0.125, share
