@@ -115,7 +115,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return t.rename_columns({"n_rows_sum": "n_rows", "cents_sum": "cents", "last_max": "last"}).select([*keys, "n_rows", "cents", "last"])
 
     for batch in batches:
-        wait.append(pa.Table.from_batches([batch]).select([*keys, "n_rows", "cents", "last"]))
+        # named anew, since Spark's columns may be declared without nulls and sums never are: only equal schemas can be joined
+        wait.append(pa.table({c: batch.column(c) for c in [*keys, "n_rows", "cents", "last"]}))
         if len(wait) == 16:
             held, wait = total([held, *wait] if held else wait), []
             if held.num_rows > 100_000:  # very many kinds: no reason to keep them together

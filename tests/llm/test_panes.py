@@ -89,6 +89,18 @@ def test_totals_of_a_task():
     assert list(panes._totals(iter([]))) == []
 
 
+def test_task_of_many_batches(spark):
+    """A task goes on after its first sums, whose columns may hold nulls where those of Spark's rows may not."""
+    n = 200_000  # 20 Arrow batches in one task
+    events = spark.range(0, n, 1, 1).selectExpr("0 AS batch", "IF(id % 4 = 0, 'b', 'a') AS kind", f"(id % 5 - 2) * {HOUR} AS us", "id AS click_id", "IF(id % 7 = 0, NULL, id) AS cents")
+    want = {}
+    for i in range(n):
+        key = "b" if i % 4 == 0 else "a", i % 5 - 2
+        rows, cents = want.get(key, (0, 0))
+        want[key] = rows + 1, cents + (i if i % 7 else 0)
+    assert {(r.kind, r.hour): (r.n_rows, r.cents) for r in panes.revise(events, 1).collect()} == want
+
+
 def test_clicks_with_odd_rows(spark):
     at = lambda day, hour=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day, hours=hour)
     rows = [
